@@ -1,17 +1,20 @@
 """Exact n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 1. Every text becomes its set of distinct ``size``-word shingles (64-bit hashes); a text with fewer words has
-   its whole sequence as one. Texts with equal sets are one class, keyed by the set's hash and size.
-2. Sets are cut to a prefix in hash order. A partner at similarity t shares at least ceil(t*n) of n shingles,
-   so of any p of them it shares at least p - (n - ceil(t*n)). The prefix is longer than the shortest that
-   works, by a share ``extra`` of n: a class stays only if at least that many of its prefix shingles occur in
-   another class. That bound alone drops classes which merely share a passage, without looking at pairs.
+   its whole sequence as one. Texts with equal sets are one class, keyed by the set's hash.
+2. Sets are cut to a prefix in hash order. Partners x and y share at least ceil(t*n) shingles of either. With
+   prefixes longer by l - 1 than the shortest that work, they share at least l prefix shingles, where l is the
+   lesser of theirs; l is 1 + ``extra`` * n here. A class stays only if that many of its prefix shingles occur in
+   other classes.
 3. Each shingle that two classes still share names a hub: its class with the most shared prefix shingles.
-   Classes meet in their hubs' groups, so any linked pair meets in one at least.
-4. Groups are cut into blocks of ``block`` classes; each pair of blocks is one sparse product that accumulates
-   overlap counts and drops pairs below the bounds their sizes give. It returns a spanning forest and link
-   counts, never all pairs. A pair that meets in several groups counts in its least common hub.
-5. Components come from the forests by distributed label propagation with pointer jumping.
+   A hub's group is the product of its classes' prefixes, cut into pairs of blocks. If x has c of its d shared
+   prefix shingles under a hub, a partner has at least l*c/d of them under one hub at least; pairs below that,
+   or below the bound of their sizes, are discarded. A block pair returns a spanning forest of what is left.
+   Documents that merely share passages end here, without their sets being moved.
+4. The forests' components are candidate clusters. Each goes, with whole sets, through the same product in
+   blocks of ``block`` classes, which accumulates full overlap counts and returns a spanning forest of the
+   links and link counts, never all pairs. A pair meets once.
+5. Components of these forests are the result.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing. Rows with equal
 texts link. Repeated ids are rows of their own; null ids join their class but name no component unless alone.
@@ -34,7 +37,7 @@ from .hashing import mix, shingle_sets
 
 SIZE = 5
 PERCENT = 80
-EXTRA = 0.05
+EXTRA = 0.08
 BLOCK = 2048
 SHIP_ROWS = 500_000  # class keys broadcast at most: 8 MB
 
@@ -134,53 +137,80 @@ class Forest:
         return a != b
 
 
-def block_product(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each left row, the right rows linked with it (``right`` None: later left rows). Overlaps are accumulated over the columns of the row's shingles."""
+def _sides(rows: pd.DataFrame) -> list[pd.DataFrame]:
+    """The one or two blocks of a block pair; empty if one of two has no rows."""
+    one, two = rows["one"].iloc[0], rows["two"].iloc[0]
+    sides = [rows[rows.block == one]] if one == two else [rows[rows.block == one], rows[rows.block == two]]
+    return [] if any(s.empty for s in sides) else sides
+
+
+def _edges(pairs: list[tuple], counted: list[tuple] = ()) -> pd.DataFrame:
+    out = [(a, b, 0) for a, b in pairs] + [(k, None, n) for k, n in counted]
+    return pd.DataFrame({"a": pd.Series([x[0] for x in out], dtype="int64"), "b": pd.Series([x[1] for x in out], dtype="Int64"), "links": pd.Series([x[2] for x in out], dtype="int64")})
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left row, its overlap with every right row (``right`` None: with later left rows), accumulated over the columns of the row's shingles."""
     own = left if right is None else right
-    lengths = np.array([len(x) for x in own])
     columns = np.concatenate(own)
-    rows = np.repeat(np.arange(len(own)), lengths)
+    rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
     order = np.argsort(columns, kind="stable")
     columns, rows = columns[order], rows[order]
     for i, found in enumerate(left):
         a, b = np.searchsorted(columns, found, "left"), np.searchsorted(columns, found, "right")
         size = b - a
-        if not size.sum():
+        total = int(size.sum())
+        if not total:
             continue
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
         overlap = np.bincount(rows[at], minlength=len(own))
-        linked = overlap * 100 >= (len(found) + lengths - overlap) * percent
         if right is None:
-            linked[: i + 1] = False
-        yield i, np.flatnonzero(linked & (overlap > 0))
+            overlap[: i + 1] = 0
+        yield i, overlap
 
 
-def _group(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Spanning edges (a, b) and link counts (a, null, links, weight of partners) of one pair of blocks."""
-    rows = rows.drop_duplicates(["key", "block"])
-    hub, one, two = rows["hub"].iloc[0], rows["one"].iloc[0], rows["two"].iloc[0]
-    sides = [rows[rows.block == one]] if one == two else [rows[rows.block == one], rows[rows.block == two]]
-    if any(s.empty for s in sides):
-        return pd.DataFrame(columns=["a", "b", "links"])
-    keys = [s.key.to_numpy() for s in sides]
+def _candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest of the pairs of one hub's block pair that can still be linked."""
+    sides = _sides(rows)
+    if not sides:
+        return _edges([])
+    keys, n, floor = ([s[c].to_numpy() for s in sides] for c in ("key", "n", "floor"))
+    sets = [[np.asarray(x) for x in s.shingles] for s in sides]
+    base = 0 if len(sides) == 1 else len(keys[0])
+    forest, edges = Forest(base + len(keys[-1])), []
+    for i, overlap in overlaps(sets[0], sets[1] if len(sides) == 2 else None):
+        m, other = n[0][i], n[-1]
+        mine = (m < other) | ((m == other) & (keys[0][i] < keys[-1]))  # whose bound holds: the smaller class's
+        fits = (overlap > 0) & (overlap >= np.where(mine, floor[0][i], floor[-1])) & (np.minimum(m, other) * 100 >= np.maximum(m, other) * percent)
+        edges += [(keys[0][i], keys[-1][j]) for j in np.flatnonzero(fits).tolist() if forest.join(i, base + j)]
+    return _edges(edges)
+
+
+def _linked(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Spanning edges (a, b, 0) of the links of one block pair, and link counts (a, null, links)."""
+    sides = _sides(rows)
+    if not sides:
+        return _edges([])
+    keys, copies = ([s[c].to_numpy() for s in sides] for c in ("key", "copies"))
     sets = [[np.frombuffer(x, "<u8") for x in s.shingles] for s in sides]
-    hubs = [[frozenset(map(int, x)) for x in s.hubs] for s in sides]
-    copies = [s.copies.to_numpy() for s in sides]
+    sizes = np.array([len(x) for x in sets[-1]])
     base = 0 if len(sides) == 1 else len(keys[0])
     forest, edges = Forest(base + len(keys[-1])), []
     links = [np.zeros(len(k), np.int64) for k in keys]
-    for i, partners in block_product(sets[0], sets[1] if len(sides) == 2 else None, percent):
-        mine = hubs[0][i]
-        for j in partners.tolist():
-            if forest.join(i, base + j):
-                edges.append((keys[0][i], keys[-1][j]))
-            theirs = hubs[-1][j]
-            if mine is theirs or min(mine & theirs) == hub:
-                links[0][i] += copies[-1][j]
-                links[-1][j] += copies[0][i]
-    counted = [(k, n) for ks, ns in zip(keys, links) for k, n in zip(ks, ns) if n]
-    out = [(a, b, 0) for a, b in edges] + [(k, None, n) for k, n in counted]
-    return pd.DataFrame({"a": pd.Series([x[0] for x in out], dtype="int64"), "b": pd.Series([x[1] for x in out], dtype="Int64"), "links": pd.Series([x[2] for x in out], dtype="int64")})
+    for i, overlap in overlaps(sets[0], sets[1] if len(sides) == 2 else None):
+        partners = np.flatnonzero((overlap > 0) & (overlap * 100 >= (len(sets[0][i]) + sizes - overlap) * percent))
+        links[0][i] += copies[-1][partners].sum()
+        links[-1][partners] += copies[0][i]
+        edges += [(keys[0][i], keys[-1][j]) for j in partners.tolist() if forest.join(i, base + j)]
+    return _edges(edges, [(k, n) for ks, ns in zip(keys, links) for k, n in zip(ks, ns) if n])
+
+
+def paired(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """``rows`` (one a group and key) once for each block pair of their group: columns block, one, two."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size")).where("size > 1").select(group, F.expr(f"(size + {block - 1}) div {block}").alias("blocks"))
+    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    every = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return every.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other", "blocks")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,27 +235,25 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     classes = profile.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     entries = profile.where("prefix is not null").select("key", "n", "prefix").mapInArrow(_entries, "shingle long, key long, n long")
     shared = written(entries.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared, "shingle long, key long, n long"))
-    # the bound of step 2: of a prefix of p shingles a partner has at least p - (n - need)
     n = F.col("n")
-    least = n - F.expr(f"(n * {percent} + 99) div 100")
-    length = F.least(n, least + 1 + F.floor(n * F.lit(extra)))
-    strong = shared.groupBy("key", "n").agg(F.count("*").alias("held")).where(F.col("held") >= length - least)
+    lesser = lambda m: 1 + F.floor(m * F.lit(extra)).cast("long")
+    strong = shared.groupBy("key", "n").agg(F.count("*").alias("held")).where(F.col("held") >= lesser(F.expr(f"(n * {percent} + 99) div 100")))
     rows = shared.join(strong.select("key", "held"), "key")
     hub = rows.groupBy("shingle").agg(F.max(F.struct("held", "key")).alias("hub"), F.count("*").alias("classes")).where("classes > 1").select("shingle", F.col("hub.key").alias("hub"))
-    member = written(rows.join(hub, "shingle").select("hub", "key").distinct())
-    keys = written(member.groupBy("key").agg(F.collect_set("hub").alias("hubs")).join(classes.where("n > 0").select("key", "copies"), "key"))
-    sizes = member.groupBy("hub").agg(F.count("*").alias("size"))
+    grouped = written(rows.join(hub, "shingle").groupBy("hub", "key", "n").agg(F.collect_list("shingle").alias("shingles")))
+    held = grouped.groupBy("key").agg(F.sum(F.size("shingles")).alias("held"))
+    # l * c / d, rounded up
+    prefixes = grouped.join(held, "key").withColumn("floor", F.ceil(lesser(n) * F.size("shingles") / F.col("held") - 1e-9).cast("long")).drop("held")
+    candidates = paired(prefixes, "hub", block).groupBy("hub", "one", "two").applyInPandas(lambda g: _candidates(g, percent), "a long, b long, links long")
+    clusters = components(candidates)
+    keys = written(clusters.select(F.col("node").alias("key"), "label").join(classes.where("n > 0").select("key", "copies"), "key"))
     # the sets of these classes only, from the texts
     few = keys.count() <= SHIP_ROWS
     small = F.broadcast if few else (lambda x: x)
     sample = profile.where("prefix is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(sample.join(small(keys.select("key")), "key"))
-    sets = written(_sets(docs, wanted, size, few))
-    blocks = (F.col("size") + block - 1) / block
-    placed = member.join(sizes, "hub").join(keys, "key").withColumn("blocks", F.floor(blocks)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    pairs = placed.where("size > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    ready = pairs.select("hub", "key", "hubs", "copies", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(sets, "key")
-    out = written(ready.groupBy("hub", "one", "two").applyInPandas(lambda g: _group(g, percent), "a long, b long, links long"))
+    ready = paired(keys, "label", block).join(_sets(docs, wanted, size, few), "key")
+    out = written(ready.groupBy("label", "one", "two").applyInPandas(lambda g: _linked(g, percent), "a long, b long, links long"))
     label = components(out.where("b is not null"))
     links = out.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     named = classes.where("n > 0").join(label.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("label", F.coalesce("label", "key"))
