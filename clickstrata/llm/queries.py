@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, licenses, lines, quality, secrets, sharding
+from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, quality, secrets, sharding
 from .frames import table, written
 
 
@@ -14,6 +14,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs, "__s").select("doc_id", "__s.*")
 
 
+def op2_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs, F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard, op4_quality_rules, op5_line_dedup, op6_byte_bpe, op7_feistel_shards, op8_license_scan, op9_chat_format, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_katz_score, op3_ngram_jaccard, op4_quality_rules, op5_line_dedup, op6_byte_bpe, op7_feistel_shards, op8_license_scan, op9_chat_format, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
