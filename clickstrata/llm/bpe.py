@@ -131,6 +131,18 @@ def decode_udf(path: str, pattern: str):
     return run
 
 
+def checked_udf(path: str, pattern: str):
+    """A text's ids, and whether they decode to its bytes."""
+
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        tree = Tree(path, pattern)
+        ids = [tree.encode(t or "") for t in texts]
+        return pd.DataFrame({"ids": [np.asarray(x, np.int32) for x in ids], "round_trip": [tree.decode(x) == (t or "").encode() for x, t in zip(ids, texts)]})
+
+    return run
+
+
 def digest_udf(path: str, pattern: str):
     """n_tokens, ids_sha256 and decoded_sha256 of a text, without moving the ids back to the JVM."""
 
