@@ -1,0 +1 @@
+"""User-behaviour analytics on Spark DataFrames."""
