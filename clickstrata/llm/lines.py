@@ -4,7 +4,8 @@ Lines are compared trimmed and lower-cased. Of equal lines the first (by doc_id,
 stays. A line is also dropped if another line within ``edits`` edits has an earlier first place. Two lines
 within t edits share one of t + 1 segments of the shorter one, at a place bounded by the segment's number and
 the difference in length; each line indexes its segments by (length, number, hash) and probes the places that
-can match in lines of equal or lesser length. Candidates are verified by banded bit-parallel edit distance,
+can match in lines of equal or lesser length. A line also carries its counts of eight letters: t edits change
+them by 2t in sum at most, so the join drops most pairs that merely share a segment. Candidates are verified by banded bit-parallel edit distance,
 with a word of 2t + 1 bits sliding along the diagonal. Line texts are moved for candidates only.
 
 Lines under ``min_chars`` are never dropped, lines under ``fuzzy_chars`` only as exact copies. Null texts stay
@@ -49,6 +50,22 @@ def keys(line: str, n: str, edits: int) -> tuple[Column, Column]:
     return F.expr(f"array({', '.join(index)})"), F.expr(f"array({', '.join(probes)})")
 
 
+#: Common letters whose counts make a line's signature.
+LETTERS = "etaonirs"
+
+
+def signature(line: str) -> Column:
+    """Counts of the letters, 255 at most, packed in one long."""
+    counts = [f"shiftleft(cast(least(255, length({line}) - length(replace({line}, '{c}', ''))) as bigint), {8 * i})" for i, c in enumerate(LETTERS)]
+    return F.expr(" | ".join(counts))
+
+
+def near_signatures(a: str, b: str, edits: int) -> Column:
+    """False only for strings that are more than ``edits`` edits apart."""
+    part = lambda c, i: f"(shiftrightunsigned({c}, {8 * i}) & 255L)"
+    return F.expr(" + ".join(f"abs({part(a, i)} - {part(b, i)})" for i in range(len(LETTERS))) + f" <= {2 * edits}")
+
+
 def within(a: str, b: str, edits: int) -> Column:
     """Whether two strings are within ``edits`` edits: bit-parallel, over a band of 2 * edits + 1 diagonals.
 
@@ -90,11 +107,12 @@ def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, f
     cut = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", normal(F.col("line"))).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
     index, probes = keys("line", "n", edits)
     fuzzy = F.col("n") >= fuzzy_chars
-    lines = written(cut.select("doc_id", "hash", "pos", "n", F.xxhash64("line").alias("h"), F.when(fuzzy, index).alias("index"), F.when(fuzzy, probes).alias("probes")))
-    firsts = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "hash", "pos")).alias("first"), F.count("*").alias("copies"), F.first("index").alias("index"), F.first("probes").alias("probes")))
-    indexed = firsts.where("index is not null").select(F.explode("index").alias("k"), F.col("h").alias("a"))
-    probing = firsts.where("index is not null").select(F.explode("probes").alias("k"), F.col("h").alias("b"))
-    pairs = written(indexed.join(probing, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    lines = written(cut.select("doc_id", "hash", "pos", "n", F.xxhash64("line").alias("h"), F.when(fuzzy, index).alias("index"), F.when(fuzzy, probes).alias("probes"), F.when(fuzzy, signature("line")).alias("letters")))
+    firsts = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "hash", "pos")).alias("first"), F.count("*").alias("copies"), F.first("index").alias("index"), F.first("probes").alias("probes"), F.first("letters").alias("letters")))
+    indexed = firsts.where("index is not null").select(F.explode("index").alias("k"), F.col("h").alias("a"), F.col("letters").alias("la"))
+    probing = firsts.where("index is not null").select(F.explode("probes").alias("k"), F.col("h").alias("b"), F.col("letters").alias("lb"))
+    left, right = indexed.alias("i"), probing.alias("p")
+    pairs = written(left.join(right, (F.col("i.k") == F.col("p.k")) & (F.col("a") != F.col("b")) & near_signatures("la", "lb", edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     again = rows.select(F.explode(F.split("text", "\n")).alias("line")).select(normal(F.col("line")).alias("line")).where(F.length("line") >= fuzzy_chars).select(F.xxhash64("line").alias("h"), "line")
     texts = written(again.join(needed, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
