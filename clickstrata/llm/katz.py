@@ -11,7 +11,7 @@ discount for r <= 5 (n_r are counts over the whole bigram table), else 1; alpha(
 
 Scoring sends each batch's distinct bigrams, with the places of the texts that hold them, to the bigram
 table: one row a batch and bigram, so a bigram that is everywhere is as many rows as there are batches. Rare
-words go to the unigram table the same way. Sums come back by (batch, place).
+words go to the unigram table the same way. Sums come back as one row a batch and task.
 
 The texts are read several times and batches must come out alike, so ``docs`` should be a stored table.
 Null and empty texts are one end token; a null doc_id is training data; repeated rows are rows of their own;
@@ -181,49 +181,42 @@ def _word_places(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = known.value
         for uid, _, texts in chunks(batches):
-            at: dict[bytes, list[int]] = {}
-            for place, text in enumerate(texts):
-                for word in text:
-                    if word not in have:
-                        at.setdefault(word, []).append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), uid, np.int64)), pa.array(list(at), pa.binary()), pa.array([np.array(x, "<u2").tobytes() for x in at.values()], pa.binary())], ["uid", "word", "places"])
-
-    return run
-
-
-def _documents(known, model, base, rare_share):
-    """uid, place, the row's own values, and the sums of what the shipped counts give."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, ids = known.value, model.value.vocabulary.ids
-        logs = {w: (math.log10((c + 1) / base), 0.0 if w in ids else math.log10((c + 1) / rare_share)) for w, c in have.items()}
-        for uid, rows, texts in chunks(batches):
-            got = []
-            for text in texts:
-                pairs = [logs[w] for w in text if w in logs]
-                got.append((len(text), len(pairs), math.fsum(p[0] for p in pairs), math.fsum(p[1] for p in pairs)))
-            n = len(texts)
-            columns = [pa.array(np.full(n, uid, np.int64)), pa.array(np.arange(n, dtype=np.int32)), rows.column("doc_id"), rows.column("held_out")]
-            columns += [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "place", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+            words, place = [], []
+            for k, text in enumerate(texts):
+                unknown = [w for w in text if w not in have]
+                words += unknown
+                place.append(len(unknown))
+            ids: dict[bytes, int] = {}
+            code = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+            order = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            places = np.repeat(np.arange(len(texts), dtype=np.uint16), place)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), uid, np.int64)), pa.array(list(ids), pa.binary()), postings(order, places, cuts)], ["uid", "word", "places"])
 
     return run
 
 
 class Sums:
-    """Sums by (uid, place), given out when many batches are held."""
+    """Sums by (uid, place) of up to three values, given out as one row a uid when many are held."""
 
     def __init__(self, most: int = 256):
         self.most, self.held = most, {}
 
-    def add(self, uid: np.ndarray, places: list[bytes], values: list[np.ndarray]) -> None:
-        for u in np.unique(uid).tolist():
-            rows = np.flatnonzero(uid == u)
-            parts = [np.frombuffer(places[i], "<u2") for i in rows]
-            place, lengths = np.concatenate(parts), [len(p) for p in parts]
-            had = self.held.setdefault(u, np.zeros((len(values), CHUNK)))
+    def add(self, uid: np.ndarray, places: pa.BinaryArray, values: list[np.ndarray | None]) -> None:
+        offsets = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1] // 2
+        place = np.frombuffer(places.buffers()[2], "<u2")[offsets[0] : offsets[-1]]
+        uids, at = np.unique(uid, return_inverse=True)
+        lengths = np.diff(offsets)
+        for low in range(0, len(uids), 64):  # so many arrays of CHUNK at once
+            some = uids[low : low + 64]
+            rows = (at >= low) & (at < low + 64) if len(uids) > 64 else np.ones(len(at), bool)
+            inside = np.repeat(rows, lengths)
+            key = np.repeat(at[rows] - low, lengths[rows]) * CHUNK + place[inside]
             for k, value in enumerate(values):
-                had[k] += np.bincount(place, np.repeat(value[rows], lengths), CHUNK)
+                if value is not None:
+                    sums = np.bincount(key, np.repeat(value[rows], lengths[rows]), len(some) * CHUNK).reshape(-1, CHUNK)
+                    for u, own in zip(some.tolist(), sums):
+                        self.held.setdefault(u, np.zeros((3, CHUNK)))[k] += own
 
     def full(self) -> bool:
         return len(self.held) > self.most
@@ -231,22 +224,45 @@ class Sums:
     def out(self) -> Iterator[pa.RecordBatch]:
         for uid, sums in self.held.items():
             place = np.flatnonzero(sums.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), uid, np.int64)), pa.array(place.astype(np.int32)), pa.array(np.rint(sums[0, place]).astype(np.int64)), pa.array(sums[1, place]), pa.array(sums[2, place])], ["uid", "place", "known", "base", "score"])
+            yield parts_row(uid, place, sums[:, place])
         self.held = {}
 
 
+def parts_row(uid: int, place: np.ndarray, sums: np.ndarray, docs=None) -> pa.RecordBatch:
+    """One row: places and their known, base and score; with ``docs`` the rows of the batch themselves."""
+    ids, held, n = docs or (None, None, None)
+    columns = [pa.array([uid], pa.int64()), pa.array([place.astype("<u2").tobytes()], pa.binary())]
+    columns += [pa.array([np.ascontiguousarray(x, "<f8").tobytes()], pa.binary()) for x in sums]
+    columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["uid", "places", "known", "base", "score", "ids", "held", "tokens"])
+
+
+def _documents(known, model, base, rare_share):
+    """Each batch's rows, and the sums of what the shipped counts give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, ids = known.value, model.value.vocabulary.ids
+        logs = {w: (math.log10((c + 1) / base), 0.0 if w in ids else math.log10((c + 1) / rare_share)) for w, c in have.items()}
+        for uid, rows, texts in chunks(batches):
+            sums = np.zeros((3, len(texts)))
+            for k, text in enumerate(texts):
+                found = [p for p in map(logs.get, text) if p]
+                sums[:, k] = len(found), sum(p[0] for p in found), sum(p[1] for p in found)
+            docs = rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), [len(t) for t in texts]
+            yield parts_row(uid, np.arange(len(texts)), sums, docs)
+
+    return run
+
+
 def _sum_bigrams(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            r = batch.column("n").fill_null(0).to_numpy(zero_copy_only=False)
-            value = model.value.score(batch.column("code").to_numpy(), r)
-            zero = np.zeros(len(r))
-            sums.add(batch.column("uid").to_numpy(), batch.column("places").to_pylist(), [zero, zero, value])
-            if sums.full():
-                yield from sums.out()
+            if batch.num_rows:
+                r = batch.column("n").fill_null(0).to_numpy(zero_copy_only=False)
+                sums.add(batch.column("uid").to_numpy(), batch.column("places"), [None, None, model.value.score(batch.column("code").to_numpy(), r)])
+                if sums.full():
+                    yield from sums.out()
         yield from sums.out()
 
     return run
@@ -256,18 +272,41 @@ def _sum_words(base, rare_share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = batch.column("n").fill_null(0).to_numpy(zero_copy_only=False)
-            sums.add(batch.column("uid").to_numpy(), batch.column("places").to_pylist(), [(c > 0).astype(float), np.log10((c + 1) / base), np.log10((c + 1) / rare_share)])
-            if sums.full():
-                yield from sums.out()
+            if batch.num_rows:
+                c = batch.column("n").fill_null(0).to_numpy(zero_copy_only=False)
+                sums.add(batch.column("uid").to_numpy(), batch.column("places"), [(c > 0).astype(float), np.log10((c + 1) / base), np.log10((c + 1) / rare_share)])
+                if sums.full():
+                    yield from sums.out()
         yield from sums.out()
 
     return run
 
 
-_SUMS = "uid long, place int, known long, base double, score double"
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From parts sorted by uid: a row a document. Equal batches have one uid: their rows are given once for each, and the sums shared out."""
+    uid, sums, docs = None, None, []
+
+    def close():
+        if docs:
+            ids, held, tokens = docs[0]
+            got = sums[:, : len(ids)] / len(docs)
+            for _ in docs:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(np.rint(got[0]).astype(np.int64)), pa.array(got[1]), pa.array(got[2])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["uid"] != uid:
+                yield from close()
+                uid, sums, docs = row["uid"], np.zeros((3, CHUNK)), []
+            place = np.frombuffer(row["places"], "<u2")
+            for k, name in enumerate(("known", "base", "score")):
+                sums[k, place] += np.frombuffer(row[name], "<f8")
+            if row["ids"] is not None:
+                docs.append((row["ids"], row["held"], row["tokens"]))
+    yield from close()
+
+
+_SUMS = "uid long, places binary, known binary, base binary, score binary, ids array<long>, held array<boolean>, tokens array<long>"
 
 
 def score(docs: DataFrame, held_out, known_share: float = KNOWN_SHARE, rare: float = RARE_SHARE) -> DataFrame:
@@ -302,13 +341,10 @@ def score(docs: DataFrame, held_out, known_share: float = KNOWN_SHARE, rare: flo
     model.settle(kept, seen)
     model, known = ship(model), ship(counts)
     # scores
-    local = rows.mapInArrow(_documents(known, model, base, rare_share), "uid long, place int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    local = rows.mapInArrow(_documents(known, model, base, rare_share), _SUMS)
     pairs = rows.mapInArrow(_bigram_places(vocab), "uid long, code long, places binary").join(bigrams, "code", "left").mapInArrow(_sum_bigrams(model), _SUMS)
     others = words.where(F.col("n") < max(2, math.ceil(total * known_share))).select("word", "n")
     single = rows.mapInArrow(_word_places(known), "uid long, word binary, places binary").join(others, "word", "left").mapInArrow(_sum_words(base, rare_share), _SUMS)
-    parts = local.unionByName(pairs.unionByName(single), allowMissingColumns=True)
-    doc = F.max(F.when(F.col("n_tokens").isNotNull(), F.struct("doc_id", "held_out", "n_tokens"))).alias("doc")
-    # equal batches have one uid: their equal rows are counted and the sums shared out
-    summed = parts.groupBy("uid", "place").agg(doc, F.count("n_tokens").alias("rows"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    each = summed.withColumns({"n_known": F.expr("n_known div rows"), "base_score": F.col("base_score") / F.col("rows"), "score": F.col("score") / F.col("rows")}).withColumn("row", F.explode(F.expr("sequence(1L, rows)")))
-    return each.select("doc.doc_id", "doc.held_out", "doc.n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    parts = local.union(pairs).union(single).repartition("uid").sortWithinPartitions("uid")
+    summed = parts.mapInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
