@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +43,8 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[list[bytes]]]]:
-    """(uid, rows, their tokens). The uid is a hash of the rows, so it is the same in every pass over the same table, and equal only for equal runs of rows."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[str | None]]]:
+    """(uid, rows, their texts). The uid is a hash of the rows, so it is the same in every pass over the same table, and equal only for equal runs of rows."""
     for batch in batches:
         for k in range(0, batch.num_rows, CHUNK):
             rows = batch.slice(k, CHUNK)
@@ -53,12 +52,14 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
             for doc, held, text in zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), texts):
                 seen.update(f"\0{doc},{held},{text is None}\0")
                 seen.update((text or "").encode("utf-8", "replace"))
-            yield seen.intdigest() - (1 << 63), rows, [tokens(t) for t in texts]
+            yield seen.intdigest() - (1 << 63), rows, texts
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, texts in chunks(batches):
-        n = Counter(chain.from_iterable(texts))
+        n: Counter = Counter()
+        for text in texts:
+            n.update(tokens(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
 
@@ -71,16 +72,22 @@ class Vocabulary:
         self.rare, self.end, self.begin, self.size = n, n + 1, n + 2, n + 3
         self.ids[END] = self.end
 
-    def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """previous * size + id of each token of all texts, and the place of its text."""
         get, rare = self.ids.get, self.rare
-        now = np.fromiter((get(w, rare) for t in texts for w in t), np.int64, sum(map(len, texts)))
+        parts = []
+        for text in texts:  # one text's tokens are held at a time
+            words = tokens(text)
+            parts.append(np.fromiter((get(w, rare) for w in words), np.int32, len(words)))
+        now = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
         before = np.empty_like(now)
         if len(now):
             before[1:] = now[:-1]
             before[0] = self.begin
             before[1:][now[:-1] == self.end] = self.begin
-        return before * self.size + now, np.repeat(np.arange(len(texts), dtype=np.uint16), [len(t) for t in texts])
+        before *= self.size
+        before += now
+        return before, np.repeat(np.arange(len(texts), dtype=np.uint16), [len(p) for p in parts])
 
 
 def discounts(counts: dict[int, int], k: int = GOOD_TURING) -> np.ndarray:
@@ -183,7 +190,7 @@ def _word_places(known):
         for uid, _, texts in chunks(batches):
             words, place = [], []
             for k, text in enumerate(texts):
-                unknown = [w for w in text if w not in have]
+                unknown = [w for w in tokens(text) if w not in have]
                 words += unknown
                 place.append(len(unknown))
             ids: dict[bytes, int] = {}
@@ -245,10 +252,13 @@ def _documents(known, model, base, rare_share):
         logs = {w: (math.log10((c + 1) / base), 0.0 if w in ids else math.log10((c + 1) / rare_share)) for w, c in have.items()}
         for uid, rows, texts in chunks(batches):
             sums = np.zeros((3, len(texts)))
+            n = []
             for k, text in enumerate(texts):
-                found = [p for p in map(logs.get, text) if p]
+                words = tokens(text)
+                found = [p for p in map(logs.get, words) if p]
                 sums[:, k] = len(found), sum(p[0] for p in found), sum(p[1] for p in found)
-            docs = rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), [len(t) for t in texts]
+                n.append(len(words))
+            docs = rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), n
             yield parts_row(uid, np.arange(len(texts)), sums, docs)
 
     return run
