@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clickstrata.llm import bpe, decontaminate, jaccard, lines, quality
 from clickstrata.llm.frames import table, written
@@ -33,9 +32,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text's bytes."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = docs.select("doc_id", bpe.checked_udf(path, pattern)(F.col("text")).alias("b"))
-    return encoded.select("doc_id", F.size("b.ids").cast("long").alias("n_tokens"), "b.ids", "b.round_trip")
+    return bpe.checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
