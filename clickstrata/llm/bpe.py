@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
+
 LEAF = 2048
 WINDOW = 32
 #: What the pattern's \s takes (fixed values of Unicode's White_Space).
@@ -158,12 +160,18 @@ def digest_udf(path: str, pattern: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
-    return docs.withColumn(to, encode_udf(path, pattern)(F.col(text)))
+    return small_batches(docs).withColumn(to, encode_udf(path, pattern)(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "bytes") -> DataFrame:
-    return docs.withColumn(to, decode_udf(path, pattern)(F.col(ids)))
+    return small_batches(docs).withColumn(to, decode_udf(path, pattern)(F.col(ids)))
+
+
+def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip (the ids decode to the text's bytes)."""
+    encoded = small_batches(docs).select("doc_id", checked_udf(path, pattern)(F.col("text")).alias("b"))
+    return encoded.select("doc_id", F.size("b.ids").cast("long").alias("n_tokens"), "b.ids", "b.round_trip")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return docs.select("doc_id", digest_udf(path, pattern)(F.col("text")).alias("d")).select("doc_id", "d.*")
+    return small_batches(docs).select("doc_id", digest_udf(path, pattern)(F.col("text")).alias("d")).select("doc_id", "d.*")

@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Has Python workers take so many rows at a time, so that long texts do not fill them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import sliced, written
+from .frames import sliced, small_batches, written
 from .hashing import mix, shingle_sets
 
 SIZE = 5
@@ -231,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row a document (n_links: other documents linked with it)."""
     spark = docs.sparkSession
-    profile = written(profiles(docs, size, percent, extra))
+    profile = written(profiles(small_batches(docs), size, percent, extra))
     classes = profile.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     entries = profile.where("prefix is not null").select("key", "n", "prefix").mapInArrow(_entries, "shingle long, key long, n long")
     shared = written(entries.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared, "shingle long, key long, n long"))

@@ -30,33 +30,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import small_batches, written
 
 END = b"\n"  # no word holds it
 KNOWN_SHARE = 5e-7
 RARE_SHARE = 5e-6
 GOOD_TURING = 5
 CHUNK = 8192
+CHUNK_CHARS = 24 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[str | None]]]:
-    """(uid, rows, their texts). The uid is a hash of the rows, so it is the same in every pass over the same table, and equal only for equal runs of rows."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list[str | None]]]:
+    """(uid, doc_ids, held_out, texts) of runs of rows. The uid is a hash of them, so it is the same in every pass over the same table, and equal only for equal runs."""
+    ids, held, texts, size, seen = [], [], [], 0, xxhash.xxh3_64()
     for batch in batches:
-        for k in range(0, batch.num_rows, CHUNK):
-            rows = batch.slice(k, CHUNK)
-            texts, seen = rows.column("text").to_pylist(), xxhash.xxh3_64()
-            for doc, held, text in zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), texts):
-                seen.update(f"\0{doc},{held},{text is None}\0")
-                seen.update((text or "").encode("utf-8", "replace"))
-            yield seen.intdigest() - (1 << 63), rows, texts
+        for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+            seen.update(f"\0{doc},{out},{text is None}\0")
+            seen.update((text or "").encode("utf-8", "replace"))
+            ids.append(doc)
+            held.append(out)
+            texts.append(text)
+            size += len(text or "")
+            if len(texts) == CHUNK or size > CHUNK_CHARS:
+                yield seen.intdigest() - (1 << 63), ids, held, texts
+                ids, held, texts, size, seen = [], [], [], 0, xxhash.xxh3_64()
+    if texts:
+        yield seen.intdigest() - (1 << 63), ids, held, texts
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, texts in chunks(batches):
+    for _, _, _, texts in chunks(batches):
         n: Counter = Counter()
         for text in texts:
             n.update(tokens(text))
@@ -144,7 +151,7 @@ class Model:
 
 def _count_bigrams(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in chunks(batches):
+        for _, _, _, texts in chunks(batches):
             code, n = np.unique(vocabulary.value.codes(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
 
@@ -174,7 +181,7 @@ def postings(order: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> pa.Arra
 
 def _bigram_places(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, _, texts in chunks(batches):
+        for uid, _, _, texts in chunks(batches):
             code, place = vocabulary.value.codes(texts)
             order = np.argsort(code, kind="stable")
             code = code[order]
@@ -187,7 +194,7 @@ def _bigram_places(vocabulary):
 def _word_places(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = known.value
-        for uid, _, texts in chunks(batches):
+        for uid, _, _, texts in chunks(batches):
             words, place = [], []
             for k, text in enumerate(texts):
                 unknown = [w for w in tokens(text) if w not in have]
@@ -250,7 +257,7 @@ def _documents(known, model, base, rare_share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, ids = known.value, model.value.vocabulary.ids
         logs = {w: (math.log10((c + 1) / base), 0.0 if w in ids else math.log10((c + 1) / rare_share)) for w, c in have.items()}
-        for uid, rows, texts in chunks(batches):
+        for uid, doc_ids, held, texts in chunks(batches):
             sums = np.zeros((3, len(texts)))
             n = []
             for k, text in enumerate(texts):
@@ -258,7 +265,7 @@ def _documents(known, model, base, rare_share):
                 found = [p for p in map(logs.get, words) if p]
                 sums[:, k] = len(found), sum(p[0] for p in found), sum(p[1] for p in found)
                 n.append(len(words))
-            docs = rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), n
+            docs = doc_ids, held, n
             yield parts_row(uid, np.arange(len(texts)), sums, docs)
 
     return run
@@ -323,7 +330,7 @@ def score(docs: DataFrame, held_out, known_share: float = KNOWN_SHARE, rare: flo
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean column."""
     spark = docs.sparkSession
     ship = spark.sparkContext.broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     # unigrams
     words = written(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(8))), ["part"])

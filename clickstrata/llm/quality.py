@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .frames import sliced
+from .frames import sliced, small_batches
 from .hashing import Words, mix, windows
 
 GAMMA = 1.02
@@ -132,13 +132,17 @@ def base_failed(m: str) -> Column:
     return (n < 50) | (F.col(f"{m}.n_repeat_words") * 100 > n * 50)
 
 
+def measured_docs(docs: DataFrame, to: str) -> DataFrame:
+    return small_batches(docs).withColumn(to, metrics_udf()(F.col("text")))
+
+
 def judge(docs: DataFrame, to: str = "quality", **params) -> DataFrame:
     """``docs`` with a struct column: the metrics, base_failed, kept.
 
     The texts are scanned twice, once for the sketches and once for the verdict: cheaper than to move them.
     A caller that needs no texts can write the metrics once and call limits() and verdict() on that table.
     """
-    measured = docs.withColumn(to, metrics_udf()(F.col("text")))
+    measured = measured_docs(docs, to)
     groups = limits(measured.select("lang", "source", to), to, **params)
     return verdict(measured, groups, to)
 

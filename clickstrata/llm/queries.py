@@ -25,7 +25,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    measured = written(docs.select("doc_id", "lang", "source", quality.metrics_udf()(F.col("text")).alias("m")))
+    measured = written(quality.measured_docs(docs, "m").drop("text"))
     judged = quality.verdict(measured, quality.limits(measured, "m"), "m")
     return judged.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "m.base_failed", "m.kept")
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
+
 MIN_SCORE = 0.5
 KINDS = ("assign", "access", "hex", "named")
 #: Parts of a target name and how much they say.
@@ -147,4 +149,4 @@ def scan_udf(min_score: float = MIN_SCORE):
 
 def find(docs: DataFrame, to: str = "secrets", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with a struct column of counts and spans; other columns stay."""
-    return docs.withColumn(to, scan_udf(min_score)(F.col("text")))
+    return small_batches(docs).withColumn(to, scan_udf(min_score)(F.col("text")))
