@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches
+from .frames import small_batches, tidy
 
 LEAF = 2048
 WINDOW = 32
@@ -139,8 +139,10 @@ def checked_udf(path: str, pattern: str):
     @F.pandas_udf("ids array<int>, round_trip boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         tree = Tree(path, pattern)
-        ids = [tree.encode(t or "") for t in texts]
-        return pd.DataFrame({"ids": [np.asarray(x, np.int32) for x in ids], "round_trip": [tree.decode(x) == (t or "").encode() for x, t in zip(ids, texts)]})
+        ids = [np.asarray(tree.encode(t or ""), np.int32) for t in texts]
+        fine = [tree.decode(x.tolist()) == (t or "").encode() for x, t in zip(ids, texts)]
+        tidy()
+        return pd.DataFrame({"ids": ids, "round_trip": fine})
 
     return run
 
@@ -154,6 +156,7 @@ def digest_udf(path: str, pattern: str):
         for text in texts:
             ids = tree.encode(text or "")
             rows.append((len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tree.decode(ids)).hexdigest()))
+        tidy()
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

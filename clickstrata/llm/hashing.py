@@ -31,9 +31,9 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 def _power(kind: str, base: int, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
-        if n > 1 << 23:  # a very long text: not kept
+        if n > 1 << 21:  # a very long text: not kept
             return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
-        kept = max(n, 1 << 21)
+        kept = max(n, 1 << 19)
         _powers[kind] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(kept - 1, base, np.uint64)]), dtype=np.uint64)
     return _powers[kind][:n]
 

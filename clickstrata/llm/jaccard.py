@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import sliced, small_batches, written
+from .frames import sliced, small_batches, tidy, written
 from .hashing import mix, shingle_sets
 
 SIZE = 5
@@ -71,6 +71,7 @@ def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFram
                     else:
                         prefixes.append(None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "key", "prefix"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, prefix binary")
 
@@ -118,6 +119,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, k, n = (np.concatenate([[x], y]) for x, y in zip(first[0], (s, k, n)))
         if len(s):
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["shingle", "key", "n"])
+    tidy()
 
 
 class Forest:
@@ -183,6 +185,7 @@ def _candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         mine = (m < other) | ((m == other) & (keys[0][i] < keys[-1]))  # whose bound holds: the smaller class's
         fits = (overlap > 0) & (overlap >= np.where(mine, floor[0][i], floor[-1])) & (np.minimum(m, other) * 100 >= np.maximum(m, other) * percent)
         edges += [(keys[0][i], keys[-1][j]) for j in np.flatnonzero(fits).tolist() if forest.join(i, base + j)]
+    tidy()
     return _edges(edges)
 
 
@@ -202,6 +205,7 @@ def _linked(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         links[0][i] += copies[-1][partners].sum()
         links[-1][partners] += copies[0][i]
         edges += [(keys[0][i], keys[-1][j]) for j in partners.tolist() if forest.join(i, base + j)]
+    tidy()
     return _edges(edges, [(k, n) for ks, ns in zip(keys, links) for k, n in zip(ks, ns) if n])
 
 

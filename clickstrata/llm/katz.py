@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, written
+from .frames import small_batches, tidy, written
 
 END = b"\n"  # no word holds it
 KNOWN_SHARE = 5e-7
@@ -58,8 +58,10 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list,
             if len(texts) == CHUNK or size > CHUNK_CHARS:
                 yield seen.intdigest() - (1 << 63), ids, held, texts
                 ids, held, texts, size, seen = [], [], [], 0, xxhash.xxh3_64()
+                tidy()
     if texts:
         yield seen.intdigest() - (1 << 63), ids, held, texts
+    tidy()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .frames import sliced, small_batches
+from .frames import sliced, small_batches, tidy
 from .hashing import Words, mix, windows
 
 GAMMA = 1.02
@@ -76,7 +76,9 @@ def measure(texts: list[str]) -> pd.DataFrame:
 def metrics_udf():
     @F.pandas_udf(METRICS)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.concat([measure(part) for part in sliced(texts)] or [measure([])], ignore_index=True)
+        out = pd.concat([measure(part) for part in sliced(texts)] or [measure([])], ignore_index=True)
+        tidy()
+        return out
 
     return run
 

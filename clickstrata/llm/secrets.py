@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches
+from .frames import small_batches, tidy
 
 MIN_SCORE = 0.5
 KINDS = ("assign", "access", "hex", "named")
@@ -142,6 +142,7 @@ def scan_udf(min_score: float = MIN_SCORE):
             n = Counter(kind for _, _, kind in base)
             every = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
             rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(written_out(base).encode()).hexdigest(), written_out(every)))
+        tidy()
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return run
