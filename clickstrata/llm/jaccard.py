@@ -219,7 +219,8 @@ def paired(rows: DataFrame, group: str, block: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (least node reachable) of every node of undirected ``edges`` (a, b). Label propagation with pointer jumping; each round is a written table."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    once = written(edges.select("a", "b").where("a <> b"))  # a second computation may give another forest
+    both = written(once.union(once.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     labels = written(labels)
     while True:
