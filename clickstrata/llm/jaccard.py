@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import sliced, small_batches, tidy, written
+from .frames import fresh, sliced, small_batches, tidy, written
 from .hashing import mix, shingle_sets
 
 SIZE = 5
@@ -292,7 +292,6 @@ def clean(docs: DataFrame, **params) -> DataFrame:
 
     Rows that repeat an id stand or fall together.
     """
-    found = join(docs, **params).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component")).distinct()
-    keep = found.groupBy("__id").agg(F.max(F.when(F.col("__id").eqNullSafe(F.col("__component")), 1).otherwise(0)).alias("__keep"))
-    joined = docs.join(keep.where("__keep = 1"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return joined
+    (own,) = fresh(docs, "__own")
+    keep = join(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")

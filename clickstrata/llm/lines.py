@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import fresh, written
 
 EDITS = 1
 MIN_CHARS = 16
@@ -128,13 +128,14 @@ def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, f
 
 def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, fuzzy_chars: int = FUZZY_CHARS, counts: bool = False) -> DataFrame:
     """``docs`` without the dropped lines; with ``counts`` all documents stay and get __lines and __gone."""
-    marks = decisions(docs, edits, min_chars, fuzzy_chars).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("gone").alias("__marks"))
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash")), "left")
-    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__marks, i)), '\\n')"))
+    own, hashed, mark = fresh(docs, "__own", "__hash", "__marks")
+    marks = decisions(docs, edits, min_chars, fuzzy_chars).select(F.col("doc_id").alias(own), F.col("hash").alias(hashed), F.col("gone").alias(mark))
+    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(hashed)), "left")
+    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({mark}, i)), '\\n')"))
     if counts:
-        out = joined.withColumns({"__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"), "__gone": F.coalesce(F.size("__marks"), F.lit(0)).cast("long")})
-        return out.withColumn("text", text).drop("__id", "__hash", "__marks")
-    out = joined.withColumn("text", text).where(F.col("__marks").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        out = joined.withColumns({"__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"), "__gone": F.coalesce(F.size(mark), F.lit(0)).cast("long")})
+        return out.withColumn("text", text).drop(own, hashed, mark)
+    out = joined.withColumn("text", text).where(F.col(mark).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__marks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .frames import sliced, small_batches, tidy
+from .frames import fresh, sliced, small_batches, tidy
 from .hashing import Words, mix, windows
 
 GAMMA = 1.02
@@ -150,15 +150,17 @@ def judge(docs: DataFrame, to: str = "quality", **params) -> DataFrame:
 
 
 def verdict(measured: DataFrame, groups: DataFrame, to: str) -> DataFrame:
-    groups = groups.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "limits").withColumnRenamed("limits", "__limits")
-    joined = measured.join(groups, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+    lang, source, limit = fresh(measured, "__lang", "__source", "__limits")
+    groups = groups.select(F.col("lang").alias(lang), F.col("source").alias(source), F.col("limits").alias(limit))
+    joined = measured.join(groups, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
     within = F.lit(True)
     for name, value in ratios(to).items():
-        within = within & (value <= F.coalesce(F.element_at("__limits", F.lit(name)), F.lit(float("inf"))))
+        within = within & (value <= F.coalesce(F.element_at(limit, F.lit(name)), F.lit(float("inf"))))
     full = F.struct(f"{to}.*", base_failed(to).alias("base_failed"), (~base_failed(to) & within).alias("kept"))
-    return joined.withColumn(to, full).drop("__lang", "__source", "__limits")
+    return joined.withColumn(to, full).drop(lang, source, limit)
 
 
 def clean(docs: DataFrame, **params) -> DataFrame:
     """The documents kept; all their columns stay."""
-    return judge(docs, "__quality", **params).where("__quality.kept").drop("__quality")
+    (to,) = fresh(docs, "__quality")
+    return judge(docs, to, **params).where(f"{to}.kept").drop(to)
