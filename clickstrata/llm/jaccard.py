@@ -47,6 +47,28 @@ def need(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
+def bits(n: np.ndarray | int):
+    """Bits in the parity bitmap of a set of n: the least power of two from n on, 128 at least."""
+    return np.maximum(128, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """The set's parity bitmap as 64-bit words."""
+    size = int(bits(len(found)))
+    odd = np.bincount((mix(found + np.uint64(0x2545F491)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """At least how many elements the set of bitmap ``one`` and those of ``others`` (a row each) differ in; the wider is folded."""
+    while len(one) > others.shape[1]:
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    while len(one) < others.shape[1]:
+        half = others.shape[1] // 2
+        others = others[:, :half] ^ others[:, half:]
+    return np.bitwise_count(one ^ others).sum(axis=1, dtype=np.int64)
+
+
 def set_key(found: np.ndarray) -> int:
     """Hash of a sorted set, as a signed 64-bit value."""
     with np.errstate(over="ignore"):
@@ -55,11 +77,11 @@ def set_key(found: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFrame:
-    """doc_id, n, key, prefix (little-endian 64-bit shingles in hash order; null where the batch has the class already)."""
+    """doc_id, n, key, prefix (little-endian 64-bit shingles in hash order) and parity bitmap (both null where the batch has the class already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, counts, prefixes, seen = batch.column(0), [], [], [], set()
+            ids, keys, counts, prefixes, parities, seen = batch.column(0), [], [], [], [], set()
             for texts in sliced(batch.column(1).to_pylist()):
                 for found in shingle_sets(texts, size):
                     n, key = len(found), set_key(found)
@@ -68,12 +90,14 @@ def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFram
                     if n and key not in seen:
                         seen.add(key)
                         prefixes.append(found[: min(n, n - need(n, percent) + 1 + int(extra * n))].astype("<u8").tobytes())
+                        parities.append(parity(found).tobytes())
                     else:
                         prefixes.append(None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "key", "prefix"])
+                        parities.append(None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], ["doc_id", "n", "key", "prefix", "parity"])
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, prefix binary, parity binary")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +202,24 @@ def _candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         return _edges([])
     keys, n, floor = ([s[c].to_numpy() for s in sides] for c in ("key", "n", "floor"))
     sets = [[np.asarray(x) for x in s.shingles] for s in sides]
+    maps = [np.frombuffer(x, "<u8") for x in sides[0].parity]
+    widths = np.array([len(x) for x in sides[-1].parity]) // 8
+    # the other side's bitmaps by width, and where each stands among them
+    wide = {int(w): np.frombuffer(b"".join(sides[-1].parity[widths == w]), "<u8").reshape(-1, w) for w in np.unique(widths)}
+    at = np.zeros(len(widths), np.int64)
+    for w in wide:
+        at[widths == w] = np.arange(len(wide[w]))
     base = 0 if len(sides) == 1 else len(keys[0])
     forest, edges = Forest(base + len(keys[-1])), []
     for i, overlap in overlaps(sets[0], sets[1] if len(sides) == 2 else None):
         m, other = n[0][i], n[-1]
         mine = (m < other) | ((m == other) & (keys[0][i] < keys[-1]))  # whose bound holds: the smaller class's
         fits = (overlap > 0) & (overlap >= np.where(mine, floor[0][i], floor[-1])) & (np.minimum(m, other) * 100 >= np.maximum(m, other) * percent)
-        edges += [(keys[0][i], keys[-1][j]) for j in np.flatnonzero(fits).tolist() if forest.join(i, base + j)]
+        left = np.flatnonzero(fits)
+        for w in np.unique(widths[left]).tolist():
+            found = left[widths[left] == w]
+            found = found[differing(maps[i], wide[w][at[found]]) * (100 + percent) <= (m + other[found]) * (100 - percent)]
+            edges += [(keys[0][i], keys[-1][j]) for j in found.tolist() if forest.join(i, base + j)]
     tidy()
     return _edges(edges)
 
@@ -247,6 +282,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     hub = rows.groupBy("shingle").agg(F.max(F.struct("held", "key")).alias("hub"), F.count("*").alias("classes")).where("classes > 1").select("shingle", F.col("hub.key").alias("hub"))
     grouped = written(rows.join(hub, "shingle").groupBy("hub", "key", "n").agg(F.collect_list("shingle").alias("shingles")))
     held = grouped.groupBy("key").agg(F.sum(F.size("shingles")).alias("held"))
+    held = profile.where("parity is not null").select("key", "parity").join(held, "key").groupBy("key").agg(F.first("held").alias("held"), F.first("parity").alias("parity"))
     # l * c / d, rounded up
     prefixes = grouped.join(held, "key").withColumn("floor", F.ceil(lesser(n) * F.size("shingles") / F.col("held") - 1e-9).cast("long")).drop("held")
     candidates = paired(prefixes, "hub", block).groupBy("hub", "one", "two").applyInPandas(lambda g: _candidates(g, percent), "a long, b long, links long")

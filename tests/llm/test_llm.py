@@ -197,3 +197,15 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == [0, 1, 2, 3, 4, 5] and all(r.round_trip for r in out)
     assert re.fullmatch("[a-z -]+", "-".join(n.lower() for n, _ in corpus_pipeline.STAGES).replace("n-gram", "n gram").replace("byte-level", "byte level")) and collections.Counter(len(s) for s in corpus_pipeline.STAGES) == {2: 5}
+
+
+def test_parity_bound_never_exceeds_the_difference():
+    from clickstrata.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 900)), dtype=np.uint64))
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, len(pool) + 1)))) for _ in "ab")
+        apart = len(np.setxor1d(a, b))
+        assert jaccard.differing(jaccard.parity(a), jaccard.parity(b)[None, :])[0] <= apart
+    assert jaccard.differing(jaccard.parity(a), jaccard.parity(a)[None, :])[0] == 0
