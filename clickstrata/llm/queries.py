@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, quality, secrets, sharding
+from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, quality, secrets, sharding, sql
 from .frames import table, written
 
 
@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_jaccard": sql.NGRAM_JACCARD, "op9_chat_format": sql.CHAT_FORMAT, "op10_decontamination": sql.DECONTAMINATION}
