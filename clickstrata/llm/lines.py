@@ -23,6 +23,8 @@ from .frames import fresh, written
 EDITS = 1
 MIN_CHARS = 16
 FUZZY_CHARS = 32
+#: Lines with over this share of all lines are common; there are at most 1 / COMMON of them.
+COMMON = 2e-4
 
 
 def normal(line: Column) -> Column:
@@ -122,7 +124,12 @@ def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, f
     later = placed.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("near", F.lit(True))
     judged = firsts.join(later, "h", "left").where("copies > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     own = F.struct("doc_id", "hash", "pos")
-    gone = lines.select("doc_id", "hash", "pos", "h").join(judged, "h").where(F.col("near") | ~own.eqNullSafe(F.col("first")))
+    # the rows of a common line stay where they are; its verdict is broadcast
+    often = firsts.where(F.col("copies") > max(1, lines.count() * COMMON)).select("h")
+    common = F.broadcast(judged.join(F.broadcast(often), "h", "left_semi"))
+    places = lines.select("doc_id", "hash", "pos", "h")
+    found = places.join(common, "h").unionByName(places.join(F.broadcast(often), "h", "left_anti").join(judged, "h"))
+    gone = found.where(F.col("near") | ~own.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 

@@ -133,6 +133,16 @@ def test_line_dedup_keeps_first_places(spark):
     assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == {1: f"{text}\nshort", 2: "another line that stays where it is"}
 
 
+def test_common_and_rare_lines_meet_one_rule(spark, monkeypatch):
+    texts = [f"one line that every document of this table holds\nline {i % 40} of its own {'abcdefgh'[i % 8] * 12}\n{i}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for share in (0.0, 0.02, 1.0):  # all lines, the shared line and no line are common
+        monkeypatch.setattr(lines, "COMMON", share)
+        got.append({r.doc_id: r.text for r in lines.dedup(docs).collect()})
+    assert got[0] == got[1] == got[2] and sum("every document" in t for t in got[0].values()) == 1
+
+
 def test_quality_counts():
     got = quality.measure(["a b c a b c x", "", "l 1\nl 1\n\n\n#$é"]).to_dict("records")
     assert [g["n_words"] for g in got] == [7, 0, 5] and [g["n_repeat_words"] for g in got] == [6, 0, 0]
