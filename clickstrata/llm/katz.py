@@ -1,40 +1,43 @@
-"""Language-model scoring: a Katz back-off bigram model with Good-Turing discounts.
+"""Language-model scoring: a Katz back-off model with Good-Turing discounts.
 
-Tokens are words (A-Z lower-cased, split at ASCII white space) and one end a text. Counts cover every training
-document: a unigram table of all words and a bigram table, both written to the shared folder and partitioned.
-A word whose share of the training tokens is under ``rare`` is scored as the class of rare words times its
-add-one share of that class, so the model's vocabulary has at most 1 / rare words at any corpus size; its
-vectors (unigram probability, context count, back-off weight) are shipped, the bigram table never is.
+Tokens are words (A-Z lower-cased, split at ASCII white space) and one end a text. Every training word is a word
+of the model, with an id of its own: a 64-bit hash, and another seed is taken until no two words of the table
+share one. Counts cover every training document: a unigram table of all words and a table of all n-grams, both
+written to the shared folder and partitioned. The tables also hold, with a count of zero, what only held-out
+texts have, so each n-gram of any text has a row and its probability is worked out once. Contexts, back-off
+weights and lower orders are joined by key; nothing that grows with the vocabulary is shipped or collected.
 
-P(w | h) = d_r * r / c(h) if the bigram was seen r times, else alpha(h) * P(w): d_r is the Good-Turing
-discount for r <= 5 (n_r are counts over the whole bigram table), else 1; alpha(h) makes the sum over w one.
+P(w | h) = d_r * r / c(h) if the n-gram was seen r times, else alpha(h) * P(w | shorter h), and the plain
+shorter one where the context itself was never seen: d_r is the Good-Turing discount for r <= 5 (n_r are counts
+over the whole table of that order), else 1; alpha(h) makes the sum over w one. All words that training never
+saw are one unknown word of the unigram level.
 
-Scoring sends each batch's distinct bigrams, with the places of the texts that hold them, to the bigram
-table: one row a batch and bigram, so a bigram that is everywhere is as many rows as there are batches. Rare
-words go to the unigram table the same way. Sums come back as one row a batch and task.
+Scoring sends each batch's distinct n-grams, with the places of the texts that hold them, to the scored table:
+one row a batch and n-gram, so an n-gram that is everywhere is as many rows as there are batches. Sums come
+back as one row a batch and task.
 
 The texts are read several times and batches must come out alike, so ``docs`` should be a stored table.
 Null and empty texts are one end token; a null doc_id is training data; repeated rows are rows of their own;
-with no training tokens every probability is that of an empty model.
+with no training tokens every probability is that of an empty model. ``Vocabulary`` and ``Model`` are the same
+order-two model in memory, for small word lists.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import small_batches, tidy, written
 
 END = b"\n"  # no word holds it
-KNOWN_SHARE = 5e-7
-RARE_SHARE = 5e-6
+BEGIN = 0  # the id of what stands before a text
+ORDER = 2
 GOOD_TURING = 5
 CHUNK = 8192
 CHUNK_CHARS = 24 << 20
@@ -64,14 +67,31 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list,
     tidy()
 
 
+def word_id(word: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed) - (1 << 63)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, _, texts in chunks(batches):
+    """Counts in training texts; zero for words of held-out texts only."""
+    for _, _, held, texts in chunks(batches):
         n: Counter = Counter()
-        for text in texts:
-            n.update(tokens(text))
+        for text, out in zip(texts, held):
+            if out:
+                n.update(dict.fromkeys(tokens(text), 0))
+            else:
+                n.update(tokens(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
 
+def _word_ids(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [word_id(w, seed) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.int64())], ["word", "n", "w1"])
+
+    return run
+
+
 class Vocabulary:
     """Ids of the model's words; then rare, end and begin."""
 
@@ -151,25 +171,50 @@ class Model:
         return np.where(r > 0, seen, self.weight[h] + np.log10(self.p[w]))
 
 
-def _count_bigrams(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, texts in chunks(batches):
-            code, n = np.unique(vocabulary.value.codes(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
-
-    return run
-
-
-def _masses(model):
+def names(order: int) -> list[str]:
+    return [f"w{k}" for k in range(1, order + 1)]
+
+
+def grams(texts: list[str | None], order: int, seed: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams' ids by place in the n-gram, the order of the tokens by n-gram, where each run starts in it, and the place of each token's text."""
+    local: dict[bytes, int] = {}
+    parts = []
+    for text in texts:  # one text's tokens are held at a time
+        words = tokens(text)
+        parts.append(np.fromiter((local.setdefault(w, len(local) + 1) for w in words), np.int32, len(words)))
+    lengths = np.array([len(p) for p in parts], np.int64)
+    now = np.concatenate(parts)
+    del parts
+    inside = np.arange(len(now)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    columns = []
+    for back in range(order - 1, 0, -1):
+        before = np.zeros_like(now)
+        before[back:] = now[:-back]
+        before[inside < back] = 0
+        columns.append(before)
+    columns.append(now)
+    del inside
+    code, bound, size = columns[0].astype(np.int64), len(local) + 1, len(local) + 1
+    for column in columns[1:]:
+        if bound * size >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            bound = len(found)
+        code = code * size + column
+        bound *= size
+    by = np.argsort(code, kind="stable")
+    code = code[by]
+    cuts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    ids = np.array([BEGIN] + [word_id(w, seed) for w in local], np.int64)
+    first = by[cuts]
+    return [ids[c[first]] for c in columns], by, cuts, np.repeat(np.arange(len(texts), dtype=np.uint16), lengths)
+
+
+def _count_grams(order: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = model.value.vocabulary.size
-        kept, seen = np.zeros(size), np.zeros(size)
-        for batch in batches:
-            a, b = model.value.mass(batch.column("code").to_numpy(), batch.column("n").to_numpy())
-            kept, seen = kept + a, seen + b
-        h = np.flatnonzero(seen)
-        if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kept[h]), pa.array(seen[h])], ["h", "kept", "seen"])
+        for _, _, held, texts in chunks(batches):
+            keys, by, cuts, place = grams(texts, order, seed)
+            n = np.add.reduceat((~np.array(held, bool))[place[by]].astype(np.int64), cuts)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n)], [*names(order), "n"])
 
     return run
 
@@ -181,44 +226,22 @@ def postings(order: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def _bigram_places(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, _, _, texts in chunks(batches):
-            code, place = vocabulary.value.codes(texts)
-            order = np.argsort(code, kind="stable")
-            code = code[order]
-            cuts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), uid, np.int64)), pa.array(code[cuts]), postings(order, place, cuts)], ["uid", "code", "places"])
-
-    return run
-
-
-def _word_places(known):
+def _gram_places(order: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = known.value
         for uid, _, _, texts in chunks(batches):
-            words, place = [], []
-            for k, text in enumerate(texts):
-                unknown = [w for w in tokens(text) if w not in have]
-                words += unknown
-                place.append(len(unknown))
-            ids: dict[bytes, int] = {}
-            code = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-            order = np.argsort(code, kind="stable")
-            cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
-            places = np.repeat(np.arange(len(texts), dtype=np.uint16), place)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), uid, np.int64)), pa.array(list(ids), pa.binary()), postings(order, places, cuts)], ["uid", "word", "places"])
+            keys, by, cuts, place = grams(texts, order, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), uid, np.int64)), *map(pa.array, keys), postings(by, place, cuts)], ["uid", *names(order), "places"])
 
     return run
 
 
 class Sums:
-    """Sums by (uid, place) of up to three values, given out as one row a uid when many are held."""
+    """Sums by (uid, place) of four values, given out as one row a uid when many are held."""
 
     def __init__(self, most: int = 256):
         self.most, self.held = most, {}
 
-    def add(self, uid: np.ndarray, places: pa.BinaryArray, values: list[np.ndarray | None]) -> None:
+    def add(self, uid: np.ndarray, places: pa.BinaryArray, values: list[np.ndarray]) -> None:
         offsets = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1] // 2
         place = np.frombuffer(places.buffers()[2], "<u2")[offsets[0] : offsets[-1]]
         uids, at = np.unique(uid, return_inverse=True)
@@ -229,10 +252,9 @@ class Sums:
             inside = np.repeat(rows, lengths)
             key = np.repeat(at[rows] - low, lengths[rows]) * CHUNK + place[inside]
             for k, value in enumerate(values):
-                if value is not None:
-                    sums = np.bincount(key, np.repeat(value[rows], lengths[rows]), len(some) * CHUNK).reshape(-1, CHUNK)
-                    for u, own in zip(some.tolist(), sums):
-                        self.held.setdefault(u, np.zeros((3, CHUNK)))[k] += own
+                sums = np.bincount(key, np.repeat(value[rows], lengths[rows]), len(some) * CHUNK).reshape(-1, CHUNK)
+                for u, own in zip(some.tolist(), sums):
+                    self.held.setdefault(u, np.zeros((4, CHUNK)))[k] += own
 
     def full(self) -> bool:
         return len(self.held) > self.most
@@ -244,56 +266,32 @@ class Sums:
         self.held = {}
 
 
+_SUMS = "uid long, places binary, tokens binary, known binary, base binary, score binary, ids array<long>, held array<boolean>"
+
+
 def parts_row(uid: int, place: np.ndarray, sums: np.ndarray, docs=None) -> pa.RecordBatch:
-    """One row: places and their known, base and score; with ``docs`` the rows of the batch themselves."""
-    ids, held, n = docs or (None, None, None)
+    """One row: places and their tokens, known, base and score; with ``docs`` the rows of the batch themselves."""
+    ids, held = docs or (None, None)
     columns = [pa.array([uid], pa.int64()), pa.array([place.astype("<u2").tobytes()], pa.binary())]
     columns += [pa.array([np.ascontiguousarray(x, "<f8").tobytes()], pa.binary()) for x in sums]
-    columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["uid", "places", "known", "base", "score", "ids", "held", "tokens"])
-
+    columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))]
+    return pa.RecordBatch.from_arrays(columns, ["uid", "places", "tokens", "known", "base", "score", "ids", "held"])
 
-def _documents(known, model, base, rare_share):
-    """Each batch's rows, and the sums of what the shipped counts give."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, ids = known.value, model.value.vocabulary.ids
-        logs = {w: (math.log10((c + 1) / base), 0.0 if w in ids else math.log10((c + 1) / rare_share)) for w, c in have.items()}
-        for uid, doc_ids, held, texts in chunks(batches):
-            sums = np.zeros((3, len(texts)))
-            n = []
-            for k, text in enumerate(texts):
-                words = tokens(text)
-                found = [p for p in map(logs.get, words) if p]
-                sums[:, k] = len(found), sum(p[0] for p in found), sum(p[1] for p in found)
-                n.append(len(words))
-            docs = doc_ids, held, n
-            yield parts_row(uid, np.arange(len(texts)), sums, docs)
 
-    return run
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's rows."""
+    for uid, doc_ids, held, _ in chunks(batches):
+        yield parts_row(uid, np.zeros(0), np.zeros((4, 0)), (doc_ids, held))
 
 
-def _sum_bigrams(model):
+def _sum_grams(base: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
             if batch.num_rows:
-                r = batch.column("n").fill_null(0).to_numpy(zero_copy_only=False)
-                sums.add(batch.column("uid").to_numpy(), batch.column("places"), [None, None, model.value.score(batch.column("code").to_numpy(), r)])
-                if sums.full():
-                    yield from sums.out()
-        yield from sums.out()
-
-    return run
-
-
-def _sum_words(base, rare_share):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for batch in batches:
-            if batch.num_rows:
-                c = batch.column("n").fill_null(0).to_numpy(zero_copy_only=False)
-                sums.add(batch.column("uid").to_numpy(), batch.column("places"), [(c > 0).astype(float), np.log10((c + 1) / base), np.log10((c + 1) / rare_share)])
+                c = batch.column("count").to_numpy()
+                values = [np.ones(len(c)), (c > 0).astype(float), np.log10((c + 1) / base), np.log10(batch.column("p").to_numpy())]
+                sums.add(batch.column("uid").to_numpy(), batch.column("places"), values)
                 if sums.full():
                     yield from sums.out()
         yield from sums.out()
@@ -307,63 +305,77 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close():
         if docs:
-            ids, held, tokens = docs[0]
+            ids, held = docs[0]
             got = sums[:, : len(ids)] / len(docs)
             for _ in docs:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(np.rint(got[0]).astype(np.int64)), pa.array(got[1]), pa.array(got[2])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.rint(got[0]).astype(np.int64)), pa.array(np.rint(got[1]).astype(np.int64)), pa.array(got[2]), pa.array(got[3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     for batch in batches:
         for row in batch.to_pylist():
             if row["uid"] != uid:
                 yield from close()
-                uid, sums, docs = row["uid"], np.zeros((3, CHUNK)), []
+                uid, sums, docs = row["uid"], np.zeros((4, CHUNK)), []
             place = np.frombuffer(row["places"], "<u2")
-            for k, name in enumerate(("known", "base", "score")):
+            for k, name in enumerate(("tokens", "known", "base", "score")):
                 sums[k, place] += np.frombuffer(row[name], "<f8")
             if row["ids"] is not None:
-                docs.append((row["ids"], row["held"], row["tokens"]))
+                docs.append((row["ids"], row["held"]))
     yield from close()
 
 
-_SUMS = "uid long, places binary, known binary, base binary, score binary, ids array<long>, held array<boolean>, tokens array<long>"
+def _discount(table: DataFrame) -> Column:
+    """The discounted count of a table's ``n``."""
+    few = {int(r): int(n) for r, n in table.where(F.col("n").between(1, GOOD_TURING + 1)).groupBy("n").agg(F.count("*")).collect()}  # GOOD_TURING + 1 rows
+    n, d = F.col("n"), discounts(few)
+    return F.when(n.between(1, GOOD_TURING), n * F.element_at(F.array(*[F.lit(float(x)) for x in d[1:]]), F.least(n, F.lit(GOOD_TURING)).cast("int"))).otherwise(n.cast("double"))
 
 
-def score(docs: DataFrame, held_out, known_share: float = KNOWN_SHARE, rare: float = RARE_SHARE) -> DataFrame:
+def _level(table: DataFrame, below: DataFrame, order: int) -> DataFrame:
+    """The n-grams (ids, n) with ``p``, from those of the order below (ids, count, p); ``count`` is of the last word.
+
+    A context's factor is one but for two kinds: where every word was seen it undoes the discount, and where no
+    count was low enough for one, c / (c + 1) leaves the mass of one more token to unseen words.
+    """
+    ids = names(order)
+    reduced = _discount(table)
+    shorter = below.select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(1, order)], "count", F.col("p").alias("q"))
+    joined = written(table.join(shorter, ids[1:]).select(*ids, "n", "count", "q"))
+    contexts = joined.where("n > 0").groupBy(ids[:-1]).agg(F.sum("n").alias("c"), F.sum(reduced).alias("kept"), F.sum("q").alias("seen"))
+    free, share = 1 - F.col("seen"), F.col("kept") / F.col("c")
+    factor = F.when(free <= 1e-9, 1 / share).when(1 - share <= 1e-12, F.col("c") / (F.col("c") + 1)).otherwise(F.lit(1.0))
+    contexts = contexts.withColumn("factor", factor).select(*ids[:-1], (F.col("factor") / F.col("c")).alias("unit"), F.when(free > 1e-9, (1 - F.col("factor") * share) / free).otherwise(F.lit(1.0)).alias("weight"))
+    p = F.when(F.col("n") > 0, reduced * F.col("unit")).otherwise(F.coalesce("weight", F.lit(1.0)) * F.col("q"))
+    return joined.join(contexts, ids[:-1], "left").select(*ids, "count", p.alias("p"))
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean column."""
-    spark = docs.sparkSession
-    ship = spark.sparkContext.broadcast
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
     # unigrams
-    words = written(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(8))), ["part"])
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counted = rows.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = written(counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(8))), ["part"]).select("word", "n")
+    total, distinct, every = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count("*")).first()
     base = float((total + 1) * (distinct + 1))  # the base score's (N+1)(V+1)
-    common = words.where(F.col("n") >= max(2, math.ceil(total * known_share))).select("word", "n").toPandas()  # at most 1 / known_share rows
-    counts = {bytes(w): int(n) for w, n in zip(common.word, common.n)}
-    floor = max(2, math.ceil(total * rare))
-    chosen = sorted(w for w, n in counts.items() if n >= floor and w != END)
-    vocabulary = Vocabulary(chosen)
-    texts = int(words.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    counts.setdefault(END, texts) if texts else None
-    own = np.array([counts[w] for w in chosen], float)
-    n_rare = total - texts - int(own.sum())
-    rare_share = float(n_rare + distinct - len(chosen) - bool(texts) + 1)
-    # bigrams
-    vocab = ship(vocabulary)
-    bigrams = written(train.mapInArrow(_count_bigrams(vocab), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).withColumn("part", F.pmod("code", F.lit(8))), ["part"]).select("code", "n")
-    few = {int(r): int(n) for r, n in bigrams.where(F.col("n") <= GOOD_TURING + 1).groupBy("n").agg(F.count("*")).collect()}  # GOOD_TURING + 1 rows
-    model = Model(vocabulary, np.concatenate([own, [n_rare, texts]]), np.concatenate([own, [n_rare, 0, texts]]), discounts(few))
-    first = ship(model)
-    masses = bigrams.mapInArrow(_masses(first), "h long, kept double, seen double").groupBy("h").agg(F.sum("kept").alias("kept"), F.sum("seen").alias("seen")).toPandas()  # a row a vocabulary word
-    kept, seen = np.zeros(vocabulary.size), np.zeros(vocabulary.size)
-    kept[masses.h], seen[masses.h] = masses.kept, masses.seen
-    model.settle(kept, seen)
-    model, known = ship(model), ship(counts)
+    for seed in range(100):
+        unigrams = written(words.mapInArrow(_word_ids(seed), "word binary, n long, w1 long"))
+        if unigrams.where(F.col("w1") != BEGIN).select("w1").distinct().count() == every:
+            break
+    else:
+        raise ValueError("no seed gives each word an id of its own")
+    level = unigrams.select("w1", F.col("n").alias("count"), ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    # n-grams: those of each order are the ends of the longer ones
+    top = names(order)
+    counted = rows.mapInArrow(_count_grams(order, seed), ", ".join(f"{c} long" for c in top) + ", n long").groupBy(top).agg(F.sum("n").alias("n"))
+    tables = {order: written(counted.withColumn("part", F.pmod(F.xxhash64(*top), F.lit(8))), ["part"]).select(*top, "n")}
+    for k in range(order - 1, 1, -1):
+        ends = [F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)]
+        tables[k] = written(tables[k + 1].select(*ends, "n").groupBy(names(k)).agg(F.sum("n").alias("n")))
+    for k in range(2, order + 1):
+        level = _level(tables[k], level, k)
     # scores
-    local = rows.mapInArrow(_documents(known, model, base, rare_share), _SUMS)
-    pairs = rows.mapInArrow(_bigram_places(vocab), "uid long, code long, places binary").join(bigrams, "code", "left").mapInArrow(_sum_bigrams(model), _SUMS)
-    others = words.where(F.col("n") < max(2, math.ceil(total * known_share))).select("word", "n")
-    single = rows.mapInArrow(_word_places(known), "uid long, word binary, places binary").join(others, "word", "left").mapInArrow(_sum_words(base, rare_share), _SUMS)
-    parts = local.union(pairs).union(single).repartition("uid").sortWithinPartitions("uid")
-    summed = parts.mapInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    local = rows.mapInArrow(_documents, _SUMS)
+    places = rows.mapInArrow(_gram_places(order, seed), "uid long, " + ", ".join(f"{c} long" for c in top) + ", places binary")
+    summed = places.join(level, top).select("uid", "places", "count", "p").mapInArrow(_sum_grams(base), _SUMS)
+    parts = local.union(summed).repartition("uid").sortWithinPartitions("uid")
+    out = parts.mapInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -219,3 +219,22 @@ def test_parity_bound_never_exceeds_the_difference():
         apart = len(np.setxor1d(a, b))
         assert jaccard.differing(jaccard.parity(a), jaccard.parity(b)[None, :])[0] <= apart
     assert jaccard.differing(jaccard.parity(a), jaccard.parity(a)[None, :])[0] == 0
+
+
+def test_katz_models_every_training_word(spark):
+    texts = ["a b a c rare once", "b a b rare", "c unique a", "b a once c new", ""]  # the last but one is held out
+    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") == 3, order=2).collect()}
+    train = texts[:3] + texts[4:]
+    counts = collections.Counter(w for t in train for w in katz.tokens(t))
+    words = sorted(w for w in counts if w != katz.END)
+    vocabulary = katz.Vocabulary(words)
+    codes, r = np.unique(vocabulary.codes(train)[0], return_counts=True)
+    context = np.bincount(codes // vocabulary.size, r, vocabulary.size)
+    model = katz.Model(vocabulary, np.array([*(counts[w] for w in words), 0, counts[katz.END]], float), context, katz.discounts(collections.Counter(r.tolist())))
+    model.settle(*model.mass(codes, r))
+    seen = dict(zip(codes.tolist(), r.tolist()))
+    for i, text in enumerate(texts):
+        code = vocabulary.codes([text])[0]
+        wanted = [model.weight[c // vocabulary.size] * (context[c // vocabulary.size] > 0) + np.log10(model.p[c % vocabulary.size]) if c not in seen else model.score(np.array([c]), np.array([seen[c]]))[0] for c in code.tolist()]
+        assert abs(got[i].score - sum(wanted)) < 1e-9 and got[i].n_tokens == len(code)
+        assert got[i].n_known == sum(w in counts for w in katz.tokens(text))
