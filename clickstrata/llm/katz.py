@@ -8,9 +8,10 @@ texts have, so each n-gram of any text has a row and its probability is worked o
 weights and lower orders are joined by key; nothing that grows with the vocabulary is shipped or collected.
 
 P(w | h) = d_r * r / c(h) if the n-gram was seen r times, else alpha(h) * P(w | shorter h), and the plain
-shorter one where the context itself was never seen: d_r is the Good-Turing discount for r <= 5 (n_r are counts
+shorter one where the context itself was never seen; from trigrams down to unigrams, whose leftover mass is the
+unknown word's. d_r is the Good-Turing discount for r <= 5 (n_r are counts
 over the whole table of that order), else 1; alpha(h) makes the sum over w one. All words that training never
-saw are one unknown word of the unigram level.
+saw are that one unknown word.
 
 Scoring sends each batch's distinct n-grams, with the places of the texts that hold them, to the scored table:
 one row a batch and n-gram, so an n-gram that is everywhere is as many rows as there are batches. Sums come
@@ -18,8 +19,8 @@ back as one row a batch and task.
 
 The texts are read several times and batches must come out alike, so ``docs`` should be a stored table.
 Null and empty texts are one end token; a null doc_id is training data; repeated rows are rows of their own;
-with no training tokens every probability is that of an empty model. ``Vocabulary`` and ``Model`` are the same
-order-two model in memory, for small word lists.
+with no training tokens every probability is that of an empty model. ``Vocabulary`` and ``Model`` are an
+order-two model in memory, for small word lists, with add-one unigrams where ``p`` is not set.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from .frames import small_batches, tidy, written
 
 END = b"\n"  # no word holds it
 BEGIN = 0  # the id of what stands before a text
-ORDER = 2
+ORDER = 3
 GOOD_TURING = 5
 CHUNK = 8192
 CHUNK_CHARS = 24 << 20
@@ -330,6 +331,16 @@ def _discount(table: DataFrame) -> Column:
     return F.when(n.between(1, GOOD_TURING), n * F.element_at(F.array(*[F.lit(float(x)) for x in d[1:]]), F.least(n, F.lit(GOOD_TURING)).cast("int"))).otherwise(n.cast("double"))
 
 
+def _unigram_level(table: DataFrame, total: int) -> DataFrame:
+    """The words (w1, count) with ``p``; what the discounts leave of the mass is the unknown word's."""
+    reduced = _discount(table)
+    kept = table.agg(F.coalesce(F.sum(reduced), F.lit(0.0))).first()[0]
+    n = max(total, 1)
+    factor = total / (total + 1) if total and 1 - kept / n <= 1e-12 else 1.0
+    p = F.when(F.col("n") > 0, reduced * F.lit(factor / n)).otherwise(F.lit(1 - factor * kept / n))
+    return table.select("w1", F.col("n").alias("count"), p.alias("p"))
+
+
 def _level(table: DataFrame, below: DataFrame, order: int) -> DataFrame:
     """The n-grams (ids, n) with ``p``, from those of the order below (ids, count, p); ``count`` is of the last word.
 
@@ -362,7 +373,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
             break
     else:
         raise ValueError("no seed gives each word an id of its own")
-    level = unigrams.select("w1", F.col("n").alias("count"), ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    level = _unigram_level(unigrams, total)
     # n-grams: those of each order are the ends of the longer ones
     top = names(order)
     counted = rows.mapInArrow(_count_grams(order, seed), ", ".join(f"{c} long" for c in top) + ", n long").groupBy(top).agg(F.sum("n").alias("n"))

@@ -231,6 +231,9 @@ def test_katz_models_every_training_word(spark):
     codes, r = np.unique(vocabulary.codes(train)[0], return_counts=True)
     context = np.bincount(codes // vocabulary.size, r, vocabulary.size)
     model = katz.Model(vocabulary, np.array([*(counts[w] for w in words), 0, counts[katz.END]], float), context, katz.discounts(collections.Counter(r.tolist())))
+    d, total = katz.discounts(collections.Counter(counts.values())), sum(counts.values())
+    model.p = np.array([d[n] * n / total if n < len(d) else n / total for n in [*(counts[w] for w in words), 0, counts[katz.END]]])
+    model.p[len(words)] = 1 - model.p.sum()
     model.settle(*model.mass(codes, r))
     seen = dict(zip(codes.tolist(), r.tolist()))
     for i, text in enumerate(texts):
@@ -238,3 +241,44 @@ def test_katz_models_every_training_word(spark):
         wanted = [model.weight[c // vocabulary.size] * (context[c // vocabulary.size] > 0) + np.log10(model.p[c % vocabulary.size]) if c not in seen else model.score(np.array([c]), np.array([seen[c]]))[0] for c in code.tolist()]
         assert abs(got[i].score - sum(wanted)) < 1e-9 and got[i].n_tokens == len(code)
         assert got[i].n_known == sum(w in counts for w in katz.tokens(text))
+
+
+class BruteKatz:
+    def __init__(self, texts, order):
+        self.c = [collections.Counter() for _ in range(order + 1)]
+        for t in texts:
+            for gram in self.grams(t, order):
+                for k in range(order + 1):
+                    self.c[k][gram[order - k :]] += 1
+        self.d = [katz.discounts(collections.Counter(c.values())) for c in self.c]
+
+    @staticmethod
+    def grams(text, order):
+        words = [None] * (order - 1) + katz.tokens(text)
+        return [tuple(words[i : i + order]) for i in range(len(words) - order + 1)]
+
+    def p(self, gram):
+        if not gram:
+            return 0.0
+        k, rows = len(gram), {g: r for g, r in self.c[len(gram)].items() if g[:-1] == gram[:-1]}
+        c, d = sum(rows.values()), self.d[k]
+        if not c:
+            return self.p(gram[1:])
+        held = {g: (d[r] if r < len(d) else 1.0) * r / c for g, r in rows.items()}
+        factor = c / (c + 1) if 1 - sum(held.values()) <= 1e-12 else 1.0
+        if gram in rows:
+            return factor * held[gram]
+        left = 1 - factor * sum(held.values())
+        return left if k == 1 else left / (1 - sum(self.p(g[1:]) for g in rows)) * self.p(gram[1:])
+
+
+def test_katz_backs_off_from_trigrams_to_discounted_unigrams(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 12) if x < 40) for _ in range(25)] + ["w1 w2 never seen w1 w3", "", None]
+    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 5 == 0).collect()}
+    brute = BruteKatz([t for i, t in enumerate(texts) if i % 5], 3)
+    for i, text in enumerate(texts):
+        assert abs(got[i].score - sum(np.log10(brute.p(g)) for g in brute.grams(text, 3))) < 1e-8, i
+    words = [(w[0],) for w in brute.c[1]] + [(b"unseen",)]
+    for context in [(None, None), (None, b"w1"), (b"w1", b"w1"), (b"w2", b"w1")]:
+        assert abs(sum(brute.p((*context, *w)) for w in words) - 1) < 1e-9
