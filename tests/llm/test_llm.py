@@ -282,3 +282,10 @@ def test_katz_backs_off_from_trigrams_to_discounted_unigrams(spark):
     words = [(w[0],) for w in brute.c[1]] + [(b"unseen",)]
     for context in [(None, None), (None, b"w1"), (b"w1", b"w1"), (b"w2", b"w1")]:
         assert abs(sum(brute.p((*context, *w)) for w in words) - 1) < 1e-9
+
+
+def test_a_file_of_many_notices_loses_no_label(spark):
+    every = [(i, f"{text} . of file {i}") for i, (_, text, _) in enumerate(licenses.TEMPLATES * 3)]
+    docs = every + [(1000, "\n\n".join(text for _, text, _ in licenses.TEMPLATES)), (1001, None)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1000].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES})) and got[1001].labels == ""
