@@ -289,3 +289,24 @@ def test_a_file_of_many_notices_loses_no_label(spark):
     docs = every + [(1000, "\n\n".join(text for _, text, _ in licenses.TEMPLATES)), (1001, None)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1000].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES})) and got[1001].labels == ""
+
+
+def test_customary_license_headers(spark):
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    wanted = {
+        gnu.format("", "3"): "gpl-3", gnu.format("", "2"): "gpl-2", gnu.format("Lesser ", "2.1"): "lgpl-2.1", gnu.format("Lesser ", "3"): "lgpl-3", gnu.format("Affero ", "3"): "agpl-3",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "isc",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software": "unlicense",
+        "Creative Commons Legal Code\n\nCC0 1.0 Universal": "cc0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "a permission to use the software that is provided by creative commons": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(wanted))] == list(wanted.values())
+
+
+def test_every_template_passes_the_anchor_and_holds_its_phrase():
+    anchor = re.compile(licenses._ANCHOR)
+    for label, text, phrase in licenses.TEMPLATES:
+        assert anchor.search(phrase) and f" {phrase} " in f" {text} ", label
