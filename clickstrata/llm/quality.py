@@ -3,9 +3,11 @@
 Each text gives word and line counts. For each language and source every ratio goes into a log-bucket
 sketch: bucket ceil(log_gamma(ratio)), one count a bucket, zeros apart. Sketches merge by adding counts, so
 map-side combining is exact, any order gives the same sketch, and a bucket's quantile is within gamma of the
-true one. A group's upper limit is the larger of a floor and a factor times its ``quantile`` (the median, so
-that junk moves a limit only once it is half of a group); groups under ``min_rows`` rows take their language's limit, and languages under it the whole table's. Documents
-are then joined with the limits (one row a group, far fewer than documents).
+true one. A group's upper limit is a factor times its ``quantile``, an upper one with zeros kept; documents that
+fail the base rule are left out of the sketches, so plain junk moves no limit. Groups under ``min_rows`` rows take
+their language's value, and languages under it the whole table's; a group's value counts up to ``SPREAD`` times
+its language's, or the floor if that is more, so a source that is mostly junk does not learn its junk. Floors are the tolerance where a
+whole language has next to none of a thing. Documents are then joined with the limits (one row a group, far fewer than documents).
 
 Null or empty texts have no words and fail the base rule; null lang and source are groups of their own;
 repeated rows are judged alike; an empty table gives an empty result. Extra columns stay.
@@ -27,11 +29,12 @@ from .frames import fresh, sliced, small_batches, tidy
 from .hashing import Words, mix, windows
 
 GAMMA = 1.02
-QUANTILE = 0.5
-FACTORS = {"symbol_ratio": 4.0, "dup_line_ratio": 4.0, "repeat_ratio": 4.0, "word_length": 1.5}
+QUANTILE = 0.95
+FACTORS = {"symbol_ratio": 1.5, "dup_line_ratio": 3.0, "repeat_ratio": 4.0, "word_length": 1.4}
+SPREAD = 2.0
 MIN_ROWS = 200
 #: No limit goes below these: documents under them are ordinary whatever their group looks like.
-FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.4, "repeat_ratio": 0.4, "word_length": 8.0}
+FLOORS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_length": 4.0}
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -107,24 +110,25 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str], q: float, gamma: float = GAMMA) -> DataFrame:
-    """keys, metric, value, total: each sketch's q-quantile (a bucket's mid value)."""
+    """keys, metric, value, total: each sketch's lower q-quantile (a bucket's mid value), so that in a small group the largest value alone sets no limit."""
     by = Window.partitionBy(*keys, "metric")
     run = by.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketches.withColumn("below", F.sum("n").over(run)).withColumn("total", F.sum("n").over(by))
     mid = F.coalesce(F.pow(F.lit(gamma), F.col("bucket")) * (2 / (1 + gamma)), F.lit(0.0))
-    return ranked.where(F.col("below") >= F.greatest(F.ceil(F.col("total") * q), F.lit(1))).groupBy(*keys, "metric").agg(F.min(mid).alias("value"), F.first("total").alias("total"))
+    return ranked.where(F.col("below") >= F.greatest(F.floor(F.col("total") * q), F.lit(1))).groupBy(*keys, "metric").agg(F.min(mid).alias("value"), F.first("total").alias("total"))
 
 
 def limits(measured: DataFrame, m: str, quantile: float = QUANTILE, factors: dict | None = None, floors: dict | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
     """lang, source, and one map of metric to upper limit, per group that occurs."""
     factors, floors = factors or FACTORS, floors or FLOORS
-    base = sketch(measured, ["lang", "source"], ratios(m))
+    base = sketch(measured.where(~base_failed(m)), ["lang", "source"], ratios(m))
     own = quantiles(base, ["lang", "source"], quantile)
     of_lang = quantiles(merge(base, ["lang"]), ["lang"], quantile).select(F.col("lang").alias("lang2"), F.col("metric").alias("metric2"), F.col("value").alias("value2"), F.col("total").alias("total2"))
     of_all = quantiles(merge(base, []), [], quantile).select(F.col("metric").alias("metric3"), F.col("value").alias("value3"))
     joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("metric") == F.col("metric2")), "left").join(of_all, F.col("metric") == F.col("metric3"), "left")
-    typical = F.when(F.col("total") >= min_rows, F.col("value")).when(F.col("total2") >= min_rows, F.col("value2")).otherwise(F.col("value3"))
+    wider = F.when(F.col("total2") >= min_rows, F.col("value2")).otherwise(F.col("value3"))
     of = lambda values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("metric"))
+    typical = F.when(F.col("total") >= min_rows, F.least("value", F.greatest(wider, of(floors)) * SPREAD)).otherwise(wider)
     limit = F.greatest(typical * of(factors), of(floors))
     return joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", limit.alias("limit")))).alias("limits"))
 

@@ -310,3 +310,15 @@ def test_every_template_passes_the_anchor_and_holds_its_phrase():
     anchor = re.compile(licenses._ANCHOR)
     for label, text, phrase in licenses.TEMPLATES:
         assert anchor.search(phrase) and f" {phrase} " in f" {text} ", label
+
+
+def test_quality_limits_are_learnt(spark):
+    """A source of clean texts drops one with a third of its lines repeated; one where a twelfth of symbols is usual keeps it."""
+    def text(k, repeats=0, symbols=0):
+        lines = [f"k{k} a{i}x{k} b{i} c{k}y{i} d{i} e{k}z{i}" for i in range(12)]
+        return "\n".join(lines + lines[:1] * repeats + ["#" * symbols] * (symbols > 0))
+    rows = [(k, text(k), "en", "clean") for k in range(700)] + [(k, text(k, symbols=30), "en", "code") for k in range(700, 950)]
+    rows += [(5000, text(5000, repeats=6), "en", "clean"), (5001, text(5001, symbols=30), "en", "clean"), (5002, text(5002, symbols=30), "en", "code"), (5003, text(5003, symbols=400), "en", "code")]
+    got = {r.doc_id: r.quality for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[0].kept and got[5002].kept and not any(got[i].base_failed for i in (5000, 5001, 5003))
+    assert [got[i].kept for i in (5000, 5001, 5003)] == [False, False, False]
