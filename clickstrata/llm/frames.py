@@ -56,6 +56,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _place(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
@@ -63,7 +71,7 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     stages before, and the reader knows the table's true size when it plans joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = _place(spark)
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -72,6 +80,14 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, in buckets of ``key``: later joins and groups by it move no row of it."""
+    spark = df.sparkSession
+    name = f"stage_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", _place(spark)).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def sliced(texts: Iterable[str | None], limit: int = 1 << 18) -> Iterator[list[str]]:
     """Consecutive runs of texts (null: empty) of about ``limit`` characters; one longer text is a run of its own."""
     run: list[str] = []

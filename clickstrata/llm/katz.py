@@ -1,123 +1,109 @@
 """Language-model scoring: a Katz back-off model with Good-Turing discounts.
 
-Tokens are words (A-Z lower-cased, split at ASCII white space) and one end a text. Every training word is a word
-of the model, with an id of its own: a 64-bit hash, and another seed is taken until no two words of the table
-share one. Counts cover every training document: a unigram table of all words and a table of all n-grams, both
-written to the shared folder and partitioned. The tables also hold, with a count of zero, what only held-out
-texts have, so each n-gram of any text has a row and its probability is worked out once. Contexts, back-off
-weights and lower orders are joined by key; nothing that grows with the vocabulary is shipped or collected.
+Tokens are words (A-Z lower-cased, split at ASCII white space) and one end a text. Counts cover every training
+document and every word; nothing that grows with the vocabulary is shipped or collected.
+
+1. Texts are tokenised once, in batches, into tables bucketed by batch: the text as numbers of the batch's own
+   words, and those words with their counts, cut into parts by word.
+2. Words are counted, sorted by count and numbered. A number thus tells the word's count: the driver and the
+   workers hold one entry for each count that occurs (at most sqrt(2 * tokens) of them), not one a word. Batches
+   get the numbers of their words back. What only held-out texts have is the one unknown word.
+3. Each batch's distinct n-grams go, packed, to the part of their middle word, so a part can count and normalise
+   both bigrams and trigrams of its words alone. A word with more tokens than ``cap`` has parts of its own, dealt
+   by the word before it, and a pair with more than ``cap`` has parts dealt by the word after it. The few sums
+   that such parts share are joined by key.
+4. That happens twice: once to count (counts of counts give the discounts), once with the places of the texts.
+   The second time each part works out P of each of its n-grams once and gives back one sum a batch and text.
 
 P(w | h) = d_r * r / c(h) if the n-gram was seen r times, else alpha(h) * P(w | shorter h), and the plain
 shorter one where the context itself was never seen; from trigrams down to unigrams, whose leftover mass is the
-unknown word's. d_r is the Good-Turing discount for r <= 5 (n_r are counts
-over the whole table of that order), else 1; alpha(h) makes the sum over w one. All words that training never
-saw are that one unknown word.
+unknown word's. d_r is the Good-Turing discount for r <= 5 (n_r are counts over the whole table of that order),
+else 1; alpha(h) makes the sum over w one.
 
-Scoring sends each batch's distinct n-grams, with the places of the texts that hold them, to the scored table:
-one row a batch and n-gram, so an n-gram that is everywhere is as many rows as there are batches. Sums come
-back as one row a batch and task.
-
-The texts are read several times and batches must come out alike, so ``docs`` should be a stored table.
 Null and empty texts are one end token; a null doc_id is training data; repeated rows are rows of their own;
-with no training tokens every probability is that of an empty model. ``Vocabulary`` and ``Model`` are an
-order-two model in memory, for small word lists, with add-one unigrams where ``p`` is not set.
+with no training tokens every probability is that of an empty model; an empty table gives an empty result; a text
+of any length is held by one worker as a whole. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, tidy, written
+from .frames import bucketed, tidy, written
+from .hashing import mix
 
-END = b"\n"  # no word holds it
-BEGIN = 0  # the id of what stands before a text
+END = b""  # no word is empty
+BEGIN, UNKNOWN, FIRST = 0, 1, 2  # numbers of what stands before a text, of the unknown word, and of the most frequent word
 ORDER = 3
 GOOD_TURING = 5
 CHUNK = 8192
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 8 << 20
+CAP = 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list[str | None]]]:
-    """(uid, doc_ids, held_out, texts) of runs of rows. The uid is a hash of them, so it is the same in every pass over the same table, and equal only for equal runs."""
-    ids, held, texts, size, seen = [], [], [], 0, xxhash.xxh3_64()
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list[str | None]]]:
+    """(doc_ids, held_out, texts) of runs of rows."""
+    ids, held, texts, size = [], [], [], 0
     for batch in batches:
-        for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
-            seen.update(f"\0{doc},{out},{text is None}\0")
-            seen.update((text or "").encode("utf-8", "replace"))
-            ids.append(doc)
-            held.append(out)
-            texts.append(text)
-            size += len(text or "")
-            if len(texts) == CHUNK or size > CHUNK_CHARS:
-                yield seen.intdigest() - (1 << 63), ids, held, texts
-                ids, held, texts, size, seen = [], [], [], 0, xxhash.xxh3_64()
-                tidy()
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for doc, out, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+                ids.append(doc)
+                held.append(out)
+                texts.append(text)
+                size += len(text or "")
+                if len(texts) == CHUNK or size > CHUNK_CHARS:
+                    yield ids, np.array(held, bool), texts
+                    ids, held, texts, size = [], [], [], 0
     if texts:
-        yield seen.intdigest() - (1 << 63), ids, held, texts
-    tidy()
-
+        yield ids, np.array(held, bool), texts
 
-def word_id(word: bytes, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed) - (1 << 63)
 
+# --- packed arrays -----------------------------------------------------------------------------------
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts in training texts; zero for words of held-out texts only."""
-    for _, _, held, texts in chunks(batches):
-        n: Counter = Counter()
-        for text, out in zip(texts, held):
-            if out:
-                n.update(dict.fromkeys(tokens(text), 0))
-            else:
-                n.update(tokens(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers or doubles, by byte planes, compressed."""
+    out = [bytes([len(arrays)])]
+    for a in arrays:
+        if a.dtype.kind != "f":
+            top = int(a.max()) if len(a) else 0
+            a = a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+        raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b""
+        packed = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+        out += [a.dtype.str.encode(), len(a).to_bytes(4, "little"), len(packed).to_bytes(4, "little"), packed]
+    return b"".join(out)
 
-def _word_ids(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [word_id(w, seed) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.int64())], ["word", "n", "w1"])
 
-    return run
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 1
+    for _ in range(data[0]):
+        kind = np.dtype(data[at : at + 3].decode())
+        n, size = int.from_bytes(data[at + 3 : at + 7], "little"), int.from_bytes(data[at + 7 : at + 11], "little")
+        at += 11
+        if n:
+            raw = np.frombuffer(pa.decompress(data[at : at + size], n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+            a = np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind)[:, 0]
+        else:
+            a = np.zeros(0, kind)
+        out.append(a if kind.kind == "f" else a.astype(np.int64))
+        at += size
+    return out
 
 
-class Vocabulary:
-    """Ids of the model's words; then rare, end and begin."""
-
-    def __init__(self, words: list[bytes]):
-        self.ids = {w: i for i, w in enumerate(words)}
-        n = len(words)
-        self.rare, self.end, self.begin, self.size = n, n + 1, n + 2, n + 3
-        self.ids[END] = self.end
-
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """previous * size + id of each token of all texts, and the place of its text."""
-        get, rare = self.ids.get, self.rare
-        parts = []
-        for text in texts:  # one text's tokens are held at a time
-            words = tokens(text)
-            parts.append(np.fromiter((get(w, rare) for w in words), np.int32, len(words)))
-        now = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        before = np.empty_like(now)
-        if len(now):
-            before[1:] = now[:-1]
-            before[0] = self.begin
-            before[1:][now[:-1] == self.end] = self.begin
-        before *= self.size
-        before += now
-        return before, np.repeat(np.arange(len(texts), dtype=np.uint16), [len(p) for p in parts])
+# --- discounts and back-off weights ------------------------------------------------------------------
 
 
 def discounts(counts: dict[int, int], k: int = GOOD_TURING) -> np.ndarray:
@@ -134,259 +120,481 @@ def discounts(counts: dict[int, int], k: int = GOOD_TURING) -> np.ndarray:
     return d
 
 
-class Model:
-    """The shipped part: unigram probabilities, and by context its count, log10 alpha(h), and a factor on its discounted probabilities.
+def reduced(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return np.where(n < len(d), d[np.minimum(n, len(d) - 1)], 1.0) * n
 
-    The factor is one but for two kinds of context: where every word was seen it undoes the discount, and where
-    no count was low enough for one, c / (c + 1) leaves the mass of one more token to unseen words.
-    """
 
-    def __init__(self, vocabulary: Vocabulary, unigram: np.ndarray, context: np.ndarray, d: np.ndarray):
-        self.vocabulary, self.context, self.d = vocabulary, context, d
-        self.p = (unigram + 1.0) / (unigram.sum() + len(unigram))  # over words, rare and end
-        self.weight, self.factor = np.zeros(vocabulary.size), np.ones(vocabulary.size)
-
-    def discount(self, r: np.ndarray) -> np.ndarray:
-        return np.where(r < len(self.d), self.d[np.minimum(r, len(self.d) - 1)], 1.0)
-
-    def mass(self, code: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By context: discounted counts, and unigram probability of what was seen."""
-        h, w = code // self.vocabulary.size, code % self.vocabulary.size
-        return np.bincount(h, self.discount(r) * r, self.vocabulary.size), np.bincount(h, self.p[w], self.vocabulary.size)
-
-    def settle(self, kept: np.ndarray, seen: np.ndarray) -> None:
-        """alpha(h) from mass()'s sums over the whole bigram table."""
-        c = np.maximum(self.context, 1)
-        free = 1 - seen
-        every, none = free <= 1e-9, (free > 1e-9) & (1 - kept / c <= 1e-12)
-        self.factor = np.where(every, c / np.maximum(kept, 1e-300), np.where(none, c / (c + 1), 1.0))
-        left = 1 - self.factor * kept / c
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.weight = np.where(every | (self.context == 0), 0.0, np.log10(left / free))
-
-    def score(self, code: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """log10 P of bigrams seen ``r`` times (0: never): the bigram's own probability, else the back-off to its word's."""
-        h, w = code // self.vocabulary.size, code % self.vocabulary.size
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log10(self.factor[h] * self.discount(r) * r / self.context[h])
-        return np.where(r > 0, seen, self.weight[h] + np.log10(self.p[w]))
-
-
-def names(order: int) -> list[str]:
-    return [f"w{k}" for k in range(1, order + 1)]
-
-
-def grams(texts: list[str | None], order: int, seed: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams' ids by place in the n-gram, the order of the tokens by n-gram, where each run starts in it, and the place of each token's text."""
-    local: dict[bytes, int] = {}
-    parts = []
-    for text in texts:  # one text's tokens are held at a time
-        words = tokens(text)
-        parts.append(np.fromiter((local.setdefault(w, len(local) + 1) for w in words), np.int32, len(words)))
-    lengths = np.array([len(p) for p in parts], np.int64)
-    now = np.concatenate(parts)
-    del parts
-    inside = np.arange(len(now)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    columns = []
-    for back in range(order - 1, 0, -1):
-        before = np.zeros_like(now)
-        before[back:] = now[:-back]
-        before[inside < back] = 0
-        columns.append(before)
-    columns.append(now)
-    del inside
-    code, bound, size = columns[0].astype(np.int64), len(local) + 1, len(local) + 1
-    for column in columns[1:]:
-        if bound * size >= 1 << 62:
-            found, code = np.unique(code, return_inverse=True)
-            bound = len(found)
-        code = code * size + column
-        bound *= size
-    by = np.argsort(code, kind="stable")
-    code = code[by]
-    cuts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-    ids = np.array([BEGIN] + [word_id(w, seed) for w in local], np.int64)
-    first = by[cuts]
-    return [ids[c[first]] for c in columns], by, cuts, np.repeat(np.arange(len(texts), dtype=np.uint16), lengths)
-
-
-def _count_grams(order: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, held, texts in chunks(batches):
-            keys, by, cuts, place = grams(texts, order, seed)
-            n = np.add.reduceat((~np.array(held, bool))[place[by]].astype(np.int64), cuts)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n)], [*names(order), "n"])
+def _reduced_column(n: Column, d: np.ndarray) -> Column:
+    return F.when(n.between(1, GOOD_TURING), n * F.element_at(F.array(*[F.lit(float(x)) for x in d[1:]]), F.greatest(F.least(n, F.lit(GOOD_TURING)), F.lit(1)).cast("int"))).otherwise(n.cast("double"))
 
-    return run
 
+def weights(c: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By context, from its count, its discounted count and the shorter contexts' probability of what it saw: what a discounted count is worth, and alpha.
 
-def postings(order: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Binary values: the 16-bit places of each run between ``cuts``."""
-    data = places[order].astype("<u2").tobytes()
-    offsets = (np.append(cuts, len(order)) * 2).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+    Where every word was seen the discount is undone, and where no count was low enough for one, c / (c + 1)
+    leaves the mass of one more token to unseen words. A context never seen gives (0, 1).
+    """
+    some = np.maximum(c, 1)
+    free, share = 1 - seen, kept / some
+    with np.errstate(divide="ignore", invalid="ignore"):
+        factor = np.where(free <= 1e-9, 1 / share, np.where(1 - share <= 1e-12, c / (c + 1.0), 1.0))
+        alpha = np.where(free > 1e-9, (1 - factor * share) / free, 1.0)
+    return np.where(c > 0, factor / some, 0.0), np.where(c > 0, alpha, 1.0)
 
 
-def _gram_places(order: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, _, _, texts in chunks(batches):
-            keys, by, cuts, place = grams(texts, order, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), uid, np.int64)), *map(pa.array, keys), postings(by, place, cuts)], ["uid", *names(order), "places"])
+class Unigrams:
+    """Counts and probabilities by word number: numbers follow the counts, so one entry a count is enough."""
 
-    return run
+    def __init__(self, sizes: dict[int, int]):
+        """``sizes``: how many words have a count."""
+        self.counts = np.array(sorted((c for c in sizes if c > 0), reverse=True), np.int64)
+        many = np.array([sizes[c] for c in self.counts.tolist()], np.int64)
+        self.starts = FIRST + np.cumsum(many) - many
+        self.total, self.distinct = int((self.counts * many).sum()), int(many.sum())
+        r = reduced(self.counts, discounts(sizes))
+        kept, n = float((r * many).sum()), max(self.total, 1)
+        factor = self.total / (self.total + 1) if self.total and 1 - kept / n <= 1e-12 else 1.0
+        self.p, self.unknown = r * (factor / n), 1 - factor * kept / n
+
+    def _class(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, ids, "right") - 1
+
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids >= FIRST, np.append(self.counts, 0)[self._class(ids)], 0)
 
+    def chance(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids >= FIRST, np.append(self.p, 0.0)[self._class(ids)], self.unknown)
 
-class Sums:
-    """Sums by (uid, place) of four values, given out as one row a uid when many are held."""
 
-    def __init__(self, most: int = 256):
-        self.most, self.held = most, {}
+class Routes:
+    """Which part an n-gram belongs to: ``cold`` parts by middle word, then those of each hot word, then those of each hot pair."""
 
-    def add(self, uid: np.ndarray, places: pa.BinaryArray, values: list[np.ndarray]) -> None:
-        offsets = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1] // 2
-        place = np.frombuffer(places.buffers()[2], "<u2")[offsets[0] : offsets[-1]]
-        uids, at = np.unique(uid, return_inverse=True)
-        lengths = np.diff(offsets)
-        for low in range(0, len(uids), 64):  # so many arrays of CHUNK at once
-            some = uids[low : low + 64]
-            rows = (at >= low) & (at < low + 64) if len(uids) > 64 else np.ones(len(at), bool)
-            inside = np.repeat(rows, lengths)
-            key = np.repeat(at[rows] - low, lengths[rows]) * CHUNK + place[inside]
-            for k, value in enumerate(values):
-                sums = np.bincount(key, np.repeat(value[rows], lengths[rows]), len(some) * CHUNK).reshape(-1, CHUNK)
-                for u, own in zip(some.tolist(), sums):
-                    self.held.setdefault(u, np.zeros((4, CHUNK)))[k] += own
+    def __init__(self, unigrams: Unigrams, texts: int, pairs: list[tuple[int, int, int]], cap: int, order: int):
+        self.order, self.cold = order, max(1, -(-(unigrams.total + texts) // cap))
+        often = unigrams.counts[unigrams.counts > cap]
+        many = np.diff(np.append(unigrams.starts, FIRST + unigrams.distinct))[: len(often)]
+        split = np.concatenate([[-(-texts // cap) if texts > cap else 0, 0], np.repeat(-(-often // cap), many)]).astype(np.int64)
+        self.split, self.first = split, self.cold + np.cumsum(split) - split
+        self.pair_from = self.cold + int(split.sum())
+        kept = sorted(((u << 32) + v, -(-n // cap)) for u, v, n in pairs if n > cap and v < len(split) and split[v]) if order == 3 else []
+        self.pairs, self.pair_split = np.array([k for k, _ in kept], np.int64), np.array([n for _, n in kept], np.int64)
+        self.pair_first = self.pair_from + np.cumsum(self.pair_split) - self.pair_split
+        self.end = self.pair_from + int(self.pair_split.sum())
 
-    def full(self) -> bool:
-        return len(self.held) > self.most
+    def part(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out = (mix(v) % np.uint64(self.cold)).astype(np.int64)
+        hot = np.flatnonzero(v < len(self.split))
+        hot = hot[self.split[v[hot]] > 0]
+        if len(hot):
+            side = (u if self.order == 3 else w)[hot]
+            out[hot] = self.first[v[hot]] + (mix(side + 7) % self.split[v[hot]].astype(np.uint64)).astype(np.int64)
+        if len(self.pairs) and len(hot):
+            code = (u[hot] << 32) + v[hot]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            own = self.pairs[at] == code
+            at, hot = at[own], hot[own]
+            out[hot] = self.pair_first[at] + (mix(w[hot] + 13) % self.pair_split[at].astype(np.uint64)).astype(np.int64)
+        return out
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        for uid, sums in self.held.items():
-            place = np.flatnonzero(sums.any(axis=0))
-            yield parts_row(uid, place, sums[:, place])
-        self.held = {}
 
+# --- tokenising ----------------------------------------------------------------------------------------
 
-_SUMS = "uid long, places binary, tokens binary, known binary, base binary, score binary, ids array<long>, held array<boolean>"
 
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
 
-def parts_row(uid: int, place: np.ndarray, sums: np.ndarray, docs=None) -> pa.RecordBatch:
-    """One row: places and their tokens, known, base and score; with ``docs`` the rows of the batch themselves."""
-    ids, held = docs or (None, None)
-    columns = [pa.array([uid], pa.int64()), pa.array([place.astype("<u2").tobytes()], pa.binary())]
-    columns += [pa.array([np.ascontiguousarray(x, "<f8").tobytes()], pa.binary()) for x in sums]
-    columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))]
-    return pa.RecordBatch.from_arrays(columns, ["uid", "places", "tokens", "known", "base", "score", "ids", "held"])
 
+_CODED = "uid long, docs array<long>, held array<boolean>, code binary, wpart int, words binary, counts binary, word binary, next binary, times long"
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's rows."""
-    for uid, doc_ids, held, _ in chunks(batches):
-        yield parts_row(uid, np.zeros(0), np.zeros((4, 0)), (doc_ids, held))
 
+def _coded(width: int):
+    """A batch's row (docs, held, code), a row for each of its parts of words, and its most frequent pairs."""
 
-def _sum_grams(base: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for batch in batches:
-            if batch.num_rows:
-                c = batch.column("count").to_numpy()
-                values = [np.ones(len(c)), (c > 0).astype(float), np.log10((c + 1) / base), np.log10(batch.column("p").to_numpy())]
-                sums.add(batch.column("uid").to_numpy(), batch.column("places"), values)
-                if sums.full():
-                    yield from sums.out()
-        yield from sums.out()
+        task = TaskContext.get().partitionId()
+        schema = pa.schema([("uid", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("code", pa.binary()), ("wpart", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("next", pa.binary()), ("times", pa.int64())])
+        for k, (ids, held, texts) in enumerate(chunks(batches)):
+            numbers = _Numbers()
+            parts = []
+            for text in texts:  # one text's tokens are held at a time
+                words = tokens(text)
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            lengths = np.array([len(p) for p in parts], np.int64)
+            code = np.concatenate(parts)
+            del parts
+            words = list(numbers)
+            wpart = np.array([zlib.crc32(w) % width for w in words], np.int64)
+            by = np.argsort(wpart, kind="stable")
+            place = np.empty(len(by), np.int32)
+            place[by] = np.arange(len(by), dtype=np.int32)
+            code, wpart = place[code], wpart[by]
+            words = [words[i] for i in by.tolist()]
+            n = np.bincount(code, np.repeat(~held, lengths), len(words)).astype(np.int64)
+            uid = (task << 24) + k
+            rows = [{"uid": uid, "docs": ids, "held": held.tolist(), "code": pack(code, lengths)}]
+            cuts = np.append(np.flatnonzero(np.append(True, wpart[1:] != wpart[:-1])), len(wpart)).tolist()
+            rows += [{"uid": uid, "wpart": int(wpart[a]), "words": pa.compress(b"\n".join(words[a:b]) + b"\n", codec="zstd", asbytes=True), "counts": pack(n[a:b], np.array([sum(map(len, words[a:b])) + b - a]))} for a, b in zip(cuts, cuts[1:])]
+            rows += [{"uid": uid, "word": a, "next": b, "times": times} for a, b, times in _frequent_pairs(code, lengths, words)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+            tidy()
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From parts sorted by uid: a row a document. Equal batches have one uid: their rows are given once for each, and the sums shared out."""
-    uid, sums, docs = None, None, []
+def _frequent_pairs(code: np.ndarray, lengths: np.ndarray, words: list[bytes], share: int = 1024) -> list[tuple]:
+    """Neighbours that make up over 1 / share of the batch: at most ``share`` of them; null stands for the text's begin."""
+    least = max(1, len(code) // share)
+    starts = np.cumsum(lengths) - lengths
+    often = np.bincount(code, minlength=len(words)) >= least
+    begin = len(words)
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    before[starts] = begin
+    mask = np.append(often, len(starts) >= least)
+    keep = mask[before] & mask[code]
+    pairs, times = np.unique(before[keep].astype(np.int64) * (begin + 1) + code[keep], return_counts=True)
+    found = [(p // (begin + 1), p % (begin + 1), t) for p, t in zip(pairs[times >= least].tolist(), times[times >= least].tolist())]
+    out = [(None if a == begin else words[a], words[b], t) for a, b, t in found]
+    return out + [(None, None, len(starts))] * (len(starts) >= least)
+
+
+def _words(table: pa.Table) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(uid, words, counts) of each batch's row."""
+    for row in table.select(["uid", "words", "counts"]).to_pylist():
+        n, size = unpack(row["counts"])
+        yield row["uid"], pa.decompress(row["words"], int(size[0]), codec="zstd", asbytes=True).split(b"\n")[:-1], n
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    total: Counter = Counter()
+    for _, words, n in _words(table):
+        for word, times in zip(words, n.tolist()):
+            total[word] += times
+    wpart = table.column("wpart")[0].as_py()
+    return pa.table({"wpart": pa.array([wpart] * len(total), pa.int32()), "word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+
+
+def _answered(table: pa.Table, numbered: pa.Table) -> pa.Table:
+    """Each batch's words' numbers, in the order of its row."""
+    ids = dict(zip(numbered.column("word").to_pylist(), numbered.column("id").to_pylist()))
+    rows = [(uid, pack(np.fromiter((ids.get(w, UNKNOWN) for w in words), np.int64, len(words)))) for uid, words, _ in _words(table)]
+    wpart = table.column("wpart")[0].as_py() if table.num_rows else 0
+    return pa.table({"uid": pa.array([u for u, _ in rows], pa.int64()), "wpart": pa.array([wpart] * len(rows), pa.int32()), "ids": pa.array([x for _, x in rows], pa.binary())})
+
+
+# --- n-grams -------------------------------------------------------------------------------------------
+
+
+def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, base: float) -> Iterator[tuple]:
+    """(part, data) of the batch's distinct n-grams; with ``places`` also those of their texts, and at last (None, sums) of what needs no part."""
+    ids = np.concatenate([unpack(x["ids"])[0] for x in sorted(row["ids"], key=lambda x: x["wpart"])])
+    code, lengths = unpack(row["code"])
+    held = np.array(row["held"], bool)
+    starts, size = np.cumsum(lengths) - lengths, len(ids) + 1
+    begin = size - 1
+    before = np.full(len(code), begin, np.int64)
+    before[1:] = code[:-1]
+    before[starts] = begin
+    pair = before.copy()
+    if routes.order == 3:
+        further = np.full(len(code), begin, np.int64)
+        further[1:] = before[:-1]
+        further[starts] = begin
+        pair = pair * size + further
+        del further
+    else:
+        pair = pair * size + begin
+    text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    local = None
+    if places:
+        c, p = unigrams.count(ids), unigrams.chance(ids)
+        own = np.append(ids == UNKNOWN, False)[before]  # neither context was seen
+        sums = np.add.reduceat(np.log10((c + 1) / base)[code], starts), np.add.reduceat((c > 0)[code].astype(np.int64), starts), np.bincount(text[own], np.log10(p[code[own]]), len(lengths))
+        local = pack(lengths, sums[1], sums[0], sums[2])
+        keep = np.flatnonzero(~own)
+    else:
+        keep = np.flatnonzero(~np.append(ids == UNKNOWN, False)[before])
+    if size**3 >= 1 << 62:
+        known, pair = np.unique(pair, return_inverse=True)
+    else:
+        known = None
+    full = pair[keep] * size + code[keep]
+    del pair, before
+    by = np.argsort(full)
+    full = full[by]
+    cuts = np.flatnonzero(np.append(True, full[1:] != full[:-1])) if len(full) else np.zeros(0, np.int64)
+    kinds = full[cuts]
+    del full
+    occurs = np.diff(np.append(cuts, len(by)))
+    marks = (text[keep] * 2 + ~held[text[keep]])[by]
+    last, head = kinds % size, kinds // size
+    head = head if known is None else known[head]
+    numbers = np.append(ids, BEGIN)
+    u, v, w = numbers[head % size], numbers[head // size], numbers[last]
+    part = routes.part(u, v, w)
+    at = np.argsort(part, kind="stable")
+    part, u, v, w, occurs, cuts = part[at], u[at], v[at], w[at], occurs[at], cuts[at]
+    if len(cuts):  # occurrences in the parts' order
+        ends = np.cumsum(occurs)
+        marks = marks[np.repeat(cuts - (ends - occurs), occurs) + np.arange(len(marks))]
+        trained = np.add.reduceat(marks & 1, ends - occurs)
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            if places:
+                data = pack(v[a:b], u[a:b], w[a:b], occurs[a:b], marks[ends[a] - occurs[a] : ends[b - 1]])
+            elif part[a] < routes.cold:
+                some = a + np.flatnonzero(trained[a:b])
+                data = pack(v[some], u[some], w[some], trained[some])
+            else:
+                data = pack(v[a:b], u[a:b], w[a:b], trained[a:b])
+            yield int(part[a]), data
+    if places:
+        yield None, local
 
-    def close():
-        if docs:
-            ids, held = docs[0]
-            got = sums[:, : len(ids)] / len(docs)
-            for _ in docs:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.rint(got[0]).astype(np.int64)), pa.array(np.rint(got[1]).astype(np.int64)), pa.array(got[2]), pa.array(got[3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["uid"] != uid:
-                yield from close()
-                uid, sums, docs = row["uid"], np.zeros((4, CHUNK)), []
-            place = np.frombuffer(row["places"], "<u2")
-            for k, name in enumerate(("tokens", "known", "base", "score")):
-                sums[k, place] += np.frombuffer(row[name], "<f8")
-            if row["ids"] is not None:
-                docs.append((row["ids"], row["held"]))
-    yield from close()
-
-
-def _discount(table: DataFrame) -> Column:
-    """The discounted count of a table's ``n``."""
-    few = {int(r): int(n) for r, n in table.where(F.col("n").between(1, GOOD_TURING + 1)).groupBy("n").agg(F.count("*")).collect()}  # GOOD_TURING + 1 rows
-    n, d = F.col("n"), discounts(few)
-    return F.when(n.between(1, GOOD_TURING), n * F.element_at(F.array(*[F.lit(float(x)) for x in d[1:]]), F.least(n, F.lit(GOOD_TURING)).cast("int"))).otherwise(n.cast("double"))
-
-
-def _unigram_level(table: DataFrame, total: int) -> DataFrame:
-    """The words (w1, count) with ``p``; what the discounts leave of the mass is the unknown word's."""
-    reduced = _discount(table)
-    kept = table.agg(F.coalesce(F.sum(reduced), F.lit(0.0))).first()[0]
-    n = max(total, 1)
-    factor = total / (total + 1) if total and 1 - kept / n <= 1e-12 else 1.0
-    p = F.when(F.col("n") > 0, reduced * F.lit(factor / n)).otherwise(F.lit(1 - factor * kept / n))
-    return table.select("w1", F.col("n").alias("count"), p.alias("p"))
-
-
-def _level(table: DataFrame, below: DataFrame, order: int) -> DataFrame:
-    """The n-grams (ids, n) with ``p``, from those of the order below (ids, count, p); ``count`` is of the last word.
-
-    A context's factor is one but for two kinds: where every word was seen it undoes the discount, and where no
-    count was low enough for one, c / (c + 1) leaves the mass of one more token to unseen words.
-    """
-    ids = names(order)
-    reduced = _discount(table)
-    shorter = below.select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(1, order)], "count", F.col("p").alias("q"))
-    joined = written(table.join(shorter, ids[1:]).select(*ids, "n", "count", "q"))
-    contexts = joined.where("n > 0").groupBy(ids[:-1]).agg(F.sum("n").alias("c"), F.sum(reduced).alias("kept"), F.sum("q").alias("seen"))
-    free, share = 1 - F.col("seen"), F.col("kept") / F.col("c")
-    factor = F.when(free <= 1e-9, 1 / share).when(1 - share <= 1e-12, F.col("c") / (F.col("c") + 1)).otherwise(F.lit(1.0))
-    contexts = contexts.withColumn("factor", factor).select(*ids[:-1], (F.col("factor") / F.col("c")).alias("unit"), F.when(free > 1e-9, (1 - F.col("factor") * share) / free).otherwise(F.lit(1.0)).alias("weight"))
-    p = F.when(F.col("n") > 0, reduced * F.col("unit")).otherwise(F.coalesce("weight", F.lit(1.0)) * F.col("q"))
-    return joined.join(contexts, ids[:-1], "left").select(*ids, "count", p.alias("p"))
-
-
-def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean column."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    # unigrams
-    counted = rows.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = written(counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(8))), ["part"]).select("word", "n")
-    total, distinct, every = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count("*")).first()
-    base = float((total + 1) * (distinct + 1))  # the base score's (N+1)(V+1)
-    for seed in range(100):
-        unigrams = written(words.mapInArrow(_word_ids(seed), "word binary, n long, w1 long"))
-        if unigrams.where(F.col("w1") != BEGIN).select("w1").distinct().count() == every:
-            break
+def _sent(routes: Routes, unigrams: Unigrams, places: bool, base: float):
+    """part, uid, data, docs, held: the batch's n-grams by part; with ``places`` a row of the batch's own sums and documents as well."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = []
+        for row in table.to_pylist():
+            for part, data in _batch_grams(row, routes, unigrams, places, base):
+                rows.append((row["uid"] % routes.cold if part is None else part, row["uid"], data, *((row["docs"], row["held"]) if part is None else (None, None))))
+        tidy()
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.bool_()))], names=["part", "uid", "data", "docs", "held"])
+
+    return run
+
+
+class _Grams:
+    """The distinct n-grams of a part: sorted by middle word, the word before, the word after; ``row`` gives each input row's."""
+
+    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray):
+        self.v_of, vi = np.unique(v, return_inverse=True)
+        top = int(max(u.max(), w.max())) + 1
+        self.u_of = self.w_of = None
+        if len(self.v_of) * top * top >= 1 << 62:
+            self.u_of, u = np.unique(u, return_inverse=True)
+            self.w_of, w = np.unique(w, return_inverse=True)
+            top = max(len(self.u_of), len(self.w_of))
+        code = (vi * top + u) * top + w
+        by = np.argsort(code)
+        code = code[by]
+        new = np.append(True, code[1:] != code[:-1])
+        cuts = np.flatnonzero(new)
+        self.row = np.empty(len(by), np.int64)
+        self.row[by] = np.cumsum(new) - 1
+        code = code[cuts]
+        self.n = np.add.reduceat(n[by], cuts)
+        last, self.context = code % top, code // top  # context: (v, u)
+        self.v_at, u_at = self.context // top, self.context % top
+        self.u = u_at if self.u_of is None else self.u_of[u_at]
+        self.w = last if self.w_of is None else self.w_of[last]
+        pair = self.v_at * top + last
+        by = np.argsort(pair)
+        pair = pair[by]
+        new = np.append(True, pair[1:] != pair[:-1])
+        cuts = np.flatnonzero(new)
+        self.pair = np.empty(len(by), np.int64)  # each n-gram's bigram of the last two words
+        self.pair[by] = np.cumsum(new) - 1
+        self.pair_n = np.add.reduceat(self.n[by], cuts)
+        self.pair_v, self.pair_w = self.v_at[by[cuts]], self.w[by[cuts]]
+
+
+def _few(n: np.ndarray) -> list[tuple[int, int]]:
+    times = np.bincount(n[n <= GOOD_TURING + 1], minlength=GOOD_TURING + 2)
+    return [(r, int(times[r])) for r in range(1, GOOD_TURING + 2) if times[r]]
+
+
+_TALLY = "level int, r long, times long, part long, u long, v long, w long, n long"
+
+
+def _tallied(routes: Routes):
+    """Counts of counts of the part; for parts of a hot word or pair also their bigrams' or trigrams' counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        v, u, w, n = (np.concatenate(x) for x in zip(*(unpack(d) for d in table.column("data").to_pylist())))
+        empty = pa.schema([("level", pa.int32()), *[(c, pa.int64()) for c in ("r", "times", "part", "u", "v", "w", "n")]])
+        if not len(v):
+            return empty.empty_table()
+        found = _Grams(v, u, w, n)
+        few = [(3, *x) for x in _few(found.n)]
+        if part < routes.cold:
+            few += [(2, *x) for x in _few(found.pair_n)]
+        out = [pa.table([pa.array([x[0] for x in few], pa.int32()), pa.array([x[1] for x in few], pa.int64()), pa.array([x[2] for x in few], pa.int64()), *[pa.nulls(len(few), pa.int64())] * 5], schema=empty)]
+        if part >= routes.cold:
+            one = part < routes.pair_from  # one hot word: its bigrams
+            vs, us, ws, ns = (found.v_of[found.pair_v], None, found.pair_w, found.pair_n) if one else (found.v_of[found.v_at], found.u, found.w, found.n)
+            size = len(vs)
+            out.append(pa.table([pa.array(np.full(size, 0), pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(np.full(size, part), pa.int64()), pa.nulls(size, pa.int64()) if us is None else pa.array(us), pa.array(vs), pa.array(ws), pa.array(ns)], schema=empty))
+        tidy()
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _by_context(context: np.ndarray, n: np.ndarray, less: np.ndarray, q: np.ndarray):
+    """From sorted contexts: each row's context's place, and (count, discounted count, q of what was seen) a context."""
+    new = np.append(True, context[1:] != context[:-1])
+    cuts, at = np.flatnonzero(new), np.cumsum(new) - 1
+    return at, (np.add.reduceat(n, cuts), np.add.reduceat(less, cuts), np.add.reduceat(np.where(n > 0, q, 0.0), cuts))
+
+
+def _chances(found: _Grams, order: int, d: list[np.ndarray], unigrams: Unigrams, shared: dict | None, whole: tuple | None) -> np.ndarray:
+    """P of each n-gram. ``shared``: P of the bigrams with a hot word, by last word; ``whole``: the sums of a hot pair's context."""
+    if shared is None:
+        p1, less = unigrams.chance(found.pair_w), reduced(found.pair_n, d[2])
+        at, sums = _by_context(found.pair_v, found.pair_n, less, p1)
+        unit, alpha = weights(*sums)
+        p2 = np.where(found.pair_n > 0, less * unit[at], alpha[at] * p1)
     else:
-        raise ValueError("no seed gives each word an id of its own")
-    level = _unigram_level(unigrams, total)
-    # n-grams: those of each order are the ends of the longer ones
-    top = names(order)
-    counted = rows.mapInArrow(_count_grams(order, seed), ", ".join(f"{c} long" for c in top) + ", n long").groupBy(top).agg(F.sum("n").alias("n"))
-    tables = {order: written(counted.withColumn("part", F.pmod(F.xxhash64(*top), F.lit(8))), ["part"]).select(*top, "n")}
-    for k in range(order - 1, 1, -1):
-        ends = [F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)]
-        tables[k] = written(tables[k + 1].select(*ends, "n").groupBy(names(k)).agg(F.sum("n").alias("n")))
-    for k in range(2, order + 1):
-        level = _level(tables[k], level, k)
-    # scores
-    local = rows.mapInArrow(_documents, _SUMS)
-    places = rows.mapInArrow(_gram_places(order, seed), "uid long, " + ", ".join(f"{c} long" for c in top) + ", places binary")
-    summed = places.join(level, top).select("uid", "places", "count", "p").mapInArrow(_sum_grams(base), _SUMS)
-    parts = local.union(summed).repartition("uid").sortWithinPartitions("uid")
-    out = parts.mapInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        p2 = np.array([shared[w] for w in found.pair_w.tolist()])
+    q = p2[found.pair]
+    if order == 2:
+        return q
+    less = reduced(found.n, d[3])
+    at, sums = _by_context(found.context, found.n, less, q)
+    if whole is not None:
+        sums, at = tuple(np.array([x]) for x in whole), np.zeros(len(found.n), np.int64)
+    unit, alpha = weights(*sums)
+    return np.where(found.n > 0, less * unit[at], alpha[at] * q)
+
+
+_SUMS = "uid long, data binary, docs array<long>, held array<boolean>"
+
+
+def _scored(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict[int, tuple]):
+    """A row a batch with the sums of log10 P by text; rows of the batches' own sums are passed on."""
+
+    def run(table: pa.Table, shared: pa.Table | None = None) -> pa.Table:
+        import pyarrow.compute as pc
+
+        own = table.filter(pc.is_valid(table.column("docs"))).select(["uid", "data", "docs", "held"])
+        table = table.filter(pc.is_null(table.column("docs")))
+        if not table.num_rows:
+            return own
+        part, uids = table.column("part")[0].as_py(), table.column("uid").to_pylist()
+        got = [unpack(x) for x in table.column("data").to_pylist()]
+        v, u, w, occurs = (np.concatenate([g[k] for g in got]) for k in range(4))
+        marks = [g[4] for g in got]
+        rows = [len(g[0]) for g in got]
+        del got
+        every = np.concatenate(marks)
+        found = _Grams(v, u, w, np.add.reduceat(every & 1, np.cumsum(occurs) - occurs))
+        del u, v, w, every
+        given = dict(zip(shared.column("w").to_pylist(), shared.column("p").to_pylist())) if part >= routes.cold else None
+        whole = None
+        if part >= routes.pair_from:
+            j = int(np.searchsorted(routes.pair_first, part, "right")) - 1
+            whole = pairs[int(routes.pairs[j])]
+        p = np.log10(_chances(found, routes.order, d, unigrams, given, whole))[found.row]
+        out, at = [], 0
+        for uid, mark, n in zip(uids, marks, rows):
+            sums = np.bincount(mark >> 1, np.repeat(p[at : at + n], occurs[at : at + n]), CHUNK)
+            at += n
+            place = np.flatnonzero(sums)
+            out.append((uid, pack(place, sums[place])))
+        tidy()
+        sums = pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.nulls(len(out), pa.list_(pa.int64())), pa.nulls(len(out), pa.list_(pa.bool_()))], names=["uid", "data", "docs", "held"])
+        return pa.concat_tables([own.cast(sums.schema), sums])
+
+    return run
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """A batch's documents from its sums."""
+    docs = next(r for r in table.to_pylist() if r["docs"] is not None)
+    lengths, known, base, score = unpack(docs["data"])
+    score = score.copy()
+    for row in table.select(["data", "docs"]).to_pylist():
+        if row["docs"] is None:
+            place, sums = unpack(row["data"])
+            score[place] += sums
+    return pa.table({"doc_id": pa.array(docs["docs"], pa.int64()), "held_out": pa.array(docs["held"], pa.bool_()), "n_tokens": lengths, "n_known": known, "base_score": base, "score": score})
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """wpart, word, id: numbers from FIRST by falling count, then word."""
+    keys = [F.desc("n"), F.col("word")]
+    sorted_ = written(words.where("n > 0").repartitionByRange(*keys).sortWithinPartitions(*keys).select("wpart", "word", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    before, offsets = FIRST, []
+    for p, n in sorted(sorted_.groupBy(part.alias("p")).agg(F.count("*")).collect()):  # a row a partition
+        offsets.append((p, before))
+        before += n
+    offset = sorted_.sparkSession.createDataFrame(offsets, "p long, before long")
+    return sorted_.withColumn("p", part).join(F.broadcast(offset), "p").select("wpart", "word", (F.col("before") + F.col("at") - F.shiftleft("p", 33)).alias("id"))
+
+
+def _hot_pairs(coded: DataFrame, ids: DataFrame, cap: int) -> list[tuple[int, int, int]]:
+    """(number, number, times) of neighbours that some batches count over ``cap`` times: at most tokens / cap of them."""
+    summed = coded.where("times is not null").groupBy("word", "next").agg(F.sum("times").alias("times")).where(F.col("times") > cap)
+    one, two = ids.select(F.col("word").alias("a"), F.col("id").alias("u")), ids.select(F.col("word").alias("b"), F.col("id").alias("v"))
+    found = summed.join(one, F.col("word") == F.col("a"), "left").join(two, F.col("next") == F.col("b"), "left")
+    named = lambda word, number: F.when(F.col(word).isNull(), BEGIN).otherwise(F.coalesce(F.col(number), F.lit(UNKNOWN))).cast("long")
+    return [tuple(r) for r in found.select(named("word", "u"), named("next", "v"), "times").collect()]
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean column, ``order`` 2 or 3, ``cap`` about the tokens of a part."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = bucketed(rows.mapInArrow(_coded(width), _CODED), "uid", width)
+    by_part = coded.where("words is not null").select("uid", "wpart", "words", "counts").groupBy("wpart")
+    words = written(by_part.applyInArrow(_counted, "wpart int, word binary, n long"))
+    unigrams = Unigrams(dict(words.where("n > 0").groupBy("n").agg(F.count("*")).collect()))  # a row a count
+    total, base = unigrams.total, float((unigrams.total + 1) * (unigrams.distinct + 1))
+    ids = written(numbered(words))
+    answers = by_part.cogroup(ids.groupBy("wpart")).applyInArrow(_answered, "uid long, wpart int, ids binary")
+    answers = bucketed(answers.groupBy("uid").agg(F.collect_list(F.struct("wpart", "ids")).alias("ids")), "uid", width)
+    texts = coded.where("code is not null").select("uid", "docs", "held", "code")
+    n_texts = texts.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
+    routes = Routes(unigrams, n_texts, _hot_pairs(coded, ids, cap), cap, order)
+    ready = texts.join(answers, "uid").groupBy("uid")
+    sent = "part long, uid long, data binary, docs array<long>, held array<boolean>"
+    tally = written(ready.applyInArrow(_sent(routes, unigrams, False, base), sent).groupBy("part").applyInArrow(_tallied(routes), _TALLY))
+    few = {k: Counter() for k in (2, 3)}
+    for k, r, times in tally.where("level > 0").groupBy("level", "r").agg(F.sum("times")).collect():
+        few[k][r] += times
+    shared, pairs = None, {}
+    if routes.end > routes.cold:
+        pieces = tally.where("level = 0")
+        bigrams = written(pieces.groupBy("v", "w").agg(F.sum("n").alias("n")))
+        for r, times in bigrams.where(F.col("n").between(1, GOOD_TURING + 1)).groupBy("n").agg(F.count("*")).collect():
+            few[2][r] += times
+    d = [np.zeros(1), np.zeros(1), discounts(few[2]), discounts(few[3])]
+    if routes.end > routes.cold:
+        with_p = bigrams.mapInArrow(_with_chance(unigrams), "v long, w long, n long, q double")
+        less = _reduced_column(F.col("n"), d[2])
+        context = with_p.where("n > 0").groupBy("v").agg(F.sum("n").alias("c"), F.sum(less).alias("kept"), F.sum("q").alias("seen"))  # a row a hot word
+        worth = {v: weights(np.array([c]), np.array([kept]), np.array([seen])) for v, c, kept, seen in context.collect()}
+        worth = spark.createDataFrame([(v, float(a[0]), float(b[0])) for v, (a, b) in worth.items()], "v long, unit double, alpha double")
+        p = F.when(F.col("n") > 0, less * F.col("unit")).otherwise(F.coalesce("alpha", F.lit(1.0)) * F.col("q"))
+        known = with_p.join(F.broadcast(worth), "v", "left").select("v", "w", p.alias("p"))
+        shared = written(pieces.select("part", "u", "v", "w", "n").join(known, ["v", "w"]))
+        less = _reduced_column(F.col("n"), d[3])
+        sums = shared.where("u is not null and n > 0").groupBy("u", "v").agg(F.sum("n"), F.sum(less), F.sum("p"))  # a row a hot pair
+        pairs = {(u << 32) + v: (c, kept, seen) for u, v, c, kept, seen in sums.collect()}
+        pairs = {int(k): pairs.get(int(k), (0, 0.0, 0.0)) for k in routes.pairs}
+    sending = ready.applyInArrow(_sent(routes, unigrams, True, base), sent).groupBy("part")
+    work = _scored(routes, unigrams, d, pairs)
+    if shared is None:
+        summed = sending.applyInArrow(lambda t: work(t), _SUMS)
+    else:
+        summed = sending.cogroup(shared.select("part", "w", "p").groupBy("part")).applyInArrow(lambda t, s: work(t, s), _SUMS)
+    out = summed.groupBy("uid").applyInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _with_chance(unigrams: Unigrams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = unigrams.chance(batch.column("w").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q)], ["v", "w", "n", "q"])
+
+    return run

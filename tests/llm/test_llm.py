@@ -54,21 +54,6 @@ def test_secrets_follow_constants():
     assert all(text[a:b] != "bob" for a, b, _ in more)
 
 
-def test_katz_is_normalised():
-    texts = ["a b a c", "b a b", "c"]
-    vocabulary = katz.Vocabulary([b"a", b"b", b"c"])
-    code = vocabulary.codes(texts)[0]
-    codes, r = np.unique(code, return_counts=True)
-    context = np.bincount(code // vocabulary.size, minlength=vocabulary.size).astype(float)
-    unigram = np.array([3, 3, 2, 0, 3.0])
-    model = katz.Model(vocabulary, unigram, context, katz.discounts({1: 5, 2: 2, 3: 1}))
-    model.settle(*model.mass(codes, r))
-    seen = dict(zip(codes.tolist(), r.tolist()))
-    for h in (0, 1, 2, 3, vocabulary.begin):
-        every = np.array([h * vocabulary.size + w for w in range(5)])
-        assert abs((10 ** model.score(every, np.array([seen.get(c, 0) for c in every.tolist()]))).sum() - 1) < 1e-9
-
-
 def brute_components(texts, percent=80):
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for w in ([x for x in (t or "").encode().lower().split()] for t in texts)]
     up = list(range(len(texts)))
@@ -221,28 +206,6 @@ def test_parity_bound_never_exceeds_the_difference():
     assert jaccard.differing(jaccard.parity(a), jaccard.parity(a)[None, :])[0] == 0
 
 
-def test_katz_models_every_training_word(spark):
-    texts = ["a b a c rare once", "b a b rare", "c unique a", "b a once c new", ""]  # the last but one is held out
-    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") == 3, order=2).collect()}
-    train = texts[:3] + texts[4:]
-    counts = collections.Counter(w for t in train for w in katz.tokens(t))
-    words = sorted(w for w in counts if w != katz.END)
-    vocabulary = katz.Vocabulary(words)
-    codes, r = np.unique(vocabulary.codes(train)[0], return_counts=True)
-    context = np.bincount(codes // vocabulary.size, r, vocabulary.size)
-    model = katz.Model(vocabulary, np.array([*(counts[w] for w in words), 0, counts[katz.END]], float), context, katz.discounts(collections.Counter(r.tolist())))
-    d, total = katz.discounts(collections.Counter(counts.values())), sum(counts.values())
-    model.p = np.array([d[n] * n / total if n < len(d) else n / total for n in [*(counts[w] for w in words), 0, counts[katz.END]]])
-    model.p[len(words)] = 1 - model.p.sum()
-    model.settle(*model.mass(codes, r))
-    seen = dict(zip(codes.tolist(), r.tolist()))
-    for i, text in enumerate(texts):
-        code = vocabulary.codes([text])[0]
-        wanted = [model.weight[c // vocabulary.size] * (context[c // vocabulary.size] > 0) + np.log10(model.p[c % vocabulary.size]) if c not in seen else model.score(np.array([c]), np.array([seen[c]]))[0] for c in code.tolist()]
-        assert abs(got[i].score - sum(wanted)) < 1e-9 and got[i].n_tokens == len(code)
-        assert got[i].n_known == sum(w in counts for w in katz.tokens(text))
-
-
 class BruteKatz:
     def __init__(self, texts, order):
         self.c = [collections.Counter() for _ in range(order + 1)]
@@ -272,13 +235,24 @@ class BruteKatz:
         return left if k == 1 else left / (1 - sum(self.p(g[1:]) for g in rows)) * self.p(gram[1:])
 
 
-def test_katz_backs_off_from_trigrams_to_discounted_unigrams(spark):
+@pytest.mark.parametrize("order,cap", [(2, 1 << 20), (2, 20), (3, 1 << 20), (3, 60), (3, 12)])
+def test_katz_backs_off_to_discounted_unigrams(spark, order, cap):
+    """The small caps give hot words and hot pairs parts of their own."""
     rng = np.random.default_rng(5)
-    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 12) if x < 40) for _ in range(25)] + ["w1 w2 never seen w1 w3", "", None]
-    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 5 == 0).collect()}
-    brute = BruteKatz([t for i, t in enumerate(texts) if i % 5], 3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 12) if x < 40) for _ in range(25)] + ["w1 w2 never seen w1 w3", "only held out words", "", None]
+    texts += ["w1 w1 w2 " * 6, "W1 w1 w3"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in katz.score(table, F.col("doc_id") % 5 == 0, order=order, cap=cap).collect()}
+    train = [t for i, t in enumerate(texts) if i % 5]
+    brute = BruteKatz(train, order)
+    counts = collections.Counter(w for t in train for w in katz.tokens(t))
     for i, text in enumerate(texts):
-        assert abs(got[i].score - sum(np.log10(brute.p(g)) for g in brute.grams(text, 3))) < 1e-8, i
+        words = katz.tokens(text)
+        assert abs(got[i].score - sum(np.log10(brute.p(g)) for g in brute.grams(text, order))) < 1e-8, i
+        assert abs(got[i].base_score - sum(np.log10((counts[w] + 1) / ((counts.total() + 1) * (len(counts) + 1))) for w in words)) < 1e-8
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(w in counts for w in words), counts.total())
+    if order == 2:
+        return
     words = [(w[0],) for w in brute.c[1]] + [(b"unseen",)]
     for context in [(None, None), (None, b"w1"), (b"w1", b"w1"), (b"w2", b"w1")]:
         assert abs(sum(brute.p((*context, *w)) for w in words) - 1) < 1e-9
