@@ -114,4 +114,5 @@ def after(a: Column, b: Column) -> Column:
 
 
 def _quoted(delimiter: str) -> str:
-    return "\\" + delimiter if delimiter in "|.$^*+?()[]{}\\" else delimiter
+    """The delimiter as a pattern that means just it."""
+    return "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E"

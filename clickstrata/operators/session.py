@@ -26,9 +26,30 @@ def roll_up(actions: DataFrame) -> DataFrame:
     )
 
 
-def full_info(sessions: DataFrame, users: DataFrame) -> DataFrame:
-    """Inner: sessions of unknown users drop out. Spark broadcasts the users only under its size threshold."""
-    return sessions.join(users.select("user_id", "age", "professional", "city", "sex"), "user_id")
+def full_info(sessions: DataFrame, users: DataFrame, map_side_bytes: int | None = None) -> DataFrame:
+    """Inner: sessions of unknown users drop out.
+
+    Spark broadcasts the users only under its size threshold; ``map_side_bytes`` asks for it up to that size.
+    """
+    users = users.select("user_id", "age", "professional", "city", "sex")
+    return map_side_join(sessions, users, "user_id", map_side_bytes) if map_side_bytes else sessions.join(users, "user_id")
+
+
+def map_side_join(facts: DataFrame, side: DataFrame, key: str, most_bytes: int) -> DataFrame:
+    """An inner join that broadcasts ``side`` while the planner's size of it is at most ``most_bytes``, else a shuffled one."""
+    size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return facts.join(F.broadcast(side) if size <= most_bytes else side.hint("shuffle_merge"), key)
+
+
+def hottest(df: DataFrame, key: str, k: int = 1) -> DataFrame:
+    """The ``k`` most frequent keys with their rows; ties go to the lesser key."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), key).limit(k)
+
+
+def bernoulli_sample(df: DataFrame, key: str, share: float, seed: int = 41) -> DataFrame:
+    """Each row with probability ``share``, by a hash of its key and the seed: partitioning and retries change nothing."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.where(hashed < int(share * (1 << 32)))
 
 
 def matches(p: TaskParams) -> Column:
@@ -77,15 +98,20 @@ def hour_count(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy(F.date_format("start_time", "yyyy-MM-dd").alias("date"), F.date_format("start_time", "HH").alias("hour")).agg(F.count("*").alias("sessions"))
 
 
-def random_extract(sessions: DataFrame, total: int = 1000) -> DataFrame:
+def random_extract(sessions: DataFrame, total: int = 1000, parts: int = 16) -> DataFrame:
     """A sample proportional to each day's hours: total div days a day, shared by hour, rounded down; reproducible by md5 of the id."""
     hours = hour_count(sessions)
     days = hours.agg(F.countDistinct("date").alias("n_days"))  # one row
     of_day = F.sum("sessions").over(Window.partitionBy("date"))
     quota = hours.withColumn("of_day", of_day).crossJoin(F.broadcast(days)).withColumn("quota", F.least("sessions", div(F.col("sessions") * div(F.lit(total), F.col("n_days")), F.col("of_day"))))
     timed = sessions.select("session_id", "start_time", "search_keywords", "click_category_ids", F.date_format("start_time", "yyyy-MM-dd").alias("date"), F.date_format("start_time", "HH").alias("hour"))
-    ranked = timed.withColumn("rn", F.row_number().over(Window.partitionBy("date", "hour").orderBy(F.md5("session_id"), "session_id")))
-    return ranked.join(F.broadcast(quota.select("date", "hour", "quota")), ["date", "hour"]).where("rn <= quota").select("session_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), "search_keywords", "click_category_ids")
+    # ranked by part of an hour first: what the second ranking sees of an hour is at most its quota from each part
+    part = F.pmod(F.xxhash64("session_id"), F.lit(parts))
+    order = [F.md5("session_id"), F.col("session_id")]
+    quotas = quota.where("quota > 0").select("date", "hour", "quota")  # a row an hour
+    first = timed.join(F.broadcast(quotas), ["date", "hour"]).withColumn("rn", F.row_number().over(Window.partitionBy("date", "hour", part).orderBy(*order))).where("rn <= quota")
+    ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("date", "hour").orderBy(*order)))
+    return ranked.where("rn <= quota").select("session_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), "search_keywords", "click_category_ids")
 
 
 def of_sessions(actions: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -145,3 +171,10 @@ def skew_join(facts: DataFrame, side: DataFrame, key: str, row_id: str, salts: i
     left = facts.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)))
     right = side.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def split_skew_join(facts: DataFrame, side: DataFrame, key: str, row_id: str, hot: int = 1, salts: int = 10) -> DataFrame:
+    """An inner join in two branches: rows of the ``hot`` most frequent keys are salted, the others joined plainly; then their union."""
+    keys = hottest(facts, key, hot).select(key)  # so many rows
+    often = skew_join(facts.join(F.broadcast(keys), key, "left_semi"), side.join(F.broadcast(keys), key, "left_semi"), key, row_id, salts)
+    return facts.join(F.broadcast(keys), key, "left_anti").join(side, key).unionByName(often)

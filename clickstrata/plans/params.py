@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .config import Config
+
 
 @dataclass(frozen=True)
 class TaskParams:
@@ -34,6 +36,15 @@ class TaskParams:
         return cls(one("startDate"), one("endDate"), number("startAge"), number("endAge"), many("professionals"), many("cities"), one("sex"), many("keywords"), many("categoryIds", int), many("pageFlow", int))
 
 
+def task_id(arguments: list[str], config: Config | None = None, kind: str = "") -> int:
+    """The first argument, or the setting ``task.id.<kind>``; none of them is an error."""
+    if arguments:
+        return int(arguments[0])
+    if config is None:
+        raise LookupError("no task id given")
+    return config.integer(f"task.id.{kind}")
+
+
 def find_task(tasks: DataFrame, task_id: int) -> TaskParams:
     """The parameters of one task; an unknown id is an error."""
     found = tasks.where(F.col("task_id") == task_id).select("task_param").head(1)

@@ -7,14 +7,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jobs
 from .functions import scalars as fn
 from .operators import ads, funnel, product, session
-from .plans.params import TaskParams
+from .plans.config import Config
+from .plans.params import TaskParams, find_task, task_id
 from .sources import sinks, tables
 from .streaming import ads as stream_ads
 
 PARAMS = TaskParams(start_date="2024-01-03", end_date="2024-01-28", start_age=20, end_age=60, professionals=("AUTOMOBILE", "BUILDING", "MACHINERY"), category_ids=(1, 2, 3, 5, 7, 11))
+ALL_PARAMS = TaskParams(start_age=19, end_age=65, professionals=("AUTOMOBILE", "BUILDING", "MACHINERY"), cities=tuple(f"city{i}" for i in range(0, 25, 2)), sex="male", keywords=("kw1", "kw3", "kw5", "kw7"), category_ids=(1, 2, 3, 5, 7, 11))
 FLOW = (1, 2, 3, 4)
+#: A stored task, as the jobs find it.
+TASKS = [
+    (1, "sessions", '{"startAge":["20"],"endAge":["60"],"professionals":["AUTOMOBILE,BUILDING,MACHINERY"],"categoryIds":["1,2,3,5,7,11"]}'),
+    (2, "pages", '{"pageFlow":["1,2,3,4"]}'),
+    (3, "products", '{"startDate":["2024-01-01"],"endDate":["2024-01-30"]}'),
+    (4, "days", '{"startDate":["2024-01-03"],"endDate":["2024-01-28"],"sex":["male"],"cities":["city1,city2"],"keywords":["kw1"]}'),
+]
+PROPERTIES = """
+# a job's settings
+local = true
+task.id.sessions = 1
+kafka.topics: ads
+blacklist.threshold = 3
+"""
+#: Ends of the first and the second batch of the replayed ad log.
+BATCH_ENDS = ("2024-01-10 12:00:00", "2024-01-20 12:00:00")
 THRESHOLD = 3
 SAMPLE = 1000
 
@@ -28,6 +47,12 @@ def _actions(spark, d) -> DataFrame:
     return tables.user_visit_action(spark, d)
 
 
+def _ranged(spark, d) -> DataFrame:
+    """The days of the parameters, cut in the scan."""
+    _utc(spark)
+    return tables.user_visit_action(spark, d, PARAMS.start_date, PARAMS.end_date)
+
+
 def _full(spark, d) -> DataFrame:
     return session.full_info(session.roll_up(_actions(spark, d)), tables.user_info(spark, d))
 
@@ -58,29 +83,132 @@ def _black(spark, d) -> DataFrame:
     return ads.blacklist(ads.user_click_count(_log(spark, d)), THRESHOLD)
 
 
-def _events_dir(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _folder(spark) -> str:
+    """A new folder under the shared one; it goes with the application. Tests on one machine have the warehouse's parent."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/behaviour-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def _streamed(spark, d, start, keys: list[str]) -> DataFrame:
-    """Runs a stream over the ad log, stored as three files, to its end; then the state by key."""
-    base = _events_dir(spark)
+    """Runs a stream over the ad log, stored as three files in no order of time, to its end; then the state by key."""
+    base = _folder(spark)
     log = _log(spark, d)
     log.repartitionByRange(3, "ts").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = start(stream, f"{base}/out", f"{base}/checkpoint", True, "40 days")  # file order is not time order
+    query = start(stream, f"{base}/out", f"{base}/checkpoint", True, None)  # a replay of stored rows has no late ones
     query.awaitTermination()
     return sinks.keep_latest(spark.read.parquet(f"{base}/out"), keys, "click_count")
 
 
+def _lines(spark, d) -> str:
+    """The ad log as three text files, a batch each, in order of time."""
+    path = f"{_folder(spark)}/lines"
+    log = _log(spark, d)
+    ends = [None, *BATCH_ENDS, None]
+    for low, high in zip(ends, ends[1:]):
+        part = log if low is None else log.where(F.col("ts") >= F.lit(low).cast("timestamp"))
+        part = part if high is None else part.where(F.col("ts") < F.lit(high).cast("timestamp"))
+        tables.ad_log_lines(part).coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def _ad_job(spark, d, table: str) -> DataFrame:
+    """One result table of the ad job after its three batches."""
+    base = _folder(spark)
+    jobs.stream_ads.run(jobs.ad_job(tables.text_lines(spark, _lines(spark, d)), f"{base}/out", f"{base}/checkpoint", THRESHOLD, True))
+    found = spark.read.schema(_AD_TABLES[table]).parquet(f"{base}/out/{table}")
+    return found.select([c for c in found.columns if c not in ("before", "batch_id")])
+
+
+_AD_TABLES = {
+    "ad_user_click_count": "date string, user_id long, ad_id long, click_count long",
+    "ad_blacklist": "user_id long, batch_id long",
+    "ad_stat": "date string, province string, city string, ad_id long, click_count long",
+    "ad_province_top3": "date string, province string, ad_id long, click_count long",
+    "ad_click_trend": "date string, hour string, minute string, ad_id long, click_count long",
+}
+
+
+def _parsed_stream(spark, d) -> DataFrame:
+    """The log read back by the line parser in a stream."""
+    base = _folder(spark)
+    parsed = tables.parse_ad_log(tables.text_lines(spark, _lines(spark, d), 1))
+    parsed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _tasks(spark) -> DataFrame:
+    return spark.createDataFrame(TASKS, "task_id long, task_name string, task_param string")
+
+
+def _job(job, name: str):
+    """A stored result table of a job run on the views."""
+
+    def run(spark, d) -> DataFrame:
+        _utc(spark)
+        number = {"session_job": 1, "page_job": 2, "product_job": 3}[job.__name__]
+        source = lambda table: tables.source(spark, table, d, Config.parse(PROPERTIES))
+        return jobs.results(spark, job(source, _tasks(spark), number, _folder(spark))[name])
+
+    return run
+
+
+def _jdbc(spark, d, name: str, df: DataFrame) -> DataFrame:
+    """``df`` written to a database and read back; the bundled one lives in this process' memory."""
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex}"
+    sinks.jdbc(df, f"{url};create=true", name)
+    return tables.jdbc(spark, url, name).select(*[F.col(c.upper()).alias(c) for c in df.columns])
+
+
+def _task_row(spark, d) -> DataFrame:
+    """A task looked up in a database by an id from the settings."""
+    stored = _jdbc(spark, d, "task", _tasks(spark))
+    rows = []
+    for number in (task_id([], Config.parse(PROPERTIES), "sessions"), task_id(["4"])):
+        p = find_task(stored, number)
+        rows.append((number, p.start_date, p.end_date, p.start_age, p.end_age, ",".join(p.professionals), ",".join(p.cities), p.sex, ",".join(p.keywords), ",".join(map(str, p.category_ids))))
+    return spark.createDataFrame(rows, "task_id long, start_date string, end_date string, start_age int, end_age int, professionals string, cities string, sex string, keywords string, category_ids string")
+
+
+def _config(spark, d) -> DataFrame:
+    c = Config.parse(PROPERTIES)
+    row = (c.boolean("local"), c.integer("task.id.sessions"), c.text("kafka.topics"), c.integer("blacklist.threshold"), c.boolean("absent", False))
+    return spark.createDataFrame([row], "local boolean, task_id long, topics string, threshold long, absent boolean")
+
+
+def _view_sql(spark, d) -> DataFrame:
+    _utc(spark)
+    tables.register_views(spark, d)
+    return spark.sql("SELECT c.area, u.sex, count(*) AS clicks FROM user_visit_action a JOIN user_info u ON u.user_id = a.user_id JOIN city_info c ON c.city_id = a.city_id WHERE a.click_product_id IS NOT NULL GROUP BY c.area, u.sex")
+
+
+def _compared(spark, d) -> DataFrame:
+    t, noon = F.col("action_time"), F.lit("2024-01-15 12:00:00").cast("timestamp")
+    return _actions(spark, d).select("event_id", fn.before(t, noon).alias("is_before"), fn.after(t, noon).alias("is_after"), fn.format_date(t).alias("day"), (fn.today() > fn.yesterday()).alias("later"), F.date_diff(fn.today().cast("date"), fn.yesterday().cast("date")).alias("apart"))
+
+
 def _scalars(spark, d) -> DataFrame:
     s = F.concat(F.lit("sid="), F.col("session_id"), F.lit("|page="), F.col("page_id").cast("string"), F.lit("|kw="), F.coalesce("search_keyword", F.lit("")))
     return _actions(spark, d).select("event_id", s.alias("kv"))
 
 
+def _long_delimiter(spark, d) -> DataFrame:
+    kv = _scalars(spark, d).select("event_id", F.replace("kv", F.lit("|"), F.lit("||")).alias("kv"))
+    return kv.select("event_id", fn.concat_kv_get(F.col("kv"), "page", "||").alias("page"), fn.concat_kv_set(F.col("kv"), "page", "99", "||").alias("kv"))
+
+
+def _split_skew(spark, d) -> DataFrame:
+    facts, side = _actions(spark, d).select("event_id", "user_id", "page_id"), tables.user_info(spark, d).select("user_id", "age", "sex")
+    return session.split_skew_join(facts, side, "user_id", "event_id", 3).select("event_id", "user_id", "page_id", "age", "sex")
+
+
 def _skewed(spark, d) -> DataFrame:
     joined = session.skew_join(_actions(spark, d).select("event_id", "user_id", "page_id"), tables.user_info(spark, d).select("user_id", "age", "sex"), "user_id", "event_id")
     return joined.select("event_id", "user_id", "page_id", "age", "sex")
@@ -112,7 +240,7 @@ def queries() -> dict:
         "area_product_click_count": lambda s, d: product.area_count(product.click_basic(a(s, d), tables.city_info(s, d))),
         "click_product_basic": lambda s, d: product.click_basic(a(s, d), tables.city_info(s, d)),
         "full_product_info": _area_full,
-        "action_date_range": lambda s, d: tables.date_range(a(s, d), PARAMS.start_date, PARAMS.end_date).select("date", "event_id", "user_id", "session_id", "page_id", "search_keyword", "click_category_id", "order_category_ids", "pay_category_ids", "city_id", F.date_format("action_time", "yyyy-MM-dd HH:mm:ss").alias("action_time")),
+        "action_date_range": lambda s, d: tables.date_range(_ranged(s, d), PARAMS.start_date, PARAMS.end_date).select("date", "event_id", "user_id", "session_id", "page_id", "search_keyword", "click_category_id", "order_category_ids", "pay_category_ids", "city_id", F.date_format("action_time", "yyyy-MM-dd HH:mm:ss").alias("action_time")),
         "session_aggr": lambda s, d: _shown(session.roll_up(a(s, d))),
         "session_full_info": lambda s, d: _shown(_full(s, d)),
         "session_filter": lambda s, d: _shown(_kept(s, d)),
@@ -147,6 +275,26 @@ def queries() -> dict:
         "concat_kv_set": lambda s, d: _scalars(s, d).select("event_id", fn.concat_kv_set(F.col("kv"), "page", "99").alias("kv")),
         "date_functions": _dates,
         "string_functions": _strings,
+        "concat_kv_long_delimiter": _long_delimiter,
+        "date_comparisons": _compared,
+        "session_filter_all": lambda s, d: _shown(session.keep(_full(s, d), ALL_PARAMS)),
+        "session_full_info_map_side": lambda s, d: _shown(session.full_info(session.roll_up(a(s, d)), tables.user_info(s, d), 64 << 20)),
+        "hottest_user": lambda s, d: session.hottest(a(s, d), "user_id", 3),
+        "bernoulli_sample": lambda s, d: session.bernoulli_sample(a(s, d).select("event_id", "user_id", "session_id"), "event_id", 0.3),
+        "skew_join_split": _split_skew,
+        "jdbc_city_info": lambda s, d: _jdbc(s, d, "city_info", tables.city_info(s, d)),
+        "catalog_user_info": lambda s, d: tables.source(s, "user_info", d, Config.parse(PROPERTIES)).select("user_id", "age", "professional", "city", "sex"),
+        "temp_view_sql": _view_sql,
+        "task_params": _task_row,
+        "job_config": _config,
+        "console_top10_category": lambda s, d: sinks.console(_top(s, d), 10),
+        "ad_log_lines": lambda s, d: tables.ad_log_lines(log(s, d)),
+        "ad_log_parsed": lambda s, d: tables.parse_ad_log(tables.ad_log_lines(log(s, d))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+        "stream_ad_log_parsed": _parsed_stream,
+        **{f"job_{name}": _job(jobs.session_job, name) for name in ("session_aggr_stat", "session_random_extract", "session_detail", "top10_category", "top10_session")},
+        "job_page_convert_rate": _job(jobs.page_job, "page_convert_rate"),
+        "job_area_top3_product": _job(jobs.product_job, "area_top3_product"),
+        **{f"job_{name}": (lambda s, d, name=name: _ad_job(s, d, name)) for name in _AD_TABLES},
         "stream_ad_stat": lambda s, d: _streamed(s, d, stream_ads.ad_stat, ["date", "province", "city", "ad_id"]),
         "stream_ad_click_trend": lambda s, d: _streamed(s, d, stream_ads.click_trend, ["date", "hour", "minute", "ad_id"]),
     }
@@ -214,6 +362,21 @@ stat AS (SELECT strftime(ts, '%Y-%m-%d') AS date, province, city, ad_id, count(*
 trend AS (SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count FROM log GROUP BY 1, 2, 3, 4),
 kv AS (SELECT event_id, 'sid=' || session_id || '|page=' || page_id || '|kw=' || coalesce(search_keyword, '') AS kv FROM act)
 """
+#: The jobs' own tables: sessions without a range of days; the ad log in batches, each without the users that earlier ones list.
+_JOBS = """,
+jhours AS (SELECT substr(start_time, 1, 10) AS date, substr(start_time, 12, 2) AS hour, count(*) AS sessions FROM kept GROUP BY 1, 2),
+jquota AS (SELECT date, hour, least(sessions, (sessions * (1000 // (SELECT count(DISTINCT date) FROM jhours))) // cast(sum(sessions) OVER (PARTITION BY date) AS bigint)) AS quota FROM jhours),
+jsampled AS (SELECT session_id, start_time, search_keywords, click_category_ids FROM (
+  SELECT *, row_number() OVER (PARTITION BY substr(start_time, 1, 13) ORDER BY md5(session_id), session_id) AS rn FROM kept) x
+  JOIN jquota ON jquota.date = substr(start_time, 1, 10) AND jquota.hour = substr(start_time, 12, 2) WHERE rn <= quota),
+named AS (SELECT ts, replace(province, ' ', '_') AS province, replace(city, ' ', '_') AS city, user_id, ad_id, strftime(ts, '%Y-%m-%d') AS date,
+  CASE WHEN ts < TIMESTAMP '2024-01-10 12:00:00' THEN 0 WHEN ts < TIMESTAMP '2024-01-20 12:00:00' THEN 1 ELSE 2 END AS batch FROM log),
+black0 AS (SELECT DISTINCT user_id FROM (SELECT date, user_id, ad_id FROM named WHERE batch = 0 GROUP BY ALL HAVING count(*) >= 3)),
+good1 AS (SELECT * FROM named WHERE batch = 0 OR batch = 1 AND user_id NOT IN (SELECT user_id FROM black0)),
+black1 AS (SELECT DISTINCT user_id FROM (SELECT date, user_id, ad_id FROM good1 GROUP BY ALL HAVING count(*) >= 3)),
+good2 AS (SELECT * FROM good1 UNION ALL SELECT * FROM named WHERE batch = 2 AND user_id NOT IN (SELECT user_id FROM black1)),
+jstat AS (SELECT date, province, city, ad_id, count(*) AS click_count FROM good2 GROUP BY ALL)
+"""
 _DETAIL = "event_id, user_id, session_id, page_id, action_time, search_keyword, coalesce(click_category_id, -1) AS click_category_id, coalesce(click_product_id, -1) AS click_product_id, order_category_ids, order_product_ids, pay_category_ids, pay_product_ids"
 
 
@@ -263,7 +426,35 @@ def oracle_sql() -> dict[str, str]:
         "concat_kv_set": "SELECT event_id, regexp_replace(kv, '\\|page=[^|]*', '|page=99') AS kv FROM kv",
         "date_functions": "SELECT event_id, replace(substr(action_time, 1, 13), ' ', '_') AS date_hour, strftime(make_timestamp(secs * 1000000), '%Y%m%d%H%M') AS minute_key, strftime(make_timestamp(secs * 1000000), '%Y%m%d') AS date_key, substr(action_time, 1, 10) AS parsed_date, action_time AS time, true AS bad_time, secs - 1704067200 AS seconds FROM act",
         "string_functions": "SELECT event_id, search_keyword IS NULL AS no_keyword, coalesce(order_category_ids, '') AS trimmed, lpad(page_id || '', 2, '0') AS page, city_id || ':' || session_id AS city_session, session_id AS unsalted FROM act",
+        "concat_kv_long_delimiter": "SELECT event_id, regexp_extract(kv, 'page=([^|]+)', 1) AS page, replace(regexp_replace(kv, '\\|page=[^|]*', '|page=99'), '|', '||') AS kv FROM kv",
+        "date_comparisons": "SELECT event_id, secs < 1705320000 AS is_before, secs > 1705320000 AS is_after, substr(action_time, 1, 10) AS day, true AS later, 1::INTEGER AS apart FROM act",
+        "session_filter_all": "SELECT * FROM full_s WHERE age BETWEEN 19 AND 65 AND professional IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') AND cast(substr(city, 5) AS int) % 2 = 0 AND sex = 'male' AND len(list_intersect(string_split(search_keywords, ','), ['kw1', 'kw3', 'kw5', 'kw7'])) > 0 AND len(list_intersect(string_split(click_category_ids, ','), ['1', '2', '3', '5', '7', '11'])) > 0",
+        "session_full_info_map_side": "SELECT * FROM full_s",
+        "hottest_user": "SELECT user_id, count(*) AS rows FROM act GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
+        "bernoulli_sample": "SELECT event_id, user_id, session_id FROM act WHERE cast('0x' || substr(md5('41_' || event_id), 1, 8) AS bigint) < cast(floor(0.3 * 4294967296) AS bigint)",
+        "skew_join_split": "SELECT event_id, user_id, page_id, age, sex FROM act JOIN users USING (user_id)",
+        "jdbc_city_info": "SELECT * FROM cities",
+        "catalog_user_info": "SELECT user_id, age, professional, city, sex FROM users",
+        "temp_view_sql": "SELECT area, sex, count(*) AS clicks FROM clicks_of JOIN users USING (user_id) GROUP BY ALL".replace("clicks_of", "(SELECT user_id, area FROM act JOIN cities USING (city_id) WHERE click_product_id IS NOT NULL)"),
+        "task_params": "SELECT 1::BIGINT AS task_id, NULL::VARCHAR AS start_date, NULL::VARCHAR AS end_date, 20 AS start_age, 60 AS end_age, 'AUTOMOBILE,BUILDING,MACHINERY' AS professionals, '' AS cities, NULL::VARCHAR AS sex, '' AS keywords, '1,2,3,5,7,11' AS category_ids UNION ALL SELECT 4, '2024-01-03', '2024-01-28', NULL, NULL, '', 'city1,city2', 'male', 'kw1', ''",
+        "job_config": "SELECT true AS local, 1::BIGINT AS task_id, 'ads' AS topics, 3::BIGINT AS threshold, false AS absent",
+        "console_top10_category": "SELECT * FROM top10",
+        "ad_log_lines": "SELECT (epoch_us(ts) // 1000) || ' ' || province || ' ' || city || ' ' || user_id || ' ' || ad_id AS value FROM named",
+        "ad_log_parsed": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, province, city, user_id, ad_id FROM named",
+        "stream_ad_log_parsed": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, province, city, user_id, ad_id FROM named",
+        "job_session_aggr_stat": f"SELECT count(*) AS session_count, {_buckets('visit_length', visit, True)}, {_buckets('step_length', step, True)}, 1::BIGINT AS task_id FROM kept",
+        "job_session_random_extract": "SELECT *, 1::BIGINT AS task_id FROM jsampled",
+        "job_session_detail": f"SELECT {_DETAIL}, 1::BIGINT AS task_id FROM act WHERE session_id IN (SELECT session_id FROM jsampled) UNION ALL SELECT d.*, 1 FROM (SELECT {_DETAIL} FROM ka) d JOIN (SELECT session_id FROM ts10) t USING (session_id)",
+        "job_top10_category": "SELECT *, 1::BIGINT AS task_id FROM top10",
+        "job_top10_session": "SELECT *, 1::BIGINT AS task_id FROM ts10",
+        "job_page_convert_rate": "SELECT string_agg(split || '=' || coalesce(printf('%.2f', rate), 'null'), '|' ORDER BY step) AS convert_rate, 2::BIGINT AS task_id FROM rates",
+        "job_area_top3_product": "SELECT area, CASE WHEN area IN ('AFRICA', 'AMERICA') THEN 'A级' WHEN area = 'ASIA' THEN 'B级' WHEN area = 'EUROPE' THEN 'C级' ELSE 'D级' END AS area_level, product_id, click_count, city_infos, product_name, product_status, 3::BIGINT AS task_id FROM fullp QUALIFY row_number() OVER (PARTITION BY area ORDER BY click_count DESC, product_id) <= 3",
+        "job_ad_user_click_count": "SELECT date, user_id, ad_id, count(*) AS click_count FROM good2 GROUP BY ALL",
+        "job_ad_blacklist": "SELECT DISTINCT user_id FROM (SELECT date, user_id, ad_id FROM good2 GROUP BY ALL HAVING count(*) >= 3)",
+        "job_ad_stat": "SELECT * FROM jstat",
+        "job_ad_province_top3": "SELECT date, province, ad_id, cast(sum(click_count) AS bigint) AS click_count FROM jstat GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY date, province ORDER BY sum(click_count) DESC, ad_id) <= 3",
+        "job_ad_click_trend": "SELECT * FROM trend",
         "stream_ad_stat": "SELECT strftime(ts, '%Y-%m-%d') AS date, province, city, ad_id, count(*) AS click_count FROM log GROUP BY 1, 2, 3, 4",
         "stream_ad_click_trend": "SELECT * FROM trend",
     }
-    return {name: f"{_BASE}\n{sql}" for name, sql in own.items()}
+    return {name: f"{_BASE}{_JOBS}\n{sql}" for name, sql in own.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.config import Config
+
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,16 +45,43 @@ def date_range(df: DataFrame, start: str | None, end: str | None, column: str =
     return df
 
 
+VIEWS = ("user_visit_action", "user_info", "product_info", "city_info", "ad_log")
+
+
+def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = VIEWS) -> None:
+    """The views over the synthetic tables, as temporary views of the session."""
+    for name in names:
+        globals()[name](spark, sf_dir).createOrReplaceTempView(name)
+
+
+def source(spark: SparkSession, name: str, sf_dir: str, config: Config) -> DataFrame:
+    """A table of the catalog, or, where the setting ``local`` says so, the synthetic view of its name."""
+    if config.boolean("local", False):
+        register_views(spark, sf_dir, (name,))
+    return catalog(spark, name)
+
+
+def ad_log_lines(log: DataFrame) -> DataFrame:
+    """An ad log as lines ``epochms province city userid adid``; blanks inside names become underscores."""
+    word = lambda c: F.translate(c, " ", "_")
+    return log.select(F.concat_ws(" ", F.unix_millis("ts"), word("province"), word("city"), "user_id", "ad_id").alias("value"))
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
 
-def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The click log: one row an action."""
+def user_visit_action(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The click log: one row an action. Days outside ``start`` to ``end`` (inclusive) are left out in the scan."""
     whole = lambda a, b: F.call_function("div", a, b)
     kind = lambda name, value: F.when(F.col("event_type") == name, value)
     k, s, p = F.col("k"), F.col("s"), F.col("p")
-    e = stored(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", _k().alias("k"), (F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(1704067200)).alias("s"))
+    events = stored(spark, sf_dir, "events")
+    if start:
+        events = events.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    if end:
+        events = events.where(F.col("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+    e = events.select("event_id", "ts", "user_id", "event_type", _k().alias("k"), (F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(1704067200)).alias("s"))
     e = e.withColumn("p", F.when(F.col("user_id") % 3 == 0, 86400).when(F.col("user_id") % 3 == 1, 864000).otherwise(2592000).cast("long"))
     at = F.lit(1704067200) + whole(s, p) * p + (F.col("user_id") % 23) * 3600 + whole(s % p, whole(p, F.lit(2160)))
     return e.select(

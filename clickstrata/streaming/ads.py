@@ -5,6 +5,8 @@ Input streams have ts (timestamp), province, city, user_id, ad_id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,50 +20,84 @@ def _start(df: DataFrame, each, checkpoint: str, available_now: bool, mode: str
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
-def ad_stat(log: DataFrame, path: str, checkpoint: str, available_now: bool = False, watermark: str = "2 days") -> StreamingQuery:
-    """Running totals by day, place and ad. State goes once a day is older than the watermark."""
-    by = log.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("w"), "province", "city", "ad_id").count()
+def ad_stat(log: DataFrame, path: str, checkpoint: str, available_now: bool = False, watermark: str | None = "2 days") -> StreamingQuery:
+    """Running totals by day, place and ad. State goes once a day is older than the watermark; without one it stays."""
+    late = log.withWatermark("ts", watermark) if watermark else log
+    by = late.groupBy(F.window("ts", "1 day").alias("w"), "province", "city", "ad_id").count()
     flat = by.select(F.date_format("w.start", "yyyy-MM-dd").alias("date"), "province", "city", "ad_id", F.col("count").alias("click_count"))
     return _start(flat, lambda df, i: sinks.append_batch(df, i, path), checkpoint, available_now)
 
 
-def click_trend(log: DataFrame, path: str, checkpoint: str, available_now: bool = False, watermark: str = "2 hours") -> StreamingQuery:
+def click_trend(log: DataFrame, path: str, checkpoint: str, available_now: bool = False, watermark: str | None = "2 hours") -> StreamingQuery:
     """Clicks a minute and ad, of all users."""
-    by = log.withWatermark("ts", watermark).groupBy(F.window("ts", "1 minute").alias("w"), "ad_id").count()
+    late = log.withWatermark("ts", watermark) if watermark else log
+    by = late.groupBy(F.window("ts", "1 minute").alias("w"), "ad_id").count()
     part = lambda f, name: F.date_format("w.start", f).alias(name)
     flat = by.select(part("yyyy-MM-dd", "date"), part("HH", "hour"), part("mm", "minute"), "ad_id", F.col("count").alias("click_count"))
     return _start(flat, lambda df, i: sinks.append_batch(df, i, path), checkpoint, available_now)
 
 
+@dataclass(frozen=True)
+class Tables:
+    """Where the job keeps its results, each partitioned by date but for the list of users."""
+
+    base: str
+
+    def __getattr__(self, name: str) -> str:
+        return f"{self.base}/{name}"
+
+
+USER_KEYS = ["date", "user_id", "ad_id"]
+STAT_KEYS = ["date", "province", "city", "ad_id"]
+TREND_KEYS = ["date", "hour", "minute", "ad_id"]
+
+
+def black_users(spark, path: str, before: int | None = None) -> DataFrame:
+    """The users listed so far, read anew at each call; with ``before`` by earlier batches only."""
+    listed = sinks.read_or_empty(spark, path, "user_id long, batch_id long")
+    return (listed if before is None else listed.where(F.col("batch_id") < before)).select("user_id").distinct()
+
+
+def extend_blacklist(totals: DataFrame, black: DataFrame, path: str, batch_id: int, threshold: int) -> None:
+    sinks.append_batch(ads.blacklist(totals, threshold).join(black, "user_id", "left_anti"), batch_id, path)
+
+
 def filtered(log: DataFrame, path: str, blacklist_path: str, checkpoint: str, threshold: int = 100, available_now: bool = False) -> StreamingQuery:
-    """Clicks of users not on the list, which each batch reads anew and then extends.
+    """Running counts a day, user and ad, of users not on the list, which each batch reads anew and then extends.
 
     Order within a batch: drop listed users' clicks, add the rest to the day counts, list users that reach the
-    threshold. A user listed by a batch is filtered from the next one on.
+    threshold. A user listed by a batch is filtered from the next one on. A batch reads the days it has rows for.
     """
 
     def each(df: DataFrame, i: int) -> None:
-        spark = df.sparkSession
-        black = _read(spark, blacklist_path, "user_id long, batch_id long").where(F.col("batch_id") < i).select("user_id")
-        kept = ads.without(df, black)
-        sinks.append_batch(ads.user_click_count(kept), i, path)
-        totals = _read(spark, path, "date string, user_id long, ad_id long, click_count long, batch_id long").where(F.col("batch_id") <= i).groupBy("date", "user_id", "ad_id").agg(F.sum("click_count").alias("click_count"))
-        sinks.append_batch(ads.blacklist(totals, threshold).join(black, "user_id", "left_anti"), i, blacklist_path)
+        black = black_users(df.sparkSession, blacklist_path, i)
+        totals = sinks.accumulate(ads.user_click_count(ads.without(df, black)), i, path, USER_KEYS)
+        extend_blacklist(totals, black, blacklist_path, i, threshold)
 
     return _start(log, each, checkpoint, available_now, "append")
 
 
-def _read(spark, path: str, schema: str) -> DataFrame:
-    """A table that may not be there yet."""
-    from pyspark.errors import AnalysisException
+def job(log: DataFrame, out: Tables, checkpoint: str, threshold: int = 100, top: int = 3, available_now: bool = False) -> StreamingQuery:
+    """The whole ad job on one stream: user counts, list of users, totals and top ads over the filtered log, trend over the raw one."""
 
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    def each(df: DataFrame, i: int) -> None:
+        df = df.persist()
+        black = black_users(df.sparkSession, out.ad_blacklist, i)
+        good = ads.without(df, black).persist()
+        totals = sinks.accumulate(ads.user_click_count(good), i, out.ad_user_click_count, USER_KEYS)
+        extend_blacklist(totals, black, out.ad_blacklist, i, threshold)
+        stats = sinks.accumulate(ads.stat(good), i, out.ad_stat, STAT_KEYS)
+        sinks.replace_partitions(ads.province_top(stats, top), out.ad_province_top3, "date", "province")
+        sinks.accumulate(ads.click_trend(df), i, out.ad_click_trend, TREND_KEYS)
+        good.unpersist()
+        df.unpersist()
+
+    return _start(log, each, checkpoint, available_now, "append")
 
 
-def province_top(stats_path: str, path: str, spark, k: int = 3) -> None:
-    """The top ads a day and province from the running totals; replaces the days it computes."""
-    stats = sinks.keep_latest(spark.read.parquet(stats_path), ["date", "province", "city", "ad_id"], "click_count")
-    sinks.replace_partitions(ads.province_top(stats, k), path, "date", "province")
+def run(query: StreamingQuery, seconds: int | None = None) -> bool:
+    """Waits for the query's end, at most so long, then stops it; whether it ended by itself. Its failure is raised."""
+    try:
+        return query.awaitTermination(seconds) if seconds else query.awaitTermination() is None
+    finally:
+        query.stop()

@@ -10,7 +10,7 @@ from clickstrata.sources import tables
 from clickstrata.streaming import ads as stream_ads
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["area_top3_product", "session_filter", "session_aggr_stat", "session_random_extract", "top10_session_detail", "page_convert_rate", "skew_join", "ad_province_top3", "ad_trend_last_hour", "concat_kv_set", "stream_ad_stat"]
+QUERIES = ["area_top3_product", "session_filter", "session_aggr_stat", "session_random_extract", "top10_session_detail", "page_convert_rate", "skew_join", "ad_province_top3", "ad_trend_last_hour", "concat_kv_set", "stream_ad_stat", "session_filter_all", "skew_join_split", "jdbc_city_info", "temp_view_sql", "task_params", "bernoulli_sample", "job_session_detail", "job_ad_province_top3", "job_ad_blacklist"]
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,57 @@ def test_blacklist_works_from_the_next_batch(spark, tmp_path):
         stream_ads.filtered(log, str(tmp_path / "out"), str(tmp_path / "black"), str(tmp_path / "cp"), 3, True).awaitTermination()
     assert {r.user_id for r in spark.read.parquet(str(tmp_path / "black")).collect()} == {7, 8}
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).groupBy("user_id").agg(F.sum("click_count")).collect()} == {(7, 3), (8, 3)}
+
+
+def test_a_repeated_batch_adds_up_once(spark, tmp_path):
+    from clickstrata.sources import sinks
+
+    path, keys = str(tmp_path / "state"), ["date", "ad_id"]
+    batch = lambda *rows: spark.createDataFrame(list(rows), "date string, ad_id long, click_count long")
+    state = lambda: {(r.date, r.ad_id): r.click_count for r in spark.read.parquet(path).collect()}
+    sinks.accumulate(batch(("2024-01-01", 1, 5), ("2024-01-02", 1, 1)), 0, path, keys)
+    for _ in range(2):  # the second time as after a failure
+        got = sinks.accumulate(batch(("2024-01-02", 1, 2), ("2024-01-02", 2, 7)), 1, path, keys)
+        assert {(r.date, r.ad_id, r.click_count) for r in got.collect()} == {("2024-01-02", 1, 3), ("2024-01-02", 2, 7)}
+    sinks.accumulate(batch(("2024-01-02", 2, 1)), 2, path, keys)
+    assert {(str(d), a): n for (d, a), n in state().items()} == {("2024-01-01", 1): 5, ("2024-01-02", 1): 3, ("2024-01-02", 2): 8}
+
+
+def test_a_job_run_again_replaces_its_results(spark, tmp_path):
+    from clickstrata import jobs
+    from clickstrata.plans.config import Config
+
+    source = lambda name: tables.source(spark, name, SF, Config.parse("local=yes"))
+    tasks = spark.createDataFrame(behaviour.TASKS, "task_id long, task_name string, task_param string")
+    for _ in range(2):
+        paths = jobs.page_job(source, tasks, 2, str(tmp_path))
+    assert jobs.results(spark, paths["page_convert_rate"]).count() == 1
+    with pytest.raises(LookupError):
+        jobs.product_job(source, tasks, 99, str(tmp_path))
+
+
+def test_settings():
+    from clickstrata.plans.config import Config
+    from clickstrata.plans.params import task_id
+
+    c = Config.parse("# x\na = 1\nb: yes\n\na=2")
+    assert c.integer("a") == 2 and c.boolean("b") and c.text("none", "d") == "d" and task_id(["7"]) == 7
+    for fails in (lambda: c.text("none"), lambda: c.boolean("a2", None), lambda: Config.parse("a=maybe").boolean("a")):
+        with pytest.raises((KeyError, ValueError)):
+            fails()
+
+
+def test_long_delimiters_and_blank_ids(spark):
+    df = spark.createDataFrame([("a=1||b=2|3||c=",)], "kv string")
+    assert df.select(fn.concat_kv_get(F.col("kv"), "b", "||"), fn.concat_kv_get(F.col("kv"), "c", "||"), fn.concat_kv_set(F.col("kv"), "a", "9", "||")).first()[:] == ("2|3", None, "a=9||b=2|3||c=")
+
+
+def test_broadcast_only_under_the_given_size(spark):
+    facts, side = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k")
+    plan = lambda n: session.map_side_join(facts, side, "k", n)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(1 << 20) and "SortMergeJoin" in plan(10)
+
+
+def test_bad_log_lines_are_dropped(spark):
+    lines = ["1704067200000 p c 7 1", "x p c 7 1", "1704067200000 p c", "", "1704067200000 p c seven 1"]
+    assert tables.parse_ad_log(spark.createDataFrame([(x,) for x in lines], "value string")).count() == 1
