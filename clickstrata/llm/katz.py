@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bucketed, tidy, written
@@ -125,10 +125,6 @@ def reduced(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(n < len(d), d[np.minimum(n, len(d) - 1)], 1.0) * n
 
 
-def _reduced_column(n: Column, d: np.ndarray) -> Column:
-    return F.when(n.between(1, GOOD_TURING), n * F.element_at(F.array(*[F.lit(float(x)) for x in d[1:]]), F.greatest(F.least(n, F.lit(GOOD_TURING)), F.lit(1)).cast("int"))).otherwise(n.cast("double"))
-
-
 def weights(c: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By context, from its count, its discounted count and the shorter contexts' probability of what it saw: what a discounted count is worth, and alpha.
 
@@ -409,34 +405,90 @@ def _few(n: np.ndarray) -> list[tuple[int, int]]:
     return [(r, int(times[r])) for r in range(1, GOOD_TURING + 2) if times[r]]
 
 
-_TALLY = "level int, r long, times long, part long, u long, v long, w long, n long"
+_TALLY = "level int, r long, times long, part long, u long, v long, share long, data binary"
+
+
+def _rows_of(schema: str, columns: dict) -> pa.Table:
+    """A table of the named columns; the schema's others are null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    n = len(next(iter(columns.values())))
+    return pa.table([pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
 def _tallied(routes: Routes):
-    """Counts of counts of the part; for parts of a hot word or pair also their bigrams' or trigrams' counts."""
+    """Counts of counts of the part; for parts of a hot word or pair also the counts of what follows it, packed, in as many shares as the word has parts."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         v, u, w, n = (np.concatenate(x) for x in zip(*(unpack(d) for d in table.column("data").to_pylist())))
-        empty = pa.schema([("level", pa.int32()), *[(c, pa.int64()) for c in ("r", "times", "part", "u", "v", "w", "n")]])
         if not len(v):
-            return empty.empty_table()
+            return _rows_of(_TALLY, {"level": []})
         found = _Grams(v, u, w, n)
         few = [(3, *x) for x in _few(found.n)]
         if part < routes.cold:
             few += [(2, *x) for x in _few(found.pair_n)]
-        out = [pa.table([pa.array([x[0] for x in few], pa.int32()), pa.array([x[1] for x in few], pa.int64()), pa.array([x[2] for x in few], pa.int64()), *[pa.nulls(len(few), pa.int64())] * 5], schema=empty)]
-        if part >= routes.cold:
-            one = part < routes.pair_from  # one hot word: its bigrams
-            vs, us, ws, ns = (found.v_of[found.pair_v], None, found.pair_w, found.pair_n) if one else (found.v_of[found.v_at], found.u, found.w, found.n)
-            size = len(vs)
-            out.append(pa.table([pa.array(np.full(size, 0), pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(np.full(size, part), pa.int64()), pa.nulls(size, pa.int64()) if us is None else pa.array(us), pa.array(vs), pa.array(ws), pa.array(ns)], schema=empty))
+        out = [_rows_of(_TALLY, {"level": [x[0] for x in few], "r": [x[1] for x in few], "times": [x[2] for x in few]})]
+        if part >= routes.cold:  # one middle word; one word before it, if it is a pair
+            word = int(found.v_of[0])
+            shares = mix(found.pair_w + 29) % np.uint64(routes.split[word])
+            by = np.argsort(shares, kind="stable")
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(shares[by].astype(np.int64)) != 0)), len(by))
+            rows = [by[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+            u = None if part < routes.pair_from else int(found.u[0])
+            out.append(_rows_of(_TALLY, {"level": [0] * len(rows), "part": [part] * len(rows), "u": [u] * len(rows), "v": [word] * len(rows), "share": [int(shares[x[0]]) for x in rows], "data": [pack(found.pair_w[x], found.pair_n[x]) for x in rows]}))
         tidy()
         return pa.concat_tables(out)
 
     return run
 
 
+def _share(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The words after a hot word that are of one share, how often they follow it, and each part's places among them with its own counts."""
+    parts = [unpack(x) for x in table.column("data").to_pylist()]
+    words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([n for _, n in parts]), len(words)).astype(np.int64)
+    cuts = np.cumsum([len(w) for w, _ in parts])[:-1]
+    return words, n, list(zip(np.split(at, cuts), (n for _, n in parts)))
+
+
+_SHARES = "v long, r long, times long, c long, large long, seen double"
+
+
+def _share_sums(unigrams: Unigrams):
+    """Of a share: how many words follow so often, for few times; and one row of all times, those of many times, and the words' P."""
+
+    def run(table: pa.Table) -> pa.Table:
+        word = table.column("v")[0].as_py()
+        words, n, _ = _share(table)
+        few = _few(n)
+        sums = (int(n.sum()), int(n[n > GOOD_TURING].sum()), float(unigrams.chance(words[n > 0]).sum()))
+        return pa.concat_tables([
+            _rows_of(_SHARES, {"v": [word] * len(few), "r": [r for r, _ in few], "times": [t for _, t in few]}),
+            _rows_of(_SHARES, {"v": [word], "c": [sums[0]], "large": [sums[1]], "seen": [sums[2]]}),
+        ])
+
+    return run
+
+
+_ANSWERS = "part long, data binary, u long, v long, c long, kept double, seen double"
+
+
+def _share_answers(unigrams: Unigrams, worth: dict[int, tuple[float, float]], d: list[np.ndarray]):
+    """P of the bigrams that each part asked for, packed; for a hot pair's parts also their share of its context's sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        word = table.column("v")[0].as_py()
+        words, n, parts = _share(table)
+        unit, alpha = worth[word]
+        p = np.where(n > 0, reduced(n, d[2]) * unit, alpha * unigrams.chance(words))
+        us = table.column("u").to_pylist()
+        sums = [(0, 0.0, 0.0) if u is None else (int(own.sum()), float(reduced(own, d[3]).sum()), float(p[at][own > 0].sum())) for u, (at, own) in zip(us, parts)]
+        return _rows_of(_ANSWERS, {"part": table.column("part").to_pylist(), "data": [pack(words[at], p[at]) for at, _ in parts], "u": us, "v": [word] * len(us), "c": [x[0] for x in sums], "kept": [x[1] for x in sums], "seen": [x[2] for x in sums]})
+
+    return run
+
+
 def _by_context(context: np.ndarray, n: np.ndarray, less: np.ndarray, q: np.ndarray):
     """From sorted contexts: each row's context's place, and (count, discounted count, q of what was seen) a context."""
     new = np.append(True, context[1:] != context[:-1])
@@ -444,7 +496,7 @@ def _by_context(context: np.ndarray, n: np.ndarray, less: np.ndarray, q: np.ndar
     return at, (np.add.reduceat(n, cuts), np.add.reduceat(less, cuts), np.add.reduceat(np.where(n > 0, q, 0.0), cuts))
 
 
-def _chances(found: _Grams, order: int, d: list[np.ndarray], unigrams: Unigrams, shared: dict | None, whole: tuple | None) -> np.ndarray:
+def _chances(found: _Grams, order: int, d: list[np.ndarray], unigrams: Unigrams, shared: tuple | None, whole: tuple | None) -> np.ndarray:
     """P of each n-gram. ``shared``: P of the bigrams with a hot word, by last word; ``whole``: the sums of a hot pair's context."""
     if shared is None:
         p1, less = unigrams.chance(found.pair_w), reduced(found.pair_n, d[2])
@@ -452,7 +504,8 @@ def _chances(found: _Grams, order: int, d: list[np.ndarray], unigrams: Unigrams,
         unit, alpha = weights(*sums)
         p2 = np.where(found.pair_n > 0, less * unit[at], alpha[at] * p1)
     else:
-        p2 = np.array([shared[w] for w in found.pair_w.tolist()])
+        words, p = shared
+        p2 = p[np.searchsorted(words, found.pair_w)]
     q = p2[found.pair]
     if order == 2:
         return q
@@ -486,7 +539,11 @@ def _scored(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict
         every = np.concatenate(marks)
         found = _Grams(v, u, w, np.add.reduceat(every & 1, np.cumsum(occurs) - occurs))
         del u, v, w, every
-        given = dict(zip(shared.column("w").to_pylist(), shared.column("p").to_pylist())) if part >= routes.cold else None
+        given = None
+        if part >= routes.cold:
+            words, chance = (np.concatenate(x) for x in zip(*(unpack(y) for y in shared.column("data").to_pylist())))
+            by = np.argsort(words)
+            given = words[by], chance[by]
         whole = None
         if part >= routes.pair_from:
             j = int(np.searchsorted(routes.pair_first, part, "right")) - 1
@@ -561,24 +618,23 @@ def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> Data
     few = {k: Counter() for k in (2, 3)}
     for k, r, times in tally.where("level > 0").groupBy("level", "r").agg(F.sum("times")).collect():
         few[k][r] += times
-    shared, pairs = None, {}
+    shared, pairs, worth = None, {}, {}
     if routes.end > routes.cold:
-        pieces = tally.where("level = 0")
-        bigrams = written(pieces.groupBy("v", "w").agg(F.sum("n").alias("n")))
-        for r, times in bigrams.where(F.col("n").between(1, GOOD_TURING + 1)).groupBy("n").agg(F.count("*")).collect():
+        shares = tally.where("level = 0").groupBy("v", "share")
+        summed = written(shares.applyInArrow(_share_sums(unigrams), _SHARES)).groupBy("v", "r").agg(F.sum("times"), F.sum("c"), F.sum("large"), F.sum("seen")).collect()  # some rows a hot word
+        for _, r, times, *_ in (x for x in summed if x[1] is not None):
             few[2][r] += times
     d = [np.zeros(1), np.zeros(1), discounts(few[2]), discounts(few[3])]
     if routes.end > routes.cold:
-        with_p = bigrams.mapInArrow(_with_chance(unigrams), "v long, w long, n long, q double")
-        less = _reduced_column(F.col("n"), d[2])
-        context = with_p.where("n > 0").groupBy("v").agg(F.sum("n").alias("c"), F.sum(less).alias("kept"), F.sum("q").alias("seen"))  # a row a hot word
-        worth = {v: weights(np.array([c]), np.array([kept]), np.array([seen])) for v, c, kept, seen in context.collect()}
-        worth = spark.createDataFrame([(v, float(a[0]), float(b[0])) for v, (a, b) in worth.items()], "v long, unit double, alpha double")
-        p = F.when(F.col("n") > 0, less * F.col("unit")).otherwise(F.coalesce("alpha", F.lit(1.0)) * F.col("q"))
-        known = with_p.join(F.broadcast(worth), "v", "left").select("v", "w", p.alias("p"))
-        shared = written(pieces.select("part", "u", "v", "w", "n").join(known, ["v", "w"]))
-        less = _reduced_column(F.col("n"), d[3])
-        sums = shared.where("u is not null and n > 0").groupBy("u", "v").agg(F.sum("n"), F.sum(less), F.sum("p"))  # a row a hot pair
+        less = Counter()
+        for v, r, times, *_ in (x for x in summed if x[1] is not None and x[1] <= GOOD_TURING):
+            less[v] += times * r * float(d[2][r])
+        for v, _, _, c, large, seen in (x for x in summed if x[1] is None):
+            unit, alpha = weights(np.array([c]), np.array([less[v] + large]), np.array([seen]))
+            worth[v] = float(unit[0]), float(alpha[0])
+        answers = written(shares.applyInArrow(_share_answers(unigrams, worth, d), _ANSWERS))
+        shared = answers.select("part", "data")
+        sums = answers.where("u is not null").groupBy("u", "v").agg(F.sum("c"), F.sum("kept"), F.sum("seen"))  # a row a hot pair
         pairs = {(u << 32) + v: (c, kept, seen) for u, v, c, kept, seen in sums.collect()}
         pairs = {int(k): pairs.get(int(k), (0, 0.0, 0.0)) for k in routes.pairs}
     sending = ready.applyInArrow(_sent(routes, unigrams, True, base), sent).groupBy("part")
@@ -586,15 +642,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> Data
     if shared is None:
         summed = sending.applyInArrow(lambda t: work(t), _SUMS)
     else:
-        summed = sending.cogroup(shared.select("part", "w", "p").groupBy("part")).applyInArrow(lambda t, s: work(t, s), _SUMS)
+        summed = sending.cogroup(shared.groupBy("part")).applyInArrow(lambda t, s: work(t, s), _SUMS)
     out = summed.groupBy("uid").applyInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
-
-def _with_chance(unigrams: Unigrams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = unigrams.chance(batch.column("w").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q)], ["v", "w", "n", "q"])
-
-    return run
