@@ -1,13 +1,22 @@
 """Secret scan by assignment-aware lexing.
 
-Lines with ``:`` or ``=`` are lexed into strings, names, operators and bare values. Name-literal pairs come
-from ``name = value``, ``name: value``, ``name := value``, ``"name": value`` and ``name => value``; a value
-is a literal, an earlier name, or either joined by ``+``. Constants are propagated in order through the text,
-so ``a = "..."; password = a`` reports the literal where it stands. A literal is reported when the target
-name's sensitivity times the literal's strength reaches ``MIN_SCORE``. Three plain patterns are always
-reported: assign, access and hex. Spans are code points, end exclusive.
-
-Null and empty texts have no findings; repeated rows give equal rows; strings do not go past a line's end.
+A text with an assigner is lexed as a whole into strings (with prefixes, triple quotes, continued lines), names,
+operators, brackets and bare values. Name-literal pairs come from
+
+* ``name = value``, ``name: value``, ``:=``, ``=>``, ``==`` and ``+=``, ``"name": value``, ``name: type = value``,
+  ``table["name"] = value``; the value may begin on the next line;
+* ``setName("value")``, ``name("value")``, ``put("name", "value")``; ``<name>value</name>``.
+
+A value is a string, neighbouring strings, an earlier name, any of these joined by ``+`` and in parentheses; each
+element of a list is a value. An unquoted value is a literal only where it cannot be an identifier. Constants are
+propagated in order through the text, so ``a = "..."; password = a`` reports the literal where it stands; a name
+that gets another value forgets its constant. A literal is reported when the target name's sensitivity times the
+literal's strength reaches ``MIN_SCORE``. Three plain patterns are always reported: assign, access and hex. Spans
+are code points, end exclusive.
+
+Null and empty texts have no findings; an empty table gives an empty result; repeated rows give equal rows; very
+long texts are scanned whole, in time that grows with their length (a chain of constants is kept as references and
+told once); extra columns stay, and a column that has the result's name is an error.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, tidy
+from .frames import absent, small_batches, tidy
 
 MIN_SCORE = 0.5
 KINDS = ("assign", "access", "hex", "named")
@@ -35,17 +44,23 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of 24 or more
 _HEX_BYTES = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _HEX_RUN = b"\1" * 24
 _LEX = re.compile(
-    r"""(?P<str>(?<![A-Za-z0-9])(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`))
-    |(?P<op>:=|=>|==|!=|<=|>=|[=:])
+    r"""(?P<str>(?<![A-Za-z0-9_$])[bBfFrRuU]{0,2}(?:\"{3}(?:\\.|[^\\"]|\"(?!\"\"))*\"{3}|'{3}(?:\\.|[^\\']|'(?!''))*'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`))
+    |(?P<op>:=|=>|===?|!=|<=|>=|\+=|[=:])
     |(?P<plus>\+)
-    |(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)
-    |(?P<end>[;,(){}\[\]])
-    |(?P<bare>[^\s"'`=:+,;(){}\[\]]+)
+    |(?P<name>[A-Za-z_$][A-Za-z0-9_$-]*(?:\.[A-Za-z_$][A-Za-z0-9_$-]*)*)
+    |(?P<open>[(\[{])
+    |(?P<close>[)\]}])
+    |(?P<end>[;,])
+    |(?P<line>\n)
+    |(?P<bare>[^\s"'`=:;,(){}\[\]]+)
     |(?P<other>["'`])""",
-    re.X,
+    re.X | re.S,
 )
-_ASSIGNERS = {":=", "=>", "=", ":"}
+_ASSIGNERS = {":=", "=>", "=", ":", "==", "===", "+="}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_SETTERS = ("set", "put", "add", "with", "use", "append", "header", "insert")
+_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>\s*([^<>\s][^<>]*?)\s*</\1\s*>")
+_HOLES = re.compile(r"\$?\{[^{}]*\}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -65,60 +80,180 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
 
 
-def strength(value: str) -> float:
+class Value:
+    """A literal, or several joined: what its strength needs, its spans, and the values it is made of."""
+
+    __slots__ = ("length", "chars", "text", "key", "span", "parts", "told")
+
+    def __init__(self, text: str | None, span: tuple[int, int] | None = None, parts: tuple = ()):
+        self.span, self.parts, self.told = span, parts, False
+        if parts:
+            self.length, self.chars = sum(p.length for p in parts), sum((p.chars for p in parts), Counter())
+            short = self.length <= 256 and all(p.text is not None for p in parts)
+            self.text, self.key = "".join(p.text for p in parts) if short else None, any(p.key for p in parts)
+        else:
+            self.length, self.chars, self.key = len(text), Counter(text), "PRIVATE KEY-----" in text
+            self.text = text if len(text) <= 256 else None
+
+    def tell(self, found: set) -> None:
+        """Adds the spans below that have not been told yet."""
+        stack = [self]
+        while stack:
+            value = stack.pop()
+            if not value.told:
+                value.told = True
+                if value.span and value.span[1] > value.span[0]:
+                    found.add((*value.span, "named"))
+                stack += value.parts
+
+
+def strength(value: Value | str) -> float:
     """0 to 1 from length and bits a character; 0 for what is plainly no secret."""
-    if len(value) < 6 or " " in value.strip() or _PLACEHOLDERS.match(value):
+    value = Value(value) if isinstance(value, str) else value
+    n, chars = value.length, value.chars
+    if value.key:
+        return 1.0
+    if n < 6 or chars[" "] or chars["\n"] or value.text is not None and _PLACEHOLDERS.match(value.text):
         return 0.0
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return min(1.0, len(value) / 16) * 0.4 + min(1.0, bits / 3.5) * 0.4 + min(1.0, (kinds - 1) / 2) * 0.2
-
-
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, value with constants put in, spans of its literals), in order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    out, at = [], 0
-    for line in text.split("\n"):
-        if ":" in line or "=" in line:
-            tokens = [(m.lastgroup, m[0], at + m.start(), at + m.end()) for m in _LEX.finditer(line)]
-            for i in range(1, len(tokens) - 1):
-                if tokens[i][0] != "op" or tokens[i][1] not in _ASSIGNERS or tokens[i - 1][0] not in ("name", "str", "bare"):
+    bits = -sum(k / n * math.log2(k / n) for k in chars.values() if k)
+    kinds = sum(any(f(c) for c in chars) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in chars)
+    return min(1.0, n / 16) * 0.4 + min(1.0, bits / 3.5) * 0.4 + min(1.0, (kinds - 1) / 2) * 0.2
+
+
+def bare_literal(text: str) -> bool:
+    """Whether an unquoted value can be no identifier: one has no two digits among letters without a word break."""
+    if not re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$.-]*", text):
+        return any(c.isalnum() for c in text)
+    return len(text) >= 8 and sum(c.isdigit() for c in text) >= 2 and not re.search(r"[._$-]", text)
+
+
+class Pairs:
+    """The name-literal pairs of one text, in order, with constants put in."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text)]
+        self.known: dict[str, Value] = {}
+
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if 0 <= i < len(self.tokens) else ""
+
+    def word(self, i: int) -> str:
+        _, a, b = self.tokens[i]
+        return self.text[a:b]
+
+    def string(self, i: int) -> Value:
+        _, a, b = self.tokens[i]
+        while self.text[a] not in "\"'`":
+            a += 1
+        formatted = "f" in self.text[self.tokens[i][1] : a].lower() or self.text[a] == "`"
+        size = 3 if b - a >= 6 and self.text[a : a + 3] in ('"' * 3, "'" * 3) else 1
+        inner = self.text[a + size : b - size]
+        return Value(_HOLES.sub("", inner) if formatted else inner, (a + size, b - size))
+
+    def target(self, i: int) -> str | None:
+        """The name that the assigner at ``i`` gives a value to."""
+        if self.kind(i - 1) == "close" and self.word(i - 1) == "]" and self.kind(i - 3) == "open" and self.kind(i - 4) in ("name", "close") and self.kind(i - 2) in ("str", "name"):
+            inside = self.word(i - 2)
+            if self.kind(i - 2) == "str" or self.kind(i - 5) != "op":  # else a type, name: kind[of] =
+                return inside.strip("\"'`")
+        if self.word(i) == "=":  # name: type = value
+            j = i - 1
+            while self.kind(j) in ("name", "open", "close", "end", "bare") and self.word(j) not in "(){};" and i - j < 24:
+                j -= 1
+            if j < i - 1 and self.kind(j) == "op" and self.word(j) == ":" and self.kind(j - 1) == "name":
+                return self.word(j - 1)
+        return self.word(i - 1).strip("\"'`") if self.kind(i - 1) in ("name", "str", "bare") else None
+
+    def value(self, k: int) -> tuple[list[Value], int, bool]:
+        """The values that begin at ``k``, where they end, and whether they are one value, wholly literal."""
+        start = k
+        while self.kind(k) == "line" or self.kind(k) == "bare" and self.word(k) == "\\":
+            k += 1
+        if k > start and self.kind(k) != "str":
+            return [], start, False
+        if self.kind(k) == "open" and self.word(k) == "[":
+            found, k = [], k + 1
+            while self.kind(k) in ("str", "end", "line"):
+                if self.kind(k) == "str":
+                    found.append(self.string(k))
+                k += 1
+            return found, k, False
+        depth, parts, joined = 0, [], True
+        while True:
+            kind = self.kind(k)
+            if kind == "open" and self.word(k) == "(" and joined:
+                depth += 1
+            elif kind == "line" and depth or kind == "bare" and self.word(k) == "\\" and self.kind(k + 1) == "line":
+                k += kind == "bare"
+            elif kind == "str":
+                parts.append(self.string(k))
+                joined = False
+            elif kind == "plus" and not joined:
+                joined = True
+            elif joined and kind in ("name", "bare"):
+                word, after = self.word(k), self.tokens[k + 1] if k + 1 < len(self.tokens) else ("", -1, -1)
+                called = after[0] == "open" and after[1] == self.tokens[k][2]
+                if kind == "name" and word in self.known and not called:
+                    parts.append(self.known[word])
+                elif not called and not parts and self.kind(k + 1) in ("", "line", "end", "close") and bare_literal(word):
+                    parts.append(Value(word, self.tokens[k][1:]))
+                else:
+                    return [], k, False
+                joined = False
+            elif kind == "close" and depth and self.word(k) == ")":
+                depth -= 1
+            else:
+                break
+            k += 1
+        whole = parts[0] if len(parts) == 1 else Value(None, None, tuple(parts)) if parts else None
+        return [whole] if whole else [], k, bool(parts) and not joined
+
+    def calls(self, i: int) -> tuple[str, list[Value]] | None:
+        """The pair of the call whose bracket is at ``i``."""
+        if self.kind(i - 1) != "name" or self.kind(i + 1) != "str":
+            return None
+        last = self.word(i - 1).rsplit(".", 1)[-1]
+        parts = [p.lower() for p in _PARTS.findall(last)]
+        setter = bool(parts) and parts[0] in _SETTERS
+        if setter and self.kind(i + 2) == "end" and self.word(i + 2) == "," and self.kind(i + 3) == "str":
+            return self.word(i + 1).strip("\"'`"), self.value(i + 3)[0]
+        if setter and len(parts) > 1 or parts and all(p in SENSITIVE or p == "api" for p in parts):
+            return last, self.value(i + 1)[0]
+        return None
+
+    def __iter__(self):
+        for i, (kind, _, _) in enumerate(self.tokens):
+            if kind == "open":
+                if self.word(i) == "(" and (got := self.calls(i)):
+                    yield got
+            elif kind == "op" and (op := self.word(i)) in _ASSIGNERS and i:
+                name = self.target(i)
+                if name is None:
                     continue
-                value, spans, k = "", [], i + 1
-                while k < len(tokens) and (got := _value(tokens[k], known)):
-                    value, spans = value + got[0], spans + got[1]
-                    if k + 2 < len(tokens) and tokens[k + 1][0] == "plus":
-                        k += 2
-                    else:
-                        break
-                if spans:
-                    name = tokens[i - 1][1].strip("\"'`")
-                    if len(spans) <= 16:
-                        known[name] = (value, spans)
-                    out.append((name, value, spans))
-        at += len(line) + 1
-    return out
-
-
-def _value(token, known):
-    kind, text, a, b = token
-    if kind == "str":
-        return text[1:-1], [(a + 1, b - 1)]
-    if kind == "name" and text in known:
-        return known[text]
-    if kind in ("bare", "name"):
-        return text, [(a, b)]
-    return None
+                values, _, whole = self.value(i + 1)
+                if op == "+=" and whole and name in self.known:
+                    values = [Value(None, None, (self.known[name], values[0]))]
+                if op not in ("==", "==="):
+                    if whole:
+                        self.known[name] = values[0]
+                    elif op != ":":
+                        self.known.pop(name, None)
+                if values:
+                    yield name, values
+        for m in _TAG.finditer(self.text):
+            yield m[1], [Value(m[2], m.span(2))]
 
 
 def named_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str]]:
-    if ":" not in text and "=" not in text:
+    if not any(c in text for c in ":=(<"):
         return []
-    found = set()
-    for name, value, spans in pairs(text):
+    found: set = set()
+    for name, values in Pairs(text):
         weight = sensitivity(name)
-        if weight and weight * strength(value) >= min_score:
-            found.update((a, b, "named") for a, b in spans if b > a)
+        for value in values if weight else ():
+            if weight * strength(value) >= min_score:
+                value.tell(found)
     return sorted(found)
 
 
@@ -150,4 +285,4 @@ def scan_udf(min_score: float = MIN_SCORE):
 
 def find(docs: DataFrame, to: str = "secrets", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with a struct column of counts and spans; other columns stay."""
-    return small_batches(docs).withColumn(to, scan_udf(min_score)(F.col("text")))
+    return small_batches(docs).withColumn(absent(docs, to), scan_udf(min_score)(F.col("text")))

@@ -206,6 +206,79 @@ def test_parity_bound_never_exceeds_the_difference():
     assert jaccard.differing(jaccard.parity(a), jaccard.parity(a)[None, :])[0] == 0
 
 
+def brute_secrets(text):
+    """The three plain patterns, each by its own words."""
+    word, sep = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "+/_.=-"
+    out, at = [], 0
+    names = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    while at < len(text):
+        for name in names:
+            if lower.startswith(name, at):
+                k = at + len(name)
+                k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                while text[k : k + 1] == " ":
+                    k += 1
+                if text[k : k + 1] in (":", "=") and text[k : k + 1]:
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                    end = k
+                    while text[end : end + 1] and text[end] in word + sep:
+                        end += 1
+                    if end > k:
+                        if end - k >= 6:
+                            out.append((at, end, "assign"))
+                        at = end - 1
+                        break
+        at += 1
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        out += [(*m.span(), "access")] * (len(m[0]) >= 20)
+    for m in re.finditer("[0-9a-f]+", text):
+        out += [(*m.span(), "hex")] * (len(m[0]) >= 24)
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[2])))
+
+
+def test_plain_secrets_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    bits = ["password", "PassWd", "secret", "Token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "abc", "x1/Y+", "AKIA", "ABCDEFGH12345678", "0123456789abcdef0123", "ſ", "K", "é", "\n", "𝄞"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(600)] + [None, ""]
+    got = {r.doc_id: r.s for r in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "s").collect()}
+    for i, text in enumerate(texts):
+        base = brute_secrets(text or "")
+        n = collections.Counter(k for _, _, k in base)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == (n["assign"], n["access"], n["hex"], digest), text
+        assert {f"{k}:{a}:{b}" for a, b, k in base} <= set(got[i].spans.split(",")) | {""}
+
+
+KEY = "Zx9k2LmQ8rT1vB7n"
+
+
+@pytest.mark.parametrize("text", [
+    f'cfg["password"] = "{KEY}"', f'password: str = "{KEY}"', f'"password": ["{KEY}", "x"]', f'user.setPassword("{KEY}")', f"<password>{KEY}</password>",
+    f'password = """{KEY}"""', f"apiKey: Optional[str] = '{KEY}'", f'secret = rb"{KEY}"', f'token =\\\n   "{KEY}"', f'password:\n  "{KEY}"', f'props.put("db.password", "{KEY}")',
+    f'x = "{KEY}"\ny = x\npassword = y', f"secret_key := `{KEY}`", f'p = "{KEY}"\np += "more"\napi_token = p', f'connect(user="u", password="{KEY}")',
+])
+def test_assignments_of_all_kinds(text):
+    assert (text.index(KEY), text.index(KEY) + len(KEY), "named") in secrets.named_spans(text)
+
+
+@pytest.mark.parametrize("text", [
+    "password = get_password(user)", "token = tokenizer.encode(text)", 'secret_key = os.environ["SECRET_KEY"]', "key: configuration_value", 'password = ""',
+    f'x = "{KEY}"\nx = f()\npassword = x', f'get_password("{KEY}")', 'password = "a sentence of words"', "don't say: 'it's a token'", f'setColor("{KEY}")',
+])
+def test_names_and_calls_are_no_literals(text):
+    assert secrets.named_spans(text) == []
+
+
+def test_long_chains_of_constants_lose_no_part():
+    text = f'password = "{KEY}"\n' + "".join(f'password = password + "part{i}"\n' for i in range(3000))
+    assert len(secrets.named_spans(text)) == 3001
+    assert len(secrets.named_spans(f'a = "{KEY}"\n' + "a = a + a\n" * 300 + "password = a")) == 1
+
+
 class BruteKatz:
     def __init__(self, texts, order):
         self.c = [collections.Counter() for _ in range(order + 1)]
