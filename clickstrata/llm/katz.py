@@ -308,7 +308,7 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
     if places:
         c, p = unigrams.count(ids), unigrams.chance(ids)
         own = np.append(ids == UNKNOWN, False)[before]  # neither context was seen
-        sums = np.add.reduceat(np.log10((c + 1) / base)[code], starts), np.add.reduceat((c > 0)[code].astype(np.int64), starts), np.bincount(text[own], np.log10(p[code[own]]), len(lengths))
+        sums = np.add.reduceat(np.log10((c + 1) / base)[code], starts), np.add.reduceat((c > 0)[code].astype(np.int64), starts), np.bincount(text[own], np.log10(p[code[own]]), len(lengths)).astype(float)
         local = pack(lengths, sums[1], sums[0], sums[2])
         keep = np.flatnonzero(~own)
     else:
@@ -551,7 +551,7 @@ def _scored(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict
         p = np.log10(_chances(found, routes.order, d, unigrams, given, whole))[found.row]
         out, at = [], 0
         for uid, mark, n in zip(uids, marks, rows):
-            sums = np.bincount(mark >> 1, np.repeat(p[at : at + n], occurs[at : at + n]), CHUNK)
+            sums = np.bincount(mark >> 1, np.repeat(p[at : at + n], occurs[at : at + n]), CHUNK).astype(float)
             at += n
             place = np.flatnonzero(sums)
             out.append((uid, pack(place, sums[place])))
