@@ -38,7 +38,7 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, docs, empty):
         assert katz.score(table, F.col("doc_id") == 3).count() == n
         assert jaccard.join(table).count() == n
         assert quality.judge(table).count() == n
-        assert lines.dedup(table, counts=True).count() == n
+        assert lines.dedup(table, counts=("a", "b")).count() == n
         assert bpe.digests(table, *public()).count() == n
         assert sharding.shard(table).count() == n
         assert licenses.scan(table).count() == n
@@ -104,12 +104,15 @@ def test_edit_distance_and_segments_lose_nothing(spark, most):
     df = spark.createDataFrame(pairs, "a string, b string").withColumns({"m": F.length("a"), "n": F.length("b")})
     one, two = lines.keys("a", "m", most), lines.keys("b", "n", most)
     meet = F.arrays_overlap(one[0], two[1]) | F.arrays_overlap(two[0], one[1])
-    df = df.withColumns({"sa": lines.signature("a"), "sb": lines.signature("b")})
-    rows = df.select("a", "b", lines.within("a", "b", most).alias("near"), meet.alias("meet"), lines.near_signatures("sa", "sb", most).alias("sig")).collect()
+    if most == 1:
+        x, y = lines.around_keys("a", "m"), lines.around_keys("b", "n")
+        index, probe = (lambda k: F.slice(k, 1, lines.CUTS)), (lambda k: F.slice(k, lines.CUTS + 1, lines.CUTS))
+        meet = meet & (F.arrays_overlap(index(x), index(y)) | F.arrays_overlap(index(x), probe(y)) | F.arrays_overlap(probe(x), index(y)))
+    rows = df.select("a", "b", lines.within("a", "b", most).alias("near"), meet.alias("meet")).collect()
     for r in rows:
         near = edits(r.a, r.b) <= most
         assert r.near == near, (r.a, r.b)
-        assert not near or (r.meet and r.sig)
+        assert not near or r.meet
 
 
 def test_line_dedup_keeps_first_places(spark):
@@ -118,6 +121,49 @@ def test_line_dedup_keeps_first_places(spark):
     assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == {1: f"{text}\nshort", 2: "another line that stays where it is"}
 
 
+def brute_lines(texts, edits=1, least=32):
+    """What stays of each text: later copies and lines near an earlier first one go."""
+    norm = lambda x: x.strip(" ").lower()
+    firsts, places = {}, []
+    for i, text in enumerate(texts):
+        for k, line in enumerate((text or "").split("\n")):
+            if line.strip(" \t\r\x0b\x0c"):
+                places.append((i, k, norm(line)))
+                firsts.setdefault(norm(line), (i, k))
+    order = sorted(firsts, key=firsts.get)
+    near = {b for j, b in enumerate(order) for a in order[:j] if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and edits_of(a, b) <= edits}
+    gone = {(i, k) for i, k, line in places if line in near or firsts[line] != (i, k)}
+    out = {}
+    for i, text in enumerate(texts):
+        left = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone)
+        if not any(i == a for a, _ in gone) or left.strip():
+            out[i] = left
+    return out
+
+
+def edits_of(a, b):
+    return edits(a, b) if sum(x != y for x, y in zip(a, b)) else abs(len(a) - len(b))
+
+
+@pytest.mark.parametrize("group", [32, 2])
+def test_line_dedup_against_brute_force(spark, monkeypatch, group):
+    """Small groups are cut further down to single letters."""
+    monkeypatch.setattr(lines, "GROUP", group)
+    rng = np.random.default_rng(12)
+    stem = "a line of some length that many of the others share in part"
+    pool = [stem, "short", "x", "", " \t", "another line that is quite unlike the first of them"]
+    for _ in range(60):  # one or two edits, many at one place
+        line = list(stem)
+        for _ in range(rng.integers(1, 3)):
+            at = int(rng.choice([7, 7, 7, 8, 30, len(stem) - 1, 0]))
+            kind = rng.integers(0, 3)
+            line[at : at + (kind > 0)] = [] if kind == 2 else [str(rng.choice(list("abcdefgh0123")))]
+        pool.append("".join(line))
+    texts = ["\n".join(rng.choice(pool, rng.integers(1, 6))) for _ in range(40)] + [None, "", "  " + stem.upper() + " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == brute_lines(texts)
+
+
 def test_common_and_rare_lines_meet_one_rule(spark, monkeypatch):
     texts = [f"one line that every document of this table holds\nline {i % 40} of its own {'abcdefgh'[i % 8] * 12}\n{i}" for i in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
