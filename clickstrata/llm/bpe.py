@@ -1,11 +1,18 @@
 """Byte-level BPE encoding and decoding as a tree reduction over a monoid of encoded spans.
 
-An encoded span is (text, token ids). Two neighbours are joined by encoding again only a window around
-their border. The window grows, doubling on either side, until both its ends are proven boundaries: a
-white-space character right after a non-white one. The split pattern has no match across such a place and
-no match before it looks past it, so what lies outside the window encodes the same alone or joined.
-Decoding concatenates the tokens' bytes up the same tree. Null and empty texts give no ids; equal rows give
-equal rows; a text without any white space is encoded as one span.
+An encoded span is the list of its pattern matches (where each ends) with their token ids; the merges run inside a
+match. Halves are encoded recursively down to leaves of ``leaf`` code points. Two neighbours are joined by encoding
+again a window around their border, from the last match of the left one that cannot change, over a stretch of the
+right one that doubles until a match of the window ends where one of the right half's does. From there on both read
+the same text from the same place, so what lies outside the window is proven to stay. Joining is associative; a leaf
+is small, so texts of ordinary length take many joins.
+
+The proof asks of the pattern what the public ones give: no look-behind, and no match looks further than REACH code
+points past its end, or than that past the white space it begins with or is followed by.
+
+Decoding concatenates the tokens' bytes up the same tree. Null and empty texts give no ids; equal rows give equal
+rows; an empty table gives an empty result; a text of any length takes time in proportion, and a match of n bytes
+n * log(n). Extra columns stay; a column that has the result's name is an error.
 """
 
 from __future__ import annotations
@@ -13,98 +20,131 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
+from bisect import bisect_left
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, tidy
-
-LEAF = 2048
-WINDOW = 32
-#: What the pattern's \s takes (fixed values of Unicode's White_Space).
-SPACES = frozenset(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+from .frames import absent, small_batches, tidy
+
+LEAF = 256
+WINDOW = 16
+REACH = 3
+KEPT_MATCHES = 1 << 17  # matches whose ids a worker keeps at once
+
+
+class Merges:
+    """The ranks of a vocabulary and the ids of single matches; one per Python worker."""
+
+    def __init__(self, path: str, pattern: str):
+        with open(path, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        for token, i in self.ranks.items():
+            self.bytes_of[i] = token
+        self.find = regex.compile(pattern).finditer
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def ids(self, match: str) -> tuple[int, ...]:
+        found = self.known.get(match)
+        if found is None:
+            data = match.encode("utf-8", "replace")
+            whole = self.ranks.get(data)
+            found = self.merged(data) if whole is None else (whole,)
+            if len(match) <= 64:
+                if len(self.known) >= KEPT_MATCHES:
+                    self.known.clear()
+                self.known[match] = found
+        return found
+
+    def merged(self, data: bytes) -> tuple[int, ...]:
+        """Neighbours are merged lowest rank first, the leftmost of equal ones; a heap over a linked list."""
+        rank, n = self.ranks.get, len(data)
+        ends = list(range(1, n + 1))  # of the part that begins here; 0 once it is merged away
+        before = list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            middle = ends[i]
+            if not middle or middle >= n or ends[middle] != end:  # one of the parts has changed
+                continue
+            ends[i], ends[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := rank(data[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, i, ends[end]))
+            if (left := before[i]) >= 0 and (r := rank(data[left:end])) is not None:
+                heapq.heappush(heap, (r, left, end))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[data[at : ends[at]]])
+            at = ends[at]
+        return tuple(out)
 
 
 @functools.lru_cache(maxsize=4)
-def coder(path: str, pattern: str):
-    """The encoder and each id's bytes; one per Python worker."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    decode = [b""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        decode[i] = token
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), decode
-
-
-def boundary_before(text: str, low: int, high: int) -> int:
-    """The last proven boundary in [low, high], or -1."""
-    for k in range(min(high, len(text) - 1), max(low, 1) - 1, -1):
-        if text[k] in SPACES and text[k - 1] not in SPACES:
-            return k
-    return -1
+def merges(path: str, pattern: str) -> Merges:
+    return Merges(path, pattern)
 
 
-def boundary_after(text: str, low: int, high: int) -> int:
-    """The first proven boundary in [low, high), or -1."""
-    for k in range(max(low, 1), min(high, len(text))):
-        if text[k] in SPACES and text[k - 1] not in SPACES:
-            return k
-    return -1
+Span = tuple[list[int], list[tuple[int, ...]]]  # where the matches end, and their ids
 
 
 class Tree:
     def __init__(self, path: str, pattern: str, leaf: int = LEAF, window: int = WINDOW):
-        self.bpe, self.bytes_of = coder(path, pattern)
-        self.leaf, self.window = leaf, window
+        self.merges = merges(path, pattern)
+        self.bytes_of = self.merges.bytes_of
+        self.leaf, self.window = max(1, leaf), max(1, window)
 
     def encode(self, text: str) -> list[int]:
-        return self._span(text, 0, len(text))
+        return list(chain.from_iterable(self._span(text, 0, len(text))[1]))
 
-    def _span(self, text: str, a: int, b: int) -> list[int]:
+    def _span(self, text: str, a: int, b: int) -> Span:
         if b - a <= self.leaf:
-            return self.bpe.encode_ordinary(text[a:b])
+            return self._matches(text, a, b)
         mid = (a + b) // 2
         return self._join(text, a, mid, b, self._span(text, a, mid), self._span(text, mid, b))
 
-    def _join(self, text: str, a: int, mid: int, b: int, left: list[int], right: list[int]) -> list[int]:
-        """Ids of text[a:b] from those of its halves."""
-        low = high = -1
-        back = ahead = self.window
-        while low < 0:  # a boundary counts only inside its own half, away from the border
-            found = boundary_before(text, max(a + 1, mid - back), mid - 1)
-            if found > a:
-                low = found
-            elif mid - back <= a:
-                low = a
-            back *= 2
-        while high < 0:
-            found = boundary_after(text, mid + 1, min(b, mid + ahead))
-            if found > 0:
-                high = found
-            elif mid + ahead >= b:
-                high = b
-            ahead *= 2
-        keep = self._drop(reversed(left), len(text[low:mid].encode())) if low > a else len(left)
-        skip = self._drop(right, len(text[mid:high].encode())) if high < b else len(right)
-        return left[: len(left) - keep] + self.bpe.encode_ordinary(text[low:high]) + right[skip:]
-
-    def _drop(self, ids, size: int) -> int:
-        """How many ids from this side hold exactly ``size`` bytes."""
-        count = 0
-        for i in ids:
-            if size <= 0:
-                break
-            size -= len(self.bytes_of[i])
-            count += 1
-        if size:
-            raise AssertionError("a proven boundary lies inside a token")
-        return count
-
-    def decode(self, ids: list[int], leaf: int = 4096) -> bytes:
+    def _matches(self, text: str, a: int, b: int) -> Span:
+        ends, ids, of = [], [], self.merges.ids
+        for m in self.merges.find(text, a, b):
+            ends.append(m.end())
+            ids.append(of(m[0]))
+        return ends, ids
+
+    @staticmethod
+    def _settled(text: str, end: int, edge: int) -> bool:
+        """Whether a match that ends at ``end`` is the same whatever follows ``edge``."""
+        return edge - end >= REACH and not text[end : edge - 1].isspace()
+
+    def _join(self, text: str, a: int, mid: int, b: int, left: Span, right: Span) -> Span:
+        """The matches of text[a:b] from those of its halves."""
+        keep = len(left[0])
+        while keep and not self._settled(text, left[0][keep - 1], mid):
+            keep -= 1
+        start, size = left[0][keep - 1] if keep else a, self.window
+        while True:
+            edge = min(b, mid + size)
+            ends, ids = [], []
+            for m in self.merges.find(text, start, edge):
+                end = m.end()
+                if edge < b and not self._settled(text, end, edge):
+                    break
+                ends.append(end)
+                ids.append(self.merges.ids(m[0]))
+                if end > mid and (at := bisect_left(right[0], end)) < len(right[0]) and right[0][at] == end:
+                    return left[0][:keep] + ends + right[0][at + 1 :], left[1][:keep] + ids + right[1][at + 1 :]
+            if edge == b:
+                return left[0][:keep] + ends, left[1][:keep] + ids
+            size *= 2
+
+    def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
         if len(ids) <= leaf:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
@@ -163,11 +203,11 @@ def digest_udf(path: str, pattern: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
-    return small_batches(docs).withColumn(to, encode_udf(path, pattern)(F.col(text)))
+    return small_batches(docs).withColumn(absent(docs, to), encode_udf(path, pattern)(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "bytes") -> DataFrame:
-    return small_batches(docs).withColumn(to, decode_udf(path, pattern)(F.col(ids)))
+    return small_batches(docs).withColumn(absent(docs, to), decode_udf(path, pattern)(F.col(ids)))
 
 
 def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -180,13 +180,41 @@ def test_quality_counts():
     assert got[2]["n_dup_lines"] == 1 and got[2]["n_symbols"] == 2 and got[2]["word_chars"] == 7
 
 
-def test_bpe_tree_equals_whole_encoding():
-    tree = bpe.Tree(*public(), leaf=16, window=2)
-    rng = np.random.default_rng(1)
-    for _ in range(300):
-        text = "".join(rng.choice(list("ab'lvré  \n\t12!?　𝄞"), rng.integers(0, 200)))
+def library():
+    import base64
+
+    import tiktoken
+
+    path, pattern = public()
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("leaf,window", [(1, 1), (3, 2), (16, 2), (256, 16)])
+def test_bpe_tree_equals_the_library(leaf, window):
+    tree, whole = bpe.Tree(*public(), leaf=leaf, window=window), library()
+    rng = np.random.default_rng(leaf)
+    pool = list("ab'lvre sdmt1234é  \n\n\t12!?　𝄞\r\x0b\x1c\x85\u200b字ſ") + ["'ll", "'ve", "    ", "the ", "<|endoftext|>"]
+    for n in [*rng.integers(0, 200, 150), 3000]:
+        text = "".join(rng.choice(pool, n))
         ids = tree.encode(text)
-        assert ids == tree.bpe.encode_ordinary(text) and tree.decode(ids, 8) == text.encode()
+        assert ids == whole.encode_ordinary(text) and tree.decode(ids, 8) == text.encode(), text
+
+
+def test_bpe_of_long_runs():
+    tree, whole = bpe.Tree(*public()), library()
+    for text in (" " * 5000, "a" * 3001, "ab" * 2000 + " " * 700 + "x", "\n" * 999 + "7" * 1001, "!" * 777 + "é" * 800):
+        assert tree.encode(text) == whole.encode_ordinary(text)
+
+
+def test_bpe_query_against_the_library(spark):
+    texts = [*TEXTS, "naïve  text's\n\nend 12345"]
+    got = {r.doc_id: r for r in bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *public()).collect()}
+    for i, text in enumerate(texts):
+        ids = library().encode_ordinary(text or "")
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
 def test_permutation_is_one():
