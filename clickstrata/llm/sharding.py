@@ -3,10 +3,12 @@
 Rows get global numbers in a total order (doc_id, size, checksum, second hash). Equal rows are counted
 first, so a key that holds a third of the table is one row in the range shuffle. Number n goes to
 p = perm(n) in [0, total): shard p mod shards, slot p div shards. Counts differ by at most one and slots have
-no gaps. place() computes shard and slot of one number without Spark.
+no gaps. place() computes shard and slot of one number without Spark. Equal rows get their numbers by ranges of
+``RANGE``, which are dealt to tasks before they become rows, so no row or task holds all copies.
 
 Null texts have size 16 and the checksum of no bytes; null ids come first; rows equal in all four values are
-interchangeable; an empty table gives an empty result.
+interchangeable; an empty table gives an empty result; of very long texts only size and checksums are moved; columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .hashing import mix
 SHARDS = 40
 SEED = 20240229
 ROUNDS = 4
+RANGE = 10_000  # numbers of equal rows that one row stands for
 
 
 def permute(numbers: np.ndarray, total: int, seed: int = SEED, rounds: int = ROUNDS) -> np.ndarray:
@@ -72,6 +75,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     def perm(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), total, seed))
 
-    each = rows.withColumn("number", F.explode(F.expr("sequence(number, number + n - 1)")))
+    ranges = rows.withColumn("k", F.explode(F.expr(f"sequence(0L, (n - 1) div {RANGE})")))
+    ranges = ranges.withColumns({"number": F.expr(f"number + k * {RANGE}"), "n": F.expr(f"least(n - k * {RANGE}, {RANGE})")})
+    if rows.where(F.col("n") > RANGE).limit(1).count():
+        ranges = ranges.repartition("number")
+    each = ranges.withColumn("number", F.explode(F.expr("sequence(number, number + n - 1)")))
     p = each.withColumn("p", perm("number"))
     return p.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("p") % shards).cast("int").alias("shard"), F.expr(f"p div {int(shards)}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
