@@ -1,17 +1,21 @@
 """Chat formatting from event logs.
 
 An event is (conv_id, seq, message, kind, role, text). ``delta`` appends text to a message, ``edit``
-replaces its text, ``regenerate`` drops the message's text and what later deltas bring is the new one. Events
-are sorted by sequence within a conversation and folded as a stream, so memory holds one open message, not a
-conversation; a conversation's events are in one partition, several conversations share one.
+replaces its text, ``regenerate`` drops the message's text and what later deltas bring is the new one. Events are
+dealt by conversation and message and sorted by sequence, and each message is folded as a stream, whatever came in
+between: an edit may be any number of messages late. Final messages are then dealt by conversation and sorted by
+the place of their first event. Both sorts spill, and a worker holds one message at a time, so a conversation may be
+of any length; a conversation's messages are in one partition, several conversations share one.
 
 The template writes every message as ``<s>[ROLE] text </s>`` with role and text escaped: a backslash, ``<``,
 ``>``, ``[`` and ``]`` inside them become a backslash and a letter, so control strings never occur inside and
 reading back is exact. The text of assistant messages is under the loss mask.
 
-Null text, role and kind are empty (an empty kind is a delta); events without a conversation id form one
-conversation; ties in seq are ordered by message, kind, role and text; repeated rows are repeated turns of
-a table log, and repeated events of an event log.
+Null text, role and kind are empty (an empty kind is a delta); a message's role is the first that is not empty; a
+null message is one of its own; events without a conversation id form one conversation; null seq comes first; ties
+in seq are ordered by kind, role and text, messages that begin at one seq by role and final text; repeated rows are
+repeated turns of a table log, and repeated events of an event log; an empty log gives an empty result; very long
+texts are moved whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,69 +64,90 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def table_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns as a log: each row is a message of one delta."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("long").alias("message"), F.lit("delta").alias("kind"), "role", "text")
+    """A table of turns as the log that a client would have sent: each row is a message of its own.
+
+    A third of the turns each is streamed in two deltas, edited from a draft, and generated again after one.
+    """
+    text, seq = F.coalesce(F.col("text"), F.lit("")), F.col("turn").cast("long") * 4
+    half = (F.length(text) / 2).cast("int")
+    event = lambda k, kind, words: F.struct((seq + k).alias("seq"), F.lit(kind).alias("kind"), F.lit(words).alias("text") if isinstance(words, str) else words.alias("text"))
+    streamed = F.array(event(0, "delta", F.substring(text, F.lit(1), half)), event(1, "delta", F.substring(text, half + 1, F.length(text))))
+    edited = F.array(event(0, "delta", "a draft"), event(1, "edit", text))
+    again = F.array(event(0, "delta", "a draft"), event(1, "regenerate", ""), event(2, "delta", text))
+    kind = F.pmod(F.coalesce(F.col("turn").cast("long"), F.lit(0)), F.lit(3))
+    events = F.when(kind == 0, streamed).when(kind == 1, edited).otherwise(again)
+    numbered = conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), "role", events.alias("events"))
+    rows = numbered.select("conv_id", "message", "role", F.explode("events").alias("event"))
+    return rows.select("conv_id", "event.seq", "message", "event.kind", "role", "event.text")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        yield from zip(*(batch.column(k).to_pylist() for k in range(6)))
+        yield from zip(*(column.to_pylist() for column in batch.columns))
 
 
 def fold(events) -> Iterator[tuple]:
-    """(conv_id, role, text) of final messages from sorted (conv_id, seq, message, kind, role, text); a null message is a message of its own."""
-    now, slot, order = object(), {}, []
-
-    def flush():
-        for key in order:
-            role, parts = slot[key]
-            yield now, role, "".join(parts)
-
-    for conv, _, message, kind, role, text in events:
-        if conv != now:
-            yield from flush()
-            now, slot, order = conv, {}, []
-        role, text = role or "", text or ""
-        if message is None:
-            if order:  # messages so far are complete: later events name messages that begin later
-                yield from flush()
-                slot, order = {}, []
-            yield conv, role, text
-            continue
-        if message not in slot:
-            slot[message] = (role, [])
-            order.append(message)
-        parts = slot[message][1]
+    """(conv_id, seq, role, text) of final messages, seq that of the first event, from (conv_id, message, seq, kind, role, text) sorted by the first three; holds one message."""
+    now, first, role, parts = None, None, "", []
+    for conv, message, seq, kind, who, text in events:
+        if now is None or message is None or now != (conv, message):
+            if now is not None:
+                yield now[0], first, role, "".join(parts)
+            now, first, role, parts = (conv, message), seq, "", []
+        role = role or who or ""
         if kind in ("edit", "regenerate"):
             parts.clear()
         if text:
             parts.append(text)
-    yield from flush()
+    if now is not None:
+        yield now[0], first, role, "".join(parts)
 
 
-def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "turn", "role", "formatted", "loss_start", "loss_end"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    columns: list[list] = [[] for _ in names]
-    now, turn, held = object(), 0, 0
-    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-    for conv, role, text in fold(_rows(batches)):
-        turn = turn + 1 if conv == now else 0
-        now = conv
-        for column, value in zip(columns, (conv, turn, role, *render(role, text))):
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
+    columns: list[list] = [[] for _ in schema]
+    held = 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    for row in rows:
+        for column, value in zip(columns, row):
             column.append(value)
-        held += len(text)
+        held += sum(len(x) for x in row if isinstance(x, str))
         if len(columns[0]) >= 4096 or held > 1 << 22:
             yield out()
-            columns, held = [[] for _ in names], 0
+            columns, held = [[] for _ in schema], 0
     if columns[0]:
         yield out()
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    return _batched(fold(_rows(batches)), schema)
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    now, turn = object(), 0
+    for conv, _, role, text in _rows(batches):
+        turn = turn + 1 if conv == now else 0
+        now = conv
+        yield conv, turn, role, *render(role, text)
+
+
+def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    return _batched(_turns(batches), schema)
+
+
+def messages(events: DataFrame) -> DataFrame:
+    """conv_id, seq (of the first event), role, text: one row a final message."""
+    kinds = {"conv_id": "long", "message": "long", "seq": "long", "kind": "string", "role": "string", "text": "string"}
+    keyed = events.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+    own = F.when(F.col("message").isNull(), F.xxhash64("seq", "text"))  # messages without a number are spread too
+    return keyed.repartition("conv_id", "message", own).sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text").mapInArrow(_folded, "conv_id long, seq long, role string, text string")
+
+
 def format_log(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, formatted, loss_start, loss_end: one row a final message, each conversation's in order within its partition."""
-    keyed = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("message").cast("long").alias("message"), F.col("kind").cast("string").alias("kind"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return keyed.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "kind", "role", "text").mapInArrow(_formatted, SCHEMA)
+    return messages(events).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text").mapInArrow(_formatted, SCHEMA)
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
