@@ -223,6 +223,22 @@ def test_permutation_is_one():
     assert sharding.place(7, 100) == (int(sharding.permute(np.array([7]), 100)[0]) % 40, int(sharding.permute(np.array([7]), 100)[0]) // 40)
 
 
+def test_shards_against_the_permutation(spark, monkeypatch):
+    """Gapless slots, counts at most one apart, equal rows by ranges."""
+    import zlib
+
+    monkeypatch.setattr(sharding, "RANGE", 3)
+    texts = ["same"] * 25 + [None, None, "", "ü𝄞"] + [f"text {i}" for i in range(60)]
+    rows = [(7 if t == "same" else i, t, "own") for i, t in enumerate(texts)] + [(None, "no id", "own")]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, number string")).collect()
+    expected = collections.Counter((i, 16 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == expected
+    places = sorted((r.shard, r.slot) for r in got)
+    assert places == sorted(sharding.place(k, len(rows)) for k in range(len(rows)))
+    sizes = collections.Counter(s for s, _ in places)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and places == [(s, k) for s in sorted(sizes) for k in range(sizes[s])]
+
+
 def test_license_labels(spark):
     texts = {1: "x Released under the MIT License.", 2: "This work is licensed under the GNU General Public License, version 3.", 3: "Licensed under CC BY-NC 4.0.", 4: "the license", 5: None}
     rows = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
@@ -231,19 +247,67 @@ def test_license_labels(spark):
 
 
 def test_chat_events_fold_and_read_back(spark):
-    events = [(1, 0, 7, "delta", "user", "Hi <s>"), (1, 1, 8, "delta", "assistant", "old"), (1, 2, 8, "regenerate", None, None), (1, 3, 8, "delta", None, "new [x] \\"), (1, 4, 7, "edit", None, "Hello"), (2, 0, None, None, None, None)]
-    df = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string")
+    events = [(1, 0, 7, "delta", None, "Hi <s>"), (1, 1, 8, "delta", "assistant", "old"), (1, 2, 8, "regenerate", None, None), (1, 3, 8, "delta", None, "new [x] \\"), (1, 4, None, "delta", "user", "aside")]
+    events += [(1, 5, 7, "edit", "user", "Hello"), (1, 6, 9, "delta", "assistant", "last"), (1, 7, 8, "delta", None, "!"), (2, 0, None, None, None, None)]
+    df = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string").repartition(3)
     rows = chat.format_log(df).orderBy("conv_id", "turn").collect()
-    assert [chat.parse(r.formatted)[0] for r in rows] == [("user", "Hello"), ("assistant", "new [x] \\"), ("", "")]
+    assert [chat.parse(r.formatted)[0] for r in rows] == [("user", "Hello"), ("assistant", "new [x] \\!"), ("user", "aside"), ("assistant", "last"), ("", "")]
     digest = {r.conv_id: r for r in chat.digests(chat.format_log(df)).collect()}
-    assert digest[1].loss_sha256 == hashlib.sha256(b"new [x] \\").hexdigest() and digest[2].n_turns == 1
+    assert digest[1].loss_sha256 == hashlib.sha256(b"new [x] \\!last").hexdigest() and digest[2].n_turns == 1
+    assert chat.digests(chat.format_log(df.limit(0))).count() == 0
+
+
+def test_chat_of_a_table_against_brute_force(spark):
+    """Ties, repeated rows, nulls, long texts; every way a turn is logged gives the same."""
+    rows = [(1, t, role, f"text {t} [{role}] </s>") for t in range(7) for role in ("user", "assistant")]
+    rows += [(1, 3, "user", "text 3 [user] </s>"), (2, 0, None, None), (2, 1, "assistant", ""), (2, 1, "assistant", LONG), (3, 2, "assistant", "\\b<>[]"), (None, 0, "user", "lost"), (None, 1, "assistant", "found")]
+    table = spark.createDataFrame([(*r, "own") for r in rows], "conv_id long, turn long, role string, text string, kind string")
+    got = {r.conv_id: r for r in chat.digests(chat.format_log(chat.table_events(table))).collect()}
+    for conv in (1, 2, 3, None):
+        turns = sorted((t, role or "", text or "") for c, t, role, text in rows if c == conv)
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert got[conv].n_turns == len(turns) and got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[conv].formatted_chars == sum(len(chat.render(r, t)[0]) for _, r, t in turns)
+
+
+def brute_hits(text, items, size=10):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    hit, named = set(), set()
+    for item, body in items:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in body or ""))
+        for k in range(max(1, len(own) - size + 1) if own else 0):
+            window = own[k : k + size]
+            for i in range(len(words) - len(window) + 1):
+                if words[i : i + len(window)] == window:
+                    hit.update(range(i, i + len(window)))
+                    named.add(str(item))
+    return len(words), len(hit), ",".join(sorted(named))
+
+
+@pytest.mark.parametrize("max_bytes", [4 << 20, 10])
+def test_decontamination_against_brute_force(spark, max_bytes):
+    """By one automaton, and by join for a benchmark beyond its size."""
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(rng.choice(["ab", "Cd", "é", "x9", "ß"], n))
+    items = [(1, word(14)), (2, word(3)), (2, word(12)), (3, None), (4, " .,! "), (5, word(10)), (5, "Ab")]
+    texts = [f"{word(5)} {items[k][1] or ''} - {word(20)}" for k in range(7)] * 2 + [None, "", "a,b", items[0][1].upper() + "!" + items[1][1].replace(" ", "\n.")]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.h for r in decontaminate.decontaminate(docs, bench, to="h", max_bytes=max_bytes).collect()}
+    for i, text in enumerate(texts):
+        n, hit, named = brute_hits(text, items)
+        assert (got[i].n_words, got[i].n_hit, got[i].items_sha256) == (n, hit, hashlib.sha256(named.encode()).hexdigest()), text
+    assert decontaminate.decontaminate(docs, bench.limit(0)).where("hits.n_hit > 0").count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(docs, bench, to="Item_ID")
 
 
 def test_windows_and_spans():
-    part = decontaminate.parts_of([(1, "a b c d e f g h i j k"), (2, "Xy z")])
-    automata = [decontaminate.automaton(p) for p in part]
+    items = [(1, "a b c d e f g h i j k"), (2, "Xy z")]
+    auto = decontaminate.automaton(decontaminate.pattern_table((w.decode(), i) for i, t in items for w in decontaminate.item_windows(t)))
     text = "q. A, b c d e f g h i j! k xY  Z q"
-    words, hits, items = decontaminate.scan(text, automata)
+    words, hits, items = decontaminate.scan(text, auto)
     assert items == {1, 2} and sum(b - a for a, b in hits) == 13
     assert [text[a:b] for a, b in decontaminate.original_spans(text, hits)] == ["A, b c d e f g h i j! k xY  Z"]
 
