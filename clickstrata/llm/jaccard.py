@@ -1,24 +1,27 @@
 """Exact n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 1. Every text becomes its set of distinct ``size``-word shingles (64-bit hashes); a text with fewer words has
-   its whole sequence as one. Texts with equal sets are one class, keyed by the set's hash.
+   its whole sequence as one. Texts with equal sets are one class, told apart by two 64-bit hashes of the set.
 2. Sets are cut to a prefix in hash order. Partners x and y share at least ceil(t*n) shingles of either. With
    prefixes longer by l - 1 than the shortest that work, they share at least l prefix shingles, where l is the
    lesser of theirs; l is 1 + ``extra`` * n here. A class stays only if that many of its prefix shingles occur in
    other classes.
 3. Each shingle that two classes still share names a hub: its class with the most shared prefix shingles.
-   A hub's group is the product of its classes' prefixes, cut into pairs of blocks. If x has c of its d shared
+   A hub's group is the product of its classes' prefixes, cut into pairs of blocks by their number and by the
+   shingles that they hold; the pairs of a large group are dealt to tasks one by one. If x has c of its d shared
    prefix shingles under a hub, a partner has at least l*c/d of them under one hub at least; pairs below that,
    or below the bound of their sizes, are discarded. A block pair returns a spanning forest of what is left.
    Documents that merely share passages end here, without their sets being moved.
 4. The forests' components are candidate clusters. Each goes, with whole sets, through the same product in
-   blocks of ``block`` classes, which accumulates full overlap counts and returns a spanning forest of the
-   links and link counts, never all pairs. A pair meets once.
+   blocks, which accumulates full overlap counts and returns a spanning forest of the links and link counts,
+   never all pairs. A pair meets once.
 5. Components of these forests are the result.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing. Rows with equal
 texts link. Repeated ids are rows of their own; null ids join their class but name no component unless alone.
-Collisions of the 64-bit hash matter only within one pair of sets.
+An empty table gives an empty result; very long texts are whole sets, and a block holds at least one set; columns
+other than doc_id and text are not read. Collisions of the shingles' hash matter only within one pair of sets, those
+of a class's first hash only add candidates.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ SIZE = 5
 PERCENT = 80
 EXTRA = 0.08
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20  # about so many shingles in a block
 SHIP_ROWS = 500_000  # class keys broadcast at most: 8 MB
 
 
@@ -69,35 +73,39 @@ def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ others).sum(axis=1, dtype=np.int64)
 
 
-def set_key(found: np.ndarray) -> int:
-    """Hash of a sorted set, as a signed 64-bit value."""
-    with np.errstate(over="ignore"):
-        total = mix(found + np.uint64(0x51ED270B)).sum(dtype=np.uint64) + np.uint64(len(found))
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+def set_key(found: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a sorted set, as signed 64-bit values."""
+    out = []
+    for salt in (0x51ED270B, 0x1B56C4E9):
+        with np.errstate(over="ignore"):
+            total = mix(found + np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(found))
+        out.append(int(mix(np.array([total], np.uint64)).view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFrame:
-    """doc_id, n, key, prefix (little-endian 64-bit shingles in hash order) and parity bitmap (both null where the batch has the class already)."""
+    """doc_id, n, key, second (the class's hashes), prefix (little-endian 64-bit shingles in hash order) and parity bitmap (both null where the batch has the class already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, counts, prefixes, parities, seen = batch.column(0), [], [], [], [], set()
+            ids, keys, seconds, counts, prefixes, parities, seen = batch.column(0), [], [], [], [], [], set()
             for texts in sliced(batch.column(1).to_pylist()):
                 for found in shingle_sets(texts, size):
-                    n, key = len(found), set_key(found)
+                    n, (key, second) = len(found), set_key(found)
                     keys.append(key)
+                    seconds.append(second)
                     counts.append(n)
-                    if n and key not in seen:
-                        seen.add(key)
+                    if n and (key, second) not in seen:
+                        seen.add((key, second))
                         prefixes.append(found[: min(n, n - need(n, percent) + 1 + int(extra * n))].astype("<u8").tobytes())
                         parities.append(parity(found).tobytes())
                     else:
                         prefixes.append(None)
                         parities.append(None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], ["doc_id", "n", "key", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(seconds, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], ["doc_id", "n", "key", "second", "prefix", "parity"])
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, prefix binary, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, second long, prefix binary, parity binary")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +252,23 @@ def _linked(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return _edges(edges, [(k, n) for ks, ns in zip(keys, links) for k, n in zip(ks, ns) if n])
 
 
-def paired(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """``rows`` (one a group and key) once for each block pair of their group: columns block, one, two."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size")).where("size > 1").select(group, F.expr(f"(size + {block - 1}) div {block}").alias("blocks"))
-    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+def grouped_pairs(rows: DataFrame, group: str, key: str, held, block: int, run, schema: str) -> DataFrame:
+    """``run`` over each block pair (block, one, two) of each group of ``rows`` (one a group and key); ``held`` is a row's shingles.
+
+    Groups of one block are dealt by group. The rows of larger ones are joined with their number of blocks, repeated
+    for each pair and dealt by pair, so that no task has a group as a whole.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.sum(held).alias("weight")).where("size > 1")
+    blocks = F.greatest(F.expr(f"(size + {block - 1}) div {block}"), F.expr(f"least(size, (weight + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})"))
+    sizes = written(sizes.select(group, blocks.alias("blocks")))
+    large = sizes.where("blocks > 1")
+    single = rows.join(large, group, "left_anti").join(sizes.where("blocks <= 1"), group, "left_semi")
+    whole = single.withColumns({c: F.lit(0).cast("long") for c in ("block", "one", "two")}).groupBy(group).applyInPandas(run, schema)
+    placed = rows.join(large, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
     every = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return every.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other", "blocks")
+    every = every.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other", "blocks")
+    dealt = every.repartition(group, "one", "two").groupBy(group, "one", "two").applyInPandas(run, schema)
+    return whole.unionByName(dealt)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,9 +289,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row a document (n_links: other documents linked with it)."""
-    spark = docs.sparkSession
     profile = written(profiles(small_batches(docs), size, percent, extra))
-    classes = profile.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = profile.groupBy("key", "second", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     entries = profile.where("prefix is not null").select("key", "n", "prefix").mapInArrow(_entries, "shingle long, key long, n long")
     shared = written(entries.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared, "shingle long, key long, n long"))
     n = F.col("n")
@@ -285,42 +303,45 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     held = profile.where("parity is not null").select("key", "parity").join(held, "key").groupBy("key").agg(F.first("held").alias("held"), F.first("parity").alias("parity"))
     # l * c / d, rounded up
     prefixes = grouped.join(held, "key").withColumn("floor", F.ceil(lesser(n) * F.size("shingles") / F.col("held") - 1e-9).cast("long")).drop("held")
-    candidates = paired(prefixes, "hub", block).groupBy("hub", "one", "two").applyInPandas(lambda g: _candidates(g, percent), "a long, b long, links long")
+    weight = F.size("shingles") + F.octet_length("parity") / 8
+    edges = "a long, b long, links long"
+    candidates = grouped_pairs(written(prefixes), "hub", "key", weight.cast("long"), block, lambda g: _candidates(g, percent), edges)
     clusters = components(candidates)
-    keys = written(clusters.select(F.col("node").alias("key"), "label").join(classes.where("n > 0").select("key", "copies"), "key"))
+    clustered = clusters.withColumnRenamed("node", "key").join(classes.where("n > 0").select("key", "second", "n", "copies"), "key")
+    keys = written(clustered.withColumn("id", F.monotonically_increasing_id()))  # classes that share a first hash part here
     # the sets of these classes only, from the texts
     few = keys.count() <= SHIP_ROWS
     small = F.broadcast if few else (lambda x: x)
-    sample = profile.where("prefix is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = written(sample.join(small(keys.select("key")), "key"))
-    ready = paired(keys, "label", block).join(_sets(docs, wanted, size, few), "key")
-    out = written(ready.groupBy("label", "one", "two").applyInPandas(lambda g: _linked(g, percent), "a long, b long, links long"))
+    sample = profile.where("prefix is not null").groupBy("key", "second").agg(F.min("doc_id").alias("doc_id"))
+    wanted = written(sample.join(small(keys.select("key", "second")), ["key", "second"]))
+    sets = written(keys.join(_sets(docs, wanted, size, few), ["key", "second"]).select("label", F.col("id").alias("key"), "n", "copies", "shingles"))
+    out = written(grouped_pairs(sets, "label", "key", n, block, lambda g: _linked(g, percent), edges))
     label = components(out.where("b is not null"))
-    links = out.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
-    named = classes.where("n > 0").join(label.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component"))
-    final = named.join(smallest, "label").select("key", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    full = profile.where("n > 0").select("doc_id", "n", "key").join(final, "key").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("links").alias("n_links"))
+    links = out.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    linked = keys.select("key", "second", "id").join(label.select(F.col("node").alias("id"), F.col("label").alias("component")), "id").join(links, "id").drop("id")
+    named = classes.where("n > 0").join(linked, ["key", "second"], "left")
+    smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
+    final = named.join(smallest, "component", "left").select("key", "second", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("lowest"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    full = profile.where("n > 0").select("doc_id", "n", "key", "second").join(final, ["key", "second"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.col("links").alias("n_links"))
     return full.unionByName(profile.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, few: bool) -> DataFrame:
-    """key, shingles (sorted little-endian 64-bit) of the wanted classes."""
+    """key, second, shingles (sorted little-endian 64-bit) of the wanted classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
             for texts in sliced(batch.column(0).to_pylist()):
                 found = shingle_sets(texts, size)
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["key", "shingles"])
+                hashes = [set_key(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hashes], pa.int64()), pa.array([k for _, k in hashes], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["key", "second", "shingles"])
 
     ids = wanted.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = texts.join(F.broadcast(ids) if few else ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-    got = chosen.mapInArrow(run, "key long, shingles binary")
-    only = wanted.select("key").distinct()
-    return got.join(F.broadcast(only) if few else only, "key", "left_semi").dropDuplicates(["key"])
+    got = chosen.mapInArrow(run, "key long, second long, shingles binary")
+    only = wanted.select("key", "second").distinct()
+    return got.join(F.broadcast(only) if few else only, ["key", "second"], "left_semi").dropDuplicates(["key", "second"])
 
 
 def clean(docs: DataFrame, **params) -> DataFrame:
