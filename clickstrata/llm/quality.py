@@ -10,7 +10,8 @@ its language's, or the floor if that is more, so a source that is mostly junk do
 whole language has next to none of a thing. Documents are then joined with the limits (one row a group, far fewer than documents).
 
 Null or empty texts have no words and fail the base rule; null lang and source are groups of their own;
-repeated rows are judged alike; an empty table gives an empty result. Extra columns stay.
+repeated rows are judged alike; an empty table gives an empty result; a very long text is measured whole, in memory
+that grows with it. Extra columns stay; a column that has the result's name is an error.
 """
 
 from __future__ import annotations
@@ -25,16 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .frames import fresh, sliced, small_batches, tidy
+from .frames import absent, fresh, sliced, small_batches, tidy
 from .hashing import Words, mix, windows
 
 GAMMA = 1.02
-QUANTILE = 0.95
-FACTORS = {"symbol_ratio": 1.5, "dup_line_ratio": 3.0, "repeat_ratio": 4.0, "word_length": 1.4}
+QUANTILE = 0.9
+FACTORS = {"symbol_ratio": 1.5, "dup_line_ratio": 3.0, "repeat_ratio": 8.0, "word_length": 1.4}
 SPREAD = 2.0
 MIN_ROWS = 200
 #: No limit goes below these: documents under them are ordinary whatever their group looks like.
-FLOORS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_length": 4.0}
+FLOORS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.2, "repeat_ratio": 0.05, "word_length": 4.0}
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -139,7 +140,7 @@ def base_failed(m: str) -> Column:
 
 
 def measured_docs(docs: DataFrame, to: str) -> DataFrame:
-    return small_batches(docs).withColumn(to, metrics_udf()(F.col("text")))
+    return small_batches(docs).withColumn(absent(docs, to), metrics_udf()(F.col("text")))
 
 
 def judge(docs: DataFrame, to: str = "quality", **params) -> DataFrame:
