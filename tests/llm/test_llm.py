@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -174,6 +175,62 @@ def test_common_and_rare_lines_meet_one_rule(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and sum("every document" in t for t in got[0].values()) == 1
 
 
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    triples = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    repeated = {k + i for k in range(len(words) - 2) if triples[tuple(words[k : k + 3])] > 1 for i in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_dup_lines": len(lines) - len(set(lines)), "n_lines": len(lines), "n_repeat_words": len(repeated)}
+
+
+def brute_limits(groups):
+    """Limits by (lang, source) from the ratios of documents that pass the base rule, by sorted lists."""
+    def learnt(values):
+        bucket = lambda x: -math.inf if x <= 0 else math.ceil(math.log(x) / math.log(quality.GAMMA))
+        got = sorted(map(bucket, values))[max(math.floor(len(values) * quality.QUANTILE), 1) - 1]
+        return 0.0 if got == -math.inf else quality.GAMMA**got * 2 / (1 + quality.GAMMA)
+
+    out = {}
+    for lang, source in {(g[0], g[1]) for g in groups}:
+        for metric, floor in quality.FLOORS.items():
+            own = [r[metric] for a, b, r in groups if (a, b) == (lang, source)]
+            of_lang = [r[metric] for a, _, r in groups if a == lang]
+            wider = learnt(of_lang) if len(of_lang) >= quality.MIN_ROWS else learnt([r[metric] for _, _, r in groups])
+            value = min(learnt(own), max(wider, floor) * quality.SPREAD) if len(own) >= quality.MIN_ROWS else wider
+            out[lang, source, metric] = max(value * quality.FACTORS[metric], floor)
+    return out
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MIN_ROWS", 40)
+    rng = np.random.default_rng(6)
+    pool = [f"w{i}é" for i in range(300)] + ["##", "$|", "a*b"]
+    rows = []
+    for i in range(330):
+        n, weight = int(rng.integers(30, 120)), np.r_[np.ones(300), np.full(3, rng.choice([0, 0, 40]))]
+        text = "".join(w + rng.choice([" ", " ", "  ", "\n", "\t"]) for w in rng.choice(pool, n, p=weight / weight.sum()))
+        text += text[: rng.integers(0, len(text))] * int(rng.integers(0, 2))
+        rows.append((i, text, ["en", "de", None][i % 3 if i % 7 else 0], ["a", "b", "c", None][int(rng.choice(4, p=[0.6, 0.3, 0.05, 0.05]))]))
+    rows += [(900, None, "en", "a"), (901, "", "xx", None), (5, rows[5][1], rows[5][2], rows[5][3])]
+    got = quality.judge(spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, lang string, source string, n_words string"), min_rows=40).collect()
+    wanted, groups = {}, []
+    for i, text, lang, source in rows:
+        m = brute_quality(text)
+        over = lambda a, b: a / b if b else 0.0
+        r = {"symbol_ratio": over(m["n_symbols"], m["word_chars"]), "dup_line_ratio": over(m["n_dup_lines"], m["n_lines"]), "repeat_ratio": over(m["n_repeat_words"], m["n_words"]), "word_length": over(m["word_chars"], m["n_words"])}
+        failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        wanted[i] = (m, failed, lang, source, r)
+        groups += [] if failed else [(lang, source, r)]
+    bounds = brute_limits(groups)
+    verdicts = set()
+    for row in got:
+        m, failed, lang, source, r = wanted[row.doc_id]
+        kept = not failed and all(r[metric] <= bounds[lang, source, metric] for metric in r)
+        assert row.quality.asDict() == m | {"base_failed": failed, "kept": kept}, row.doc_id
+        verdicts.add((failed, kept))
+    assert len(got) == len(rows) and len(verdicts) == 3
+
+
 def test_quality_counts():
     got = quality.measure(["a b c a b c x", "", "l 1\nl 1\n\n\n#$é"]).to_dict("records")
     assert [g["n_words"] for g in got] == [7, 0, 5] and [g["n_repeat_words"] for g in got] == [6, 0, 0]
@@ -239,6 +296,20 @@ def test_shards_against_the_permutation(spark, monkeypatch):
     assert max(sizes.values()) - min(sizes.values()) <= 1 and places == [(s, k) for s in sorted(sizes) for k in range(sizes[s])]
 
 
+def test_base_licenses_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    bits = ["under the mit license", "Under THE\nMIT  license", "apache license, version 2", "apache license version 20", "cc-by-nc", "CC BY", "nc", "word", "é1", "_", "license", ""]
+    texts = [" ".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(300)] + [None, ""]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, words string")).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        at = {label: [k for k in range(len(words)) if words[k : k + len(p.split())] == p.split()] for p, label in licenses.BASE.items()}
+        every = sorted(x for xs in at.values() for x in xs)
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(words), len(every), every[0] if every else None, every[-1] if every else None), text
+        assert got[i].base_labels == ",".join(sorted(k for k, x in at.items() if x)) and 0 <= got[i].score <= 1
+        assert set(filter(None, got[i].base_labels.split(","))) <= set(got[i].labels.split(","))
+
+
 def test_license_labels(spark):
     texts = {1: "x Released under the MIT License.", 2: "This work is licensed under the GNU General Public License, version 3.", 3: "Licensed under CC BY-NC 4.0.", 4: "the license", 5: None}
     rows = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
