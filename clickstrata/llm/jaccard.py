@@ -344,11 +344,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, few: bool) -> DataFrame
     return got.join(F.broadcast(only) if few else only, ["key", "second"], "left_semi").dropDuplicates(["key", "second"])
 
 
-def clean(docs: DataFrame, **params) -> DataFrame:
+def clean(docs: DataFrame, also: DataFrame | None = None, **params) -> DataFrame:
     """One document of each component stays, that with the least doc_id; all columns stay.
 
-    Rows that repeat an id stand or fall together.
+    With ``also``, a table of other texts of documents (doc_id, text), a document goes too if those texts of the
+    documents here put it into a component with a lesser doc_id. Rows that repeat an id stand or fall together.
     """
     (own,) = fresh(docs, "__own")
-    keep = join(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
+    least = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    judge = lambda d: join(d, **params).groupBy("doc_id").agg(least.alias("stays")).where("not stays").select(F.col("doc_id").alias(own))
+    gone = judge(docs)
+    if also is not None:
+        ids = docs.select(F.col("doc_id").cast("long").alias(own)).distinct()
+        here = also.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        gone = gone.union(judge(written(here.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")))).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")

@@ -403,6 +403,51 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     assert re.fullmatch("[a-z -]+", "-".join(n.lower() for n, _ in corpus_pipeline.STAGES).replace("n-gram", "n gram").replace("byte-level", "byte level")) and collections.Counter(len(s) for s in corpus_pipeline.STAGES) == {2: 5}
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The five stages on a small table with nulls, repeats, near copies that share lines, leaks and odd columns."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(17)
+    line = lambda n=12: " ".join("".join(rng.choice(list("abcdefghijklmno"), 5)) for _ in range(n))
+    clean = ["\n".join(line() for _ in range(8)) for _ in range(8)]
+    near = ["\n".join(x if k else x + " end" for k, x in enumerate(clean[i].split("\n"))) for i in (1, 2)]
+    one = [clean[3].replace("\n", " "), clean[3].replace("\n", " ") + " more words"]
+    leak = line(14)
+    texts = [*clean, *near, *one, clean[4] + "\n" + leak, clean[0], "too short", clean[5].replace(" ", " $$$ "), (line(3) + "\n") * 30, None, "", "\n".join([line(), "x", line(), "x", *[line() for _ in range(6)]])]
+    rows = [(i, t, ["en", None][i % 2], "s", len(t or ""), "own") for i, t in enumerate(texts)]
+    rows += [(40, None, "en", "s", None, "own"), (41, line(60), None, None, 7, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    ratios, failed = {}, {}
+    over = lambda a, b: a / b if b else 0.0
+    for i, text, *_ in rows:
+        m = brute_quality(text)
+        ratios[i] = {"symbol_ratio": over(m["n_symbols"], m["word_chars"]), "dup_line_ratio": over(m["n_dup_lines"], m["n_lines"]), "repeat_ratio": over(m["n_repeat_words"], m["n_words"]), "word_length": over(m["word_chars"], m["n_words"])}
+        failed[i] = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+    bounds = brute_limits([(r[2], r[3], ratios[r[0]]) for r in rows if not failed[r[0]]])
+    left = [(r[0], r[1]) for r in rows if not failed[r[0]] and all(ratios[r[0]][m] <= bounds[r[2], r[3], m] for m in ratios[r[0]])]
+    by_line = brute_lines([t for _, t in left])
+    left = [(left[k][0], text) for k, text in sorted(by_line.items())]
+    original = dict((r[0], r[1]) for r in rows)
+    as_now, as_was = brute_components([t for _, t in left]), brute_components([original[i] for i, _ in left])
+    left = [x for k, x in enumerate(left) if as_now[k] == k == as_was[k]]
+    left = [(i, t) for i, t in left if not brute_hits(t, [(1, leak)])[1]]
+    assert {i for i, _ in left} == set(got) and 8 not in got and 9 not in got and 11 not in got
+    for i, text in left:
+        assert list(got[i].ids) == library().encode_ordinary(text) and got[i].n_tokens == len(got[i].ids) and got[i].round_trip
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_parity_bound_never_exceeds_the_difference():
     from clickstrata.llm import jaccard
 
