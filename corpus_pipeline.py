@@ -19,8 +19,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return jaccard.clean(docs)
+    """One document of each group of near duplicates, by their texts as they are now and as they were read.
+
+    Line dedup leaves of a near copy only what differs, which is like no other text any more: its text as read tells.
+    """
+    return jaccard.clean(docs, table(spark, sf_dir, "documents"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
