@@ -13,6 +13,7 @@ from .operators import ads, funnel, product, session
 from .plans.config import Config
 from .plans.params import TaskParams, find_task, task_id
 from .sources import sinks, tables
+from .sources.folders import new_folder
 from .streaming import ads as stream_ads
 
 PARAMS = TaskParams(start_date="2024-01-03", end_date="2024-01-28", start_age=20, end_age=60, professionals=("AUTOMOBILE", "BUILDING", "MACHINERY"), category_ids=(1, 2, 3, 5, 7, 11))
@@ -83,22 +84,9 @@ def _black(spark, d) -> DataFrame:
     return ads.blacklist(ads.user_click_count(_log(spark, d)), THRESHOLD)
 
 
-def _folder(spark) -> str:
-    """A new folder under the shared one; it goes with the application. Tests on one machine have the warehouse's parent."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/behaviour-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def _streamed(spark, d, start, keys: list[str]) -> DataFrame:
     """Runs a stream over the ad log, stored as three files in no order of time, to its end; then the state by key."""
-    base = _folder(spark)
+    base = new_folder(spark, "behaviour")
     log = _log(spark, d)
     log.repartitionByRange(3, "ts").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
@@ -109,7 +97,7 @@ def _streamed(spark, d, start, keys: list[str]) -> DataFrame:
 
 def _lines(spark, d) -> str:
     """The ad log as three text files, a batch each, in order of time."""
-    path = f"{_folder(spark)}/lines"
+    path = f"{new_folder(spark, "behaviour")}/lines"
     log = _log(spark, d)
     ends = [None, *BATCH_ENDS, None]
     for low, high in zip(ends, ends[1:]):
@@ -121,7 +109,7 @@ def _lines(spark, d) -> str:
 
 def _ad_job(spark, d, table: str) -> DataFrame:
     """One result table of the ad job after its three batches."""
-    base = _folder(spark)
+    base = new_folder(spark, "behaviour")
     jobs.stream_ads.run(jobs.ad_job(tables.text_lines(spark, _lines(spark, d)), f"{base}/out", f"{base}/checkpoint", THRESHOLD, True))
     found = spark.read.schema(_AD_TABLES[table]).parquet(f"{base}/out/{table}")
     return found.select([c for c in found.columns if c not in ("before", "batch_id")])
@@ -138,7 +126,7 @@ _AD_TABLES = {
 
 def _parsed_stream(spark, d) -> DataFrame:
     """The log read back by the line parser in a stream."""
-    base = _folder(spark)
+    base = new_folder(spark, "behaviour")
     parsed = tables.parse_ad_log(tables.text_lines(spark, _lines(spark, d), 1))
     parsed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
@@ -155,7 +143,7 @@ def _job(job, name: str):
         _utc(spark)
         number = {"session_job": 1, "page_job": 2, "product_job": 3}[job.__name__]
         source = lambda table: tables.source(spark, table, d, Config.parse(PROPERTIES))
-        return jobs.results(spark, job(source, _tasks(spark), number, _folder(spark))[name])
+        return jobs.results(spark, job(source, _tasks(spark), number, new_folder(spark, "behaviour"))[name])
 
     return run
 
