@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.folders import new_folder
+
 
 @functools.lru_cache(maxsize=1)
 def _trim():
@@ -30,18 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the setting is absent (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="clickstrata-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Has Python workers take so many rows at a time, so that long texts do not fill them."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Has Python workers take so many rows at a time, so that long texts do not fill them.
+
+    Spark reads this from the session when a query runs and takes it nowhere else; a session's own value is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":  # Spark's default
+        df.sparkSession.conf.set(name, rows)
     return df
 
 
@@ -63,14 +60,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder in the shared one, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
@@ -78,7 +67,7 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     stages before, and the reader knows the table's true size when it plans joins.
     """
     spark = df.sparkSession
-    path = _place(spark)
+    path = new_folder(spark)
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -91,8 +80,10 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, in buckets of ``key``: later joins and groups by it move no row of it."""
     spark = df.sparkSession
     name = f"stage_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", _place(spark)).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+    df.write.option("compression", "zstd").option("path", new_folder(spark)).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay until the application ends
+    return found
 
 
 def sliced(texts: Iterable[str | None], limit: int = 1 << 18) -> Iterator[list[str]]:
