@@ -1,4 +1,9 @@
-"""DuckDB SQL for the queries that plain SQL can express; written from their contracts, not from their operators."""
+"""DuckDB SQL for the queries that plain SQL can express; written from their contracts, not from their operators.
+
+What is a parameter of an operator (thresholds, license templates) comes from its module.
+"""
+
+from . import licenses, quality
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -82,3 +87,117 @@ SELECT d.doc_id, coalesce(w.n, 0) AS n_words, coalesce(h.n, 0) AS n_hit, coalesc
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id) w USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id) h USING (doc_id) LEFT JOIN items m USING (doc_id) LEFT JOIN spans s USING (doc_id)
 """
+
+_METRIC = {"symbol_ratio": "n_symbols / word_chars", "dup_line_ratio": "n_dup_lines / n_lines", "repeat_ratio": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
+
+
+def _values(table: dict) -> str:
+    return ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in table.items())
+
+
+QUALITY_RULES = rf"""
+WITH listed AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS ws FROM documents
+), words AS (
+    SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM listed
+), triples AS (
+    SELECT doc_id, i, [w, lead(w) OVER o, lead(w, 2) OVER o] AS t, lead(w, 2) OVER o IS NOT NULL AS whole FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), again AS (
+    SELECT doc_id, i FROM triples WHERE whole QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1
+), repeated AS (
+    SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, count(*) AS n, count(DISTINCT line) AS different FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM listed) WHERE regexp_matches(line, '{_BLANK}') GROUP BY doc_id
+), metrics AS (
+    SELECT l.doc_id, lang, source, len(ws) AS n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n.n - n.different, 0) AS n_dup_lines, coalesce(n.n, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
+    FROM listed l LEFT JOIN lines n USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM metrics
+), ratios AS (
+    SELECT doc_id, lang, source, base_failed, unnest([{", ".join(f"struct_pack(metric := '{k}', value := coalesce(CASE WHEN {v.split(' / ')[1]} > 0 THEN {v.replace(' / ', '::DOUBLE / ')} END, 0.0))" for k, v in _METRIC.items())}], recursive := true) FROM judged
+), buckets AS (
+    SELECT lang, source, metric, CASE WHEN value > 0 THEN cast(ceil(ln(value) / ln({quality.GAMMA})) AS BIGINT) END AS bucket, count(*) AS n FROM ratios WHERE NOT base_failed GROUP BY ALL
+), sketches AS (
+    SELECT 1 AS level, lang, source, metric, bucket, n FROM buckets
+    UNION ALL SELECT 2, lang, NULL, metric, bucket, sum(n) FROM buckets GROUP BY ALL
+    UNION ALL SELECT 3, NULL, NULL, metric, bucket, sum(n) FROM buckets GROUP BY ALL
+), ranked AS (
+    SELECT *, sum(n) OVER (o ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS below, sum(n) OVER o AS total FROM sketches WINDOW o AS (PARTITION BY level, lang, source, metric)
+), learnt AS (
+    SELECT level, lang, source, metric, min(CASE WHEN bucket IS NULL THEN 0.0 ELSE pow({quality.GAMMA}, bucket) * (2 / (1 + {quality.GAMMA})) END) AS value, any_value(total) AS total
+    FROM ranked WHERE below >= greatest(floor(total * {quality.QUANTILE}), 1) GROUP BY ALL
+), params AS (
+    SELECT f.metric, factor, floor_ FROM (VALUES {_values(quality.FACTORS)}) f(metric, factor) JOIN (VALUES {_values(quality.FLOORS)}) g(metric, floor_) USING (metric)
+), wider AS (
+    SELECT o.*, factor, floor_, CASE WHEN l.total >= {quality.MIN_ROWS} THEN l.value ELSE a.value END AS wide
+    FROM (FROM learnt WHERE level = 1) o JOIN (FROM learnt WHERE level = 2) l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN (FROM learnt WHERE level = 3) a ON o.metric = a.metric JOIN params ON params.metric = o.metric
+), limits AS (
+    SELECT lang, source, metric, greatest(CASE WHEN total >= {quality.MIN_ROWS} THEN least(value, greatest(wide, floor_) * {quality.SPREAD}) ELSE wide END * factor, floor_) AS bound FROM wider
+), over_ AS (
+    SELECT DISTINCT r.doc_id FROM ratios r JOIN limits l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source AND r.metric = l.metric WHERE value > bound
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over_) AS kept FROM judged
+"""
+
+#: Pairs within one edit share the first or the second half of the shorter line.
+LINE_DEDUP = rf"""
+WITH cut AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), normal AS (
+    SELECT doc_id, pos, lower(trim(line, ' ')) AS line FROM cut WHERE regexp_matches(line, '{_BLANK}')
+), firsts AS (
+    SELECT line, length(line) AS n, arg_min(doc_id, (doc_id, pos)) AS doc_id, min((doc_id, pos)) AS at FROM normal GROUP BY line
+), longer AS (
+    SELECT *, unnest([n, n - 1]) AS m FROM firsts WHERE n >= 32
+), pairs AS (
+    SELECT a.line AS x, b.line AS y, a.at AS xa, b.at AS ya FROM firsts a JOIN longer b ON a.n = b.m AND left(a.line, a.n // 2) = left(b.line, b.m // 2) AND a.n >= 32
+    UNION SELECT a.line, b.line, a.at, b.at FROM firsts a JOIN longer b ON a.n = b.m AND right(a.line, a.n - a.n // 2) = right(b.line, b.m - b.m // 2) AND a.n >= 32
+), near AS (
+    SELECT DISTINCT CASE WHEN xa < ya THEN y ELSE x END AS line FROM pairs WHERE x <> y AND levenshtein(x, y) <= 1
+), gone AS (
+    SELECT n.doc_id, n.pos FROM normal n JOIN firsts f USING (line) LEFT JOIN near ON near.line = n.line WHERE near.line IS NOT NULL OR f.at <> (n.doc_id, n.pos)
+), kept AS (
+    SELECT c.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (g.pos IS NULL) AS text FROM cut c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.pos = c.pos GROUP BY c.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256 FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+_TEMPLATES = ", ".join(f"({t}, '{label}', '{text}', '{phrase}')" for t, (label, text, phrase) in enumerate(licenses.TEMPLATES))
+LICENSE_SCAN = rf"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents
+), files AS (
+    SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM words
+), tokens AS (
+    SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM files
+), base(phrase, label) AS (VALUES {", ".join(f"('{p}', '{label}')" for p, label in licenses.BASE.items())}),
+starts AS (
+    SELECT t.doc_id, t.pos, b.label FROM tokens t JOIN base b ON t.word = split_part(b.phrase, ' ', 1) JOIN files f USING (doc_id)
+    WHERE f.ws[t.pos + 1 : t.pos + len(string_split(b.phrase, ' '))] = string_split(b.phrase, ' ')
+), found AS (
+    SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM starts GROUP BY doc_id
+), templates(t, label, body, phrase) AS (VALUES {_TEMPLATES}),
+index_ AS (
+    SELECT t, label, phrase, unnest(string_split(body, ' ')) AS word, generate_subscripts(string_split(body, ' '), 1) - 1 AS tpos FROM templates
+), anchored AS (
+    SELECT DISTINCT text FROM documents WHERE regexp_matches(text, '{licenses._ANCHOR}')
+), lexed AS (
+    SELECT text, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT text, regexp_extract_all({_LOWER}, '{_WORD}') AS l FROM anchored) WHERE len(l) > 0
+), posted AS (
+    SELECT * FROM lexed WHERE word IN (SELECT word FROM index_)
+), frequency AS (
+    SELECT word, count(DISTINCT text) AS df FROM posted GROUP BY word
+), rare AS (
+    SELECT index_.* FROM index_ LEFT JOIN frequency USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word, tpos) <= {licenses.RARE}
+), votes AS (
+    SELECT text, t, label, phrase, max(n) AS n FROM (SELECT text, t, label, phrase, pos - tpos, count(*) AS n FROM posted JOIN rare USING (word) GROUP BY ALL) GROUP BY ALL
+), scored AS (
+    SELECT v.*, v.n / w.wanted AS score FROM votes v JOIN (SELECT t, count(*) AS wanted FROM rare GROUP BY t) w USING (t)
+), told AS (
+    SELECT d.doc_id, max(score) AS score, list(DISTINCT label) FILTER (score >= {licenses.MIN_SCORE} AND contains(f.line, ' ' || phrase || ' ')) AS labels FROM documents d JOIN scored s ON s.text = d.text JOIN files f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(f.labels, ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(f.labels, []), coalesce(t.labels, [])))), ','), '') AS labels, coalesce(t.score, 0.0) AS score
+FROM files w LEFT JOIN found f USING (doc_id) LEFT JOIN told t USING (doc_id)
+"""
