@@ -262,12 +262,14 @@ def grouped_pairs(rows: DataFrame, group: str, key: str, held, block: int, run,
     blocks = F.greatest(F.expr(f"(size + {block - 1}) div {block}"), F.expr(f"least(size, (weight + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})"))
     sizes = written(sizes.select(group, blocks.alias("blocks")))
     large = sizes.where("blocks > 1")
+    # dealt to so many tasks, whatever their bytes: they are small for the work they bring
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = rows.join(large, group, "left_anti").join(sizes.where("blocks <= 1"), group, "left_semi")
-    whole = single.withColumns({c: F.lit(0).cast("long") for c in ("block", "one", "two")}).groupBy(group).applyInPandas(run, schema)
+    whole = single.withColumns({c: F.lit(0).cast("long") for c in ("block", "one", "two")}).repartition(parts, group).groupBy(group).applyInPandas(run, schema)
     placed = rows.join(large, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
     every = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     every = every.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other", "blocks")
-    dealt = every.repartition(group, "one", "two").groupBy(group, "one", "two").applyInPandas(run, schema)
+    dealt = every.repartition(parts, group, "one", "two").groupBy(group, "one", "two").applyInPandas(run, schema)
     return whole.unionByName(dealt)
 
 
