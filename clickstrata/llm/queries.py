@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": sql.NGRAM_JACCARD, "op4_quality_rules": sql.QUALITY_RULES, "op5_line_dedup": sql.LINE_DEDUP, "op8_license_scan": sql.LICENSE_SCAN, "op9_chat_format": sql.CHAT_FORMAT, "op10_decontamination": sql.DECONTAMINATION}
+    return {"op3_ngram_jaccard": sql.NGRAM_JACCARD, "op4_quality_rules": sql.QUALITY_RULES, "op5_line_dedup": sql.LINE_DEDUP, "op7_feistel_shards": sql.FEISTEL_SHARDS, "op8_license_scan": sql.LICENSE_SCAN, "op9_chat_format": sql.CHAT_FORMAT, "op10_decontamination": sql.DECONTAMINATION}

@@ -3,7 +3,10 @@
 What is a parameter of an operator (thresholds, license templates) comes from its module.
 """
 
-from . import licenses, quality
+import numpy as np
+
+from . import licenses, quality, sharding
+from .hashing import mix
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -201,3 +204,37 @@ SELECT w.doc_id, len(w.ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(f.labels, []), coalesce(t.labels, [])))), ','), '') AS labels, coalesce(t.score, 0.0) AS score
 FROM files w LEFT JOIN found f USING (doc_id) LEFT JOIN told t USING (doc_id)
 """
+
+
+def _mixed(x: str) -> str:
+    """The splitmix64 finaliser of an unsigned expression, as a scalar subquery chain."""
+    wrap = "18446744073709551616::UHUGEINT"
+    times = lambda z, c: f"(({z})::UHUGEINT * {c}::UHUGEINT % {wrap})::UBIGINT"
+    fold = lambda z, k: f"xor({z}, {z} >> {k})"
+    a = f"(SELECT {times(fold('z', 30), 13787848793156543929)} FROM (SELECT (({x}) % {wrap})::UBIGINT AS z))"
+    b = f"(SELECT {times(fold('z', 27), 10723151780598845931)} FROM (SELECT {a} AS z))"
+    return f"(SELECT {fold('z', 31)} FROM (SELECT {b} AS z))"
+
+
+_KEYS = ", ".join(str(int(k)) for k in mix(np.arange(1, sharding.ROUNDS + 1, dtype=np.uint64) + np.uint64(sharding.SEED)))
+FEISTEL_SHARDS = rf"""
+WITH RECURSIVE polynomial AS (
+    SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps FROM range(256) r(b)
+), rows_ AS (
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS crc
+    FROM documents, polynomial
+), numbered AS (
+    SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, crc) - 1 AS number, (SELECT count(*) FROM documents) AS total FROM rows_
+), shaped AS (
+    SELECT *, greatest(1, (length(ltrim(bin(greatest(total, 2) - 1), '0')) + 1) // 2)::INTEGER AS half FROM numbered
+), walk AS (
+    SELECT number, total, half, 0 AS round, (number >> half)::UBIGINT AS l, (number & ((1 << half) - 1))::UBIGINT AS r FROM shaped
+    UNION ALL
+    SELECT number, total, half, CASE WHEN round = {sharding.ROUNDS} THEN 0 ELSE round + 1 END, CASE WHEN round = {sharding.ROUNDS} THEN l ELSE r END,
+        CASE WHEN round = {sharding.ROUNDS} THEN r ELSE xor(l, {_mixed(f"r::UHUGEINT + [{_KEYS}][round + 1]::UHUGEINT")} & ((1::UBIGINT << half::UBIGINT) - 1)::UBIGINT) END
+    FROM walk WHERE round < {sharding.ROUNDS} OR ((l << half::UBIGINT) | r) >= total
+), placed AS (
+    SELECT number, ((l << half::UBIGINT) | r)::BIGINT AS p FROM walk WHERE round = {sharding.ROUNDS} AND ((l << half::UBIGINT) | r) < total
+)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (p % {sharding.SHARDS})::INTEGER AS shard, p // {sharding.SHARDS} AS slot, NULL::INTEGER AS grown_shard FROM numbered JOIN placed USING (number)
+"""
