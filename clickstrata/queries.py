@@ -84,15 +84,15 @@ def _black(spark, d) -> DataFrame:
     return ads.blacklist(ads.user_click_count(_log(spark, d)), THRESHOLD)
 
 
-def _streamed(spark, d, start, keys: list[str]) -> DataFrame:
-    """Runs a stream over the ad log, stored as three files in no order of time, to its end; then the state by key."""
+def _streamed(spark, d, start, table: str) -> DataFrame:
+    """Runs a stream over the ad log, stored as three files in no order of time, to its end; then its table."""
     base = new_folder(spark, "behaviour")
     log = _log(spark, d)
     log.repartitionByRange(3, "ts").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     query = start(stream, f"{base}/out", f"{base}/checkpoint", True, None)  # a replay of stored rows has no late ones
     query.awaitTermination()
-    return sinks.keep_latest(spark.read.parquet(f"{base}/out"), keys, "click_count")
+    return spark.read.schema(_AD_TABLES[table]).parquet(f"{base}/out")
 
 
 def _lines(spark, d) -> str:
@@ -112,7 +112,7 @@ def _ad_job(spark, d, table: str) -> DataFrame:
     base = new_folder(spark, "behaviour")
     jobs.stream_ads.run(jobs.ad_job(tables.text_lines(spark, _lines(spark, d)), f"{base}/out", f"{base}/checkpoint", THRESHOLD, True))
     found = spark.read.schema(_AD_TABLES[table]).parquet(f"{base}/out/{table}")
-    return found.select([c for c in found.columns if c not in ("before", "batch_id")])
+    return found.select([c for c in found.columns if c not in ("before", "batch_id", "span")])
 
 
 _AD_TABLES = {
@@ -283,8 +283,8 @@ def queries() -> dict:
         "job_page_convert_rate": _job(jobs.page_job, "page_convert_rate"),
         "job_area_top3_product": _job(jobs.product_job, "area_top3_product"),
         **{f"job_{name}": (lambda s, d, name=name: _ad_job(s, d, name)) for name in _AD_TABLES},
-        "stream_ad_stat": lambda s, d: _streamed(s, d, stream_ads.ad_stat, ["date", "province", "city", "ad_id"]),
-        "stream_ad_click_trend": lambda s, d: _streamed(s, d, stream_ads.click_trend, ["date", "hour", "minute", "ad_id"]),
+        "stream_ad_stat": lambda s, d: _streamed(s, d, stream_ads.ad_stat, "ad_stat"),
+        "stream_ad_click_trend": lambda s, d: _streamed(s, d, stream_ads.click_trend, "ad_click_trend"),
     }
 
 

@@ -15,6 +15,12 @@ from ..operators import ads
 from ..sources import sinks
 
 
+USER_KEYS = ["date", "user_id", "ad_id"]
+STAT_KEYS = ["date", "province", "city", "ad_id"]
+TREND_KEYS = ["date", "hour", "minute", "ad_id"]
+SPAN = 1000  # batches whose newly listed users share a folder
+
+
 def _start(df: DataFrame, each, checkpoint: str, available_now: bool, mode: str = "update", every: str = "5 seconds") -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
@@ -25,7 +31,7 @@ def ad_stat(log: DataFrame, path: str, checkpoint: str, available_now: bool = Fa
     late = log.withWatermark("ts", watermark) if watermark else log
     by = late.groupBy(F.window("ts", "1 day").alias("w"), "province", "city", "ad_id").count()
     flat = by.select(F.date_format("w.start", "yyyy-MM-dd").alias("date"), "province", "city", "ad_id", F.col("count").alias("click_count"))
-    return _start(flat, lambda df, i: sinks.append_batch(df, i, path), checkpoint, available_now)
+    return _start(flat, lambda df, i: sinks.upsert(df, path, STAT_KEYS), checkpoint, available_now)
 
 
 def click_trend(log: DataFrame, path: str, checkpoint: str, available_now: bool = False, watermark: str | None = "2 hours") -> StreamingQuery:
@@ -34,7 +40,7 @@ def click_trend(log: DataFrame, path: str, checkpoint: str, available_now: bool
     by = late.groupBy(F.window("ts", "1 minute").alias("w"), "ad_id").count()
     part = lambda f, name: F.date_format("w.start", f).alias(name)
     flat = by.select(part("yyyy-MM-dd", "date"), part("HH", "hour"), part("mm", "minute"), "ad_id", F.col("count").alias("click_count"))
-    return _start(flat, lambda df, i: sinks.append_batch(df, i, path), checkpoint, available_now)
+    return _start(flat, lambda df, i: sinks.upsert(df, path, TREND_KEYS), checkpoint, available_now)
 
 
 @dataclass(frozen=True)
@@ -47,19 +53,21 @@ class Tables:
         return f"{self.base}/{name}"
 
 
-USER_KEYS = ["date", "user_id", "ad_id"]
-STAT_KEYS = ["date", "province", "city", "ad_id"]
-TREND_KEYS = ["date", "hour", "minute", "ad_id"]
+_LISTED = "user_id long, batch_id long, span long"
 
 
 def black_users(spark, path: str, before: int | None = None) -> DataFrame:
     """The users listed so far, read anew at each call; with ``before`` by earlier batches only."""
-    listed = sinks.read_or_empty(spark, path, "user_id long, batch_id long")
+    listed = sinks.read_or_empty(spark, path, _LISTED)
     return (listed if before is None else listed.where(F.col("batch_id") < before)).select("user_id").distinct()
 
 
 def extend_blacklist(totals: DataFrame, black: DataFrame, path: str, batch_id: int, threshold: int) -> None:
-    sinks.append_batch(ads.blacklist(totals, threshold).join(black, "user_id", "left_anti"), batch_id, path)
+    """Adds the users that reached the threshold, under the batch's id; a repeated batch replaces its own."""
+    span = batch_id // SPAN
+    held = sinks.read_or_empty(totals.sparkSession, path, _LISTED).where((F.col("span") == span) & (F.col("batch_id") < batch_id))
+    found = ads.blacklist(totals, threshold).join(black, "user_id", "left_anti").select("user_id", F.lit(batch_id).cast("long").alias("batch_id"), F.lit(span).cast("long").alias("span"))
+    sinks.replace_partitions(held.unionByName(found), path, "span")
 
 
 def filtered(log: DataFrame, path: str, blacklist_path: str, checkpoint: str, threshold: int = 100, available_now: bool = False) -> StreamingQuery:

@@ -10,7 +10,7 @@ from clickstrata.sources import tables
 from clickstrata.streaming import ads as stream_ads
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["area_top3_product", "session_filter", "session_aggr_stat", "session_random_extract", "top10_session_detail", "page_convert_rate", "skew_join", "ad_province_top3", "ad_trend_last_hour", "concat_kv_set", "stream_ad_stat", "session_filter_all", "skew_join_split", "jdbc_city_info", "temp_view_sql", "task_params", "bernoulli_sample", "job_session_detail", "job_ad_province_top3", "job_ad_blacklist"]
+QUERIES = ["area_top3_product", "session_filter", "session_aggr_stat", "session_random_extract", "top10_session_detail", "page_convert_rate", "skew_join", "ad_province_top3", "ad_trend_last_hour", "concat_kv_set", "stream_ad_stat", "stream_ad_click_trend", "session_filter_all", "skew_join_split", "jdbc_city_info", "temp_view_sql", "task_params", "bernoulli_sample", "job_session_detail", "job_ad_province_top3", "job_ad_blacklist"]
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +90,15 @@ def test_a_repeated_batch_adds_up_once(spark, tmp_path):
     assert {(str(d), a): n for (d, a), n in state().items()} == {("2024-01-01", 1): 5, ("2024-01-02", 1): 3, ("2024-01-02", 2): 8}
 
 
+def test_upserts_keep_the_newest_value(spark, tmp_path):
+    from clickstrata.sources import sinks
+
+    path = str(tmp_path / "stat")
+    for rows in ([("2024-01-01", 1, 5), ("2024-01-02", 1, 1)], [("2024-01-02", 1, 4), ("2024-01-02", 2, 2)], [("2024-01-02", 1, 4), ("2024-01-02", 2, 2)]):
+        sinks.upsert(spark.createDataFrame(rows, "date string, ad_id long, click_count long"), path, ["date", "ad_id"])
+    assert {(str(r.date), r.ad_id, r.click_count) for r in spark.read.parquet(path).collect()} == {("2024-01-01", 1, 5), ("2024-01-02", 1, 4), ("2024-01-02", 2, 2)}
+
+
 def test_a_job_run_again_replaces_its_results(spark, tmp_path):
     from clickstrata import jobs
     from clickstrata.plans.config import Config
