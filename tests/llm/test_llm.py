@@ -81,6 +81,18 @@ def test_jaccard_against_brute_force(spark):
     assert [found[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_jaccard_of_odd_rows_and_blocks_by_weight(spark, monkeypatch):
+    """Nulls, repeats, short and long texts, clashing names; blocks of few shingles."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    rng = np.random.default_rng(9)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 90, 40))
+    texts = [*TEXTS, *(f"{base} e{k % 5}" for k in range(12)), *(f"s{k} {base}" for k in range(6)), "a  B c d E f g h", LONG.upper()]
+    rows = [(i, t, "k", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string, key string, n long")).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == brute_components(texts)
+    assert got[0].n_shingles == 0 and got[3].n_shingles == 1 and got[4].n_links == 3
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
