@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each over all rows its predecessor kept."""
+"""From raw documents to token ids: five stages, each over all rows its predecessor kept.
+
+Null and empty texts fail the quality rules' base rule and go there; rows that repeat an id stand or fall together in
+the near-duplicate stage and apart in the others; null ids are kept as they are; an empty table gives an empty
+result; extra columns, whatever their names, stay up to the last stage. A text of any length is handled whole.
+Every stage's result is a table in the shared folder, so a lost executor costs the tasks that ran on it.
+"""
 
 from __future__ import annotations
 
