@@ -45,8 +45,8 @@ BEGIN, UNKNOWN, FIRST = 0, 1, 2  # numbers of what stands before a text, of the
 ORDER = 3
 GOOD_TURING = 5
 CHUNK = 8192
-CHUNK_CHARS = 8 << 20
-CAP = 1 << 20
+CHUNK_CHARS = 5 << 20
+CAP = 3 << 18
 
 
 def tokens(text: str | None) -> list[bytes]:
