@@ -32,14 +32,20 @@ def fill_with_zero(c: Column) -> Column:
 
 def concat_kv_get(c: Column, field: str, delimiter: str = "|") -> Column:
     """The value of ``field`` in ``k=v|k=v``; null where the value is empty or holds another ``=``."""
-    parts = F.filter(F.split(c, _quoted(delimiter)), lambda p: (F.size(F.split(p, "=")) == 2) & (F.get(F.split(p, "="), 0) == field) & (F.get(F.split(p, "="), 1) != ""))
+    parts = F.filter(
+        F.split(c, _quoted(delimiter)),
+        lambda p: (F.size(F.split(p, "=")) == 2) & (F.get(F.split(p, "="), 0) == field) & (F.get(F.split(p, "="), 1) != ""),
+    )
     return F.get(F.split(F.get(parts, 0), "="), 1)
 
 
 def concat_kv_set(c: Column, field: str, value: str, delimiter: str = "|") -> Column:
     """``field`` replaced in every pair that names it; the other pairs stay."""
     named = lambda p: F.get(F.split(p, "="), 0) == field
-    return F.array_join(F.transform(F.split(c, _quoted(delimiter)), lambda p: F.when(named(p), F.lit(f"{field}={value}")).otherwise(p)), delimiter)
+    return F.array_join(
+        F.transform(F.split(c, _quoted(delimiter)), lambda p: F.when(named(p), F.lit(f"{field}={value}")).otherwise(p)),
+        delimiter,
+    )
 
 
 def concat_long_string(number: Column, sep: str, text: Column) -> Column:

@@ -45,8 +45,21 @@ def session_job(source: Input, tasks: DataFrame, task_id: int, out: str, sample:
     sampled = session.random_extract(kept, sample)
     top = session.top_categories(own)
     top_sessions = session.top_sessions(own, top)
-    detail = session.detail(session.of_sessions(own, sampled)).unionByName(session.top_session_detail(own, top_sessions).drop("category_id"))
-    paths = _store(out, task_id, {"session_aggr_stat": session.aggr_stat(kept), "session_random_extract": sampled, "session_detail": detail, "top10_category": top, "top10_session": top_sessions})
+    detail = (
+        session.detail(session.of_sessions(own, sampled))
+        .unionByName(session.top_session_detail(own, top_sessions).drop("category_id"))
+    )
+    paths = _store(
+        out,
+        task_id,
+        {
+            "session_aggr_stat": session.aggr_stat(kept),
+            "session_random_extract": sampled,
+            "session_detail": detail,
+            "top10_category": top,
+            "top10_session": top_sessions,
+        },
+    )
     own.unpersist()
     kept.unpersist()
     return paths

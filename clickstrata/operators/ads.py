@@ -30,7 +30,11 @@ def stat(log: DataFrame) -> DataFrame:
 
 def province_top(stats: DataFrame, k: int = 3) -> DataFrame:
     by = stats.groupBy("date", "province", "ad_id").agg(F.sum("click_count").alias("click_count"))
-    return by.withColumn("rn", F.row_number().over(Window.partitionBy("date", "province").orderBy(F.desc("click_count"), "ad_id"))).where(F.col("rn") <= k).drop("rn")
+    return (
+        by.withColumn("rn", F.row_number().over(Window.partitionBy("date", "province").orderBy(F.desc("click_count"), "ad_id")))
+        .where(F.col("rn") <= k)
+        .drop("rn")
+    )
 
 
 def click_trend(log: DataFrame) -> DataFrame:

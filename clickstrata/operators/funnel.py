@@ -19,8 +19,17 @@ def split_pv(actions: DataFrame, flow: tuple[int, ...]) -> DataFrame:
     """step, split, pv: how often a session went from one page straight to the next; 0 where never."""
     steps = flow_splits(actions, flow)
     by = Window.partitionBy("session_id").orderBy("action_time", "event_id")
-    seen = actions.select("session_id", "page_id", "action_time", "event_id").withColumn("before", F.lag("page_id").over(by)).where("before IS NOT NULL")
-    counted = seen.select(F.concat_ws("_", "before", "page_id").alias("split")).where(F.col("split").isin([f"{a}_{b}" for a, b in zip(flow, flow[1:])])).groupBy("split").agg(F.count("*").alias("pv"))
+    seen = (
+        actions.select("session_id", "page_id", "action_time", "event_id")
+        .withColumn("before", F.lag("page_id").over(by))
+        .where("before IS NOT NULL")
+    )
+    counted = (
+        seen.select(F.concat_ws("_", "before", "page_id").alias("split"))
+        .where(F.col("split").isin([f"{a}_{b}" for a, b in zip(flow, flow[1:])]))
+        .groupBy("split")
+        .agg(F.count("*").alias("pv"))
+    )
     return steps.join(F.broadcast(counted), "split", "left").select("step", "split", F.coalesce("pv", F.lit(0)).alias("pv"))
 
 
@@ -37,5 +46,9 @@ def convert_rate(actions: DataFrame, flow: tuple[int, ...]) -> DataFrame:
 
 def convert_rate_string(rates: DataFrame) -> DataFrame:
     """``a_b=rate|...`` in the flow's order."""
-    entries = F.array_sort(F.collect_list(F.struct("step", F.concat_ws("=", "split", F.coalesce(F.format_string("%.2f", "rate"), F.lit("null"))).alias("entry"))))
+    entries = F.array_sort(
+        F.collect_list(
+            F.struct("step", F.concat_ws("=", "split", F.coalesce(F.format_string("%.2f", "rate"), F.lit("null"))).alias("entry"))
+        )
+    )
     return rates.agg(F.array_join(F.transform(entries, lambda e: e["entry"]), "|").alias("convert_rate"))

@@ -27,7 +27,10 @@ def area_count(clicks: DataFrame) -> DataFrame:
 
 def full_product(counts: DataFrame, products: DataFrame) -> DataFrame:
     status = F.when(json_int_field(F.col("extend_info"), "product_status") == 0, OWN).otherwise(OTHER)
-    return counts.join(products, "product_id").select("area", "product_id", "click_count", "city_infos", "product_name", status.alias("product_status"))
+    return (
+        counts.join(products, "product_id")
+        .select("area", "product_id", "click_count", "city_infos", "product_name", status.alias("product_status"))
+    )
 
 
 def area_top(full: DataFrame, k: int = 3, levels: dict | None = None) -> DataFrame:
@@ -35,4 +38,7 @@ def area_top(full: DataFrame, k: int = 3, levels: dict | None = None) -> DataFra
     for name, areas in reversed((levels or LEVELS).items()):
         level = F.when(F.col("area").isin(*areas), name).otherwise(level)
     ranked = full.withColumn("rn", F.row_number().over(Window.partitionBy("area").orderBy(F.desc("click_count"), "product_id")))
-    return ranked.where(F.col("rn") <= k).select("area", level.alias("area_level"), "product_id", "click_count", "city_infos", "product_name", "product_status")
+    return (
+        ranked.where(F.col("rn") <= k)
+        .select("area", level.alias("area_level"), "product_id", "click_count", "city_infos", "product_name", "product_status")
+    )

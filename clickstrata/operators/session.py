@@ -10,7 +10,17 @@ from ..functions.scalars import div, group_concat_distinct, ratio2, seconds_betw
 from ..plans.params import TaskParams
 
 #: Upper bounds, inclusive, of each bucket; the next one begins one above. Fixed values.
-VISIT = {"visit_1s_3s": (1, 3), "visit_4s_6s": (4, 6), "visit_7s_9s": (7, 9), "visit_10s_30s": (10, 30), "visit_30s_60s": (31, 60), "visit_1m_3m": (61, 180), "visit_3m_10m": (181, 600), "visit_10m_30m": (601, 1800), "visit_30m": (1801, None)}
+VISIT = {
+    "visit_1s_3s": (1, 3),
+    "visit_4s_6s": (4, 6),
+    "visit_7s_9s": (7, 9),
+    "visit_10s_30s": (10, 30),
+    "visit_30s_60s": (31, 60),
+    "visit_1m_3m": (61, 180),
+    "visit_3m_10m": (181, 600),
+    "visit_10m_30m": (601, 1800),
+    "visit_30m": (1801, None),
+}
 STEP = {"step_1_3": (1, 3), "step_4_6": (4, 6), "step_7_9": (7, 9), "step_10_30": (10, 30), "step_30_60": (31, 60), "step_60": (61, None)}
 
 
@@ -95,7 +105,10 @@ def aggr_stat(sessions: DataFrame) -> DataFrame:
 
 
 def hour_count(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy(F.date_format("start_time", "yyyy-MM-dd").alias("date"), F.date_format("start_time", "HH").alias("hour")).agg(F.count("*").alias("sessions"))
+    return (
+        sessions.groupBy(F.date_format("start_time", "yyyy-MM-dd").alias("date"), F.date_format("start_time", "HH").alias("hour"))
+        .agg(F.count("*").alias("sessions"))
+    )
 
 
 def random_extract(sessions: DataFrame, total: int = 1000, parts: int = 16) -> DataFrame:
@@ -103,15 +116,38 @@ def random_extract(sessions: DataFrame, total: int = 1000, parts: int = 16) -> D
     hours = hour_count(sessions)
     days = hours.agg(F.countDistinct("date").alias("n_days"))  # one row
     of_day = F.sum("sessions").over(Window.partitionBy("date"))
-    quota = hours.withColumn("of_day", of_day).crossJoin(F.broadcast(days)).withColumn("quota", F.least("sessions", div(F.col("sessions") * div(F.lit(total), F.col("n_days")), F.col("of_day"))))
-    timed = sessions.select("session_id", "start_time", "search_keywords", "click_category_ids", F.date_format("start_time", "yyyy-MM-dd").alias("date"), F.date_format("start_time", "HH").alias("hour"))
+    quota = (
+        hours.withColumn("of_day", of_day)
+        .crossJoin(F.broadcast(days))
+        .withColumn("quota", F.least("sessions", div(F.col("sessions") * div(F.lit(total), F.col("n_days")), F.col("of_day"))))
+    )
+    timed = sessions.select(
+        "session_id",
+        "start_time",
+        "search_keywords",
+        "click_category_ids",
+        F.date_format("start_time", "yyyy-MM-dd").alias("date"),
+        F.date_format("start_time", "HH").alias("hour"),
+    )
     # ranked by part of an hour first: what the second ranking sees of an hour is at most its quota from each part
     part = F.pmod(F.xxhash64("session_id"), F.lit(parts))
     order = [F.md5("session_id"), F.col("session_id")]
     quotas = quota.where("quota > 0").select("date", "hour", "quota")  # a row an hour
-    first = timed.join(F.broadcast(quotas), ["date", "hour"]).withColumn("rn", F.row_number().over(Window.partitionBy("date", "hour", part).orderBy(*order))).where("rn <= quota")
+    first = (
+        timed.join(F.broadcast(quotas), ["date", "hour"])
+        .withColumn("rn", F.row_number().over(Window.partitionBy("date", "hour", part).orderBy(*order)))
+        .where("rn <= quota")
+    )
     ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("date", "hour").orderBy(*order)))
-    return ranked.where("rn <= quota").select("session_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), "search_keywords", "click_category_ids")
+    return (
+        ranked.where("rn <= quota")
+        .select(
+            "session_id",
+            F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"),
+            "search_keywords",
+            "click_category_ids",
+        )
+    )
 
 
 def of_sessions(actions: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -121,14 +157,39 @@ def of_sessions(actions: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def detail(actions: DataFrame) -> DataFrame:
     missing = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    return actions.select("event_id", "user_id", "session_id", "page_id", F.date_format("action_time", "yyyy-MM-dd HH:mm:ss").alias("action_time"), "search_keyword", missing("click_category_id"), missing("click_product_id"), "order_category_ids", "order_product_ids", "pay_category_ids", "pay_product_ids")
+    return actions.select(
+        "event_id",
+        "user_id",
+        "session_id",
+        "page_id",
+        F.date_format("action_time", "yyyy-MM-dd HH:mm:ss").alias("action_time"),
+        "search_keyword",
+        missing("click_category_id"),
+        missing("click_product_id"),
+        "order_category_ids",
+        "order_product_ids",
+        "pay_category_ids",
+        "pay_product_ids",
+    )
 
 
 def category_events(actions: DataFrame) -> DataFrame:
     """category_id, kind: one row for each category clicked, ordered or paid."""
-    listed = lambda column, kind: F.transform(F.coalesce(F.split(column, ","), F.array().cast("array<string>")), lambda x: F.struct(x.try_cast("long").alias("category_id"), F.lit(kind).alias("kind")))
-    clicked = F.when(F.col("click_category_id").isNotNull(), F.array(F.struct(F.col("click_category_id").alias("category_id"), F.lit("click").alias("kind")))).otherwise(F.array().cast("array<struct<category_id:bigint,kind:string>>"))
-    return actions.select(F.inline(F.concat(clicked, listed("order_category_ids", "order"), listed("pay_category_ids", "pay")))).where("category_id IS NOT NULL")
+    listed = lambda column, kind: F.transform(
+        F.coalesce(F.split(column, ","), F.array().cast("array<string>")),
+        lambda x: F.struct(x.try_cast("long").alias("category_id"), F.lit(kind).alias("kind")),
+    )
+    clicked = (
+        F.when(
+            F.col("click_category_id").isNotNull(),
+            F.array(F.struct(F.col("click_category_id").alias("category_id"), F.lit("click").alias("kind"))),
+        )
+        .otherwise(F.array().cast("array<struct<category_id:bigint,kind:string>>"))
+    )
+    return (
+        actions.select(F.inline(F.concat(clicked, listed("order_category_ids", "order"), listed("pay_category_ids", "pay"))))
+        .where("category_id IS NOT NULL")
+    )
 
 
 def category_universe(actions: DataFrame) -> DataFrame:
@@ -141,17 +202,29 @@ def category_count(actions: DataFrame, kind: str) -> DataFrame:
 
 def top_categories(actions: DataFrame, k: int = 10) -> DataFrame:
     """By clicks, orders, payments, then least id: one scan and one aggregate instead of three left joins."""
-    counted = category_events(actions).groupBy("category_id").agg(*[F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in ("click", "order", "pay")])
+    counted = (
+        category_events(actions)
+        .groupBy("category_id")
+        .agg(*[F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in ("click", "order", "pay")])
+    )
     return counted.orderBy(F.desc("click_count"), F.desc("order_count"), F.desc("pay_count"), "category_id").limit(k)
 
 
 def session_category_count(actions: DataFrame) -> DataFrame:
-    return actions.where("click_category_id IS NOT NULL").groupBy(F.col("click_category_id").alias("category_id"), "session_id").agg(F.count("*").alias("click_count"))
+    return (
+        actions.where("click_category_id IS NOT NULL")
+        .groupBy(F.col("click_category_id").alias("category_id"), "session_id")
+        .agg(F.count("*").alias("click_count"))
+    )
 
 
 def top_sessions(actions: DataFrame, categories: DataFrame, k: int = 10) -> DataFrame:
     """The k sessions with most clicks of each top category; ``categories`` has k rows."""
-    ranked = session_category_count(actions).join(F.broadcast(categories.select("category_id")), "category_id").withColumn("rn", F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc("click_count"), "session_id")))
+    ranked = (
+        session_category_count(actions)
+        .join(F.broadcast(categories.select("category_id")), "category_id")
+        .withColumn("rn", F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc("click_count"), "session_id")))
+    )
     return ranked.where(F.col("rn") <= k).select("category_id", "session_id", "click_count")
 
 
@@ -162,7 +235,10 @@ def top_session_detail(actions: DataFrame, top: DataFrame) -> DataFrame:
 
 def salted_category_count(actions: DataFrame, salts: int = 10) -> DataFrame:
     """Clicks a category in two steps, for hot categories: by salt, then over salts."""
-    clicks = actions.where("click_category_id IS NOT NULL").select(F.col("click_category_id").alias("category_id"), F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"))
+    clicks = (
+        actions.where("click_category_id IS NOT NULL")
+        .select(F.col("click_category_id").alias("category_id"), F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"))
+    )
     return clicks.groupBy("category_id", "salt").agg(F.count("*").alias("n")).groupBy("category_id").agg(F.sum("n").alias("click_count"))
 
 

@@ -33,7 +33,18 @@ class TaskParams:
         one = lambda key: (raw.get(key) or [None])[0]
         many = lambda key, kind=str: tuple(kind(x) for x in str(one(key)).split(",") if x) if one(key) not in (None, "") else ()
         number = lambda key: int(one(key)) if one(key) not in (None, "") else None
-        return cls(one("startDate"), one("endDate"), number("startAge"), number("endAge"), many("professionals"), many("cities"), one("sex"), many("keywords"), many("categoryIds", int), many("pageFlow", int))
+        return cls(
+            one("startDate"),
+            one("endDate"),
+            number("startAge"),
+            number("endAge"),
+            many("professionals"),
+            many("cities"),
+            one("sex"),
+            many("keywords"),
+            many("categoryIds", int),
+            many("pageFlow", int),
+        )
 
 
 def task_id(arguments: list[str], config: Config | None = None, kind: str = "") -> int:

@@ -16,8 +16,23 @@ from .sources import sinks, tables
 from .sources.folders import new_folder
 from .streaming import ads as stream_ads
 
-PARAMS = TaskParams(start_date="2024-01-03", end_date="2024-01-28", start_age=20, end_age=60, professionals=("AUTOMOBILE", "BUILDING", "MACHINERY"), category_ids=(1, 2, 3, 5, 7, 11))
-ALL_PARAMS = TaskParams(start_age=19, end_age=65, professionals=("AUTOMOBILE", "BUILDING", "MACHINERY"), cities=tuple(f"city{i}" for i in range(0, 25, 2)), sex="male", keywords=("kw1", "kw3", "kw5", "kw7"), category_ids=(1, 2, 3, 5, 7, 11))
+PARAMS = TaskParams(
+    start_date="2024-01-03",
+    end_date="2024-01-28",
+    start_age=20,
+    end_age=60,
+    professionals=("AUTOMOBILE", "BUILDING", "MACHINERY"),
+    category_ids=(1, 2, 3, 5, 7, 11),
+)
+ALL_PARAMS = TaskParams(
+    start_age=19,
+    end_age=65,
+    professionals=("AUTOMOBILE", "BUILDING", "MACHINERY"),
+    cities=tuple(f"city{i}" for i in range(0, 25, 2)),
+    sex="male",
+    keywords=("kw1", "kw3", "kw5", "kw7"),
+    category_ids=(1, 2, 3, 5, 7, 11),
+)
 FLOW = (1, 2, 3, 4)
 #: A stored task, as the jobs find it.
 TASKS = [
@@ -128,7 +143,10 @@ def _parsed_stream(spark, d) -> DataFrame:
     """The log read back by the line parser in a stream."""
     base = new_folder(spark, "behaviour")
     parsed = tables.parse_ad_log(tables.text_lines(spark, _lines(spark, d), 1))
-    parsed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parsed.writeStream.format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation",
+        f"{base}/checkpoint",
+    ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -161,35 +179,80 @@ def _task_row(spark, d) -> DataFrame:
     rows = []
     for number in (task_id([], Config.parse(PROPERTIES), "sessions"), task_id(["4"])):
         p = find_task(stored, number)
-        rows.append((number, p.start_date, p.end_date, p.start_age, p.end_age, ",".join(p.professionals), ",".join(p.cities), p.sex, ",".join(p.keywords), ",".join(map(str, p.category_ids))))
-    return spark.createDataFrame(rows, "task_id long, start_date string, end_date string, start_age int, end_age int, professionals string, cities string, sex string, keywords string, category_ids string")
+        rows.append(
+            (
+                number,
+                p.start_date,
+                p.end_date,
+                p.start_age,
+                p.end_age,
+                ",".join(p.professionals),
+                ",".join(p.cities),
+                p.sex,
+                ",".join(p.keywords),
+                ",".join(map(str, p.category_ids)),
+            )
+        )
+    return spark.createDataFrame(
+        rows,
+        "task_id long, start_date string, end_date string, start_age int, end_age int, professionals string, cities string, sex string, keywords string, category_ids string",
+    )
 
 
 def _config(spark, d) -> DataFrame:
     c = Config.parse(PROPERTIES)
-    row = (c.boolean("local"), c.integer("task.id.sessions"), c.text("kafka.topics"), c.integer("blacklist.threshold"), c.boolean("absent", False))
+    row = (
+        c.boolean("local"),
+        c.integer("task.id.sessions"),
+        c.text("kafka.topics"),
+        c.integer("blacklist.threshold"),
+        c.boolean("absent", False),
+    )
     return spark.createDataFrame([row], "local boolean, task_id long, topics string, threshold long, absent boolean")
 
 
 def _view_sql(spark, d) -> DataFrame:
     _utc(spark)
     tables.register_views(spark, d)
-    return spark.sql("SELECT c.area, u.sex, count(*) AS clicks FROM user_visit_action a JOIN user_info u ON u.user_id = a.user_id JOIN city_info c ON c.city_id = a.city_id WHERE a.click_product_id IS NOT NULL GROUP BY c.area, u.sex")
+    return spark.sql(
+        "SELECT c.area, u.sex, count(*) AS clicks FROM user_visit_action a JOIN user_info u ON u.user_id = a.user_id JOIN city_info c ON c.city_id = a.city_id WHERE a.click_product_id IS NOT NULL GROUP BY c.area, u.sex"
+    )
 
 
 def _compared(spark, d) -> DataFrame:
     t, noon = F.col("action_time"), F.lit("2024-01-15 12:00:00").cast("timestamp")
-    return _actions(spark, d).select("event_id", fn.before(t, noon).alias("is_before"), fn.after(t, noon).alias("is_after"), fn.format_date(t).alias("day"), (fn.today() > fn.yesterday()).alias("later"), F.date_diff(fn.today().cast("date"), fn.yesterday().cast("date")).alias("apart"))
+    return (
+        _actions(spark, d)
+        .select(
+            "event_id",
+            fn.before(t, noon).alias("is_before"),
+            fn.after(t, noon).alias("is_after"),
+            fn.format_date(t).alias("day"),
+            (fn.today() > fn.yesterday()).alias("later"),
+            F.date_diff(fn.today().cast("date"), fn.yesterday().cast("date")).alias("apart"),
+        )
+    )
 
 
 def _scalars(spark, d) -> DataFrame:
-    s = F.concat(F.lit("sid="), F.col("session_id"), F.lit("|page="), F.col("page_id").cast("string"), F.lit("|kw="), F.coalesce("search_keyword", F.lit("")))
+    s = F.concat(
+        F.lit("sid="),
+        F.col("session_id"),
+        F.lit("|page="),
+        F.col("page_id").cast("string"),
+        F.lit("|kw="),
+        F.coalesce("search_keyword", F.lit("")),
+    )
     return _actions(spark, d).select("event_id", s.alias("kv"))
 
 
 def _long_delimiter(spark, d) -> DataFrame:
     kv = _scalars(spark, d).select("event_id", F.replace("kv", F.lit("|"), F.lit("||")).alias("kv"))
-    return kv.select("event_id", fn.concat_kv_get(F.col("kv"), "page", "||").alias("page"), fn.concat_kv_set(F.col("kv"), "page", "99", "||").alias("kv"))
+    return kv.select(
+        "event_id",
+        fn.concat_kv_get(F.col("kv"), "page", "||").alias("page"),
+        fn.concat_kv_set(F.col("kv"), "page", "99", "||").alias("kv"),
+    )
 
 
 def _split_skew(spark, d) -> DataFrame:
@@ -198,19 +261,46 @@ def _split_skew(spark, d) -> DataFrame:
 
 
 def _skewed(spark, d) -> DataFrame:
-    joined = session.skew_join(_actions(spark, d).select("event_id", "user_id", "page_id"), tables.user_info(spark, d).select("user_id", "age", "sex"), "user_id", "event_id")
+    joined = session.skew_join(
+        _actions(spark, d).select("event_id", "user_id", "page_id"),
+        tables.user_info(spark, d).select("user_id", "age", "sex"),
+        "user_id",
+        "event_id",
+    )
     return joined.select("event_id", "user_id", "page_id", "age", "sex")
 
 
 def _strings(spark, d) -> DataFrame:
     c = F.concat(F.lit(","), F.coalesce("order_category_ids", F.lit("")), F.lit(","))
     salted = fn.random_prefix(F.col("session_id"), 10, F.col("event_id"))
-    return _actions(spark, d).select("event_id", fn.is_empty(F.col("search_keyword")).alias("no_keyword"), fn.trim_comma(c).alias("trimmed"), fn.fill_with_zero(F.col("page_id").cast("string")).alias("page"), fn.concat_long_string(F.col("city_id"), ":", F.col("session_id")).alias("city_session"), fn.remove_random_prefix(salted).alias("unsalted"))
+    return (
+        _actions(spark, d)
+        .select(
+            "event_id",
+            fn.is_empty(F.col("search_keyword")).alias("no_keyword"),
+            fn.trim_comma(c).alias("trimmed"),
+            fn.fill_with_zero(F.col("page_id").cast("string")).alias("page"),
+            fn.concat_long_string(F.col("city_id"), ":", F.col("session_id")).alias("city_session"),
+            fn.remove_random_prefix(salted).alias("unsalted"),
+        )
+    )
 
 
 def _dates(spark, d) -> DataFrame:
     t = F.col("action_time")
-    return _actions(spark, d).select("event_id", fn.date_hour(t).alias("date_hour"), fn.minute_key(t).alias("minute_key"), fn.format_date_key(t).alias("date_key"), F.date_format(fn.parse_date_key(fn.format_date_key(t)), "yyyy-MM-dd").alias("parsed_date"), fn.format_time(fn.parse_time(fn.format_time(t))).alias("time"), fn.parse_time(F.lit("no time")).isNull().alias("bad_time"), fn.seconds_between(t, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("seconds"))
+    return (
+        _actions(spark, d)
+        .select(
+            "event_id",
+            fn.date_hour(t).alias("date_hour"),
+            fn.minute_key(t).alias("minute_key"),
+            fn.format_date_key(t).alias("date_key"),
+            F.date_format(fn.parse_date_key(fn.format_date_key(t)), "yyyy-MM-dd").alias("parsed_date"),
+            fn.format_time(fn.parse_time(fn.format_time(t))).alias("time"),
+            fn.parse_time(F.lit("no time")).isNull().alias("bad_time"),
+            fn.seconds_between(t, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("seconds"),
+        )
+    )
 
 
 def _top(spark, d) -> DataFrame:
@@ -370,7 +460,9 @@ _DETAIL = "event_id, user_id, session_id, page_id, action_time, search_keyword,
 
 def _buckets(column: str, buckets: dict, ratio: bool = False) -> str:
     n = lambda low, high: f"count(*) FILTER ({column} >= {low}" + (f" AND {column} <= {high})" if high else ")")
-    shown = (lambda c: f"CASE WHEN count(*) <> 0 THEN cast((200 * {c} + count(*)) // (2 * count(*)) AS double) / 100 END") if ratio else (lambda c: c)
+    shown = (
+        lambda c: f"CASE WHEN count(*) <> 0 THEN cast((200 * {c} + count(*)) // (2 * count(*)) AS double) / 100 END"
+    ) if ratio else (lambda c: c)
     return ", ".join(f"{shown(n(*b))} AS {name}" for name, b in buckets.items())
 
 

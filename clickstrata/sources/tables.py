@@ -22,7 +22,13 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
 
 def kafka_lines(spark: SparkSession, servers: str, topics: str) -> DataFrame:
     """The ad log topic as a stream of ``value`` strings; needs Spark's Kafka package."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).load().select(F.col("value").cast("string").alias("value"))
+    return (
+        spark.readStream.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("subscribe", topics)
+        .load()
+        .select(F.col("value").cast("string").alias("value"))
+    )
 
 
 def text_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -32,7 +38,13 @@ def text_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> Data
 def parse_ad_log(lines: DataFrame) -> DataFrame:
     """ts, province, city, user_id, ad_id from ``epochms province city userid adid``; lines that do not fit are dropped."""
     part = lambda i: F.get(F.split("value", " "), i)
-    parsed = lines.select(F.timestamp_millis(part(0).try_cast("long")).alias("ts"), part(1).alias("province"), part(2).alias("city"), part(3).try_cast("long").alias("user_id"), part(4).try_cast("long").alias("ad_id"))
+    parsed = lines.select(
+        F.timestamp_millis(part(0).try_cast("long")).alias("ts"),
+        part(1).alias("province"),
+        part(2).alias("city"),
+        part(3).try_cast("long").alias("user_id"),
+        part(4).try_cast("long").alias("ad_id"),
+    )
     return parsed.where("ts IS NOT NULL AND user_id IS NOT NULL AND ad_id IS NOT NULL")
 
 
@@ -81,7 +93,14 @@ def user_visit_action(spark: SparkSession, sf_dir: str, start: str | None = None
         events = events.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end:
         events = events.where(F.col("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
-    e = events.select("event_id", "ts", "user_id", "event_type", _k().alias("k"), (F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(1704067200)).alias("s"))
+    e = events.select(
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        _k().alias("k"),
+        (F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(1704067200)).alias("s"),
+    )
     e = e.withColumn("p", F.when(F.col("user_id") % 3 == 0, 86400).when(F.col("user_id") % 3 == 1, 864000).otherwise(2592000).cast("long"))
     at = F.lit(1704067200) + whole(s, p) * p + (F.col("user_id") % 23) * 3600 + whole(s % p, whole(p, F.lit(2160)))
     return e.select(
@@ -104,19 +123,38 @@ def user_visit_action(spark: SparkSession, sf_dir: str, start: str | None = None
 
 def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = stored(spark, sf_dir, "customer").where("c_custkey % 10 <> 7")
-    return c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), (F.lit(18) + F.col("c_custkey") % 50).cast("int").alias("age"), F.col("c_mktsegment").alias("professional"), F.concat(F.lit("city"), F.col("c_nationkey").cast("string")).alias("city"), F.when(F.col("c_custkey") % 2 == 0, "female").otherwise("male").alias("sex"))
+    return c.select(
+        F.col("c_custkey").alias("user_id"),
+        F.col("c_name").alias("name"),
+        (F.lit(18) + F.col("c_custkey") % 50).cast("int").alias("age"),
+        F.col("c_mktsegment").alias("professional"),
+        F.concat(F.lit("city"), F.col("c_nationkey").cast("string")).alias("city"),
+        F.when(F.col("c_custkey") % 2 == 0, "female").otherwise("male").alias("sex"),
+    )
 
 
 def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.concat(F.lit('{"product_status":'), (F.col("p_size") % 2).cast("string"), F.lit("}"))
-    return stored(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), status.alias("extend_info"))
+    return (
+        stored(spark, sf_dir, "part")
+        .select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), status.alias("extend_info"))
+    )
 
 
 def city_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = stored(spark, sf_dir, "nation"), stored(spark, sf_dir, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("city_id"), F.col("n_name").alias("city_name"), F.col("r_name").alias("area"))
+    return (
+        n.join(r, n.n_regionkey == r.r_regionkey)
+        .select(F.col("n_nationkey").cast("long").alias("city_id"), F.col("n_name").alias("city_name"), F.col("r_name").alias("area"))
+    )
 
 
 def ad_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stored(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", (_k() % 5).alias("ad_id"), (F.col("user_id") % 25).alias("city_id"))
-    return e.join(city_info(spark, sf_dir), "city_id").select("ts", F.col("area").alias("province"), F.col("city_name").alias("city"), "user_id", "ad_id")
+    e = (
+        stored(spark, sf_dir, "events")
+        .select(F.col("ts").cast("timestamp").alias("ts"), "user_id", (_k() % 5).alias("ad_id"), (F.col("user_id") % 25).alias("city_id"))
+    )
+    return (
+        e.join(city_info(spark, sf_dir), "city_id")
+        .select("ts", F.col("area").alias("province"), F.col("city_name").alias("city"), "user_id", "ad_id")
+    )

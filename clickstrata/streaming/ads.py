@@ -66,7 +66,11 @@ def extend_blacklist(totals: DataFrame, black: DataFrame, path: str, batch_id: i
     """Adds the users that reached the threshold, under the batch's id; a repeated batch replaces its own."""
     span = batch_id // SPAN
     held = sinks.read_or_empty(totals.sparkSession, path, _LISTED).where((F.col("span") == span) & (F.col("batch_id") < batch_id))
-    found = ads.blacklist(totals, threshold).join(black, "user_id", "left_anti").select("user_id", F.lit(batch_id).cast("long").alias("batch_id"), F.lit(span).cast("long").alias("span"))
+    found = (
+        ads.blacklist(totals, threshold)
+        .join(black, "user_id", "left_anti")
+        .select("user_id", F.lit(batch_id).cast("long").alias("batch_id"), F.lit(span).cast("long").alias("span"))
+    )
     sinks.replace_partitions(held.unionByName(found), path, "span")
 
 
