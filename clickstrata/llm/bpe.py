@@ -195,7 +195,9 @@ def digest_udf(path: str, pattern: str):
         tree, rows = Tree(path, pattern), []
         for text in texts:
             ids = tree.encode(text or "")
-            rows.append((len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tree.decode(ids)).hexdigest()))
+            rows.append(
+                (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tree.decode(ids)).hexdigest())
+            )
         tidy()
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

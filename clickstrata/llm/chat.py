@@ -70,7 +70,11 @@ def table_events(conversations: DataFrame) -> DataFrame:
     """
     text, seq = F.coalesce(F.col("text"), F.lit("")), F.col("turn").cast("long") * 4
     half = (F.length(text) / 2).cast("int")
-    event = lambda k, kind, words: F.struct((seq + k).alias("seq"), F.lit(kind).alias("kind"), F.lit(words).alias("text") if isinstance(words, str) else words.alias("text"))
+    event = lambda k, kind, words: F.struct(
+        (seq + k).alias("seq"),
+        F.lit(kind).alias("kind"),
+        F.lit(words).alias("text") if isinstance(words, str) else words.alias("text"),
+    )
     streamed = F.array(event(0, "delta", F.substring(text, F.lit(1), half)), event(1, "delta", F.substring(text, half + 1, F.length(text))))
     edited = F.array(event(0, "delta", "a draft"), event(1, "edit", text))
     again = F.array(event(0, "delta", "a draft"), event(1, "regenerate", ""), event(2, "delta", text))
@@ -133,7 +137,16 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    schema = pa.schema(
+        [
+            ("conv_id", pa.int64()),
+            ("turn", pa.int64()),
+            ("role", pa.string()),
+            ("formatted", pa.string()),
+            ("loss_start", pa.int64()),
+            ("loss_end", pa.int64()),
+        ]
+    )
     return _batched(_turns(batches), schema)
 
 
@@ -142,7 +155,11 @@ def messages(events: DataFrame) -> DataFrame:
     kinds = {"conv_id": "long", "message": "long", "seq": "long", "kind": "string", "role": "string", "text": "string"}
     keyed = events.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
     own = F.when(F.col("message").isNull(), F.xxhash64("seq", "text"))  # messages without a number are spread too
-    return keyed.repartition("conv_id", "message", own).sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text").mapInArrow(_folded, "conv_id long, seq long, role string, text string")
+    return (
+        keyed.repartition("conv_id", "message", own)
+        .sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
+        .mapInArrow(_folded, "conv_id long, seq long, role string, text string")
+    )
 
 
 def format_log(events: DataFrame) -> DataFrame:
@@ -179,4 +196,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Read back from format_log()'s rows, in its partitions and order."""
-    return formatted.mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(
+        _digested,
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    )

@@ -102,10 +102,23 @@ def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFram
                     else:
                         prefixes.append(None)
                         parities.append(None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(seconds, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], ["doc_id", "n", "key", "second", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array(counts, pa.int64()),
+                    pa.array(keys, pa.int64()),
+                    pa.array(seconds, pa.int64()),
+                    pa.array(prefixes, pa.binary()),
+                    pa.array(parities, pa.binary()),
+                ],
+                ["doc_id", "n", "key", "second", "prefix", "parity"],
+            )
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, second long, prefix binary, parity binary")
+    return (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .mapInArrow(run, "doc_id long, n long, key long, second long, prefix binary, parity binary")
+    )
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +163,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first:
             s, k, n = (np.concatenate([[x], y]) for x, y in zip(first[0], (s, k, n)))
         if len(s):
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["shingle", "key", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())],
+                ["shingle", "key", "n"],
+            )
     tidy()
 
 
@@ -180,7 +196,13 @@ def _sides(rows: pd.DataFrame) -> list[pd.DataFrame]:
 
 def _edges(pairs: list[tuple], counted: list[tuple] = ()) -> pd.DataFrame:
     out = [(a, b, 0) for a, b in pairs] + [(k, None, n) for k, n in counted]
-    return pd.DataFrame({"a": pd.Series([x[0] for x in out], dtype="int64"), "b": pd.Series([x[1] for x in out], dtype="Int64"), "links": pd.Series([x[2] for x in out], dtype="int64")})
+    return pd.DataFrame(
+        {
+            "a": pd.Series([x[0] for x in out], dtype="int64"),
+            "b": pd.Series([x[1] for x in out], dtype="Int64"),
+            "links": pd.Series([x[2] for x in out], dtype="int64"),
+        }
+    )
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,7 +244,9 @@ def _candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     for i, overlap in overlaps(sets[0], sets[1] if len(sides) == 2 else None):
         m, other = n[0][i], n[-1]
         mine = (m < other) | ((m == other) & (keys[0][i] < keys[-1]))  # whose bound holds: the smaller class's
-        fits = (overlap > 0) & (overlap >= np.where(mine, floor[0][i], floor[-1])) & (np.minimum(m, other) * 100 >= np.maximum(m, other) * percent)
+        fits = (overlap > 0) & (overlap >= np.where(mine, floor[0][i], floor[-1])) & (
+            np.minimum(m, other) * 100 >= np.maximum(m, other) * percent
+        )
         left = np.flatnonzero(fits)
         for w in np.unique(widths[left]).tolist():
             found = left[widths[left] == w]
@@ -259,13 +283,21 @@ def grouped_pairs(rows: DataFrame, group: str, key: str, held, block: int, run,
     for each pair and dealt by pair, so that no task has a group as a whole.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.sum(held).alias("weight")).where("size > 1")
-    blocks = F.greatest(F.expr(f"(size + {block - 1}) div {block}"), F.expr(f"least(size, (weight + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})"))
+    blocks = F.greatest(
+        F.expr(f"(size + {block - 1}) div {block}"),
+        F.expr(f"least(size, (weight + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})"),
+    )
     sizes = written(sizes.select(group, blocks.alias("blocks")))
     large = sizes.where("blocks > 1")
     # dealt to so many tasks, whatever their bytes: they are small for the work they bring
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = rows.join(large, group, "left_anti").join(sizes.where("blocks <= 1"), group, "left_semi")
-    whole = single.withColumns({c: F.lit(0).cast("long") for c in ("block", "one", "two")}).repartition(parts, group).groupBy(group).applyInPandas(run, schema)
+    whole = (
+        single.withColumns({c: F.lit(0).cast("long") for c in ("block", "one", "two")})
+        .repartition(parts, group)
+        .groupBy(group)
+        .applyInPandas(run, schema)
+    )
     placed = rows.join(large, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
     every = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     every = every.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other", "blocks")
@@ -283,7 +315,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = stepped.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = written(stepped.join(jump, "label", "left").select("node", F.least(F.col("label"), F.coalesce("further", "label")).alias("label"), "old"))
+        moved = written(
+            stepped.join(jump, "label", "left").select(
+                "node",
+                F.least(F.col("label"), F.coalesce("further", "label")).alias("label"),
+                "old",
+            )
+        )
         labels = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
             return labels
@@ -294,17 +332,38 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     profile = written(profiles(small_batches(docs), size, percent, extra))
     classes = profile.groupBy("key", "second", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     entries = profile.where("prefix is not null").select("key", "n", "prefix").mapInArrow(_entries, "shingle long, key long, n long")
-    shared = written(entries.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared, "shingle long, key long, n long"))
+    shared = written(
+        entries.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared, "shingle long, key long, n long")
+    )
     n = F.col("n")
     lesser = lambda m: 1 + F.floor(m * F.lit(extra)).cast("long")
-    strong = shared.groupBy("key", "n").agg(F.count("*").alias("held")).where(F.col("held") >= lesser(F.expr(f"(n * {percent} + 99) div 100")))
+    strong = (
+        shared.groupBy("key", "n")
+        .agg(F.count("*").alias("held"))
+        .where(F.col("held") >= lesser(F.expr(f"(n * {percent} + 99) div 100")))
+    )
     rows = shared.join(strong.select("key", "held"), "key")
-    hub = rows.groupBy("shingle").agg(F.max(F.struct("held", "key")).alias("hub"), F.count("*").alias("classes")).where("classes > 1").select("shingle", F.col("hub.key").alias("hub"))
+    hub = (
+        rows.groupBy("shingle")
+        .agg(F.max(F.struct("held", "key")).alias("hub"), F.count("*").alias("classes"))
+        .where("classes > 1")
+        .select("shingle", F.col("hub.key").alias("hub"))
+    )
     grouped = written(rows.join(hub, "shingle").groupBy("hub", "key", "n").agg(F.collect_list("shingle").alias("shingles")))
     held = grouped.groupBy("key").agg(F.sum(F.size("shingles")).alias("held"))
-    held = profile.where("parity is not null").select("key", "parity").join(held, "key").groupBy("key").agg(F.first("held").alias("held"), F.first("parity").alias("parity"))
+    held = (
+        profile.where("parity is not null")
+        .select("key", "parity")
+        .join(held, "key")
+        .groupBy("key")
+        .agg(F.first("held").alias("held"), F.first("parity").alias("parity"))
+    )
     # l * c / d, rounded up
-    prefixes = grouped.join(held, "key").withColumn("floor", F.ceil(lesser(n) * F.size("shingles") / F.col("held") - 1e-9).cast("long")).drop("held")
+    prefixes = (
+        grouped.join(held, "key")
+        .withColumn("floor", F.ceil(lesser(n) * F.size("shingles") / F.col("held") - 1e-9).cast("long"))
+        .drop("held")
+    )
     weight = F.size("shingles") + F.octet_length("parity") / 8
     edges = "a long, b long, links long"
     candidates = grouped_pairs(written(prefixes), "hub", "key", weight.cast("long"), block, lambda g: _candidates(g, percent), edges)
@@ -316,16 +375,48 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     small = F.broadcast if few else (lambda x: x)
     sample = profile.where("prefix is not null").groupBy("key", "second").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(sample.join(small(keys.select("key", "second")), ["key", "second"]))
-    sets = written(keys.join(_sets(docs, wanted, size, few), ["key", "second"]).select("label", F.col("id").alias("key"), "n", "copies", "shingles"))
+    sets = written(
+        keys.join(_sets(docs, wanted, size, few), ["key", "second"]).select("label", F.col("id").alias("key"), "n", "copies", "shingles")
+    )
     out = written(grouped_pairs(sets, "label", "key", n, block, lambda g: _linked(g, percent), edges))
     label = components(out.where("b is not null"))
     links = out.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    linked = keys.select("key", "second", "id").join(label.select(F.col("node").alias("id"), F.col("label").alias("component")), "id").join(links, "id").drop("id")
+    linked = (
+        keys.select("key", "second", "id")
+        .join(label.select(F.col("node").alias("id"), F.col("label").alias("component")), "id")
+        .join(links, "id")
+        .drop("id")
+    )
     named = classes.where("n > 0").join(linked, ["key", "second"], "left")
     smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
-    final = named.join(smallest, "component", "left").select("key", "second", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("lowest"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    full = profile.where("n > 0").select("doc_id", "n", "key", "second").join(final, ["key", "second"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.col("links").alias("n_links"))
-    return full.unionByName(profile.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    final = (
+        named.join(smallest, "component", "left")
+        .select(
+            "key",
+            "second",
+            F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("lowest"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        )
+    )
+    full = (
+        profile.where("n > 0")
+        .select("doc_id", "n", "key", "second")
+        .join(final, ["key", "second"])
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.coalesce("lowest", "doc_id").alias("component_id"),
+            F.col("links").alias("n_links"),
+        )
+    )
+    return full.unionByName(
+        profile.where("n = 0").select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.col("doc_id").alias("component_id"),
+            F.lit(0).cast("long").alias("n_links"),
+        )
+    )
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, few: bool) -> DataFrame:
@@ -336,7 +427,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, few: bool) -> DataFrame
             for texts in sliced(batch.column(0).to_pylist()):
                 found = shingle_sets(texts, size)
                 hashes = [set_key(x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hashes], pa.int64()), pa.array([k for _, k in hashes], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["key", "second", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k for k, _ in hashes], pa.int64()),
+                        pa.array([k for _, k in hashes], pa.int64()),
+                        pa.array([x.astype("<u8").tobytes() for x in found], pa.binary()),
+                    ],
+                    ["key", "second", "shingles"],
+                )
 
     ids = wanted.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

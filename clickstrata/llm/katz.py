@@ -211,7 +211,20 @@ def _coded(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        schema = pa.schema([("uid", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("code", pa.binary()), ("wpart", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("next", pa.binary()), ("times", pa.int64())])
+        schema = pa.schema(
+            [
+                ("uid", pa.int64()),
+                ("docs", pa.list_(pa.int64())),
+                ("held", pa.list_(pa.bool_())),
+                ("code", pa.binary()),
+                ("wpart", pa.int32()),
+                ("words", pa.binary()),
+                ("counts", pa.binary()),
+                ("word", pa.binary()),
+                ("next", pa.binary()),
+                ("times", pa.int64()),
+            ]
+        )
         for k, (ids, held, texts) in enumerate(chunks(batches)):
             numbers = _Numbers()
             parts = []
@@ -270,7 +283,13 @@ def _counted(table: pa.Table) -> pa.Table:
         for word, times in zip(words, n.tolist()):
             total[word] += times
     wpart = table.column("wpart")[0].as_py()
-    return pa.table({"wpart": pa.array([wpart] * len(total), pa.int32()), "word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+    return pa.table(
+        {
+            "wpart": pa.array([wpart] * len(total), pa.int32()),
+            "word": pa.array(list(total), pa.binary()),
+            "n": pa.array(list(total.values()), pa.int64()),
+        }
+    )
 
 
 def _answered(table: pa.Table, numbered: pa.Table) -> pa.Table:
@@ -278,7 +297,13 @@ def _answered(table: pa.Table, numbered: pa.Table) -> pa.Table:
     ids = dict(zip(numbered.column("word").to_pylist(), numbered.column("id").to_pylist()))
     rows = [(uid, pack(np.fromiter((ids.get(w, UNKNOWN) for w in words), np.int64, len(words)))) for uid, words, _ in _words(table)]
     wpart = table.column("wpart")[0].as_py() if table.num_rows else 0
-    return pa.table({"uid": pa.array([u for u, _ in rows], pa.int64()), "wpart": pa.array([wpart] * len(rows), pa.int32()), "ids": pa.array([x for _, x in rows], pa.binary())})
+    return pa.table(
+        {
+            "uid": pa.array([u for u, _ in rows], pa.int64()),
+            "wpart": pa.array([wpart] * len(rows), pa.int32()),
+            "ids": pa.array([x for _, x in rows], pa.binary()),
+        }
+    )
 
 
 # --- n-grams -------------------------------------------------------------------------------------------
@@ -308,7 +333,11 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
     if places:
         c, p = unigrams.count(ids), unigrams.chance(ids)
         own = np.append(ids == UNKNOWN, False)[before]  # neither context was seen
-        sums = np.add.reduceat(np.log10((c + 1) / base)[code], starts), np.add.reduceat((c > 0)[code].astype(np.int64), starts), np.bincount(text[own], np.log10(p[code[own]]), len(lengths)).astype(float)
+        sums = np.add.reduceat(np.log10((c + 1) / base)[code], starts), np.add.reduceat((c > 0)[code].astype(np.int64), starts), np.bincount(
+            text[own],
+            np.log10(p[code[own]]),
+            len(lengths),
+        ).astype(float)
         local = pack(lengths, sums[1], sums[0], sums[2])
         keep = np.flatnonzero(~own)
     else:
@@ -358,9 +387,25 @@ def _sent(routes: Routes, unigrams: Unigrams, places: bool, base: float):
         rows = []
         for row in table.to_pylist():
             for part, data in _batch_grams(row, routes, unigrams, places, base):
-                rows.append((row["uid"] % routes.cold if part is None else part, row["uid"], data, *((row["docs"], row["held"]) if part is None else (None, None))))
+                rows.append(
+                    (
+                        row["uid"] % routes.cold if part is None else part,
+                        row["uid"],
+                        data,
+                        *((row["docs"], row["held"]) if part is None else (None, None)),
+                    )
+                )
         tidy()
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.bool_()))], names=["part", "uid", "data", "docs", "held"])
+        return pa.table(
+            [
+                pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.binary()),
+                pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                pa.array([r[4] for r in rows], pa.list_(pa.bool_())),
+            ],
+            names=["part", "uid", "data", "docs", "held"],
+        )
 
     return run
 
@@ -413,7 +458,10 @@ def _rows_of(schema: str, columns: dict) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
     n = len(next(iter(columns.values())))
-    return pa.table([pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
+    return pa.table(
+        [pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields],
+        names=[name for name, _ in fields],
+    )
 
 
 def _tallied(routes: Routes):
@@ -436,7 +484,19 @@ def _tallied(routes: Routes):
             cuts = np.append(np.flatnonzero(np.append(True, np.diff(shares[by].astype(np.int64)) != 0)), len(by))
             rows = [by[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
             u = None if part < routes.pair_from else int(found.u[0])
-            out.append(_rows_of(_TALLY, {"level": [0] * len(rows), "part": [part] * len(rows), "u": [u] * len(rows), "v": [word] * len(rows), "share": [int(shares[x[0]]) for x in rows], "data": [pack(found.pair_w[x], found.pair_n[x]) for x in rows]}))
+            out.append(
+                _rows_of(
+                    _TALLY,
+                    {
+                        "level": [0] * len(rows),
+                        "part": [part] * len(rows),
+                        "u": [u] * len(rows),
+                        "v": [word] * len(rows),
+                        "share": [int(shares[x[0]]) for x in rows],
+                        "data": [pack(found.pair_w[x], found.pair_n[x]) for x in rows],
+                    },
+                )
+            )
         tidy()
         return pa.concat_tables(out)
 
@@ -484,7 +544,18 @@ def _share_answers(unigrams: Unigrams, worth: dict[int, tuple[float, float]], d:
         p = np.where(n > 0, reduced(n, d[2]) * unit, alpha * unigrams.chance(words))
         us = table.column("u").to_pylist()
         sums = [(0, 0.0, 0.0) if u is None else (int(own.sum()), float(reduced(own, d[3]).sum()), float(p[at][own > 0].sum())) for u, (at, own) in zip(us, parts)]
-        return _rows_of(_ANSWERS, {"part": table.column("part").to_pylist(), "data": [pack(words[at], p[at]) for at, _ in parts], "u": us, "v": [word] * len(us), "c": [x[0] for x in sums], "kept": [x[1] for x in sums], "seen": [x[2] for x in sums]})
+        return _rows_of(
+            _ANSWERS,
+            {
+                "part": table.column("part").to_pylist(),
+                "data": [pack(words[at], p[at]) for at, _ in parts],
+                "u": us,
+                "v": [word] * len(us),
+                "c": [x[0] for x in sums],
+                "kept": [x[1] for x in sums],
+                "seen": [x[2] for x in sums],
+            },
+        )
 
     return run
 
@@ -556,7 +627,15 @@ def _scored(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict
             place = np.flatnonzero(sums)
             out.append((uid, pack(place, sums[place])))
         tidy()
-        sums = pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.nulls(len(out), pa.list_(pa.int64())), pa.nulls(len(out), pa.list_(pa.bool_()))], names=["uid", "data", "docs", "held"])
+        sums = pa.table(
+            [
+                pa.array([x[0] for x in out], pa.int64()),
+                pa.array([x[1] for x in out], pa.binary()),
+                pa.nulls(len(out), pa.list_(pa.int64())),
+                pa.nulls(len(out), pa.list_(pa.bool_())),
+            ],
+            names=["uid", "data", "docs", "held"],
+        )
         return pa.concat_tables([own.cast(sums.schema), sums])
 
     return run
@@ -571,20 +650,39 @@ def _gathered(table: pa.Table) -> pa.Table:
         if row["docs"] is None:
             place, sums = unpack(row["data"])
             score[place] += sums
-    return pa.table({"doc_id": pa.array(docs["docs"], pa.int64()), "held_out": pa.array(docs["held"], pa.bool_()), "n_tokens": lengths, "n_known": known, "base_score": base, "score": score})
+    return pa.table(
+        {
+            "doc_id": pa.array(docs["docs"], pa.int64()),
+            "held_out": pa.array(docs["held"], pa.bool_()),
+            "n_tokens": lengths,
+            "n_known": known,
+            "base_score": base,
+            "score": score,
+        }
+    )
 
 
 def numbered(words: DataFrame) -> DataFrame:
     """wpart, word, id: numbers from FIRST by falling count, then word."""
     keys = [F.desc("n"), F.col("word")]
-    sorted_ = written(words.where("n > 0").repartitionByRange(*keys).sortWithinPartitions(*keys).select("wpart", "word", F.monotonically_increasing_id().alias("at")))
+    sorted_ = written(
+        words.where("n > 0").repartitionByRange(*keys).sortWithinPartitions(*keys).select(
+            "wpart",
+            "word",
+            F.monotonically_increasing_id().alias("at"),
+        )
+    )
     part = F.shiftright("at", 33)
     before, offsets = FIRST, []
     for p, n in sorted(sorted_.groupBy(part.alias("p")).agg(F.count("*")).collect()):  # a row a partition
         offsets.append((p, before))
         before += n
     offset = sorted_.sparkSession.createDataFrame(offsets, "p long, before long")
-    return sorted_.withColumn("p", part).join(F.broadcast(offset), "p").select("wpart", "word", (F.col("before") + F.col("at") - F.shiftleft("p", 33)).alias("id"))
+    return (
+        sorted_.withColumn("p", part)
+        .join(F.broadcast(offset), "p")
+        .select("wpart", "word", (F.col("before") + F.col("at") - F.shiftleft("p", 33)).alias("id"))
+    )
 
 
 def _hot_pairs(coded: DataFrame, ids: DataFrame, cap: int) -> list[tuple[int, int, int]]:
@@ -621,7 +719,13 @@ def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> Data
     shared, pairs, worth = None, {}, {}
     if routes.end > routes.cold:
         shares = tally.where("level = 0").groupBy("v", "share")
-        summed = written(shares.applyInArrow(_share_sums(unigrams), _SHARES)).groupBy("v", "r").agg(F.sum("times"), F.sum("c"), F.sum("large"), F.sum("seen")).collect()  # some rows a hot word
+        # some rows a hot word
+        summed = (
+            written(shares.applyInArrow(_share_sums(unigrams), _SHARES))
+            .groupBy("v", "r")
+            .agg(F.sum("times"), F.sum("c"), F.sum("large"), F.sum("seen"))
+            .collect()
+        )
         for _, r, times, *_ in (x for x in summed if x[1] is not None):
             few[2][r] += times
     d = [np.zeros(1), np.zeros(1), discounts(few[2]), discounts(few[3])]
@@ -643,6 +747,17 @@ def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> Data
         summed = sending.applyInArrow(lambda t: work(t), _SUMS)
     else:
         summed = sending.cogroup(shared.groupBy("part")).applyInArrow(lambda t, s: work(t, s), _SUMS)
-    out = summed.groupBy("uid").applyInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    out = (
+        summed.groupBy("uid")
+        .applyInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    )
+    return out.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
 

@@ -71,7 +71,15 @@ def around(line: str, m: str, more: str, low: str, high: str) -> str:
 
 def around_keys(line: str, n: str) -> Column:
     """Keys of all but one of CUTS segments: first those of the line itself, then those it has as a line one longer than another."""
-    every = [around(line, f"({n} - {more})", str(more), f"({i} * ({n} - {more}) div {CUTS})", f"({i + 1} * ({n} - {more}) div {CUTS})") for more in (0, 1) for i in range(CUTS)]
+    every = [
+        around(
+            line,
+            f"({n} - {more})",
+            str(more),
+            f"({i} * ({n} - {more}) div {CUTS})",
+            f"({i + 1} * ({n} - {more}) div {CUTS})",
+        ) for more in (0, 1) for i in range(CUTS)
+    ]
     return F.expr(f"array({', '.join(every)})")
 
 
@@ -101,7 +109,9 @@ def within(a: str, b: str, edits: int) -> Column:
     body = f"aggregate(sequence(1, n), named_struct('vp', {start}L, 'vn', 0L, 'd', {edits}), (s, j) -> {step}, s -> s.d)"
     # names for what is used often
     named = f"element_at(transform(array(named_struct('p', {pattern}, 't', {text}, 'm', {m}, 'n', {n})), v -> {_bound(body)}), 1)"
-    return F.expr(f"CASE WHEN abs({m} - {n}) > {edits} THEN false WHEN {m} <= {edits} OR {n} <= {edits} THEN levenshtein({a}, {b}) <= {edits} ELSE {named} <= {edits} END")
+    return F.expr(
+        f"CASE WHEN abs({m} - {n}) > {edits} THEN false WHEN {m} <= {edits} OR {n} <= {edits} THEN levenshtein({a}, {b}) <= {edits} ELSE {named} <= {edits} END"
+    )
 
 
 def _bound(body: str) -> str:
@@ -127,16 +137,26 @@ def _cut_further(hot: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates (a, b) of large groups (h, m, more, low, high): lines that agree but for ``low`` to ``high``."""
     found = []
     while True:
-        cut = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.least(F.lit(CUTS), F.col("high") - F.col("low")).cast("int") - 1))).withColumn("of", F.least(F.lit(CUTS), F.col("high") - F.col("low")))
+        cut = (
+            hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.least(F.lit(CUTS), F.col("high") - F.col("low")).cast("int") - 1)))
+            .withColumn("of", F.least(F.lit(CUTS), F.col("high") - F.col("low")))
+        )
         cut = cut.withColumns({"to": F.expr("low + (part + 1) * (high - low) div of"), "low": F.expr("low + part * (high - low) div of")})
         cut = cut.select("h", "m", "more", "low", F.col("to").alias("high"))
-        keyed = written(_grouped(cut.join(texts.select("h", "line"), "h").withColumn("k", F.expr(around("line", "m", "more", "low", "high"))).drop("line")))
+        keyed = written(
+            _grouped(
+                cut.join(texts.select("h", "line"), "h").withColumn("k", F.expr(around("line", "m", "more", "low", "high"))).drop("line")
+            )
+        )
         found.append(_pairs(keyed.where(F.col("size") <= GROUP)))
         hot = keyed.where(F.col("size") > GROUP)
         ends = hot.where("high - low <= 1").join(texts.select("h", "line", "first"), "h")
         star = ends.where("more = 0").groupBy("k").agg(F.min(F.struct("first", "h")).alias("least"))
         found.append(ends.where("more = 0").join(star, "k").select(F.col("h").alias("a"), F.col("least.h").alias("b")).where("a <> b"))
-        letters = F.when(F.col("more") == 0, F.array(F.expr("substring(line, low + 1, 1)"))).otherwise(F.array_distinct(F.array(F.expr("substring(line, low + 1, 1)"), F.expr("substring(line, low + 2, 1)"))))
+        letters = (
+            F.when(F.col("more") == 0, F.array(F.expr("substring(line, low + 1, 1)")))
+            .otherwise(F.array_distinct(F.array(F.expr("substring(line, low + 1, 1)"), F.expr("substring(line, low + 2, 1)"))))
+        )
         last = ends.select("k", "h", "more", F.explode(letters).alias("letter")).select(F.xxhash64("k", "letter").alias("k"), "h", "more")
         # under k and the letter, the index side is one line
         found.append(_pairs(last.where("more = 1").unionByName(last.where("more = 0").dropDuplicates(["k"]))))
@@ -149,16 +169,53 @@ def decisions(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHAR
     """doc_id, hash (of the text), gone: positions of the lines to drop, for documents that lose any."""
     rows = docs.select("doc_id", "text").where("text is not null")
     second = lambda line: F.xxhash64(F.lit(1), line)
-    cut = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("line", normal(F.col("line"))).withColumn("n", F.length("line"))
+    cut = (
+        rows.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+        .withColumn("line", normal(F.col("line")))
+        .withColumn("n", F.length("line"))
+    )
     fuzzy = F.col("n") >= fuzzy_chars
     of = around_keys("line", "n") if edits == 1 else F.concat(*keys("line", "n", edits))
     own = CUTS if edits == 1 else edits + 1  # so many keys are the line's index
-    lines = written(cut.select("doc_id", "hash", "pos", F.xxhash64("line").alias("h"), second(F.col("line")).alias("g"), F.when(fuzzy, F.col("n")).alias("n"), F.when(fuzzy, of).alias("keys")))
-    firsts = written(lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "hash", "pos")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    exploded = firsts.where("keys is not null").select("h", "n", F.posexplode("keys").alias("at", "k")).select("h", "k", (F.col("n").cast("long") * 16 + F.least("at", F.lit(15))).alias("of") if edits == 1 else F.when(F.col("at") < own, 0).otherwise(1).cast("long").alias("of"))
+    lines = written(
+        cut.select(
+            "doc_id",
+            "hash",
+            "pos",
+            F.xxhash64("line").alias("h"),
+            second(F.col("line")).alias("g"),
+            F.when(fuzzy, F.col("n")).alias("n"),
+            F.when(fuzzy, of).alias("keys"),
+        )
+    )
+    firsts = written(
+        lines.groupBy("h", "g").agg(
+            F.min(F.struct("doc_id", "hash", "pos")).alias("first"),
+            F.count("*").alias("copies"),
+            F.first("n").alias("n"),
+            F.first("keys").alias("keys"),
+        )
+    )
+    exploded = (
+        firsts.where("keys is not null")
+        .select("h", "n", F.posexplode("keys").alias("at", "k"))
+        .select(
+            "h",
+            "k",
+            (
+                F.col("n").cast("long") * 16 + F.least("at", F.lit(15))
+            ).alias("of") if edits == 1 else F.when(F.col("at") < own, 0).otherwise(1).cast("long").alias("of"),
+        )
+    )
     keyed = written(_grouped(exploded).withColumn("more", F.when(F.col("of") % 16 < own, 0).otherwise(1)))
     needed = written(keyed.select("h").distinct())
-    again = rows.select(F.explode(F.split("text", "\n")).alias("line")).select(normal(F.col("line")).alias("line")).where(F.length("line") >= fuzzy_chars).select(F.xxhash64("line").alias("h"), "line")
+    again = (
+        rows.select(F.explode(F.split("text", "\n")).alias("line"))
+        .select(normal(F.col("line")).alias("line"))
+        .where(F.length("line") >= fuzzy_chars)
+        .select(F.xxhash64("line").alias("h"), "line")
+    )
     texts = again.join(needed, "h", "left_semi").groupBy("h", second(F.col("line")).alias("g")).agg(F.min("line").alias("line"))
     texts = written(texts.join(firsts.select("h", "g", "first"), ["h", "g"]))
     if edits == 1:
@@ -166,16 +223,33 @@ def decisions(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHAR
         pairs = _pairs(small)
         if not large.isEmpty():
             m, part = F.expr("of div 16 - more"), F.expr(f"of % 16 % {CUTS}")
-            hot = large.select("h", m.alias("m"), "more", part.alias("part")).select("h", "m", "more", F.expr(f"part * m div {CUTS}").alias("low"), F.expr(f"(part + 1) * m div {CUTS}").alias("high"))
+            hot = (
+                large.select("h", m.alias("m"), "more", part.alias("part"))
+                .select("h", "m", "more", F.expr(f"part * m div {CUTS}").alias("low"), F.expr(f"(part + 1) * m div {CUTS}").alias("high"))
+            )
             pairs = pairs.unionByName(_cut_further(hot, texts))
     else:
         pairs = _pairs(keyed)
-    side = lambda mine, other: texts.select(F.col("h").alias(mine), F.col("g").alias(f"g{mine}"), F.col("line").alias(other), F.col("first").alias(f"f{mine}"))
+    side = lambda mine, other: texts.select(
+        F.col("h").alias(mine),
+        F.col("g").alias(f"g{mine}"),
+        F.col("line").alias(other),
+        F.col("first").alias(f"f{mine}"),
+    )
     both = written(pairs.distinct()).join(side("a", "one"), "a").join(side("b", "two"), "b")
     close = both.where(within("one", "two", edits))
     line = lambda x: F.struct(F.col(x).alias("h"), F.col(f"g{x}").alias("g"))
-    later = close.select(F.when(F.col("fa") < F.col("fb"), line("b")).otherwise(line("a")).alias("l")).select("l.h", "l.g").distinct().withColumn("near", F.lit(True))
-    judged = firsts.join(later, ["h", "g"], "left").where("copies > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    later = (
+        close.select(F.when(F.col("fa") < F.col("fb"), line("b")).otherwise(line("a")).alias("l"))
+        .select("l.h", "l.g")
+        .distinct()
+        .withColumn("near", F.lit(True))
+    )
+    judged = (
+        firsts.join(later, ["h", "g"], "left")
+        .where("copies > 1 or near")
+        .select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    )
     own_place = F.struct("doc_id", "hash", "pos")
     # the rows of a common line stay where they are; its verdict is broadcast
     often = firsts.where(F.col("copies") > F.greatest(F.lit(1), F.lit(lines.count() * COMMON))).select("h", "g")
@@ -191,10 +265,18 @@ def dedup(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS, c
     own, hashed, mark = fresh(docs, "__own", "__hash", "__marks")
     marks = decisions(docs, edits, fuzzy_chars).select(F.col("doc_id").alias(own), F.col("hash").alias(hashed), F.col("gone").alias(mark))
     joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(hashed)), "left")
-    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({mark}, i)), '\\n')"))
+    text = (
+        F.when(F.col(mark).isNull(), F.col("text"))
+        .otherwise(F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({mark}, i)), '\\n')"))
+    )
     if counts:
         every, dropped = (absent(docs, name) for name in counts)
-        out = joined.withColumns({every: F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"), dropped: F.coalesce(F.size(mark), F.lit(0)).cast("long")})
+        out = joined.withColumns(
+            {
+                every: F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),
+                dropped: F.coalesce(F.size(mark), F.lit(0)).cast("long"),
+            }
+        )
         return out.withColumn("text", text).drop(own, hashed, mark)
     out = joined.withColumn("text", text).where(F.col(mark).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:

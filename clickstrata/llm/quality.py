@@ -116,7 +116,11 @@ def quantiles(sketches: DataFrame, keys: list[str], q: float, gamma: float = GAM
     run = by.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketches.withColumn("below", F.sum("n").over(run)).withColumn("total", F.sum("n").over(by))
     mid = F.coalesce(F.pow(F.lit(gamma), F.col("bucket")) * (2 / (1 + gamma)), F.lit(0.0))
-    return ranked.where(F.col("below") >= F.greatest(F.floor(F.col("total") * q), F.lit(1))).groupBy(*keys, "metric").agg(F.min(mid).alias("value"), F.first("total").alias("total"))
+    return (
+        ranked.where(F.col("below") >= F.greatest(F.floor(F.col("total") * q), F.lit(1)))
+        .groupBy(*keys, "metric")
+        .agg(F.min(mid).alias("value"), F.first("total").alias("total"))
+    )
 
 
 def limits(measured: DataFrame, m: str, quantile: float = QUANTILE, factors: dict | None = None, floors: dict | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -124,14 +128,28 @@ def limits(measured: DataFrame, m: str, quantile: float = QUANTILE, factors: dic
     factors, floors = factors or FACTORS, floors or FLOORS
     base = sketch(measured.where(~base_failed(m)), ["lang", "source"], ratios(m))
     own = quantiles(base, ["lang", "source"], quantile)
-    of_lang = quantiles(merge(base, ["lang"]), ["lang"], quantile).select(F.col("lang").alias("lang2"), F.col("metric").alias("metric2"), F.col("value").alias("value2"), F.col("total").alias("total2"))
+    of_lang = (
+        quantiles(merge(base, ["lang"]), ["lang"], quantile)
+        .select(
+            F.col("lang").alias("lang2"),
+            F.col("metric").alias("metric2"),
+            F.col("value").alias("value2"),
+            F.col("total").alias("total2"),
+        )
+    )
     of_all = quantiles(merge(base, []), [], quantile).select(F.col("metric").alias("metric3"), F.col("value").alias("value3"))
-    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("metric") == F.col("metric2")), "left").join(of_all, F.col("metric") == F.col("metric3"), "left")
+    joined = (
+        own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("metric") == F.col("metric2")), "left")
+        .join(of_all, F.col("metric") == F.col("metric3"), "left")
+    )
     wider = F.when(F.col("total2") >= min_rows, F.col("value2")).otherwise(F.col("value3"))
     of = lambda values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("metric"))
     typical = F.when(F.col("total") >= min_rows, F.least("value", F.greatest(wider, of(floors)) * SPREAD)).otherwise(wider)
     limit = F.greatest(typical * of(factors), of(floors))
-    return joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", limit.alias("limit")))).alias("limits"))
+    return (
+        joined.groupBy("lang", "source")
+        .agg(F.map_from_entries(F.collect_list(F.struct("metric", limit.alias("limit")))).alias("limits"))
+    )
 
 
 def base_failed(m: str) -> Column:

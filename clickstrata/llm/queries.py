@@ -27,7 +27,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     measured = written(quality.measured_docs(docs, "m").drop("text"))
     judged = quality.verdict(measured, quality.limits(measured, "m"), "m")
-    return judged.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "m.base_failed", "m.kept")
+    return judged.select(
+        "doc_id",
+        "m.n_words",
+        "m.word_chars",
+        "m.n_symbols",
+        "m.n_dup_lines",
+        "m.n_repeat_words",
+        "m.base_failed",
+        "m.kept",
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +70,41 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), to="h")
-    return hits.select("doc_id", "h.n_words", "h.n_hit", "h.n_items", "h.items_sha256", (F.col("h.n_hit") > 0).alias("contaminated"), F.col("h.spans").alias("spans"))
+    return hits.select(
+        "doc_id",
+        "h.n_words",
+        "h.n_hit",
+        "h.n_items",
+        "h.items_sha256",
+        (F.col("h.n_hit") > 0).alias("contaminated"),
+        F.col("h.spans").alias("spans"),
+    )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_katz_score, op3_ngram_jaccard, op4_quality_rules, op5_line_dedup, op6_byte_bpe, op7_feistel_shards, op8_license_scan, op9_chat_format, op10_decontamination)}
+    return {
+        f.__name__: f for f in (
+            op1_secret_scan,
+            op2_katz_score,
+            op3_ngram_jaccard,
+            op4_quality_rules,
+            op5_line_dedup,
+            op6_byte_bpe,
+            op7_feistel_shards,
+            op8_license_scan,
+            op9_chat_format,
+            op10_decontamination,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": sql.NGRAM_JACCARD, "op4_quality_rules": sql.QUALITY_RULES, "op5_line_dedup": sql.LINE_DEDUP, "op7_feistel_shards": sql.FEISTEL_SHARDS, "op8_license_scan": sql.LICENSE_SCAN, "op9_chat_format": sql.CHAT_FORMAT, "op10_decontamination": sql.DECONTAMINATION}
+    return {
+        "op3_ngram_jaccard": sql.NGRAM_JACCARD,
+        "op4_quality_rules": sql.QUALITY_RULES,
+        "op5_line_dedup": sql.LINE_DEDUP,
+        "op7_feistel_shards": sql.FEISTEL_SHARDS,
+        "op8_license_scan": sql.LICENSE_SCAN,
+        "op9_chat_format": sql.CHAT_FORMAT,
+        "op10_decontamination": sql.DECONTAMINATION,
+    }

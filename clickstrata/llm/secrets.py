@@ -35,7 +35,27 @@ from .frames import absent, small_batches, tidy
 MIN_SCORE = 0.5
 KINDS = ("assign", "access", "hex", "named")
 #: Parts of a target name and how much they say.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "credential": 0.9, "credentials": 0.9, "token": 0.9, "apikey": 1.0, "auth": 0.7, "authorization": 0.8, "bearer": 0.9, "private": 0.6, "signing": 0.6, "key": 0.6, "salt": 0.5, "cookie": 0.5, "session": 0.5, "dsn": 0.6}
+SENSITIVE = {
+    "password": 1.0,
+    "passwd": 1.0,
+    "pwd": 1.0,
+    "passphrase": 1.0,
+    "secret": 1.0,
+    "credential": 0.9,
+    "credentials": 0.9,
+    "token": 0.9,
+    "apikey": 1.0,
+    "auth": 0.7,
+    "authorization": 0.8,
+    "bearer": 0.9,
+    "private": 0.6,
+    "signing": 0.6,
+    "key": 0.6,
+    "salt": 0.5,
+    "cookie": 0.5,
+    "session": 0.5,
+    "dsn": 0.6,
+}
 _PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|none|null|true|false|changeme|example|placeholder|your.*|todo|test)$")
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -56,19 +56,30 @@ def place(number: int, total: int, shards: int = SHARDS, seed: int = SEED) -> tu
 def numbered(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """Distinct ``keys`` rows with ``n`` (how often) and ``number`` (of the first), and the total."""
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    ranged = counted.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    ranged = (
+        counted.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
+        .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    )
     kept = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     parts = kept.groupBy("part").agg(F.sum("n").alias("rows"))
     before = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))  # a row a partition
     within = F.sum("n").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     total = parts.agg(F.sum("rows")).first()[0] or 0
-    return kept.withColumn("within", within).join(F.broadcast(before), "part").withColumn("number", F.col("before") + F.col("within")).drop("part", "at", "within", "before"), total
+    return kept.withColumn("within", within).join(F.broadcast(before), "part").withColumn(
+        "number",
+        F.col("before") + F.col("within"),
+    ).drop("part", "at", "within", "before"), total
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row a document."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    keyed = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    keyed = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
+    )
     rows, total = numbered(keyed, ["doc_id", "size", "text_crc32", "text_hash"])
 
     @F.pandas_udf("long")
@@ -81,4 +92,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         ranges = ranges.repartition("number")
     each = ranges.withColumn("number", F.explode(F.expr("sequence(number, number + n - 1)")))
     p = each.withColumn("p", perm("number"))
-    return p.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("p") % shards).cast("int").alias("shard"), F.expr(f"p div {int(shards)}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return p.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        (F.col("p") % shards).cast("int").alias("shard"),
+        F.expr(f"p div {int(shards)}").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

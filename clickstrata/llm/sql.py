@@ -91,7 +91,12 @@ FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY doc
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id) h USING (doc_id) LEFT JOIN items m USING (doc_id) LEFT JOIN spans s USING (doc_id)
 """
 
-_METRIC = {"symbol_ratio": "n_symbols / word_chars", "dup_line_ratio": "n_dup_lines / n_lines", "repeat_ratio": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
+_METRIC = {
+    "symbol_ratio": "n_symbols / word_chars",
+    "dup_line_ratio": "n_dup_lines / n_lines",
+    "repeat_ratio": "n_repeat_words / n_words",
+    "word_length": "word_chars / n_words",
+}
 
 
 def _values(table: dict) -> str:
