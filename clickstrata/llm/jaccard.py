@@ -83,8 +83,8 @@ def set_key(found: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFrame:
-    """doc_id, n, key, second (the class's hashes), prefix (little-endian 64-bit shingles in hash order) and parity bitmap (both null where the batch has the class already)."""
+def profiles(docs: DataFrame, size: int, percent: int, extra: float, every: bool = False) -> DataFrame:
+    """doc_id, n, key, second (the class's hashes), prefix (little-endian 64-bit shingles in hash order) and parity bitmap (both null where the batch has the class already, but for ``every``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +95,7 @@ def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFram
                     keys.append(key)
                     seconds.append(second)
                     counts.append(n)
-                    if n and (key, second) not in seen:
+                    if n and (every or (key, second) not in seen):
                         seen.add((key, second))
                         prefixes.append(found[: min(n, n - need(n, percent) + 1 + int(extra * n))].astype("<u8").tobytes())
                         parities.append(parity(found).tobytes())
@@ -327,9 +327,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row a document (n_links: other documents linked with it)."""
-    profile = written(profiles(small_batches(docs), size, percent, extra))
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: one row a document (n_links: other documents linked with it).
+
+    With ``only``, a table of doc_id, as if the other documents were not there.
+    """
+    profile = profiles(small_batches(docs), size, percent, extra, only is not None)
+    if only is not None:
+        ids = only.select(F.col("doc_id").cast("long").alias("only")).distinct()
+        profile = profile.join(ids, F.col("doc_id").eqNullSafe(F.col("only")), "left_semi")
+    profile = written(profile)
     classes = profile.groupBy("key", "second", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     entries = profile.where("prefix is not null").select("key", "n", "prefix").mapInArrow(_entries, "shingle long, key long, n long")
     shared = written(
@@ -452,10 +459,12 @@ def clean(docs: DataFrame, also: DataFrame | None = None, **params) -> DataFrame
     """
     (own,) = fresh(docs, "__own")
     least = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    judge = lambda d: join(d, **params).groupBy("doc_id").agg(least.alias("stays")).where("not stays").select(F.col("doc_id").alias(own))
+
+    def judge(texts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        joined = join(texts, only=only, **params).groupBy("doc_id").agg(least.alias("stays"))
+        return joined.where("not stays").select(F.col("doc_id").alias(own))
+
     gone = judge(docs)
     if also is not None:
-        ids = docs.select(F.col("doc_id").cast("long").alias(own)).distinct()
-        here = also.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        gone = gone.union(judge(written(here.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")))).distinct()
+        gone = gone.union(judge(also, docs.select("doc_id"))).distinct()
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
