@@ -22,7 +22,7 @@ import functools
 import hashlib
 import heapq
 from bisect import bisect_left
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -32,38 +32,68 @@ from pyspark.sql import functions as F
 
 from .frames import absent, small_batches, tidy
 
-LEAF = 256
+LEAF = 512
 WINDOW = 16
 REACH = 3
-KEPT_MATCHES = 1 << 17  # matches whose ids a worker keeps at once
+KEPT_MATCHES = 1 << 17  # matches whose ids a worker keeps; as many older ones are at hand
 
 
-class Merges:
-    """The ranks of a vocabulary and the ids of single matches; one per Python worker."""
+class Merges(dict):
+    """The ranks of a vocabulary, and the ids of single matches by match, worked out when they are missing; one per Python worker."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
-        self.find = regex.compile(pattern).finditer
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, match: str) -> tuple[int, ...]:
-        found = self.known.get(match)
+        size = len(self.bytes_of)
+        self.pairs: dict[int, int] = {}  # id of a pair's merge, by the ids of its parts
+        for token, i in self.ranks.items():
+            for k in range(1, len(token)):
+                a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
+                if a is not None and b is not None:
+                    self.pairs[a * size + b] = i
+        self.of_byte = [self.ranks.get(bytes([b])) for b in range(256)]
+        found = regex.compile(pattern)
+        self.find, self.every = found.finditer, found.findall
+        self.plain = not found.groups  # else findall() gives groups
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        found = self.older.get(match)
         if found is None:
             data = match.encode("utf-8", "replace")
             whole = self.ranks.get(data)
-            found = self.merged(data) if whole is None else (whole,)
-            if len(match) <= 64:
-                if len(self.known) >= KEPT_MATCHES:
-                    self.known.clear()
-                self.known[match] = found
+            found = (whole,) if whole is not None else self.merged(data) if len(data) <= 64 else self.merged_long(data)
+        if len(match) <= 64:
+            if len(self) >= KEPT_MATCHES:
+                self.older = dict(self)
+                self.clear()
+            self[match] = found
         return found
 
     def merged(self, data: bytes) -> tuple[int, ...]:
-        """Neighbours are merged lowest rank first, the leftmost of equal ones; a heap over a linked list."""
+        """Neighbours are merged lowest rank first, the leftmost of equal ones."""
+        pair, size = self.pairs.get, len(self.bytes_of)
+        ids = [self.of_byte[b] for b in data]
+        ranks = [pair(a * size + b, size) for a, b in zip(ids, ids[1:])]  # of each id with the next one; size: no merge
+        while ranks:
+            least = min(ranks)
+            if least == size:
+                break
+            i = ranks.index(least)
+            ids[i] = least
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = pair(least * size + ids[i + 1], size)
+            if i:
+                ranks[i - 1] = pair(ids[i - 1] * size + least, size)
+        return tuple(ids)
+
+    def merged_long(self, data: bytes) -> tuple[int, ...]:
+        """The same by a heap over a linked list, for long matches."""
         rank, n = self.ranks.get, len(data)
         ends = list(range(1, n + 1))  # of the part that begins here; 0 once it is merged away
         before = list(range(-1, n - 1))
@@ -112,11 +142,14 @@ class Tree:
         return self._join(text, a, mid, b, self._span(text, a, mid), self._span(text, mid, b))
 
     def _matches(self, text: str, a: int, b: int) -> Span:
-        ends, ids, of = [], [], self.merges.ids
-        for m in self.merges.find(text, a, b):
-            ends.append(m.end())
-            ids.append(of(m[0]))
-        return ends, ids
+        of = self.merges
+        if of.plain:
+            found = of.every(text, a, b)
+            ends = list(accumulate(map(len, found), initial=a))
+            if ends[-1] == b:  # no gap between matches
+                return ends[1:], list(map(of.__getitem__, found))
+        every = list(of.find(text, a, b))
+        return [m.end() for m in every], [of[m[0]] for m in every]
 
     @staticmethod
     def _settled(text: str, end: int, edge: int) -> bool:
@@ -137,7 +170,7 @@ class Tree:
                 if edge < b and not self._settled(text, end, edge):
                     break
                 ends.append(end)
-                ids.append(self.merges.ids(m[0]))
+                ids.append(self.merges[m[0]])
                 if end > mid and (at := bisect_left(right[0], end)) < len(right[0]) and right[0][at] == end:
                     return left[0][:keep] + ends + right[0][at + 1 :], left[1][:keep] + ids + right[1][at + 1 :]
             if edge == b:

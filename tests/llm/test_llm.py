@@ -273,6 +273,8 @@ def test_bpe_tree_equals_the_library(leaf, window):
 
 def test_bpe_of_long_runs():
     tree, whole = bpe.Tree(*public()), library()
+    for data in (b"abcabc the there", "naïve é".encode(), b"x" * 40):
+        assert tree.merges.merged(data) == tree.merges.merged_long(data)
     for text in (" " * 5000, "a" * 3001, "ab" * 2000 + " " * 700 + "x", "\n" * 999 + "7" * 1001, "!" * 777 + "é" * 800):
         assert tree.encode(text) == whole.encode_ordinary(text)
 
