@@ -12,7 +12,7 @@ points past its end, or than that past the white space it begins with or is foll
 
 Decoding concatenates the tokens' bytes up the same tree. Null and empty texts give no ids; equal rows give equal
 rows; an empty table gives an empty result; a text of any length takes time in proportion, and a match of n bytes
-n * log(n). Extra columns stay; a column that has the result's name is an error.
+n * log(n). Extra columns stay; where one has the result's name, the result's gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import absent, small_batches, tidy
+from .frames import fresh, small_batches, tidy
 
 LEAF = 512
 WINDOW = 16
@@ -238,11 +238,11 @@ def digest_udf(path: str, pattern: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
-    return small_batches(docs).withColumn(absent(docs, to), encode_udf(path, pattern)(F.col(text)))
+    return small_batches(docs).withColumn(fresh(docs, to)[0], encode_udf(path, pattern)(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "bytes") -> DataFrame:
-    return small_batches(docs).withColumn(absent(docs, to), decode_udf(path, pattern)(F.col(ids)))
+    return small_batches(docs).withColumn(fresh(docs, to)[0], decode_udf(path, pattern)(F.col(ids)))
 
 
 def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:

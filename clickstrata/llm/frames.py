@@ -42,20 +42,13 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def absent(df: DataFrame, name: str) -> str:
-    """``name``, if no column of ``df`` has it; else an error, so that no column is overwritten."""
-    if name.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"there is a column {name} already")
-    return name
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names that no column of ``df`` has."""
+    """The names, each with so many underscores behind it that no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []
     for name in names:
-        while name in taken:
+        while name.lower() in taken:
             name += "_"
-        taken.add(name)
+        taken.add(name.lower())
         out.append(name)
     return out
 

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import absent, fresh, written
+from .frames import fresh, written
 
 EDITS = 1
 FUZZY_CHARS = 32
@@ -270,7 +270,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS, c
         .otherwise(F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({mark}, i)), '\\n')"))
     )
     if counts:
-        every, dropped = (absent(docs, name) for name in counts)
+        every, dropped = fresh(docs, *counts)
         out = joined.withColumns(
             {
                 every: F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),

@@ -11,7 +11,7 @@ whole language has next to none of a thing. Documents are then joined with the l
 
 Null or empty texts have no words and fail the base rule; null lang and source are groups of their own;
 repeated rows are judged alike; an empty table gives an empty result; a very long text is measured whole, in memory
-that grows with it. Extra columns stay; a column that has the result's name is an error.
+that grows with it. Extra columns stay; where one has the result's name, the result's gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .frames import absent, fresh, sliced, small_batches, tidy
+from .frames import fresh, sliced, small_batches, tidy
 from .hashing import Words, mix, windows
 
 GAMMA = 1.02
@@ -158,7 +158,7 @@ def base_failed(m: str) -> Column:
 
 
 def measured_docs(docs: DataFrame, to: str) -> DataFrame:
-    return small_batches(docs).withColumn(absent(docs, to), metrics_udf()(F.col("text")))
+    return small_batches(docs).withColumn(fresh(docs, to)[0], metrics_udf()(F.col("text")))
 
 
 def judge(docs: DataFrame, to: str = "quality", **params) -> DataFrame:
@@ -167,6 +167,7 @@ def judge(docs: DataFrame, to: str = "quality", **params) -> DataFrame:
     The texts are scanned twice, once for the sketches and once for the verdict: cheaper than to move them.
     A caller that needs no texts can write the metrics once and call limits() and verdict() on that table.
     """
+    (to,) = fresh(docs, to)
     measured = measured_docs(docs, to)
     groups = limits(measured.select("lang", "source", to), to, **params)
     return verdict(measured, groups, to)

@@ -16,7 +16,7 @@ are code points, end exclusive.
 
 Null and empty texts have no findings; an empty table gives an empty result; repeated rows give equal rows; very
 long texts are scanned whole, in time that grows with their length (a chain of constants is kept as references and
-told once); extra columns stay, and a column that has the result's name is an error.
+told once); extra columns stay, and where one has the result's name, the result's gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import absent, small_batches, tidy
+from .frames import fresh, small_batches, tidy
 
 MIN_SCORE = 0.5
 KINDS = ("assign", "access", "hex", "named")
@@ -305,4 +305,4 @@ def scan_udf(min_score: float = MIN_SCORE):
 
 def find(docs: DataFrame, to: str = "secrets", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with a struct column of counts and spans; other columns stay."""
-    return small_batches(docs).withColumn(absent(docs, to), scan_udf(min_score)(F.col("text")))
+    return small_batches(docs).withColumn(fresh(docs, to)[0], scan_udf(min_score)(F.col("text")))

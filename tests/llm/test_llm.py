@@ -384,8 +384,17 @@ def test_decontamination_against_brute_force(spark, max_bytes):
         n, hit, named = brute_hits(text, items)
         assert (got[i].n_words, got[i].n_hit, got[i].items_sha256) == (n, hit, hashlib.sha256(named.encode()).hexdigest()), text
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("hits.n_hit > 0").count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.decontaminate(docs, bench, to="Item_ID")
+
+
+def test_clashing_names_stay(spark):
+    """A column that has the result's name stays as it is; the result's gets an underscore behind it."""
+    names = ["secrets", "Quality", "hits", "ids", "n_lines", "n_removed"]
+    docs = spark.createDataFrame([(1, "some text here", "en", "s", *names)], f"doc_id long, text string, lang string, source string, {', '.join(f'{n} string' for n in names)}")
+    bench = spark.createDataFrame([(1, "text here")], "item_id long, text string")
+    results = [secrets.find(docs), quality.judge(docs), decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, max_bytes=1), bpe.encode(docs, *public()), lines.dedup(docs, counts=("n_lines", "n_removed"))]
+    for out, new in zip(results, (["secrets_"], ["quality_"], ["hits_"], ["hits_"], ["ids_"], ["n_lines_", "n_removed_"])):
+        row = out.first()
+        assert [row[n] for n in names] == names and out.columns == [*docs.columns, *new]
 
 
 def test_windows_and_spans():
