@@ -137,3 +137,35 @@ def test_broadcast_only_under_the_given_size(spark):
 def test_bad_log_lines_are_dropped(spark):
     lines = ["1704067200000 p c 7 1", "x p c 7 1", "1704067200000 p c", "", "1704067200000 p c seven 1"]
     assert tables.parse_ad_log(spark.createDataFrame([(x,) for x in lines], "value string")).count() == 1
+
+
+def test_synthetic_views_only_where_settings_say_local(spark):
+    from pyspark.errors import AnalysisException
+
+    from clickstrata.plans.config import Config
+
+    spark.catalog.dropTempView("product_info")
+    with pytest.raises(AnalysisException):
+        tables.source(spark, "product_info", SF, Config.parse("local=false"))
+    assert tables.source(spark, "product_info", SF, Config.parse("local=true")).count() == 200
+
+
+def test_kafka_source_asks_for_its_connector(spark):
+    with pytest.raises(Exception, match="(?i)kafka"):
+        tables.kafka_lines(spark, "localhost:1", "ads")
+
+
+def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
+    from clickstrata.sources import folders
+
+    class Context:
+        master, applicationId = "yarn", "x"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError):
+        folders.shared_dir(Session())
