@@ -308,7 +308,14 @@ def _top(spark, d) -> DataFrame:
 
 
 def _top_sessions(spark, d) -> DataFrame:
-    return session.top_sessions(_kept_actions(spark, d), _top(spark, d))
+    own = _kept_actions(spark, d)
+    return session.top_sessions(own, session.top_categories(own))
+
+
+def _top_detail(spark, d) -> DataFrame:
+    """One plan for the kept actions, so that their shuffles are done once."""
+    own = _kept_actions(spark, d)
+    return session.top_session_detail(own, session.top_sessions(own, session.top_categories(own)))
 
 
 def queries() -> dict:
@@ -335,7 +342,7 @@ def queries() -> dict:
         "top10_category": _top,
         "session_category_count": lambda s, d: session.session_category_count(_kept_actions(s, d)),
         "top10_session": _top_sessions,
-        "top10_session_detail": lambda s, d: session.top_session_detail(_kept_actions(s, d), _top_sessions(s, d)),
+        "top10_session_detail": _top_detail,
         "page_split_pv": lambda s, d: funnel.split_pv(a(s, d), FLOW),
         "start_page_pv": lambda s, d: funnel.start_pv(a(s, d), FLOW),
         "page_convert_rate": lambda s, d: funnel.convert_rate(a(s, d), FLOW),
