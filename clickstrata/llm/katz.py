@@ -188,7 +188,7 @@ class Routes:
         if len(self.pairs) and len(hot):
             code = (u[hot] << 32) + v[hot]
             at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            own = self.pairs[at] == code
+            own = (self.pairs[at] == code) & (u[hot] < len(self.split))  # both words of a hot pair are hot
             at, hot = at[own], hot[own]
             out[hot] = self.pair_first[at] + (mix(w[hot] + 13) % self.pair_split[at].astype(np.uint64)).astype(np.int64)
         return out
