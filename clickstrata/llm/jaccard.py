@@ -26,7 +26,6 @@ of a class's first hash only add candidates.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
