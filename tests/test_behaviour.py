@@ -6,7 +6,7 @@ from clickstrata import queries as behaviour
 from clickstrata.functions import scalars as fn
 from clickstrata.operators import funnel, session
 from clickstrata.plans.params import TaskParams, find_task
-from clickstrata.sources import tables
+from clickstrata.sources import sinks, tables
 from clickstrata.streaming import ads as stream_ads
 
 SF = "/root/testdata/sf0.001"
@@ -169,3 +169,19 @@ def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         folders.shared_dir(Session())
+
+
+def test_a_database_in_the_driver_needs_no_executor(spark, monkeypatch):
+    """Executors do not see it: the rows go through the driver, and what is read back is a table in the shared folder."""
+    monkeypatch.setattr(tables, "FETCHED", 3)
+    url = "jdbc:derby:memory:apart"
+    rows = [(i, f"n{i}" if i % 4 else None, i / 2) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, name string, half double").repartition(3)
+    for mode, times in (("append", 1), ("append", 2), ("ignore", 2), ("overwrite", 1)):
+        sinks.jdbc(df, f"{url};create=true", "t", mode)
+        got = tables.jdbc(spark, url, "t")
+        assert "JDBCRelation" not in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(rows * times)
+    sinks.jdbc(df.limit(0), f"{url};create=true", "no_rows")
+    assert tables.jdbc(spark, url, "no_rows").collect() == []
+    assert not tables.in_process("jdbc:derby://host/db") and not tables.in_process("jdbc:postgresql://host/db")
