@@ -42,6 +42,7 @@ PERCENT = 80
 EXTRA = 0.08
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20  # about so many shingles in a block
+PART = 1 << 18  # edges that one task of the components solves
 SHIP_ROWS = 500_000  # class keys broadcast at most: 8 MB
 
 
@@ -304,26 +305,52 @@ def grouped_pairs(rows: DataFrame, group: str, key: str, held, block: int, run,
     return whole.unionByName(dealt)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (least node reachable) of every node of undirected ``edges`` (a, b). Label propagation with pointer jumping; each round is a written table."""
-    once = written(edges.select("a", "b").where("a <> b"))  # a second computation may give another forest
-    both = written(once.union(once.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = written(labels)
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label (least node reachable) by the task's edges (a, b)."""
+    held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
+    if held:
+        nodes, at = np.unique(np.concatenate([x for pair in zip(*held) for x in pair]), return_inverse=True)
+        forest, half = Forest(len(nodes)), len(at) // 2
+        for one, two in zip(at[:half].tolist(), at[half:].tolist()):
+            forest.join(one, two)
+        roots = nodes[[forest.root(i) for i in range(len(nodes))]]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["node", "label"])
+    tidy()
+
+
+def components(edges: DataFrame, part: int = PART) -> DataFrame:
+    """node, label (least node reachable) of every node of undirected ``edges`` (a, b).
+
+    A task solves about ``part`` edges. Of more edges, each part is solved by itself, nodes take the least label that a
+    part gave them, and the edges between labels are dealt again; each such round leaves fewer nodes. Rounds are
+    written tables; few are best, as each costs the driver memory for its plans and tasks.
+    """
+    left = written(edges.select("a", "b").where("a <> b"))  # a second computation may give another forest
+    names = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = stepped.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = written(
-            stepped.join(jump, "label", "left").select(
-                "node",
-                F.least(F.col("label"), F.coalesce("further", "label")).alias("label"),
-                "old",
-            )
-        )
-        labels = moved.select("node", "label")
+        parts = max(1, -(-left.count() // part))
+        stars = step = written(left.repartition(parts).mapInArrow(_stars, "node long, label long"))
+        if parts > 1:
+            step = _to_roots(written(stars.groupBy("node").agg(F.min("label").alias("label"))))
+        on = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_now"))
+        if names is None:
+            names = step
+        else:
+            names = written(names.join(on("label"), "label", "left").select("node", F.coalesce("label_now", "label").alias("label")))
+        if parts == 1:
+            return names
+        both = stars.where("node <> label").join(on("node"), "node").join(on("label"), "label")
+        left = written(both.select(F.col("node_now").alias("a"), F.col("label_now").alias("b")).where("a <> b").distinct())
+
+
+def _to_roots(step: DataFrame) -> DataFrame:
+    """``step`` (node, label) with the label at the end of each node's chain of labels, by pointer jumping."""
+    while True:
+        further = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        moved = written(step.join(further, "label").select("node", F.col("further").alias("label"), F.col("label").alias("old")))
+        step = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
-            return labels
+            return step
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:

@@ -81,6 +81,27 @@ def test_jaccard_against_brute_force(spark):
     assert [found[i] for i in range(len(texts))] == brute_components(texts)
 
 
+@pytest.mark.parametrize("part", [7, 40, 1000])
+def test_components_of_any_number_of_parts(spark, part):
+    random = np.random.default_rng(part)
+    ids = random.permutation(400).tolist()
+    edges = [*zip(ids[:150], ids[1:150]), *[(ids[200], i) for i in ids[201:260]], *[(ids[300 + i], ids[300 + j]) for i, j in random.integers(0, 90, (60, 2)).tolist()]]
+    up = {i: i for i in ids}
+    for _ in ids:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = jaccard.components(spark.createDataFrame([(a, b) for a, b in edges], "a long, b long"), part).collect()
+    assert sorted(map(tuple, got)) == sorted((i, up[i]) for i in {i for e in edges for i in e if e[0] != e[1]})
+    assert jaccard.components(spark.createDataFrame([(1, 1)], "a long, b long"), part).count() == 0
+
+
+def test_components_of_a_long_chain_take_few_tables(spark, monkeypatch):
+    tables, ids = [], np.random.default_rng(1).permutation(500).tolist()
+    monkeypatch.setattr(jaccard, "written", lambda df, f=jaccard.written: tables.append(1) or f(df))
+    assert {r.label for r in jaccard.components(spark.createDataFrame([*zip(ids, ids[1:])], "a long, b long")).collect()} == {0}
+    assert len(tables) <= 3
+
+
 def test_jaccard_of_odd_rows_and_blocks_by_weight(spark, monkeypatch):
     """Nulls, repeats, short and long texts, clashing names; blocks of few shingles."""
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
