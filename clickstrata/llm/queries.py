@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, quality, secrets, sharding, sql
+from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, quality, runs, secrets, sharding, sql
 from .frames import table, written
 
 
@@ -81,6 +81,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.detect(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -94,6 +98,7 @@ def queries() -> dict:
             op8_license_scan,
             op9_chat_format,
             op10_decontamination,
+            op12_periodic_runs,
         )
     }
 
@@ -107,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scan": sql.LICENSE_SCAN,
         "op9_chat_format": sql.CHAT_FORMAT,
         "op10_decontamination": sql.DECONTAMINATION,
+        "op12_periodic_runs": sql.PERIODIC_RUNS,
     }

@@ -243,3 +243,35 @@ WITH RECURSIVE polynomial AS (
 )
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (p % {sharding.SHARDS})::INTEGER AS shard, p // {sharding.SHARDS} AS slot, NULL::INTEGER AS grown_shard FROM numbered JOIN placed USING (number)
 """
+
+
+#: A word equal to the one q words before it, without a gap: each unbroken row of such places is a run, of its least q.
+PERIODIC_RUNS = rf"""
+WITH polynomial AS (
+    SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps FROM range(256) r(b)
+), listed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS ws, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(doc_id || ''), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS h
+    FROM documents, polynomial
+), shaped AS (
+    SELECT doc_id, ws, h, len(ws) AS n, CASE WHEN len(ws) > 0 THEN h // 10 % len(ws) ELSE 0 END AS a FROM listed
+), shifted AS (
+    SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM shaped
+), words AS (
+    SELECT doc_id, i, ws[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS w FROM (SELECT *, unnest(range(n)) AS i FROM shifted)
+), same AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i
+), stretches AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same) GROUP BY doc_id, q, k
+), runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY ALL
+), told AS (
+    SELECT doc_id, count(*) AS n_runs, arg_min((start, length, period), (-length, start, period)) AS longest, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+    SELECT doc_id, count(*) AS n_words, count(gone.i) AS n_dropped, string_agg(w, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS text FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, longest[1] AS start, longest[2] AS length, longest[3] AS period, 1000 * longest[2] // longest[3] AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256, coalesce(n_words, 0) AS n_words, coalesce(n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN told t USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
