@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, quality, runs, secrets, sharding, sql
+from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, pages, quality, runs, secrets, sharding, sql
 from .frames import table, written
 
 
@@ -85,6 +85,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.detect(table(spark, sf_dir, "documents"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -99,6 +103,7 @@ def queries() -> dict:
             op9_chat_format,
             op10_decontamination,
             op12_periodic_runs,
+            op13_html_text,
         )
     }
 
@@ -113,4 +118,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_format": sql.CHAT_FORMAT,
         "op10_decontamination": sql.DECONTAMINATION,
         "op12_periodic_runs": sql.PERIODIC_RUNS,
+        "op13_html_text": sql.HTML_TEXT,
     }

@@ -275,3 +275,18 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, longest[1] AS start, longest[2]
     sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256, coalesce(n_words, 0) AS n_words, coalesce(n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN told t USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+
+#: Every page of the tables has one article, of headings and paragraphs; references are those that occur there.
+HTML_TEXT = r"""
+WITH articles AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1) AS body FROM pages
+), bare AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(?:b|i|a|em|span|strong)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM articles
+), decoded AS (
+    SELECT page_id, url, regexp_replace(replace(replace(regexp_replace(body, '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS body FROM bare
+), told AS (
+    SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text FROM decoded
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM told
+"""
