@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, pages, quality, runs, secrets, sharding, sql
+from . import bpe, chat, decontaminate, jaccard, katz, licenses, lines, pages, quality, runs, search, secrets, sharding, sql
 from .frames import table, written
 
 
@@ -81,6 +81,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.detect(table(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ def queries() -> dict:
             op8_license_scan,
             op9_chat_format,
             op10_decontamination,
+            op11_ranked_search,
             op12_periodic_runs,
             op13_html_text,
         )
@@ -117,6 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scan": sql.LICENSE_SCAN,
         "op9_chat_format": sql.CHAT_FORMAT,
         "op10_decontamination": sql.DECONTAMINATION,
+        "op11_ranked_search": sql.RANKED_SEARCH,
         "op12_periodic_runs": sql.PERIODIC_RUNS,
         "op13_html_text": sql.HTML_TEXT,
     }

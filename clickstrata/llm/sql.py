@@ -290,3 +290,24 @@ WITH articles AS (
 )
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM told
 """
+
+
+RANKED_SEARCH = rf"""
+WITH listed AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents
+), sizes AS (
+    SELECT doc_id, len(ws)::BIGINT AS n FROM listed WHERE len(ws) > 0
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), tf AS (
+    SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM listed) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+), asked AS (
+    SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS term FROM benchmark) GROUP BY ALL
+), scores AS (
+    SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), totals GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
