@@ -140,32 +140,44 @@ def routed(weights: np.ndarray, limits: np.ndarray, indptr: np.ndarray, terms: n
     return node - leaves
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of a column of lists."""
-    whole = column.combine_chunks()
-    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
-    offsets = whole.offsets.to_numpy()
-    return offsets - offsets[0], whole.flatten()
+def _packed(found: Counter) -> tuple[int, bytes]:
+    """A document's frequencies and terms as one compressed value, and its size before: postings are moved in this form."""
+    raw = np.fromiter(found.values(), np.int32, len(found)).tobytes() + b" ".join(found)
+    return len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(count: int, size: int, packed: bytes) -> tuple[list[bytes], np.ndarray]:
+    raw = pa.decompress(packed, size, "zstd", asbytes=True)
+    return raw[4 * count :].split(b" "), np.frombuffer(raw, np.int32, count)
+
+
+def _dims(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of the documents' hashed terms."""
+    parts = column.to_pylist()
+    return np.cumsum([0, *(len(x) // 2 for x in parts)]), np.frombuffer(b"".join(parts), np.uint16).astype(np.int64)
+
+
+_TOKENS = {"rid": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "weight": pa.int64(), "size": pa.int64(), "packed": pa.binary(), "dims": pa.binary()}
 
 
 def _tokenised(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n, terms, tfs, dims of documents with a term."""
-    types = {"rid": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "terms": pa.list_(pa.string()), "tfs": pa.list_(pa.int32()), "dims": pa.list_(pa.int32())}
+    """rid, doc_id, n (terms), weight (different ones), size and packed (postings), dims of documents with a term."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for rid, doc_id, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
-                found = Counter(words_of(text.as_py()))
-                if found:
-                    dims = sorted({xxhash.xxh3_64_intdigest(t) % DIMS for t in found})
-                    rows.append((rid, doc_id, sum(found.values()), [t.decode() for t in found], list(found.values()), dims))
-            columns = zip(*rows) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+                words = words_of(text.as_py())
+                if words:
+                    found = Counter(words)
+                    dims = np.array(list({xxhash.xxh3_64_intdigest(t) % DIMS for t in found}), np.uint16)
+                    rows.append((rid, doc_id, len(words), len(found), *_packed(found), dims.tobytes()))
+            columns = zip(*rows) if rows else [[]] * len(_TOKENS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TOKENS.values())], list(_TOKENS))
             tidy()
 
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(run, "rid long, doc_id long, n long, terms array<string>, tfs array<int>, dims array<int>")
+    return own.mapInArrow(run, "rid long, doc_id long, n long, weight long, size long, packed binary, dims binary")
 
 
 def _split(placed: DataFrame, sizes: DataFrame, block: int, sample: int) -> DataFrame:
@@ -173,17 +185,15 @@ def _split(placed: DataFrame, sizes: DataFrame, block: int, sample: int) -> Data
 
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         leaves = int(table.column("leaves")[0].as_py())
-        indptr, dims = _lists(table.column("dims"))
-        weights, limits = fitted(indptr, dims.to_numpy().astype(np.int64), leaves)
+        weights, limits = fitted(*_dims(table.column("dims")), leaves)
         return pa.table({"node": [key[0].as_py()], "weights": [weights.tobytes()], "limits": [limits.tobytes()]})
 
     def route(left: pa.Table, right: pa.Table) -> pa.Table:
-        node, indptr = left.column("node")[0].as_py() if left.num_rows else 0, np.zeros(1, np.int64)
+        node = left.column("node")[0].as_py() if left.num_rows else 0
         leaf = np.zeros(left.num_rows, np.int64)
         if left.num_rows and right.num_rows:
-            indptr, dims = _lists(left.column("dims"))
             weights = np.frombuffer(right.column("weights")[0].as_py(), np.float32).reshape(-1, DIMS)
-            leaf = routed(weights, np.frombuffer(right.column("limits")[0].as_py()), indptr, dims.to_numpy().astype(np.int64))
+            leaf = routed(weights, np.frombuffer(right.column("limits")[0].as_py()), *_dims(left.column("dims")))
         return left.select(["rid", "dims", "weight"]).append_column("node", pa.array(node * FAN + leaf, pa.int64()))
 
     large = sizes.where(F.col("postings") > block)
@@ -199,12 +209,12 @@ def _split(placed: DataFrame, sizes: DataFrame, block: int, sample: int) -> Data
     trees = fits.groupBy("node").applyInArrow(fit, "node long, weights binary, limits binary")
     salted = trees.join(large.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")), "node")
     moved = joined.select("rid", "dims", "weight", "node", F.pmod(F.xxhash64("rid"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))
-    return moved.groupBy("node", "salt").cogroup(salted.groupBy("node", "salt")).applyInArrow(route, "rid long, dims array<int>, weight long, node long")
+    return moved.groupBy("node", "salt").cogroup(salted.groupBy("node", "salt")).applyInArrow(route, "rid long, dims binary, weight long, node long")
 
 
 def _blocks(tokens: DataFrame, postings: int, block: int, sample: int) -> DataFrame:
     """rid, node, piece: documents in blocks of about ``block`` postings, like ones together."""
-    placed, reach = tokens.select("rid", "dims", F.size("terms").cast("long").alias("weight"), F.lit(0).cast("long").alias("node")), block
+    placed, reach = tokens.select("rid", "dims", "weight", F.lit(0).cast("long").alias("node")), block
     sizes = lambda: placed.groupBy("node").agg(F.sum("weight").alias("postings"), F.count("*").alias("docs"))
     while reach < postings:
         placed, reach = written(_split(placed, sizes(), block, sample)), reach * FAN
@@ -236,18 +246,21 @@ class Index:
 
 def build(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, leaf: int = LEAF, sample: int = SAMPLE) -> Index:
     tokens = written(_tokenised(docs))
-    held = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms").cast("long")), F.lit(0))).first()
+    held = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     n_docs, n_terms, postings = (int(x) for x in held)
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("rid")
-        indptr, words = _lists(table.column("terms"))
-        _, tfs = _lists(table.column("tfs"))
-        coded = words.dictionary_encode()
-        codes, tfs = coded.indices.to_numpy().astype(np.int64), tfs.to_numpy().astype(np.int64)
-        order = bisected(indptr.astype(np.int64), codes, len(coded.dictionary), leaf)
+        known: dict[bytes, int] = {}
+        codes, tfs, indptr = [], [], np.cumsum([0, *table.column("weight").to_pylist()])
+        for row in zip(*(table.column(c).to_pylist() for c in ("weight", "size", "packed"))):
+            words, own = _unpacked(*row)
+            codes.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
+            tfs.append(own)
+        codes, tfs = np.concatenate(codes), np.concatenate(tfs).astype(np.int64)
+        order = bisected(indptr, codes, len(known), leaf)
         ids, n = table.column("doc_id").take(pa.array(order)).combine_chunks(), table.column("n").to_numpy()[order]
-        at, place = _postings(indptr.astype(np.int64), order)
+        at, place = _postings(indptr, order)
         code, tf = codes[at], tfs[at]
         number, inside = place // shard, place % shard
         ranked = np.lexsort((inside, code, number))
@@ -261,7 +274,7 @@ def build(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, leaf: int = L
             [name, pa.nulls(len(starts), pa.string()), pa.ListArray.from_arrays(offsets(starts, len(order)), ids), pa.ListArray.from_arrays(offsets(starts, len(order)), pa.array(n, pa.int32())), pa.nulls(len(starts), pa.int64())],
             [
                 name.take(pa.array(number[heads])),
-                coded.dictionary.take(pa.array(code[heads])),
+                pa.array([w.decode() for w in known], pa.string()).take(pa.array(code[heads])),
                 pa.ListArray.from_arrays(offsets(heads, len(code)), pa.array(inside, pa.int64())),
                 pa.ListArray.from_arrays(offsets(heads, len(code)), pa.array(tf, pa.int32())),
                 pa.array(np.maximum.reduceat(impact(tf, lengths(n, n_docs, n_terms)[place]), heads), pa.int64()),
@@ -271,7 +284,7 @@ def build(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, leaf: int = L
         return pa.concat_tables([pa.table(dict(zip(_TYPES, columns)), schema=pa.schema(_TYPES)) for columns in listed])
 
     blocks = _blocks(tokens, postings, block, sample)
-    joined = tokens.join(blocks, "rid").select("node", "piece", "rid", "doc_id", "n", "terms", "tfs")
+    joined = tokens.join(blocks, "rid").select("node", "piece", "rid", "doc_id", "n", "weight", "size", "packed")
     return Index(written(joined.groupBy("node", "piece").applyInArrow(cut, _LISTS)), n_docs, n_terms)
 
 
