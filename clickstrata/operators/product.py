@@ -42,3 +42,32 @@ def area_top(full: DataFrame, k: int = 3, levels: dict | None = None) -> DataFra
         ranked.where(F.col("rn") <= k)
         .select("area", level.alias("area_level"), "product_id", "click_count", "city_infos", "product_name", "product_status")
     )
+
+
+#: The whole job as SQL over the views user_visit_action, city_info and product_info, by the functions of functions.sql.
+AREA_TOP = """
+WITH clicks AS (
+    SELECT a.city_id, c.city_name, c.area, a.click_product_id AS product_id
+    FROM user_visit_action a JOIN city_info c ON c.city_id = a.city_id
+    WHERE a.click_product_id IS NOT NULL AND a.date BETWEEN :start AND :end
+), salted AS (
+    SELECT random_prefix(concat_ws('_', area, product_id), 10, city_id) AS salted, area, product_id, count(*) AS n,
+        collect_set(concat_long_string(city_id, ':', city_name)) AS cities
+    FROM clicks GROUP BY ALL
+), counted AS (
+    SELECT remove_random_prefix(salted) AS key, area, product_id, sum(n) AS click_count, group_concat_distinct(flatten(collect_list(cities))) AS city_infos
+    FROM salted GROUP BY ALL
+), told AS (
+    SELECT c.area, c.product_id, c.click_count, c.city_infos, p.product_name, IF(get_json_int(p.extend_info, 'product_status') = 0, '自营商品', '第三方商品') AS product_status,
+        row_number() OVER (PARTITION BY c.area ORDER BY c.click_count DESC, c.product_id) AS rn
+    FROM counted c JOIN product_info p ON p.product_id = c.product_id
+)
+SELECT area, CASE WHEN area IN ('AFRICA', 'AMERICA') THEN 'A级' WHEN area = 'ASIA' THEN 'B级' WHEN area = 'EUROPE' THEN 'C级' ELSE 'D级' END AS area_level,
+    product_id, click_count, city_infos, product_name, product_status
+FROM told WHERE rn <= 3
+"""
+
+
+def area_top_sql(spark, start: str, end: str) -> DataFrame:
+    """AREA_TOP for a range of days; the session has its views and functions."""
+    return spark.sql(AREA_TOP, {"start": start, "end": end})

@@ -100,8 +100,21 @@ def step_buckets(sessions: DataFrame) -> DataFrame:
 
 def aggr_stat(sessions: DataFrame) -> DataFrame:
     """Session count and the ratio of each bucket, in one pass."""
-    n = sessions.agg(F.count("*").alias("session_count"), *_counts("visit_length", VISIT), *_counts("step_length", STEP))
-    return n.select("session_count", *[ratio2(F.col(c), F.col("session_count")).alias(c) for c in (*VISIT, *STEP)])
+    return aggr_stat_of(sessions.agg(F.count("*").alias("session_count"), *_counts("visit_length", VISIT), *_counts("step_length", STEP)))
+
+
+#: What the pass that keeps sessions counts on its way.
+COUNTERS = ("session_count", *VISIT, *STEP)
+
+
+def counted(sessions: DataFrame, observation) -> DataFrame:
+    """``sessions`` as they are; the pass that reads them leaves the counters of aggr_stat() in ``observation``."""
+    return sessions.observe(observation, F.count(F.lit(1)).alias("session_count"), *_counts("visit_length", VISIT), *_counts("step_length", STEP))
+
+
+def aggr_stat_of(counters: DataFrame) -> DataFrame:
+    """aggr_stat() from a row of COUNTERS."""
+    return counters.select("session_count", *[ratio2(F.col(c), F.col("session_count")).alias(c) for c in (*VISIT, *STEP)])
 
 
 def hour_count(sessions: DataFrame) -> DataFrame:
@@ -254,3 +267,63 @@ def split_skew_join(facts: DataFrame, side: DataFrame, key: str, row_id: str, ho
     keys = hottest(facts, key, hot).select(key)  # so many rows
     often = skew_join(facts.join(F.broadcast(keys), key, "left_semi"), side.join(F.broadcast(keys), key, "left_semi"), key, row_id, salts)
     return facts.join(F.broadcast(keys), key, "left_anti").join(side, key).unionByName(often)
+
+
+def hot_keys(df: DataFrame, key: str, k: int = 20, share: float = 0.02, tracked: int = 1000) -> DataFrame:
+    """``key``, ``share``: the at most ``k`` keys that hold about ``share`` of the rows or more, from one pass.
+
+    The counts are those of a mergeable sketch of ``tracked`` items, too high by rows / tracked or so at most; a key of
+    that share is never missed while the share is above that error.
+    """
+    total = df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {k}, {tracked})").alias("top"))
+    found = total.select("n", F.explode("top").alias("t")).select(F.col("t.item").alias(key), (F.col("t.count") / F.col("n")).alias("share"))
+    return found.where(F.col("share") >= share)
+
+
+def sketch_skew_join(facts: DataFrame, side: DataFrame, key: str, row_id: str, k: int = 20, share: float = 0.02) -> DataFrame:
+    """An inner join in which a key has as many salts as it holds ``share``s of the facts; the other keys have one.
+
+    One sketch of the facts, and one join; the table of hot keys has ``k`` rows at most. Null keys join nothing.
+    """
+    hot = hot_keys(facts, key, k, share).select(F.col(key).alias("__hot"), F.ceil(F.col("share") / share).cast("long").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1).cast("long"))
+    left = facts.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(row_id), salts)).drop("__hot", "__salts")
+    right = side.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__hot", "__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def keep_by_task(actions: DataFrame, users: DataFrame, tasks: DataFrame) -> DataFrame:
+    """task_id, session_id of the sessions that match each task, all tasks in one pass over the actions.
+
+    ``tasks`` as from params.task_rows(). Actions are rolled up by session and day once; a task takes the days of its
+    range, so what is copied for a task is a session's day, not its actions.
+    """
+    days = actions.groupBy("session_id", "date").agg(
+        F.min("user_id").alias("user_id"),
+        F.collect_set("search_keyword").alias("keywords"),
+        F.collect_set(F.col("click_category_id").cast("string")).alias("categories"),
+    )
+    span = actions.agg(F.min("date").alias("first"), F.max("date").alias("last"))  # one row
+    low, high = F.greatest("start_date", "first").cast("date"), F.least("end_date", "last").cast("date")  # an open end is null, and skipped
+    ranges = tasks.crossJoin(F.broadcast(span)).where(low <= high)
+    by_day = ranges.select(*tasks.columns, F.explode(F.sequence(low, high)).alias("date")).withColumn("date", F.col("date").cast("string"))
+    own = by_day.select("task_id", "date").join(days, "date").groupBy("task_id", "session_id")
+    rolled = own.agg(
+        F.min("user_id").alias("user_id"),
+        F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("keywords"),
+        F.array_distinct(F.flatten(F.collect_list("categories"))).alias("categories"),
+    )
+    known = users.select("user_id", "age", "professional", "city", "sex")
+    asked = rolled.join(known, "user_id").join(tasks, "task_id")
+    any_of = lambda wanted, test: F.col(wanted).isNull() | test
+    good = (
+        any_of("start_age", F.col("age") >= F.col("start_age"))
+        & any_of("end_age", F.col("age") <= F.col("end_age"))
+        & any_of("professionals", F.array_contains("professionals", F.col("professional")))
+        & any_of("cities", F.array_contains("cities", F.col("city")))
+        & any_of("task_sex", F.col("sex") == F.col("task_sex"))
+        & any_of("task_keywords", F.arrays_overlap("keywords", "task_keywords"))
+        & any_of("category_ids", F.arrays_overlap("categories", "category_ids"))
+    )
+    return asked.where(good).select("task_id", "session_id")

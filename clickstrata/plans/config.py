@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings under this prefix in the session's configuration win over the properties text.
 PREFIX = "spark.clickstrata."
@@ -47,3 +48,14 @@ class Config:
         if found not in TRUE + FALSE:
             raise ValueError(f"{key} is neither true nor false: {found}")
         return found in TRUE
+
+
+def settings(lines: DataFrame) -> DataFrame:
+    """key, value of stored lines (``value``, and ``at``, their order), as Config.parse() reads them: settings that are too many for the driver."""
+    line = F.trim("value")
+    parsed = lines.where((line != "") & ~F.substring(line, 1, 1).isin("#", "!")).select(
+        F.trim(F.regexp_extract(line, "^([^=:]*)", 1)).alias("key"),
+        F.trim(F.regexp_extract(line, "^[^=:]*[=:](.*)$", 1)).alias("value"),
+        "at",
+    )
+    return parsed.groupBy("key").agg(F.max_by("value", "at").alias("value"))

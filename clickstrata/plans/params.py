@@ -62,3 +62,26 @@ def find_task(tasks: DataFrame, task_id: int) -> TaskParams:
     if not found:
         raise LookupError(f"no task {task_id}")
     return TaskParams.from_json(found[0][0])
+
+
+def task_rows(tasks: DataFrame) -> DataFrame:
+    """Tasks (task_id, task_param) with their parameters as columns; what is missing or empty is null, lists are arrays of texts.
+
+    The JSON is read in the plan. A parameter that is no JSON object of arrays gives a task without conditions.
+    """
+    given = F.from_json("task_param", "map<string,array<string>>")
+    one = lambda key: F.nullif(F.get(F.try_element_at(given, F.lit(key)), 0), F.lit(""))
+    parts = lambda key: F.filter(F.split(one(key), ","), lambda x: x != "")
+    many = lambda key: F.when(F.size(parts(key)) > 0, parts(key))
+    return tasks.select(
+        "task_id",
+        one("startDate").alias("start_date"),
+        one("endDate").alias("end_date"),
+        one("startAge").try_cast("int").alias("start_age"),
+        one("endAge").try_cast("int").alias("end_age"),
+        many("professionals").alias("professionals"),
+        many("cities").alias("cities"),
+        one("sex").alias("task_sex"),
+        many("keywords").alias("task_keywords"),
+        many("categoryIds").alias("category_ids"),
+    )

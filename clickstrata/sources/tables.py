@@ -19,6 +19,14 @@ def catalog(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def save_table(spark: SparkSession, df: DataFrame, name: str, by: str = "date") -> DataFrame:
+    """``df`` as a table of the catalog, partitioned by ``by`` and with statistics, which joins and pruning use; its files are in the shared folder."""
+    df.repartition(by).write.mode("overwrite").option("path", new_folder(spark, "table")).partitionBy(by).saveAsTable(name)
+    columns = ", ".join(c for c, t in df.dtypes if c != by and t in ("bigint", "int", "double", "string"))
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS {columns}")
+    return spark.table(name)
+
+
 def in_process(url: str) -> bool:
     """Whether the database is embedded Derby: it lives in the process that opened it, the driver, and executors cannot reach it."""
     return url.startswith("jdbc:derby:") and not url.startswith("jdbc:derby://")
@@ -58,8 +66,9 @@ def kafka_lines(spark: SparkSession, servers: str, topics: str) -> DataFrame:
     )
 
 
-def text_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+def text_lines(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.readStream
+    return reader.text(path)
 
 
 def parse_ad_log(lines: DataFrame) -> DataFrame:
