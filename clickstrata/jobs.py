@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .operators import funnel, product, session
 from .plans.params import TaskParams, find_task
 from .sources import sinks, tables
+from .sources.folders import new_folder
 from .streaming import ads as stream_ads
 
 Input = Callable[[str], DataFrame]
@@ -32,15 +33,24 @@ def _actions(source: Input, p: TaskParams) -> DataFrame:
     return tables.date_range(source("user_visit_action"), p.start_date, p.end_date)
 
 
+def store_counted(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``kept`` as a table in the shared folder, and the row of counters that writing it left. Tasks that are run again count once."""
+    spark, path, counters = kept.sparkSession, new_folder(kept.sparkSession, "kept"), Observation()
+    session.counted(kept, counters).write.parquet(path)
+    row = spark.createDataFrame([tuple(counters.get[c] for c in session.COUNTERS)], ", ".join(f"{c} long" for c in session.COUNTERS))
+    return spark.read.schema(kept.schema).parquet(path), row
+
+
 def session_job(source: Input, tasks: DataFrame, task_id: int, out: str, sample: int = 1000) -> dict[str, str]:
     """Distribution, sample, top categories and their top sessions of the sessions that match the task.
 
     ``session_detail`` gets the actions of the sampled sessions and those of the top sessions (a session that is on
     top in two categories, or sampled too, is there once for each). The kept actions are read many times: persisted.
+    The pass that stores the kept sessions counts them by length on its way, so the distribution reads nothing again.
     """
     p = find_task(tasks, task_id)
     actions = _actions(source, p)
-    kept = session.keep(session.full_info(session.roll_up(actions), source("user_info")), p).persist()
+    kept, counters = store_counted(session.keep(session.full_info(session.roll_up(actions), source("user_info")), p))
     own = session.of_sessions(actions, kept).persist()
     sampled = session.random_extract(kept, sample)
     top = session.top_categories(own)
@@ -53,7 +63,7 @@ def session_job(source: Input, tasks: DataFrame, task_id: int, out: str, sample:
         out,
         task_id,
         {
-            "session_aggr_stat": session.aggr_stat(kept),
+            "session_aggr_stat": session.aggr_stat_of(counters),
             "session_random_extract": sampled,
             "session_detail": detail,
             "top10_category": top,
@@ -61,7 +71,6 @@ def session_job(source: Input, tasks: DataFrame, task_id: int, out: str, sample:
         },
     )
     own.unpersist()
-    kept.unpersist()
     return paths
 
 
