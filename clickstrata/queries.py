@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import jobs
 from .functions import scalars as fn
+from .functions import sql as sql_functions
 from .operators import ads, funnel, product, session
-from .plans.config import Config
-from .plans.params import TaskParams, find_task, task_id
+from .plans.config import Config, settings
+from .plans.params import TaskParams, task_rows
 from .sources import sinks, tables
 from .sources.folders import new_folder
 from .streaming import ads as stream_ads
+from .streaming import state as stream_state
 
 PARAMS = TaskParams(
     start_date="2024-01-03",
@@ -99,7 +101,7 @@ def _black(spark, d) -> DataFrame:
     return ads.blacklist(ads.user_click_count(_log(spark, d)), THRESHOLD)
 
 
-def _streamed(spark, d, start, table: str) -> DataFrame:
+def _streamed(spark, d, start, table) -> DataFrame:
     """Runs a stream over the ad log, stored as three files in no order of time, to its end; then its table."""
     base = new_folder(spark, "behaviour")
     log = _log(spark, d)
@@ -107,46 +109,118 @@ def _streamed(spark, d, start, table: str) -> DataFrame:
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     query = start(stream, f"{base}/out", f"{base}/checkpoint", True, None)  # a replay of stored rows has no late ones
     query.awaitTermination()
-    return spark.read.schema(_AD_TABLES[table]).parquet(f"{base}/out")
+    return table(f"{base}/out", "newest").read(spark)
 
 
-def _lines(spark, d) -> str:
-    """The ad log as three text files, a batch each, in order of time."""
-    path = f"{new_folder(spark, "behaviour")}/lines"
-    log = _log(spark, d)
-    ends = [None, *BATCH_ENDS, None]
+def _parts(log: DataFrame) -> list[DataFrame]:
+    """The ad log as three batches in order of time."""
+    ends, out = [None, *BATCH_ENDS, None], []
     for low, high in zip(ends, ends[1:]):
         part = log if low is None else log.where(F.col("ts") >= F.lit(low).cast("timestamp"))
-        part = part if high is None else part.where(F.col("ts") < F.lit(high).cast("timestamp"))
-        tables.ad_log_lines(part).coalesce(1).write.mode("append").text(path)
-    return path
+        out.append(part if high is None else part.where(F.col("ts") < F.lit(high).cast("timestamp")))
+    return out
+
+
+def _by_batch(log: DataFrame, write, start) -> str:
+    """The three batches of a log come in one after the other: each is written as many files, then the stream runs to its end, on one checkpoint. The folder."""
+    base = new_folder(log.sparkSession, "behaviour")
+    for part in _parts(log):
+        write(part, f"{base}/in")
+        start(f"{base}/in", base).awaitTermination()
+    return base
+
+
+def _append_lines(part: DataFrame, path: str) -> None:
+    tables.ad_log_lines(part).write.mode("append").text(path)
+
+
+def _append_rows(part: DataFrame, path: str) -> None:
+    part.write.mode("append").parquet(path)
 
 
 def _ad_job(spark, d, table: str) -> DataFrame:
     """One result table of the ad job after its three batches."""
-    base = new_folder(spark, "behaviour")
-    jobs.stream_ads.run(jobs.ad_job(tables.text_lines(spark, _lines(spark, d)), f"{base}/out", f"{base}/checkpoint", THRESHOLD, True))
-    found = spark.read.schema(_AD_TABLES[table]).parquet(f"{base}/out/{table}")
-    return found.select([c for c in found.columns if c not in ("before", "batch_id", "span")])
+    start = lambda path, base: jobs.ad_job(tables.text_lines(spark, path, None), f"{base}/out", f"{base}/checkpoint", THRESHOLD, True)
+    base = _by_batch(_log(spark, d), _append_lines, start)
+    return stream_ads.results(spark, stream_ads.Tables(f"{base}/out"), table)
+
+
+def _stored_stream(spark, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def _running_totals(spark, d) -> DataFrame:
+    """Totals from keyed state after three batches: a key's last row."""
+    log = _log(spark, d)
+    own = stream_state.stateful(spark)
 
+    def start(path, base):
+        totals = stream_state.running_totals(_stored_stream(own, path, log.schema))
+        each = lambda df, i: stream_ads.stats(f"{base}/out", "newest").write(df, i)
+        return stream_state.batch_by_batch(totals, each, f"{base}/checkpoint", "update")
+
+    return stream_ads.stats(f"{_by_batch(log, _append_rows, start)}/out", "newest").read(spark)
+
+
+def _listed_once(spark, d) -> DataFrame:
+    """The events of users that are listed, from keyed state."""
+    log = _log(spark, d)
+    own = stream_state.stateful(spark)
+
+    def start(path, base):
+        events = stream_state.listed_once(_stored_stream(own, path, log.schema), THRESHOLD)
+        each = lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")
+        return stream_state.batch_by_batch(events, each, f"{base}/checkpoint", "append", False)
+
+    base = _by_batch(log, _append_rows, start)
+    return spark.read.schema(f"{stream_state.LISTED}, batch_id long").parquet(f"{base}/out").drop("batch_id")
+
+
+def _hour_windows(spark, d) -> DataFrame:
+    """The trend of the sliding hour after three batches; a last, empty minute far ahead closes all windows."""
+    log = _log(spark, d)
+
+    def start(path, base):
+        windows = stream_ads.hour_windows(_stored_stream(spark, path, log.schema), "1 hour")
+        writer = windows.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+        return writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    base = _by_batch(log, _append_rows, start)
+    closing = log.agg(F.max("ts").alias("ts")).select(
+        (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), *[F.lit(None).cast(t).alias(c) for c, t in log.dtypes if c != "ts"]
+    )
+    closing.where("ts IS NOT NULL").write.mode("append").parquet(f"{base}/in")
+    start(f"{base}/in", base).awaitTermination()
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    found = spark.read.schema("window_from timestamp, window_to timestamp, minute timestamp, ad_id long, click_count long").parquet(f"{base}/out")
+    return found.select(shown("window_from"), shown("window_to"), shown("minute"), "ad_id", "click_count")
 
-_AD_TABLES = {
-    "ad_user_click_count": "date string, user_id long, ad_id long, click_count long",
-    "ad_blacklist": "user_id long, batch_id long",
-    "ad_stat": "date string, province string, city string, ad_id long, click_count long",
-    "ad_province_top3": "date string, province string, ad_id long, click_count long",
-    "ad_click_trend": "date string, hour string, minute string, ad_id long, click_count long",
-}
+
+def _anti_joined(spark, d) -> DataFrame:
+    """The stream without the users of a stored list, joined in the stream's own plan."""
+    log, black = _log(spark, d), f"{new_folder(spark, 'behaviour')}/black"
+    _black(spark, d).write.parquet(black)
+
+    def start(path, base):
+        good = stream_ads.filtered_by(_stored_stream(spark, path, log.schema), spark.read.parquet(black))
+        writer = good.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+        return writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    found = spark.read.schema(log.schema).parquet(f"{_by_batch(log, _append_rows, start)}/out")
+    return found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+_AD_TABLES = ("ad_user_click_count", "ad_blacklist", "ad_stat", "ad_province_top3", "ad_click_trend")
 
 
 def _parsed_stream(spark, d) -> DataFrame:
     """The log read back by the line parser in a stream."""
-    base = new_folder(spark, "behaviour")
-    parsed = tables.parse_ad_log(tables.text_lines(spark, _lines(spark, d), 1))
-    parsed.writeStream.format("parquet").option("path", f"{base}/out").option(
-        "checkpointLocation",
-        f"{base}/checkpoint",
-    ).trigger(availableNow=True).start().awaitTermination()
+
+    def start(path, base):
+        writer = tables.parse_ad_log(tables.text_lines(spark, path, None)).writeStream.format("parquet").option("path", f"{base}/out")
+        return writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    base = _by_batch(_log(spark, d), _append_lines, start)
     return spark.read.parquet(f"{base}/out").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -173,42 +247,73 @@ def _jdbc(spark, d, name: str, df: DataFrame) -> DataFrame:
     return tables.jdbc(spark, url, name).select(*[F.col(c.upper()).alias(c) for c in df.columns])
 
 
-def _task_row(spark, d) -> DataFrame:
-    """A task looked up in a database by an id from the settings."""
-    stored = _jdbc(spark, d, "task", _tasks(spark))
-    rows = []
-    for number in (task_id([], Config.parse(PROPERTIES), "sessions"), task_id(["4"])):
-        p = find_task(stored, number)
-        rows.append(
-            (
-                number,
-                p.start_date,
-                p.end_date,
-                p.start_age,
-                p.end_age,
-                ",".join(p.professionals),
-                ",".join(p.cities),
-                p.sex,
-                ",".join(p.keywords),
-                ",".join(map(str, p.category_ids)),
-            )
-        )
-    return spark.createDataFrame(
-        rows,
-        "task_id long, start_date string, end_date string, start_age int, end_age int, professionals string, cities string, sex string, keywords string, category_ids string",
-    )
+def _derived_tasks(spark, d) -> DataFrame:
+    """A task a nation: its city, ages, days and more, as stored JSON."""
+    n, text = F.col("n_nationkey"), lambda c: F.array(c.cast("string"))
+    day = lambda k: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")), "yyyy-MM-dd")
+    cities = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("city"), ((n + 7 * i) % 25).cast("string"))), ",")
+    pairs = [
+        ("startDate", F.when(n % 3 != 0, text(day(n % 8)))),
+        ("endDate", F.when(n % 4 != 0, text(day(n % 9 + 15)))),
+        ("startAge", F.when(n % 2 == 0, text(n + 18))),
+        ("endAge", text(n + 40)),
+        ("cities", F.when(n % 5 != 0, text(cities))),
+        ("sex", F.when(n % 5 == 1, text(F.lit("male")))),
+        ("professionals", F.when(n % 5 == 0, text(F.lit("BUILDING,MACHINERY")))),
+        ("keywords", F.when(n % 6 == 2, text(F.lit("kw1,kw2,kw3")))),
+        ("categoryIds", F.when(n % 7 == 3, text(F.concat_ws(",", n % 20, (n + 3) % 20, (n + 5) % 20)))),
+    ]
+    given = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs])), lambda k, v: v.isNotNull())
+    return tables.stored(spark, d, "nation").select(n.cast("long").alias("task_id"), F.to_json(given).alias("task_param"))
+
+
+def _task_params(spark, d) -> DataFrame:
+    """The tasks' JSON as columns, read in the plan."""
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    rows = task_rows(_derived_tasks(spark, d))
+    return rows.select("task_id", "start_date", "end_date", "start_age", "end_age", joined("professionals"), joined("cities"), "task_sex", joined("task_keywords"), joined("category_ids"))
 
 
 def _config(spark, d) -> DataFrame:
-    c = Config.parse(PROPERTIES)
-    row = (
-        c.boolean("local"),
-        c.integer("task.id.sessions"),
-        c.text("kafka.topics"),
-        c.integer("blacklist.threshold"),
-        c.boolean("absent", False),
+    """Settings from stored lines, some of them comments, blank, or set twice: the last one counts."""
+    n, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    lines = F.array(
+        F.concat(F.lit("# "), name, F.lit("=comment")),
+        F.concat(F.lit("  city."), n, F.lit(".name = first")),
+        F.lit(""),
+        F.concat(F.lit("city."), n, F.lit(".name: "), name, F.lit(" = "), n, F.lit(" ")),
+        F.concat(F.lit("region."), n, F.lit("="), F.col("n_regionkey").cast("string")),
     )
-    return spark.createDataFrame([row], "local boolean, task_id long, topics string, threshold long, absent boolean")
+    rows = tables.stored(spark, d, "nation").select((F.col("n_nationkey") * 10).alias("base"), F.posexplode(lines).alias("k", "value"))
+    return settings(rows.select("value", (F.col("base") + F.col("k")).alias("at")))
+
+
+def _tasks_sessions(spark, d) -> DataFrame:
+    return session.keep_by_task(_actions(spark, d), tables.user_info(spark, d), task_rows(_derived_tasks(spark, d)))
+
+
+def _catalog_actions(spark, d, name: str) -> DataFrame:
+    """The actions as a table of the catalog, partitioned by date, in place of the one that an earlier run saved under its name."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return tables.save_table(spark, _actions(spark, d), name)
+
+
+def weekend_clicks(actions: DataFrame) -> DataFrame:
+    """Clicks of each day of a weekend: the days are a table of their own, by which the scan is pruned while the query runs."""
+    days = actions.select("date").distinct().select("date", F.dayofweek(F.col("date").cast("date")).alias("weekday"))
+    return actions.where("click_product_id IS NOT NULL").join(F.broadcast(days.where("weekday IN (1, 7)")), "date").groupBy("date").agg(F.count("*").alias("clicks"))
+
+
+def _area_sql(spark, d) -> DataFrame:
+    _utc(spark)
+    tables.register_views(spark, d, ("user_visit_action", "city_info", "product_info"))
+    sql_functions.register(spark)
+    return product.area_top_sql(spark, "2024-01-01", "2024-01-30")
+
+
+def _sketch_skew(spark, d) -> DataFrame:
+    facts, side = _actions(spark, d).select("event_id", "user_id", "page_id"), tables.user_info(spark, d).select("user_id", "age", "sex")
+    return session.sketch_skew_join(facts, side, "user_id", "event_id").select("event_id", "user_id", "page_id", "age", "sex")
 
 
 def _view_sql(spark, d) -> DataFrame:
@@ -370,8 +475,17 @@ def queries() -> dict:
         "jdbc_city_info": lambda s, d: _jdbc(s, d, "city_info", tables.city_info(s, d)),
         "catalog_user_info": lambda s, d: tables.source(s, "user_info", d, Config.parse(PROPERTIES)).select("user_id", "age", "professional", "city", "sex"),
         "temp_view_sql": _view_sql,
-        "task_params": _task_row,
+        "task_params": _task_params,
         "job_config": _config,
+        "tasks_sessions": _tasks_sessions,
+        "catalog_action_range": lambda s, d: tables.date_range(_catalog_actions(s, d, "actions_of_a_range"), PARAMS.start_date, PARAMS.end_date).select("date", "event_id", "user_id", "session_id", "page_id", "city_id"),
+        "catalog_weekend_clicks": lambda s, d: weekend_clicks(_catalog_actions(s, d, "actions_of_weekends")),
+        "area_top3_product_sql": _area_sql,
+        "skew_join_sketch": _sketch_skew,
+        "stream_running_totals": _running_totals,
+        "stream_listed_once": _listed_once,
+        "stream_hour_windows": _hour_windows,
+        "stream_anti_join": _anti_joined,
         "console_top10_category": lambda s, d: sinks.console(_top(s, d), 10),
         "ad_log_lines": lambda s, d: tables.ad_log_lines(log(s, d)),
         "ad_log_parsed": lambda s, d: tables.parse_ad_log(tables.ad_log_lines(log(s, d))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
@@ -380,8 +494,8 @@ def queries() -> dict:
         "job_page_convert_rate": _job(jobs.page_job, "page_convert_rate"),
         "job_area_top3_product": _job(jobs.product_job, "area_top3_product"),
         **{f"job_{name}": (lambda s, d, name=name: _ad_job(s, d, name)) for name in _AD_TABLES},
-        "stream_ad_stat": lambda s, d: _streamed(s, d, stream_ads.ad_stat, "ad_stat"),
-        "stream_ad_click_trend": lambda s, d: _streamed(s, d, stream_ads.click_trend, "ad_click_trend"),
+        "stream_ad_stat": lambda s, d: _streamed(s, d, stream_ads.ad_stat, stream_ads.stats),
+        "stream_ad_click_trend": lambda s, d: _streamed(s, d, stream_ads.click_trend, stream_ads.trend),
     }
 
 
@@ -473,6 +587,17 @@ def _buckets(column: str, buckets: dict, ratio: bool = False) -> str:
     return ", ".join(f"{shown(n(*b))} AS {name}" for name, b in buckets.items())
 
 
+#: A task a nation; dates, ages and lists as the stored JSON gives them.
+_TASKS_SQL = """, tasks AS (SELECT cast(n_nationkey AS BIGINT) AS task_id,
+    CASE WHEN n_nationkey % 3 <> 0 THEN strftime(DATE '2024-01-01' + cast(n_nationkey % 8 AS INTEGER), '%Y-%m-%d') END AS start_date,
+    CASE WHEN n_nationkey % 4 <> 0 THEN strftime(DATE '2024-01-16' + cast(n_nationkey % 9 AS INTEGER), '%Y-%m-%d') END AS end_date,
+    CASE WHEN n_nationkey % 2 = 0 THEN cast(n_nationkey + 18 AS INTEGER) END AS start_age, cast(n_nationkey + 40 AS INTEGER) AS end_age,
+    CASE WHEN n_nationkey % 5 = 0 THEN 'BUILDING,MACHINERY' END AS professionals,
+    CASE WHEN n_nationkey % 5 <> 0 THEN 'city' || n_nationkey || ',city' || ((n_nationkey + 7) % 25) || ',city' || ((n_nationkey + 14) % 25) END AS cities,
+    CASE WHEN n_nationkey % 5 = 1 THEN 'male' END AS task_sex, CASE WHEN n_nationkey % 6 = 2 THEN 'kw1,kw2,kw3' END AS task_keywords,
+    CASE WHEN n_nationkey % 7 = 3 THEN (n_nationkey % 20) || ',' || ((n_nationkey + 3) % 20) || ',' || ((n_nationkey + 5) % 20) END AS category_ids FROM nation)"""
+
+
 def oracle_sql() -> dict[str, str]:
     visit, step = session.VISIT, session.STEP
     own = {
@@ -523,8 +648,25 @@ def oracle_sql() -> dict[str, str]:
         "jdbc_city_info": "SELECT * FROM cities",
         "catalog_user_info": "SELECT user_id, age, professional, city, sex FROM users",
         "temp_view_sql": "SELECT area, sex, count(*) AS clicks FROM clicks_of JOIN users USING (user_id) GROUP BY ALL".replace("clicks_of", "(SELECT user_id, area FROM act JOIN cities USING (city_id) WHERE click_product_id IS NOT NULL)"),
-        "task_params": "SELECT 1::BIGINT AS task_id, NULL::VARCHAR AS start_date, NULL::VARCHAR AS end_date, 20 AS start_age, 60 AS end_age, 'AUTOMOBILE,BUILDING,MACHINERY' AS professionals, '' AS cities, NULL::VARCHAR AS sex, '' AS keywords, '1,2,3,5,7,11' AS category_ids UNION ALL SELECT 4, '2024-01-03', '2024-01-28', NULL, NULL, '', 'city1,city2', 'male', 'kw1', ''",
-        "job_config": "SELECT true AS local, 1::BIGINT AS task_id, 'ads' AS topics, 3::BIGINT AS threshold, false AS absent",
+        "task_params": f"{_TASKS_SQL} SELECT task_id, start_date, end_date, start_age, end_age, professionals, cities, task_sex, task_keywords, category_ids FROM tasks",
+        "job_config": "SELECT 'city.' || n_nationkey || '.name' AS key, n_name || ' = ' || n_nationkey AS value FROM nation UNION ALL SELECT 'region.' || n_nationkey, n_regionkey || '' FROM nation",
+        "tasks_sessions": f"""{_TASKS_SQL} SELECT task_id, session_id FROM (
+            SELECT task_id, session_id, min(act.user_id) AS user_id, list(DISTINCT search_keyword) FILTER (search_keyword IS NOT NULL) AS kws, list(DISTINCT click_category_id || '') FILTER (click_category_id IS NOT NULL) AS cats
+            FROM act JOIN tasks ON act.date >= coalesce(start_date, '') AND act.date <= coalesce(end_date, '9') GROUP BY ALL) s JOIN users USING (user_id) JOIN tasks t USING (task_id)
+            WHERE (start_age IS NULL OR age >= start_age) AND age <= end_age AND (cities IS NULL OR list_contains(string_split(cities, ','), city)) AND (task_sex IS NULL OR sex = task_sex)
+            AND (professionals IS NULL OR list_contains(string_split(professionals, ','), professional)) AND (task_keywords IS NULL OR len(list_intersect(kws, string_split(task_keywords, ','))) > 0)
+            AND (category_ids IS NULL OR len(list_intersect(cats, string_split(category_ids, ','))) > 0)""",
+        "catalog_action_range": "SELECT date, event_id, user_id, session_id, page_id, city_id FROM act WHERE date BETWEEN '2024-01-03' AND '2024-01-28'",
+        "catalog_weekend_clicks": "SELECT date, count(*) AS clicks FROM act WHERE click_product_id IS NOT NULL AND dayofweek(date::DATE) IN (0, 6) GROUP BY date",
+        "skew_join_sketch": "SELECT event_id, user_id, page_id, age, sex FROM act JOIN users USING (user_id)",
+        "stream_running_totals": "SELECT strftime(ts, '%Y-%m-%d') AS date, province, city, ad_id, count(*) AS click_count FROM log GROUP BY 1, 2, 3, 4",
+        "stream_listed_once": """, reached AS (SELECT *, sum(n) OVER (PARTITION BY user_id, date, ad_id ORDER BY batch) AS click_count FROM (SELECT user_id, date, ad_id, batch, count(*) AS n FROM good2 GROUP BY ALL))
+            SELECT user_id, date, ad_id, cast(click_count AS BIGINT) AS click_count FROM reached WHERE click_count >= 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch, date, ad_id) = 1""",
+        "stream_hour_windows": """, ends AS (SELECT DISTINCT epoch_us(date_trunc('minute', ts)) // 1000000 AS m, ad_id FROM log), steps AS (SELECT m, ad_id, unnest(range(m + 10, m + 3661, 10)) AS w FROM ends),
+            counts AS (SELECT s.m, s.ad_id, s.w, count(*) AS n FROM steps s JOIN log l ON l.ad_id = s.ad_id AND epoch_us(date_trunc('minute', l.ts)) // 1000000 = s.m AND epoch_us(l.ts) >= (s.w - 3600) * 1000000 AND epoch_us(l.ts) < s.w * 1000000 GROUP BY ALL),
+            marks AS (SELECT *, CASE WHEN w = m + 60 OR w <= m + 50 OR w > m + 3600 THEN 1 ELSE 0 END AS new FROM counts), runs AS (SELECT *, sum(new) OVER (PARTITION BY m, ad_id ORDER BY w) AS k FROM marks)
+            SELECT strftime(make_timestamp(min(w) * 1000000), '%Y-%m-%d %H:%M:%S') AS window_from, strftime(make_timestamp(max(w) * 1000000), '%Y-%m-%d %H:%M:%S') AS window_to, strftime(make_timestamp(m * 1000000), '%Y-%m-%d %H:%M:%S') AS minute, ad_id, n AS click_count FROM runs GROUP BY m, ad_id, n, k""",
+        "stream_anti_join": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, province, city, user_id, ad_id FROM good",
         "console_top10_category": "SELECT * FROM top10",
         "ad_log_lines": "SELECT (epoch_us(ts) // 1000) || ' ' || province || ' ' || city || ' ' || user_id || ' ' || ad_id AS value FROM named",
         "ad_log_parsed": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, province, city, user_id, ad_id FROM named",
@@ -544,4 +686,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_ad_stat": "SELECT strftime(ts, '%Y-%m-%d') AS date, province, city, ad_id, count(*) AS click_count FROM log GROUP BY 1, 2, 3, 4",
         "stream_ad_click_trend": "SELECT * FROM trend",
     }
+    own["area_top3_product_sql"] = own["area_top3_product"]
     return {name: f"{_BASE}{_JOBS}\n{sql}" for name, sql in own.items()}

@@ -10,7 +10,7 @@ from clickstrata.sources import sinks, tables
 from clickstrata.streaming import ads as stream_ads
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["area_top3_product", "session_filter", "session_aggr_stat", "session_random_extract", "top10_session_detail", "page_convert_rate", "skew_join", "ad_province_top3", "ad_trend_last_hour", "concat_kv_set", "stream_ad_stat", "stream_ad_click_trend", "session_filter_all", "skew_join_split", "jdbc_city_info", "temp_view_sql", "task_params", "bernoulli_sample", "job_session_detail", "job_ad_province_top3", "job_ad_blacklist"]
+QUERIES = ["area_top3_product", "session_filter", "session_aggr_stat", "session_random_extract", "top10_session_detail", "page_convert_rate", "skew_join", "ad_province_top3", "ad_trend_last_hour", "concat_kv_set", "stream_ad_stat", "stream_ad_click_trend", "session_filter_all", "skew_join_split", "jdbc_city_info", "temp_view_sql", "task_params", "bernoulli_sample", "job_session_detail", "job_ad_province_top3", "job_ad_blacklist", "job_config", "job_session_aggr_stat", "tasks_sessions", "catalog_action_range", "catalog_weekend_clicks", "area_top3_product_sql", "skew_join_sketch", "stream_running_totals", "stream_listed_once", "stream_hour_windows", "stream_anti_join"]
 
 
 @pytest.fixture(scope="module")
@@ -76,29 +76,6 @@ def test_blacklist_works_from_the_next_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).groupBy("user_id").agg(F.sum("click_count")).collect()} == {(7, 3), (8, 3)}
 
 
-def test_a_repeated_batch_adds_up_once(spark, tmp_path):
-    from clickstrata.sources import sinks
-
-    path, keys = str(tmp_path / "state"), ["date", "ad_id"]
-    batch = lambda *rows: spark.createDataFrame(list(rows), "date string, ad_id long, click_count long")
-    state = lambda: {(r.date, r.ad_id): r.click_count for r in spark.read.parquet(path).collect()}
-    sinks.accumulate(batch(("2024-01-01", 1, 5), ("2024-01-02", 1, 1)), 0, path, keys)
-    for _ in range(2):  # the second time as after a failure
-        got = sinks.accumulate(batch(("2024-01-02", 1, 2), ("2024-01-02", 2, 7)), 1, path, keys)
-        assert {(r.date, r.ad_id, r.click_count) for r in got.collect()} == {("2024-01-02", 1, 3), ("2024-01-02", 2, 7)}
-    sinks.accumulate(batch(("2024-01-02", 2, 1)), 2, path, keys)
-    assert {(str(d), a): n for (d, a), n in state().items()} == {("2024-01-01", 1): 5, ("2024-01-02", 1): 3, ("2024-01-02", 2): 8}
-
-
-def test_upserts_keep_the_newest_value(spark, tmp_path):
-    from clickstrata.sources import sinks
-
-    path = str(tmp_path / "stat")
-    for rows in ([("2024-01-01", 1, 5), ("2024-01-02", 1, 1)], [("2024-01-02", 1, 4), ("2024-01-02", 2, 2)], [("2024-01-02", 1, 4), ("2024-01-02", 2, 2)]):
-        sinks.upsert(spark.createDataFrame(rows, "date string, ad_id long, click_count long"), path, ["date", "ad_id"])
-    assert {(str(r.date), r.ad_id, r.click_count) for r in spark.read.parquet(path).collect()} == {("2024-01-01", 1, 5), ("2024-01-02", 1, 4), ("2024-01-02", 2, 2)}
-
-
 def test_a_job_run_again_replaces_its_results(spark, tmp_path):
     from clickstrata import jobs
     from clickstrata.plans.config import Config
