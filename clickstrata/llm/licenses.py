@@ -1,11 +1,12 @@
 """License scan: a positional rare-token index over license templates, in DataFrame functions only.
 
-Files that hold an anchor word are lexed. Each template is indexed by its words with the highest inverse
-document frequency (over all lexed files), and all of them in a file are looked up, however many notices it
-holds; each posting votes for (template, file position - template position). A template's score is its best offset's share of its own rare words; it is a label if
-the score reaches ``min_score`` and its mandatory phrase stands in the file. Three base phrases are always
-labels. A file's score is the best of all templates'. The index is a constant of some hundred rows: one-line notices,
-and the customary headers and passages of the common licenses.
+Every whole text is lexed, and all its licence words (words of a template that are no function words) are looked up. Of
+each template, a file's ``RARE`` licence words with the highest inverse document frequency, over all distinct texts, are
+those that count: each place of such a word votes for (template, place in the file - place in the template). A template's
+score is the number of words that its best offset has, as a share of ``RARE`` or of the template's licence words, where
+it has fewer; it is a label if the score reaches ``min_score`` and its mandatory phrase stands in the file. Three base
+phrases are always labels. A file's score is the best of all templates'. The index is a constant of some hundred rows:
+one-line notices, and the customary headers and passages of the common licenses.
 
 Null and empty texts have no words and score 0; equal texts get equal rows, and are looked up once; ties in frequency
 go by word; repeated and null ids are rows of their own; an empty table gives an empty result; a very long text is one
@@ -18,7 +19,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .frames import written
 
@@ -64,14 +64,21 @@ TEMPLATES = (
 )
 RARE = 6
 MIN_SCORE = 0.6
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Function words, which tell no license from other texts.
+FUNCTION_WORDS = frozenset(
+    "a an and any are as at be been but by can do for from has have if in inc is it its may must no not of on or other shall that the their this to under was were will with without you your".split()
+)
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every base and mandatory phrase holds one of these.
-_ANCHOR = rf"(?i)license|redistribution|permission{_GAP}(?:is|to)|cc{_GAP}by|cc0|creative{_GAP}commons|unencumbered|software{_GAP}is{_GAP}provided|waived{_GAP}all|the{_GAP}mpl"
 
 
 def _template_rows() -> list[tuple]:
-    return [(t, label, phrase, word, at) for t, (label, text, phrase) in enumerate(TEMPLATES) for at, word in enumerate(text.split())]
+    """(template, label, phrase, word, place, wanted) of the templates' licence words."""
+    out = []
+    for t, (label, text, phrase) in enumerate(TEMPLATES):
+        words = text.split()
+        own = set(words) - FUNCTION_WORDS
+        out += [(t, label, phrase, word, at, min(RARE, len(own))) for at, word in enumerate(words) if word in own]
+    return out
 
 
 def _starts(words: str, phrase: str) -> Column:
@@ -81,51 +88,37 @@ def _starts(words: str, phrase: str) -> Column:
     return F.expr(f"filter(sequence(0, greatest(size({words}) - {len(parts)}, 0)), i -> {test})")
 
 
-def _has(words: str, phrase: str) -> Column:
-    return F.concat(F.lit(" "), F.array_join(F.col(words), " "), F.lit(" ")).contains(f" {phrase} ")
-
-
 def scan(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row a document."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    anchored = text.rlike(_ANCHOR)
-    lexed = docs.select(
-        "doc_id",
-        F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"),
-        F.when(anchored, F.regexp_extract_all(lower, F.lit(f"({_WORD})"), F.lit(1))).alias("words"),
-        F.when(anchored, F.sha2(text, 256)).alias("file"),
-    )
-    at = F.flatten(F.array(*[_starts("words", p) for p in BASE]))
-    base = F.array(*[F.when(F.size(_starts("words", p)) > 0, F.lit(label)) for p, label in BASE.items()])
-    found = lexed.withColumns(
-        {
-            "at": F.when(F.col("words").isNotNull(), at),
-            "base": F.when(F.col("words").isNotNull(), F.array_sort(F.array_distinct(F.array_compact(base)))),
-        }
-    )
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    vocabulary = ", ".join(f"'{w}'" for w in sorted({r[3] for r in _template_rows()}))
+    lexed = docs.select("doc_id", lower.alias("lower")).select("doc_id", "lower", F.regexp_extract_all("lower", F.lit(f"({_WORD})"), F.lit(1)).alias("words"))
+    # a phrase cannot stand where one of its words does not occur in the text
+    might = lambda p: reduce(lambda a, b: a & b, [F.col("lower").contains(w) for w in p.split()])
+    starts = {p: F.when(might(p), _starts("words", p)) for p in BASE}
+    at = F.flatten(F.array(*[F.coalesce(starts[p], F.array().cast("array<int>")) for p in BASE]))
+    base = F.array(*[F.when(F.size(F.coalesce(starts[p], F.array().cast("array<int>"))) > 0, F.lit(label)) for p, label in BASE.items()])
+    hits = F.expr(f"filter(transform(words, (w, i) -> struct(i AS pos, w AS word)), x -> x.word IN ({vocabulary}))")
+    found = lexed.withColumns({"at": at, "base": F.array_sort(F.array_distinct(F.array_compact(base))), "hits": hits})
+    holds = F.size("hits") > 0
     kept = written(
         found.select(
             "doc_id",
-            "n_words",
-            "file",
-            F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_base"),
+            F.size("words").cast("long").alias("n_words"),
+            F.size("at").cast("long").alias("n_base"),
             F.array_min("at").cast("long").alias("first_word"),
             F.array_max("at").cast("long").alias("last_word"),
-            F.coalesce("base", F.array().cast("array<string>")).alias("base"),
-            "words",
+            "base",
+            F.when(holds, F.sha2("lower", 256)).alias("file"),
+            F.when(holds, F.col("hits")).alias("hits"),
+            F.when(holds, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("line"),
         )
     )
-    method = labels(kept.where("file is not null").select("file", "words"), spark, min_score)
-    # files without an anchor are spread, not one null key
-    rows = (
-        kept.drop("words")
-        .withColumn("key", F.coalesce("file", F.xxhash64("doc_id").cast("string")))
-    )
+    method = labels(kept.where("file IS NOT NULL").select("file", "hits", "line"), docs.sparkSession, min_score)
+    # files without a licence word are spread, not one null key
+    rows = kept.drop("hits", "line").withColumn("key", F.coalesce("file", F.xxhash64("doc_id").cast("string")))
     joined = rows.join(method.withColumnRenamed("file", "key"), "key", "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
-    score = F.coalesce("score", F.lit(0.0))
     return joined.select(
         "doc_id",
         "n_words",
@@ -134,36 +127,28 @@ def scan(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         "last_word",
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        score.alias("score"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
     )
 
 
 def labels(files: DataFrame, spark, min_score: float = MIN_SCORE) -> DataFrame:
-    """file, score and more (labels, or null) of the files (file, words) that hold a template's rare word."""
-    index = spark.createDataFrame(_template_rows(), "template int, label string, phrase string, word string, tpos int")
-    vocabulary = sorted({r[3] for r in _template_rows()})
+    """file, score and more (labels, or null) of files (file, hits: places of licence words, line: the words between blanks)."""
+    index = spark.createDataFrame(_template_rows(), "template int, label string, phrase string, word string, tpos int, wanted int")
     files = files.dropDuplicates(["file"])
-    tokens = files.select("file", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(vocabulary))
-    frequency = tokens.select("file", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))  # one row a template word
-    # the rare words of each template, by the same frequencies; words no file has are the rarest
-    rare = (
-        index.join(F.broadcast(frequency), "word", "left")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "word", "tpos")))
-        .where(F.col("rank") <= RARE)
-    )
-    wanted = rare.groupBy("template").agg(F.count("*").alias("wanted"))
-    votes = (
-        tokens.join(F.broadcast(rare.select("template", "label", "phrase", "word", "tpos")), "word")
-        .groupBy("file", "template", "label", "phrase", (F.col("pos") - F.col("tpos")).alias("offset"))
-        .agg(F.count("*").alias("votes"))
-    )
-    best = (
-        votes.groupBy("file", "template", "label", "phrase")
-        .agg(F.max("votes").alias("votes"))
-        .join(F.broadcast(wanted), "template")
-        .withColumn("score", F.col("votes") / F.col("wanted"))
+    tokens = files.select("file", F.inline("hits"))
+    frequency = tokens.select("file", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))  # one row a licence word
+    posted = tokens.join(F.broadcast(index.join(F.broadcast(frequency), "word")), "word")
+    keys = ["file", "template"]
+    by_word = (
+        posted.repartition(*keys)
+        .groupBy(*keys, "label", "phrase", "wanted", "df", "word")
+        .agg(F.collect_set(F.col("pos") - F.col("tpos")).alias("offsets"))
     )
-    checked = best.where(F.col("score") >= min_score).join(files, "file")
-    stands = reduce(lambda a, b: a | b, [(F.col("phrase") == p) & _has("words", p) for p in sorted({t[2] for t in TEMPLATES})])
+    ranked = by_word.groupBy(*keys, "label", "phrase", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "word", "offsets"))).alias("words"))
+    rarest = ranked.select(*keys, "label", "phrase", "wanted", F.explode(F.flatten(F.transform(F.slice("words", 1, RARE), lambda w: w["offsets"]))).alias("offset"))
+    votes = rarest.groupBy(*keys, "label", "phrase", "wanted", "offset").agg(F.count("*").alias("votes"))
+    best = votes.groupBy(*keys, "label", "phrase", "wanted").agg(F.max("votes").alias("votes")).withColumn("score", F.col("votes") / F.col("wanted"))
+    checked = best.where(F.col("score") >= min_score).join(files.select("file", "line"), "file")
+    stands = F.col("line").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     named = checked.where(stands).groupBy("file").agg(F.array_sort(F.collect_set("label")).alias("more"))
     return best.groupBy("file").agg(F.max("score").alias("score")).join(named, "file", "left")

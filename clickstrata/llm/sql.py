@@ -173,41 +173,39 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 
 _TEMPLATES = ", ".join(f"({t}, '{label}', '{text}', '{phrase}')" for t, (label, text, phrase) in enumerate(licenses.TEMPLATES))
 LICENSE_SCAN = rf"""
-WITH words AS (
-    SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents
-), files AS (
-    SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM words
+WITH files AS (
+    SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents
 ), tokens AS (
-    SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM files
+    SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM files
 ), base(phrase, label) AS (VALUES {", ".join(f"('{p}', '{label}')" for p, label in licenses.BASE.items())}),
 starts AS (
-    SELECT t.doc_id, t.pos, b.label FROM tokens t JOIN base b ON t.word = split_part(b.phrase, ' ', 1) JOIN files f USING (doc_id)
+    SELECT t.r, t.pos, b.label FROM tokens t JOIN base b ON t.word = split_part(b.phrase, ' ', 1) JOIN files f USING (r)
     WHERE f.ws[t.pos + 1 : t.pos + len(string_split(b.phrase, ' '))] = string_split(b.phrase, ' ')
 ), found AS (
-    SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM starts GROUP BY doc_id
+    SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM starts GROUP BY r
 ), templates(t, label, body, phrase) AS (VALUES {_TEMPLATES}),
-index_ AS (
+placed AS (
     SELECT t, label, phrase, unnest(string_split(body, ' ')) AS word, generate_subscripts(string_split(body, ' '), 1) - 1 AS tpos FROM templates
-), anchored AS (
-    SELECT DISTINCT text FROM documents WHERE regexp_matches(text, '{licenses._ANCHOR}')
-), lexed AS (
-    SELECT text, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT text, regexp_extract_all({_LOWER}, '{_WORD}') AS l FROM anchored) WHERE len(l) > 0
-), posted AS (
-    SELECT * FROM lexed WHERE word IN (SELECT word FROM index_)
+), index_ AS (
+    SELECT * FROM placed WHERE word NOT IN ({", ".join(f"'{w}'" for w in sorted(licenses.FUNCTION_WORDS))})
+), sizes AS (
+    SELECT t, least({licenses.RARE}, count(DISTINCT word)) AS wanted FROM index_ GROUP BY t
 ), frequency AS (
-    SELECT word, count(DISTINCT text) AS df FROM posted GROUP BY word
+    SELECT word, count(DISTINCT {_LOWER}) AS df FROM tokens JOIN files USING (r) WHERE word IN (SELECT word FROM index_) GROUP BY word
+), shared AS (
+    SELECT DISTINCT r, t, word, df FROM tokens JOIN index_ USING (word) JOIN frequency USING (word)
 ), rare AS (
-    SELECT index_.* FROM index_ LEFT JOIN frequency USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word, tpos) <= {licenses.RARE}
+    SELECT r, t, word FROM shared QUALIFY row_number() OVER (PARTITION BY r, t ORDER BY df, word) <= {licenses.RARE}
 ), votes AS (
-    SELECT text, t, label, phrase, max(n) AS n FROM (SELECT text, t, label, phrase, pos - tpos, count(*) AS n FROM posted JOIN rare USING (word) GROUP BY ALL) GROUP BY ALL
+    SELECT r, t, max(n) AS n FROM (SELECT r, t, pos - tpos, count(DISTINCT word) AS n FROM rare JOIN tokens USING (r, word) JOIN index_ USING (t, word) GROUP BY ALL) GROUP BY ALL
 ), scored AS (
-    SELECT v.*, v.n / w.wanted AS score FROM votes v JOIN (SELECT t, count(*) AS wanted FROM rare GROUP BY t) w USING (t)
+    SELECT r, label, phrase, n / wanted AS score FROM votes JOIN sizes USING (t) JOIN templates USING (t)
 ), told AS (
-    SELECT d.doc_id, max(score) AS score, list(DISTINCT label) FILTER (score >= {licenses.MIN_SCORE} AND contains(f.line, ' ' || phrase || ' ')) AS labels FROM documents d JOIN scored s ON s.text = d.text JOIN files f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+    SELECT r, max(score) AS score, list(DISTINCT label) FILTER (score >= {licenses.MIN_SCORE} AND contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ')) AS labels FROM scored JOIN files USING (r) GROUP BY r
 )
-SELECT w.doc_id, len(w.ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(f.labels, ','), '') AS base_labels,
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(f.labels, ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(f.labels, []), coalesce(t.labels, [])))), ','), '') AS labels, coalesce(t.score, 0.0) AS score
-FROM files w LEFT JOIN found f USING (doc_id) LEFT JOIN told t USING (doc_id)
+FROM files LEFT JOIN found f USING (r) LEFT JOIN told t USING (r)
 """
 
 
