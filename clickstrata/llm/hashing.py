@@ -1,18 +1,20 @@
 """Vectorised 64-bit hashes of words and shingles.
 
-A batch of texts is one byte string. Every word's hash comes from one prefix sum of byte values times
-powers of an odd base (mod 2**64), so no Python object per word is made.
+A batch of texts is one byte string. Words are read eight bytes at a time, all words at once, each eight bytes mixed into
+the word's hash by a bijection, so no Python object per word is made, and words that differ in one place only always
+differ. Words of more than ``LONG`` bytes are hashed one by one (xxh3). No word is a polynomial of its letters: such
+hashes have words that collide whatever their base.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
+LONG = 64  # bytes
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,18 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        if n > 1 << 21:  # a very long text: not kept
-            return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
-        kept = max(n, 1 << 19)
-        _powers[kind] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(kept - 1, base, np.uint64)]), dtype=np.uint64)
-    return _powers[kind][:n]
-
-
 class Words:
     """Words of a run of texts, lower-cased in A-Z and split at ASCII white space.
 
@@ -66,11 +56,23 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
-        n = len(self.raw)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.raw] * _power("up", BASE, n), out=sums[1:])
-        own = (sums[self.end] - sums[self.start]) * _power("down", _INVERSE, n)[self.start] if n else sums[:0]
-        return mix(own + (self.end - self.start).astype(np.uint64))
+        sizes = self.end - self.start
+        out = mix(sizes.astype(np.uint64) + np.uint64(BASE))
+        if not len(sizes):
+            return out
+        padded = self.data + b"\0" * 8
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        rest = np.flatnonzero(sizes <= LONG)
+        at, left = self.start[rest], sizes[rest]
+        while len(rest):
+            held = np.minimum(left, 8).astype(np.uint64)
+            part = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * held))
+            out[rest] = mix((out[rest] ^ part) + np.uint64(BASE))
+            more = left > 8
+            rest, at, left = rest[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]])
+        return out
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
