@@ -83,7 +83,7 @@ WITH pieces AS (
 ), spans AS (
     SELECT doc_id, string_agg(CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a) AS spans FROM runs GROUP BY doc_id
 ), items AS (
-    SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS named FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id
+    SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS named FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item_id FROM found) GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(w.n, 0) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(m.named, '')) AS items_sha256,
     coalesce(h.n, 0) > 0 AS contaminated, coalesce(s.spans, '') AS spans
