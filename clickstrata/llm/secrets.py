@@ -7,8 +7,11 @@ operators, brackets and bare values. Name-literal pairs come from
   ``table["name"] = value``; the value may begin on the next line;
 * ``setName("value")``, ``name("value")``, ``put("name", "value")``; ``<name>value</name>``.
 
-A value is a string, neighbouring strings, an earlier name, any of these joined by ``+`` and in parentheses; each
-element of a list is a value. An unquoted value is a literal only where it cannot be an identifier. Constants are
+A value is a string, neighbouring strings, an earlier name, any of these joined by ``+`` and in parentheses; unknown
+names in such a sum are left out, and its literals stay. Each element of a list or tuple, however deep, is a value, and so
+is each further argument of a call that reads a setting (``getenv("X", "value")``). Within brackets that are a name's
+value, names stand under it: a literal counts for its own name, or at ``INHERITED`` for one it stands under. An unquoted
+value is a literal only where it cannot be an identifier. Constants are
 propagated in order through the text, so ``a = "..."; password = a`` reports the literal where it stands; a name
 that gets another value forgets its constant. A literal is reported when the target name's sensitivity times the
 literal's strength reaches ``MIN_SCORE``. Three plain patterns are always reported: assign, access and hex. Spans
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from .frames import fresh, small_batches, tidy
 
 MIN_SCORE = 0.5
+INHERITED = 0.7
 KINDS = ("assign", "access", "hex", "named")
 #: Parts of a target name and how much they say.
 SENSITIVE = {
@@ -78,6 +82,7 @@ _LEX = re.compile(
 )
 _ASSIGNERS = {":=", "=>", "=", ":", "==", "===", "+="}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_READERS = ("get", "getenv", "env", "environ", "config", "setting", "pop", "setdefault", "lookup", "read", "fetch", "optional", "default")
 _SETTERS = ("set", "put", "add", "with", "use", "append", "header", "insert")
 _TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>\s*([^<>\s][^<>]*?)\s*</\1\s*>")
 _HOLES = re.compile(r"\$?\{[^{}]*\}")
@@ -154,6 +159,7 @@ class Pairs:
         self.text = text
         self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text)]
         self.known: dict[str, Value] = {}
+        self.annotated = self._annotated()
 
     def kind(self, i: int) -> str:
         return self.tokens[i][0] if 0 <= i < len(self.tokens) else ""
@@ -162,6 +168,27 @@ class Pairs:
         _, a, b = self.tokens[i]
         return self.text[a:b]
 
+    def _annotated(self) -> dict[int, int]:
+        """For each ``=`` behind ``name: type`` the name's place; types may have brackets of any depth and length."""
+        found: dict[int, int] = {}
+        names: list[int | None] = [None]  # the annotated name of each open bracket's level
+        for i, (kind, _, _) in enumerate(self.tokens):
+            if kind == "open":
+                names.append(None)
+            elif kind == "close":
+                if len(names) > 1:
+                    names.pop()
+                if self.word(i) == "}":
+                    names[-1] = None
+            elif kind == "op":
+                word = self.word(i)
+                if word == "=" and names[-1] is not None and names[-1] < i - 2:
+                    found[i] = names[-1]
+                names[-1] = i - 1 if word == ":" and self.kind(i - 1) == "name" else None
+            elif kind in ("line", "end", "str", "other"):
+                names[-1] = None
+        return found
+
     def string(self, i: int) -> Value:
         _, a, b = self.tokens[i]
         while self.text[a] not in "\"'`":
@@ -177,12 +204,8 @@ class Pairs:
             inside = self.word(i - 2)
             if self.kind(i - 2) == "str" or self.kind(i - 5) != "op":  # else a type, name: kind[of] =
                 return inside.strip("\"'`")
-        if self.word(i) == "=":  # name: type = value
-            j = i - 1
-            while self.kind(j) in ("name", "open", "close", "end", "bare") and self.word(j) not in "(){};" and i - j < 24:
-                j -= 1
-            if j < i - 1 and self.kind(j) == "op" and self.word(j) == ":" and self.kind(j - 1) == "name":
-                return self.word(j - 1)
+        if i in self.annotated:  # name: type = value
+            return self.word(self.annotated[i])
         return self.word(i - 1).strip("\"'`") if self.kind(i - 1) in ("name", "str", "bare") else None
 
     def value(self, k: int) -> tuple[list[Value], int, bool]:
@@ -193,13 +216,8 @@ class Pairs:
         if k > start and self.kind(k) != "str":
             return [], start, False
         if self.kind(k) == "open" and self.word(k) == "[":
-            found, k = [], k + 1
-            while self.kind(k) in ("str", "end", "line"):
-                if self.kind(k) == "str":
-                    found.append(self.string(k))
-                k += 1
-            return found, k, False
-        depth, parts, joined = 0, [], True
+            return self.elements(k + 1), k, False
+        depth, parts, joined, unknown = 0, [], True, False
         while True:
             kind = self.kind(k)
             if kind == "open" and self.word(k) == "(" and joined:
@@ -218,8 +236,12 @@ class Pairs:
                     parts.append(self.known[word])
                 elif not called and not parts and self.kind(k + 1) in ("", "line", "end", "close") and bare_literal(word):
                     parts.append(Value(word, self.tokens[k][1:]))
+                elif called and not parts and _PARTS.findall(word) and any(p.lower() in _READERS for p in _PARTS.findall(word.rsplit(".", 1)[-1])[:1] + [word.rsplit(".", 1)[-1]]):
+                    return self.elements(k + 2)[1:], k, False  # the first argument names the setting
+                elif called or kind == "bare":
+                    break
                 else:
-                    return [], k, False
+                    unknown = True
                 joined = False
             elif kind == "close" and depth and self.word(k) == ")":
                 depth -= 1
@@ -227,7 +249,19 @@ class Pairs:
                 break
             k += 1
         whole = parts[0] if len(parts) == 1 else Value(None, None, tuple(parts)) if parts else None
-        return [whole] if whole else [], k, bool(parts) and not joined
+        if depth and whole and self.kind(k) == "end" and self.word(k) == ",":  # a tuple
+            return [whole, *self.elements(k + 1)], k, False
+        return [whole] if whole else [], k, bool(parts) and not joined and not unknown
+
+    def elements(self, k: int) -> list[Value]:
+        """The strings from ``k`` to the end of the brackets around it, up to an operator: behind one stands a pair of its own."""
+        found, depth = [], 1
+        while depth and (kind := self.kind(k)) and kind != "op":
+            depth += (kind == "open") - (kind == "close")
+            if kind == "str" and self.kind(k + 1) != "op":
+                found.append(self.string(k))
+            k += 1
+        return found
 
     def calls(self, i: int) -> tuple[str, list[Value]] | None:
         """The pair of the call whose bracket is at ``i``."""
@@ -243,12 +277,21 @@ class Pairs:
         return None
 
     def __iter__(self):
+        """(name, values, above): the target, and the sensitivity of the names that it stands under."""
+        under = [0.0]  # for each open bracket that of all names above
+        pending: str | None = None  # the name whose value begins here
         for i, (kind, _, _) in enumerate(self.tokens):
             if kind == "open":
                 if self.word(i) == "(" and (got := self.calls(i)):
-                    yield got
+                    yield *got, under[-1]
+                under.append(max(under[-1], sensitivity(pending)) if pending else under[-1])
+                pending = None
+            elif kind == "close":
+                if len(under) > 1:
+                    under.pop()
+                pending = None
             elif kind == "op" and (op := self.word(i)) in _ASSIGNERS and i:
-                name = self.target(i)
+                pending = name = self.target(i)
                 if name is None:
                     continue
                 values, _, whole = self.value(i + 1)
@@ -260,17 +303,19 @@ class Pairs:
                     elif op != ":":
                         self.known.pop(name, None)
                 if values:
-                    yield name, values
+                    yield name, values, under[-1]
+            elif kind != "line":
+                pending = None
         for m in _TAG.finditer(self.text):
-            yield m[1], [Value(m[2], m.span(2))]
+            yield m[1], [Value(m[2], m.span(2))], 0.0
 
 
 def named_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str]]:
     if not any(c in text for c in ":=(<"):
         return []
     found: set = set()
-    for name, values in Pairs(text):
-        weight = sensitivity(name)
+    for name, values, above in Pairs(text):
+        weight = max(sensitivity(name), INHERITED * above)
         for value in values if weight else ():
             if weight * strength(value) >= min_score:
                 value.tell(found)
