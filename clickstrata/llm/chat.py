@@ -9,7 +9,9 @@ of any length; a conversation's messages are in one partition, several conversat
 
 The template writes every message as ``<s>[ROLE] text </s>`` with role and text escaped: a backslash, ``<``,
 ``>``, ``[`` and ``]`` inside them become a backslash and a letter, so control strings never occur inside and
-reading back is exact. The text of assistant messages is under the loss mask.
+reading back is exact. The text of assistant messages is under the loss mask. A conversation is one text, its turns one
+after the other; it is moved in pieces of ``PIECE`` characters, cut anywhere, each with its part of the mask. The reader
+gets pieces and finds the turns by their marks.
 
 Null text, role and kind are empty (an empty kind is a delta); a message's role is the first that is not empty; a
 null message is one of its own; events without a conversation id form one conversation; null seq comes first; ties
@@ -34,6 +36,7 @@ _TO = str.maketrans(_ESCAPES)
 _FROM = re.compile(r"\\[blgoc]")
 _TURN = re.compile(r"<s>\[([^\[\]<>]*)\] ([^\[\]<>]*) </s>")
 LOSS_ROLE = "assistant"
+PIECE = 1 << 16
 SCHEMA = "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long"
 
 
@@ -167,36 +170,88 @@ def format_log(events: DataFrame) -> DataFrame:
     return messages(events).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text").mapInArrow(_formatted, SCHEMA)
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    done: list[tuple] = []
-    now, state = object(), None
-    close = lambda: done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])) if state else None
-    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done), kinds)], names)
-    for batch in batches:
-        for conv, formatted, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_start", "loss_end"))):
-            if conv != now or state is None:
-                close()
-                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text in parse(formatted):
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-            loss = unescape(formatted[a:b])
-            state[2] += len(loss)
-            state[3].update(loss.encode())
-            state[4] += len(formatted)
-        if len(done) >= 4096:
-            yield out()
-            done.clear()
-    close()
-    if done:
-        yield out()
-
-
-def digests(formatted: DataFrame) -> DataFrame:
-    """Read back from format_log()'s rows, in its partitions and order."""
-    return formatted.mapInArrow(
-        _digested,
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
-    )
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """(conv_id, piece, text, loss) from rows of turns: pieces of each conversation's one text, with the ranges in them under the mask."""
+    now, held, length, mask, piece = None, [], 0, [], 0
+
+    def pieces(last: bool) -> Iterator[tuple]:
+        nonlocal held, length, mask, piece
+        text = "".join(held)
+        at = 0
+        while length - at >= size or last and at < length:
+            end = min(at + size, length)
+            inside = [{"start": max(a, at) - at, "stop": min(b, end) - at} for a, b in mask if a < end and b > at]
+            yield now[0], piece, text[at:end], inside
+            at, piece = end, piece + 1
+        held, length = [text[at:]], length - at
+        mask = [(max(a - at, 0), b - at) for a, b in mask if b > at]
+
+    for conv, _, _, formatted, a, b in _rows(batches):
+        if now != (conv,):
+            if now:
+                yield from pieces(True)
+            now, held, length, mask, piece = (conv,), [], 0, [], 0
+        if b > a:
+            mask.append((length + a, length + b))
+        held.append(formatted)
+        length += len(formatted)
+        if length >= size:
+            yield from pieces(False)
+    if now:
+        yield from pieces(True)
+
+
+def texts(formatted: DataFrame, size: int = PIECE) -> DataFrame:
+    """conv_id, piece, text, loss: each conversation of format_log()'s rows as one text, in pieces, in its partitions and order."""
+    loss = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    schema = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("text", pa.string()), ("loss", loss)])
+    cut = lambda batches: _batched(_cut(batches, size), schema)
+    return formatted.mapInArrow(cut, "conv_id long, piece long, text string, loss array<struct<start:bigint,stop:bigint>>")
+
+
+class Reader:
+    """Reads a conversation from its pieces: turns by their marks, and the text under the mask. Holds a turn and a piece at most."""
+
+    def __init__(self):
+        self.n_turns, self.chars, self.loss_chars, self.rest, self.cut = 0, 0, 0, "", ""
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, text: str, loss: list[dict]) -> None:
+        self.chars += len(text)
+        begin = max(0, len(self.rest) - len("</s>") + 1)
+        self.rest += text
+        while (end := self.rest.find("</s>", begin)) >= 0:
+            for role, words in parse(self.rest[: end + 4]):
+                self.n_turns += 1
+                self.turns.update(f"{role}\n{words}\n".encode())
+            self.rest, begin = self.rest[end + 4 :], 0
+        for part in loss:
+            masked = self.cut + text[part["start"] : part["stop"]]
+            self.cut = "\\" if len(masked) - len(masked.rstrip("\\")) & 1 else ""  # an escape that goes on in the next piece
+            told = unescape(masked[: len(masked) - len(self.cut)])
+            self.loss_chars += len(told)
+            self.loss.update(told.encode())
+
+    def row(self, conv) -> tuple:
+        if self.rest or self.cut:
+            raise ValueError(f"conversation {conv} ends within a turn")
+        return conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    now, reader = None, Reader()
+    for conv, _, text, loss in _rows(batches):
+        if now != (conv,):
+            if now:
+                yield reader.row(now[0])
+            now, reader = (conv,), Reader()
+        reader.feed(text, loss)
+    if now:
+        yield reader.row(now[0])
+
+
+def digests(formatted: DataFrame, size: int = PIECE) -> DataFrame:
+    """Read back from the conversations' texts."""
+    types = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+    read = lambda batches: _batched(_read(batches), pa.schema(list(types.items())))
+    return texts(formatted, size).mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
