@@ -1,8 +1,9 @@
 """The four jobs: parameters of a task, tables in, results stored under the task's id.
 
 Each job takes its input tables and a folder, writes its result tables there through the sinks, and returns
-their paths by name. Running a task again replaces its results. ``Input`` finds tables by name, so a job runs on
-the catalog, on synthetic views or on what a test hands it.
+their paths by name. Running a task again replaces its results. ``Input`` finds tables by name, and the actions with the
+task's first and last day, by which the scan is cut; so a job runs on the catalog, on synthetic views or on what a test
+hands it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .sources import sinks, tables
 from .sources.folders import new_folder
 from .streaming import ads as stream_ads
 
-Input = Callable[[str], DataFrame]
+Input = Callable[..., DataFrame]
 
 
 def _store(out: str, task_id: int, results: dict[str, DataFrame]) -> dict[str, str]:
@@ -30,7 +31,7 @@ def _store(out: str, task_id: int, results: dict[str, DataFrame]) -> dict[str, s
 
 
 def _actions(source: Input, p: TaskParams) -> DataFrame:
-    return tables.date_range(source("user_visit_action"), p.start_date, p.end_date)
+    return tables.date_range(source("user_visit_action", p.start_date, p.end_date), p.start_date, p.end_date)
 
 
 def store_counted(kept: DataFrame) -> tuple[DataFrame, DataFrame]:

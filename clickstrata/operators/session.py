@@ -46,8 +46,11 @@ def full_info(sessions: DataFrame, users: DataFrame, map_side_bytes: int | None
 
 
 def map_side_join(facts: DataFrame, side: DataFrame, key: str, most_bytes: int) -> DataFrame:
-    """An inner join that broadcasts ``side`` while the planner's size of it is at most ``most_bytes``, else a shuffled one."""
-    size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """An inner join that broadcasts ``side`` while its rows times their usual width are at most ``most_bytes``, else a shuffled one.
+
+    The planner's own size is that of the compressed files, a fraction of what a broadcast takes.
+    """
+    size = side.count() * side._jdf.schema().defaultSize()
     return facts.join(F.broadcast(side) if size <= most_bytes else side.hint("shuffle_merge"), key)
 
 

@@ -234,7 +234,7 @@ def _job(job, name: str):
     def run(spark, d) -> DataFrame:
         _utc(spark)
         number = {"session_job": 1, "page_job": 2, "product_job": 3}[job.__name__]
-        source = lambda table: tables.source(spark, table, d, Config.parse(PROPERTIES))
+        source = lambda table, *days: tables.source(spark, table, d, Config.parse(PROPERTIES), *days)
         return jobs.results(spark, job(source, _tasks(spark), number, new_folder(spark, "behaviour"))[name])
 
     return run

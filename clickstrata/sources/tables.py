@@ -96,16 +96,16 @@ def date_range(df: DataFrame, start: str | None, end: str | None, column: str =
 VIEWS = ("user_visit_action", "user_info", "product_info", "city_info", "ad_log")
 
 
-def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = VIEWS) -> None:
-    """The views over the synthetic tables, as temporary views of the session."""
+def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = VIEWS, days: tuple = ()) -> None:
+    """The views over the synthetic tables, as temporary views of the session; ``days``: first and last of the actions."""
     for name in names:
-        globals()[name](spark, sf_dir).createOrReplaceTempView(name)
+        globals()[name](spark, sf_dir, *(days if name == "user_visit_action" else ())).createOrReplaceTempView(name)
 
 
-def source(spark: SparkSession, name: str, sf_dir: str, config: Config) -> DataFrame:
-    """A table of the catalog, or, where the setting ``local`` says so, the synthetic view of its name."""
+def source(spark: SparkSession, name: str, sf_dir: str, config: Config, *days: str | None) -> DataFrame:
+    """A table of the catalog, or, where the setting ``local`` says so, the synthetic view of its name, of the ``days`` asked for."""
     if config.boolean("local", False):
-        register_views(spark, sf_dir, (name,))
+        register_views(spark, sf_dir, (name,), days)
     return catalog(spark, name)
 
 

@@ -80,7 +80,7 @@ def test_a_job_run_again_replaces_its_results(spark, tmp_path):
     from clickstrata import jobs
     from clickstrata.plans.config import Config
 
-    source = lambda name: tables.source(spark, name, SF, Config.parse("local=yes"))
+    source = lambda name, *days: tables.source(spark, name, SF, Config.parse("local=yes"), *days)
     tasks = spark.createDataFrame(behaviour.TASKS, "task_id long, task_name string, task_param string")
     for _ in range(2):
         paths = jobs.page_job(source, tasks, 2, str(tmp_path))

@@ -39,6 +39,28 @@ def test_a_stored_table_is_pruned(spark):
     assert "1000 rows" in size
 
 
+def test_a_jobs_days_cut_the_scan(spark):
+    from clickstrata import jobs
+    from clickstrata.plans.params import TaskParams
+
+    source = lambda name, *days: behaviour.tables.source(spark, name, SF, Config.parse("local=yes"), *days)
+    actions = jobs._actions(source, TaskParams(start_date="2024-01-03", end_date="2024-01-05"))
+    assert "GreaterThanOrEqual(ts,2024-01-03" in plan(actions) and "LessThan(ts,2024-01-06" in plan(actions)
+    assert {r.date for r in actions.select("date").distinct().collect()} == {"2024-01-03", "2024-01-04", "2024-01-05"}
+
+
+def test_today(spark):
+    import datetime
+
+    from clickstrata.functions import scalars as fn
+
+    before = datetime.datetime.now(datetime.timezone.utc).date()
+    got = spark.range(1).select(fn.today(), fn.yesterday()).first()
+    after = datetime.datetime.now(datetime.timezone.utc).date()
+    days = [str(d) for d in (before, after)]
+    assert got[0] in days and got[1] in [str(d - datetime.timedelta(1)) for d in (before, after)]
+
+
 def test_a_sketch_finds_hot_keys_and_the_join_salts_them_by_size(spark):
     key = F.when(F.col("id") % 2 == 0, -1).when(F.col("id") % 20 == 1, -2).otherwise(F.col("id"))
     facts = spark.range(20_000).select(F.col("id").alias("row"), key.cast("long").alias("k"))
