@@ -162,3 +162,18 @@ def test_a_database_in_the_driver_needs_no_executor(spark, monkeypatch):
     sinks.jdbc(df.limit(0), f"{url};create=true", "no_rows")
     assert tables.jdbc(spark, url, "no_rows").collect() == []
     assert not tables.in_process("jdbc:derby://host/db") and not tables.in_process("jdbc:postgresql://host/db")
+
+
+def test_executors_write_and_read_a_database_that_they_reach(spark, monkeypatch):
+    """In local mode executors are threads of the driver's process, so they do reach its Derby: the path for servers, run in one process."""
+    for module in (tables, sinks):
+        monkeypatch.setattr(module, "in_process", lambda url: False)
+    url = "jdbc:derby:memory:reached"
+    df = spark.createDataFrame([(i, f"n{i}" if i % 4 else None) for i in range(40)], "id long, name string").repartition(4)
+    for mode, times in (("append", 1), ("append", 2), ("overwrite", 1)):
+        sinks.jdbc(df, f"{url};create=true", "t", mode, batchsize="7")
+        got = tables.jdbc(spark, url, "t", partitionColumn="id", lowerBound="0", upperBound="40", numPartitions="4", fetchsize="5")
+        assert "JDBCRelation" in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() == 4
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, list(map(tuple, df.collect())) * times))
+    ranged = tables.jdbc(spark, url, "t").where("id >= 30").select("name")
+    assert "GreaterThanOrEqual(id,30)" in ranged._jdf.queryExecution().executedPlan().toString().replace("ID", "id") and ranged.count() == 10
