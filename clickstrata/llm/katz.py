@@ -703,7 +703,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> Data
     by_part = coded.where("words is not null").select("uid", "wpart", "words", "counts").groupBy("wpart")
     words = written(by_part.applyInArrow(_counted, "wpart int, word binary, n long"))
     unigrams = Unigrams(dict(words.where("n > 0").groupBy("n").agg(F.count("*")).collect()))  # a row a count
-    total, base = unigrams.total, float((unigrams.total + 1) * (unigrams.distinct + 1))
+    total, base = unigrams.total, float(unigrams.total + unigrams.distinct + 1)  # one more a word, and for the unknown one
     ids = written(numbered(words))
     answers = by_part.cogroup(ids.groupBy("wpart")).applyInArrow(_answered, "uid long, wpart int, ids binary")
     answers = bucketed(answers.groupBy("uid").agg(F.collect_list(F.struct("wpart", "ids")).alias("ids")), "uid", width)

@@ -620,7 +620,7 @@ def test_katz_backs_off_to_discounted_unigrams(spark, order, cap):
     for i, text in enumerate(texts):
         words = katz.tokens(text)
         assert abs(got[i].score - sum(np.log10(brute.p(g)) for g in brute.grams(text, order))) < 1e-8, i
-        assert abs(got[i].base_score - sum(np.log10((counts[w] + 1) / ((counts.total() + 1) * (len(counts) + 1))) for w in words)) < 1e-8
+        assert abs(got[i].base_score - sum(np.log10((counts[w] + 1) / (counts.total() + 1 * (len(counts) + 1))) for w in words)) < 1e-8
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(w in counts for w in words), counts.total())
     if order == 2:
         return
