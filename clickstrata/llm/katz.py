@@ -8,12 +8,18 @@ document and every word; nothing that grows with the vocabulary is shipped or co
 2. Words are counted, sorted by count and numbered. A number thus tells the word's count: the driver and the
    workers hold one entry for each count that occurs (at most sqrt(2 * tokens) of them), not one a word. Batches
    get the numbers of their words back. What only held-out texts have is the one unknown word.
-3. Each batch's distinct n-grams go, packed, to the part of their middle word, so a part can count and normalise
-   both bigrams and trigrams of its words alone. A word with more tokens than ``cap`` has parts of its own, dealt
-   by the word before it, and a pair with more than ``cap`` has parts dealt by the word after it. The few sums
-   that such parts share are joined by key.
-4. That happens twice: once to count (counts of counts give the discounts), once with the places of the texts.
-   The second time each part works out P of each of its n-grams once and gives back one sum a batch and text.
+3. Each batch's distinct training n-grams go, packed, to the part of their middle word, so a part can count and
+   normalise both bigrams and trigrams of its words alone. A word with more tokens than ``cap`` has parts of its own,
+   dealt by the word before it, and a pair with more than ``cap`` has parts dealt by the word after it. The few sums
+   that such parts share are joined by key. Counts of counts give the discounts.
+4. The model is stored: a table of words with counts, and tables in buckets of their part with the contexts (their
+   alpha) and n-grams (count, P) of both orders. ``train`` makes it, ``Model.save`` and ``load`` keep it for later
+   calls, ``Model.score`` scores other texts by it without a recount.
+5. Each batch's distinct n-grams are sent to their part with the places of the texts, and looked up recursively: a
+   trigram that is stored has its P; else alpha of its context, if stored, times that of the bigram, which is looked up
+   likewise, down to the unigram. Bigrams of a word with parts of its own are a table dealt by the last word: what no
+   trigram answers is sent on to it. An n-gram that a batch has often is sent once, without places, and its log P is
+   sent back: a text copied any number of times costs one row of each n-gram a batch.
 
 P(w | h) = d_r * r / c(h) if the n-gram was seen r times, else alpha(h) * P(w | shorter h), and the plain
 shorter one where the context itself was never seen; from trigrams down to unigrams, whose leftover mass is the
@@ -30,11 +36,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import bucketed, tidy, written
@@ -47,6 +55,8 @@ GOOD_TURING = 5
 CHUNK = 8192
 CHUNK_CHARS = 5 << 20
 CAP = 3 << 18
+#: An n-gram that stands more often in a batch is sent without places, and its log P comes back.
+OFTEN = 8
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -193,6 +203,14 @@ class Routes:
             out[hot] = self.pair_first[at] + (mix(w[hot] + 13) % self.pair_split[at].astype(np.uint64)).astype(np.int64)
         return out
 
+    def pair(self, part: int) -> int:
+        """The hot pair whose part it is."""
+        return int(self.pairs[int(np.searchsorted(self.pair_first, part, "right")) - 1])
+
+    def share(self, w: np.ndarray, word: int) -> np.ndarray:
+        """Which share of the words after a hot word each is in."""
+        return (mix(w + 29) % np.uint64(self.split[word])).astype(np.int64)
+
 
 # --- tokenising ----------------------------------------------------------------------------------------
 
@@ -310,7 +328,7 @@ def _answered(table: pa.Table, numbered: pa.Table) -> pa.Table:
 
 
 def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, base: float) -> Iterator[tuple]:
-    """(part, data) of the batch's distinct n-grams; with ``places`` also those of their texts, and at last (None, sums) of what needs no part."""
+    """(part, data) of the batch's distinct training n-grams; with ``places`` of all, with their texts, and at last (None, sums) of what needs no part."""
     ids = np.concatenate([unpack(x["ids"])[0] for x in sorted(row["ids"], key=lambda x: x["wpart"])])
     code, lengths = unpack(row["code"])
     held = np.array(row["held"], bool)
@@ -329,7 +347,6 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
     else:
         pair = pair * size + begin
     text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    local = None
     if places:
         c, p = unigrams.count(ids), unigrams.chance(ids)
         own = np.append(ids == UNKNOWN, False)[before]  # neither context was seen
@@ -338,10 +355,10 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
             np.log10(p[code[own]]),
             len(lengths),
         ).astype(float)
-        local = pack(lengths, sums[1], sums[0], sums[2])
+        own_sums = (lengths, sums[1], sums[0], sums[2])
         keep = np.flatnonzero(~own)
     else:
-        keep = np.flatnonzero(~np.append(ids == UNKNOWN, False)[before])
+        keep = np.flatnonzero(~np.append(ids == UNKNOWN, False)[before] & ~held[text])
     if size**3 >= 1 << 62:
         known, pair = np.unique(pair, return_inverse=True)
     else:
@@ -354,7 +371,7 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
     kinds = full[cuts]
     del full
     occurs = np.diff(np.append(cuts, len(by)))
-    marks = (text[keep] * 2 + ~held[text[keep]])[by]
+    marks = text[keep][by]
     last, head = kinds % size, kinds // size
     head = head if known is None else known[head]
     numbers = np.append(ids, BEGIN)
@@ -362,22 +379,26 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
     part = routes.part(u, v, w)
     at = np.argsort(part, kind="stable")
     part, u, v, w, occurs, cuts = part[at], u[at], v[at], w[at], occurs[at], cuts[at]
-    if len(cuts):  # occurrences in the parts' order
-        ends = np.cumsum(occurs)
-        marks = marks[np.repeat(cuts - (ends - occurs), occurs) + np.arange(len(marks))]
-        trained = np.add.reduceat(marks & 1, ends - occurs)
+    home = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(cuts):
         edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist()
+        if places:  # occurrences in the parts' order
+            ends = np.cumsum(occurs)
+            marks = marks[np.repeat(cuts - (ends - occurs), occurs) + np.arange(len(marks))]
+            often = occurs > OFTEN
+            stays = np.repeat(often, occurs)
+            home, marks = (occurs[often], marks[stays]), marks[~stays]
+            occurs = np.where(often, 0, occurs)
+            ends, replies = np.append(0, np.cumsum(occurs)), np.append(0, np.cumsum(often))
         for a, b in zip(edges, edges[1:]):
             if places:
-                data = pack(v[a:b], u[a:b], w[a:b], occurs[a:b], marks[ends[a] - occurs[a] : ends[b - 1]])
-            elif part[a] < routes.cold:
-                some = a + np.flatnonzero(trained[a:b])
-                data = pack(v[some], u[some], w[some], trained[some])
+                answers = np.arange(replies[a], replies[b])
+                data = pack(v[a:b], u[a:b], w[a:b], occurs[a:b], marks[ends[a] : ends[b]], answers)
             else:
-                data = pack(v[a:b], u[a:b], w[a:b], trained[a:b])
+                data = pack(v[a:b], u[a:b], w[a:b], occurs[a:b])
             yield int(part[a]), data
     if places:
-        yield None, local
+        yield None, pack(*own_sums, *home)
 
 
 def _sent(routes: Routes, unigrams: Unigrams, places: bool, base: float):
@@ -450,6 +471,7 @@ def _few(n: np.ndarray) -> list[tuple[int, int]]:
     return [(r, int(times[r])) for r in range(1, GOOD_TURING + 2) if times[r]]
 
 
+KEPT = -1
 _TALLY = "level int, r long, times long, part long, u long, v long, share long, data binary"
 
 
@@ -465,7 +487,7 @@ def _rows_of(schema: str, columns: dict) -> pa.Table:
 
 
 def _tallied(routes: Routes):
-    """Counts of counts of the part; for parts of a hot word or pair also the counts of what follows it, packed, in as many shares as the word has parts."""
+    """The part's n-grams with counts, and counts of counts; for parts of a hot word or pair also the counts of what follows it, packed, in as many shares as the word has parts."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -477,11 +499,13 @@ def _tallied(routes: Routes):
         if part < routes.cold:
             few += [(2, *x) for x in _few(found.pair_n)]
         out = [_rows_of(_TALLY, {"level": [x[0] for x in few], "r": [x[1] for x in few], "times": [x[2] for x in few]})]
+        counted = pack(found.v_of[found.v_at], found.u, found.w, found.n)
+        out.append(_rows_of(_TALLY, {"level": [KEPT], "part": [part], "data": [counted]}))
         if part >= routes.cold:  # one middle word; one word before it, if it is a pair
             word = int(found.v_of[0])
-            shares = mix(found.pair_w + 29) % np.uint64(routes.split[word])
+            shares = routes.share(found.pair_w, word)
             by = np.argsort(shares, kind="stable")
-            cuts = np.append(np.flatnonzero(np.append(True, np.diff(shares[by].astype(np.int64)) != 0)), len(by))
+            cuts = np.append(_starts(shares[by]), len(by))
             rows = [by[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
             u = None if part < routes.pair_from else int(found.u[0])
             out.append(
@@ -531,11 +555,11 @@ def _share_sums(unigrams: Unigrams):
     return run
 
 
-_ANSWERS = "part long, data binary, u long, v long, c long, kept double, seen double"
+_ANSWERS = "part long, data binary, u long, v long, share long, c long, kept double, seen double"
 
 
 def _share_answers(unigrams: Unigrams, worth: dict[int, tuple[float, float]], d: list[np.ndarray]):
-    """P of the bigrams that each part asked for, packed; for a hot pair's parts also their share of its context's sums."""
+    """P of the bigrams that each part asked for, packed; for a hot pair's parts also their share of its context's sums; and the share itself, with counts and P."""
 
     def run(table: pa.Table) -> pa.Table:
         word = table.column("v")[0].as_py()
@@ -544,7 +568,8 @@ def _share_answers(unigrams: Unigrams, worth: dict[int, tuple[float, float]], d:
         p = np.where(n > 0, reduced(n, d[2]) * unit, alpha * unigrams.chance(words))
         us = table.column("u").to_pylist()
         sums = [(0, 0.0, 0.0) if u is None else (int(own.sum()), float(reduced(own, d[3]).sum()), float(p[at][own > 0].sum())) for u, (at, own) in zip(us, parts)]
-        return _rows_of(
+        whole = _rows_of(_ANSWERS, {"data": [pack(words, n, p)], "v": [word], "share": [table.column("share")[0].as_py()]})
+        asked = _rows_of(
             _ANSWERS,
             {
                 "part": table.column("part").to_pylist(),
@@ -556,6 +581,7 @@ def _share_answers(unigrams: Unigrams, worth: dict[int, tuple[float, float]], d:
                 "seen": [x[2] for x in sums],
             },
         )
+        return pa.concat_tables([asked, whole])
 
     return run
 
@@ -567,76 +593,160 @@ def _by_context(context: np.ndarray, n: np.ndarray, less: np.ndarray, q: np.ndar
     return at, (np.add.reduceat(n, cuts), np.add.reduceat(less, cuts), np.add.reduceat(np.where(n > 0, q, 0.0), cuts))
 
 
-def _chances(found: _Grams, order: int, d: list[np.ndarray], unigrams: Unigrams, shared: tuple | None, whole: tuple | None) -> np.ndarray:
-    """P of each n-gram. ``shared``: P of the bigrams with a hot word, by last word; ``whole``: the sums of a hot pair's context."""
-    if shared is None:
-        p1, less = unigrams.chance(found.pair_w), reduced(found.pair_n, d[2])
-        at, sums = _by_context(found.pair_v, found.pair_n, less, p1)
-        unit, alpha = weights(*sums)
-        p2 = np.where(found.pair_n > 0, less * unit[at], alpha[at] * p1)
-    else:
-        words, p = shared
-        p2 = p[np.searchsorted(words, found.pair_w)]
-    q = p2[found.pair]
-    if order == 2:
-        return q
-    less = reduced(found.n, d[3])
-    at, sums = _by_context(found.context, found.n, less, q)
-    if whole is not None:
-        sums, at = tuple(np.array([x]) for x in whole), np.zeros(len(found.n), np.int64)
-    unit, alpha = weights(*sums)
-    return np.where(found.n > 0, less * unit[at], alpha[at] * q)
+def _starts(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+
 
+_MODEL = "part long, level int, contexts binary, grams binary"
 
-_SUMS = "uid long, data binary, docs array<long>, held array<boolean>"
 
+def _built(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict[int, tuple]):
+    """A part's tables: contexts (middle word, word before, alpha, n-grams of it) and n-grams (last word, count, P), by order.
 
-def _scored(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict[int, tuple]):
-    """A row a batch with the sums of log10 P by text; rows of the batches' own sums are passed on."""
+    ``shared`` has P of the bigrams with a hot word, by last word; ``pairs`` the sums of the hot pairs' contexts.
+    """
 
     def run(table: pa.Table, shared: pa.Table | None = None) -> pa.Table:
+        if not table.num_rows:
+            return _rows_of(_MODEL, {"part": []})
+        part = table.column("part")[0].as_py()
+        found = _Grams(*unpack(table.column("data")[0].as_py()))
+        rows = []
+        if part < routes.cold:
+            p1, less = unigrams.chance(found.pair_w), reduced(found.pair_n, d[2])
+            at, sums = _by_context(found.pair_v, found.pair_n, less, p1)
+            unit, alpha = weights(*sums)
+            p2 = less * unit[at]
+            sizes = np.bincount(at)
+            rows.append((2, pack(found.v_of, np.zeros(len(sizes), np.int64), alpha, sizes), pack(found.pair_w, found.pair_n, p2)))
+        else:
+            words, chance = (np.concatenate(x) for x in zip(*(unpack(y) for y in shared.column("data").to_pylist())))
+            by = np.argsort(words)
+            p2 = chance[by][np.searchsorted(words[by], found.pair_w)]
+        if routes.order == 3:
+            less = reduced(found.n, d[3])
+            at, sums = _by_context(found.context, found.n, less, p2[found.pair])
+            if part >= routes.pair_from:
+                sums = tuple(np.array([x]) for x in pairs[routes.pair(part)])
+            unit, alpha = weights(*sums)
+            first = _starts(found.context)
+            contexts = pack(found.v_of[found.v_at[first]], found.u[first], alpha, np.diff(np.append(first, len(at))))
+            rows.append((3, contexts, pack(found.w, found.n, less * unit[at])))
+        tidy()
+        return _rows_of(_MODEL, {"part": [part] * len(rows), "level": [r[0] for r in rows], "contexts": [r[1] for r in rows], "grams": [r[2] for r in rows]})
+
+    return run
+
+
+def _position(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where values stand in a sorted array, and whether they do."""
+    if not len(sorted_):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return at, sorted_[at] == wanted
+
+
+class _Level:
+    """Contexts and n-grams of one order in a part, for look-ups."""
+
+    def __init__(self, contexts: bytes | None, grams: bytes | None):
+        none = np.zeros(0, np.int64)
+        v, u, self.alpha, sizes = unpack(contexts) if contexts else (none, none, none, none)
+        w, _, self.p = unpack(grams) if grams else (none, none, none)
+        self.v_of, at = np.unique(v, return_inverse=True)
+        self.top_u, self.top_w = int(u.max(initial=0)) + 1, int(w.max(initial=0)) + 1
+        self.context = at * self.top_u + u
+        self.gram = np.repeat(np.arange(len(sizes)), sizes) * self.top_w + w
+
+    def find(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(P, whether stored, alpha): alpha is 1 where the context is not stored."""
+        at, known = _position(self.v_of, v)
+        at, hit = _position(self.context, at * self.top_u + u)
+        known &= hit & (u < self.top_u)
+        alpha = np.where(known, self.alpha[at], 1.0) if len(self.alpha) else np.ones(len(v))
+        at, hit = _position(self.gram, at * self.top_w + w)
+        hit &= known & (w < self.top_w)
+        return self.p[at] if len(self.p) else np.ones(len(v)), hit, alpha
+
+
+def _summed(p: np.ndarray, occurs: np.ndarray, marks: np.ndarray, answers: np.ndarray) -> bytes:
+    """log P by text, and of the n-grams that are answered by number."""
+    sums = np.bincount(marks, np.repeat(p, occurs), CHUNK).astype(float)
+    place = np.flatnonzero(sums)
+    return pack(place, sums[place], answers, p[occurs == 0])
+
+
+_SUMS = "uid long, data binary, docs array<long>, held array<boolean>, v long, share long"
+
+
+def _sums_table(uid: list, data: list, v: list | None = None, share: list | None = None) -> pa.Table:
+    n = len(uid)
+    whole = [pa.array(uid, pa.int64()), pa.array(data, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))]
+    return pa.table(
+        [*whole, pa.array(v or [None] * n, pa.int64()), pa.array(share or [None] * n, pa.int64())],
+        names=["uid", "data", "docs", "held", "v", "share"],
+    )
+
+
+def _looked_up(routes: Routes, unigrams: Unigrams, pairs: dict[int, tuple]):
+    """A row a batch with the sums of log10 P by text; bigrams with a hot word that are open are sent on; rows of the batches' own sums are passed on."""
+
+    def run(table: pa.Table, model: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
         own = table.filter(pc.is_valid(table.column("docs"))).select(["uid", "data", "docs", "held"])
+        out = [_sums_table([], [])]
+        if own.num_rows:
+            blank = _sums_table(own.column("uid").to_pylist(), own.column("data").to_pylist())
+            out.append(pa.table({c: own.column(c) if c in ("docs", "held") else blank.column(c) for c in blank.column_names}).cast(blank.schema))
         table = table.filter(pc.is_null(table.column("docs")))
+        if table.num_rows:
+            part = table.column("part")[0].as_py()
+            stored = {r["level"]: _Level(r["contexts"], r["grams"]) for r in model.to_pylist()}
+            two, three = (stored.get(k) or _Level(None, None) for k in (2, 3))
+            whole = None
+            if part >= routes.pair_from:
+                whole = float(weights(*(np.array([x]) for x in pairs[routes.pair(part)]))[1][0])
+            for uid, data in zip(table.column("uid").to_pylist(), table.column("data").to_pylist()):
+                v, u, w, occurs, marks, answers = unpack(data)
+                p, open_ = np.ones(len(v)), np.ones(len(v), bool)
+                if routes.order == 3:
+                    chance, hit, alpha = three.find(v, u, w)
+                    p, open_ = np.where(hit, chance, alpha if whole is None else whole), ~hit
+                if part < routes.cold:
+                    chance, hit, alpha = two.find(v, np.zeros(len(v), np.int64), w)
+                    p = np.where(open_, p * np.where(hit, chance, alpha * unigrams.chance(w)), p)
+                out.append(_sums_table([uid], [_summed(np.log10(p), occurs, marks, answers)]))
+                if part >= routes.cold and open_.any():  # one middle word
+                    word = int(v[0])
+                    shares = np.where(open_, routes.share(w, word), -1)
+                    texts, number = np.repeat(shares, occurs), np.full(len(v), -1)
+                    number[occurs == 0] = answers
+                    some = [int(x) for x in np.unique(shares) if x >= 0]
+                    sent = [pack(w[at], occurs[at], marks[texts == x], number[at & (occurs == 0)]) for x, at in ((x, shares == x) for x in some)]
+                    out.append(_sums_table([uid] * len(some), sent, [word] * len(some), some))
+        tidy()
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _followed(unigrams: Unigrams, worth: dict[int, float]):
+    """A row a batch with the sums of log10 P of bigrams with a hot word, of one share; ``worth`` has the words' alpha."""
+
+    def run(table: pa.Table, model: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return own
-        part, uids = table.column("part")[0].as_py(), table.column("uid").to_pylist()
-        got = [unpack(x) for x in table.column("data").to_pylist()]
-        v, u, w, occurs = (np.concatenate([g[k] for g in got]) for k in range(4))
-        marks = [g[4] for g in got]
-        rows = [len(g[0]) for g in got]
-        del got
-        every = np.concatenate(marks)
-        found = _Grams(v, u, w, np.add.reduceat(every & 1, np.cumsum(occurs) - occurs))
-        del u, v, w, every
-        given = None
-        if part >= routes.cold:
-            words, chance = (np.concatenate(x) for x in zip(*(unpack(y) for y in shared.column("data").to_pylist())))
-            by = np.argsort(words)
-            given = words[by], chance[by]
-        whole = None
-        if part >= routes.pair_from:
-            j = int(np.searchsorted(routes.pair_first, part, "right")) - 1
-            whole = pairs[int(routes.pairs[j])]
-        p = np.log10(_chances(found, routes.order, d, unigrams, given, whole))[found.row]
-        out, at = [], 0
-        for uid, mark, n in zip(uids, marks, rows):
-            sums = np.bincount(mark >> 1, np.repeat(p[at : at + n], occurs[at : at + n]), CHUNK).astype(float)
-            at += n
-            place = np.flatnonzero(sums)
-            out.append((uid, pack(place, sums[place])))
+            return _sums_table([], [])
+        words, n, chance = unpack(model.column("data")[0].as_py()) if model.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        alpha, out = worth.get(table.column("v")[0].as_py(), 1.0), []
+        for data in table.column("data").to_pylist():
+            w, occurs, marks, answers = unpack(data)
+            at, hit = _position(words, w)
+            p = np.where(hit, chance[at], alpha * unigrams.chance(w)) if len(words) else alpha * unigrams.chance(w)
+            out.append(_summed(np.log10(p), occurs, marks, answers))
         tidy()
-        sums = pa.table(
-            [
-                pa.array([x[0] for x in out], pa.int64()),
-                pa.array([x[1] for x in out], pa.binary()),
-                pa.nulls(len(out), pa.list_(pa.int64())),
-                pa.nulls(len(out), pa.list_(pa.bool_())),
-            ],
-            names=["uid", "data", "docs", "held"],
-        )
-        return pa.concat_tables([own.cast(sums.schema), sums])
+        return _sums_table(table.column("uid").to_pylist(), out)
 
     return run
 
@@ -644,12 +754,14 @@ def _scored(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict
 def _gathered(table: pa.Table) -> pa.Table:
     """A batch's documents from its sums."""
     docs = next(r for r in table.to_pylist() if r["docs"] is not None)
-    lengths, known, base, score = unpack(docs["data"])
-    score = score.copy()
+    lengths, known, base, score, occurs, marks = unpack(docs["data"])
+    score, often = score.copy(), np.zeros(len(occurs))
     for row in table.select(["data", "docs"]).to_pylist():
         if row["docs"] is None:
-            place, sums = unpack(row["data"])
+            place, sums, answers, p = unpack(row["data"])
             score[place] += sums
+            often[answers] += p
+    score += np.bincount(marks, np.repeat(often, occurs), len(score))
     return pa.table(
         {
             "doc_id": pa.array(docs["docs"], pa.int64()),
@@ -663,12 +775,13 @@ def _gathered(table: pa.Table) -> pa.Table:
 
 
 def numbered(words: DataFrame) -> DataFrame:
-    """wpart, word, id: numbers from FIRST by falling count, then word."""
+    """wpart, word, n, id: numbers from FIRST by falling count, then word."""
     keys = [F.desc("n"), F.col("word")]
     sorted_ = written(
         words.where("n > 0").repartitionByRange(*keys).sortWithinPartitions(*keys).select(
             "wpart",
             "word",
+            "n",
             F.monotonically_increasing_id().alias("at"),
         )
     )
@@ -681,7 +794,7 @@ def numbered(words: DataFrame) -> DataFrame:
     return (
         sorted_.withColumn("p", part)
         .join(F.broadcast(offset), "p")
-        .select("wpart", "word", (F.col("before") + F.col("at") - F.shiftleft("p", 33)).alias("id"))
+        .select("wpart", "word", "n", (F.col("before") + F.col("at") - F.shiftleft("p", 33)).alias("id"))
     )
 
 
@@ -694,31 +807,95 @@ def _hot_pairs(coded: DataFrame, ids: DataFrame, cap: int) -> list[tuple[int, in
     return [tuple(r) for r in found.select(named("word", "u"), named("next", "v"), "times").collect()]
 
 
-def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean column, ``order`` 2 or 3, ``cap`` about the tokens of a part."""
-    spark = docs.sparkSession
+_SENT = "part long, uid long, data binary, docs array<long>, held array<boolean>"
+_DOCS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _tokenised(docs: DataFrame, held_out, width: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = bucketed(rows.mapInArrow(_coded(width), _CODED), "uid", width)
-    by_part = coded.where("words is not null").select("uid", "wpart", "words", "counts").groupBy("wpart")
-    words = written(by_part.applyInArrow(_counted, "wpart int, word binary, n long"))
-    unigrams = Unigrams(dict(words.where("n > 0").groupBy("n").agg(F.count("*")).collect()))  # a row a count
-    total, base = unigrams.total, float(unigrams.total + unigrams.distinct + 1)  # one more a word, and for the unknown one
-    ids = written(numbered(words))
-    answers = by_part.cogroup(ids.groupBy("wpart")).applyInArrow(_answered, "uid long, wpart int, ids binary")
+    return bucketed(rows.mapInArrow(_coded(width), _CODED), "uid", width)
+
+
+def _by_part(coded: DataFrame):
+    return coded.where("words is not null").select("uid", "wpart", "words", "counts").groupBy("wpart")
+
+
+def _ready(coded: DataFrame, words: DataFrame, width: int):
+    """Batches with the numbers of their words."""
+    numbers = words.select("wpart", "word", "id").groupBy("wpart")
+    answers = _by_part(coded).cogroup(numbers).applyInArrow(_answered, "uid long, wpart int, ids binary")
     answers = bucketed(answers.groupBy("uid").agg(F.collect_list(F.struct("wpart", "ids")).alias("ids")), "uid", width)
-    texts = coded.where("code is not null").select("uid", "docs", "held", "code")
-    n_texts = texts.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
-    routes = Routes(unigrams, n_texts, _hot_pairs(coded, ids, cap), cap, order)
-    ready = texts.join(answers, "uid").groupBy("uid")
-    sent = "part long, uid long, data binary, docs array<long>, held array<boolean>"
-    tally = written(ready.applyInArrow(_sent(routes, unigrams, False, base), sent).groupBy("part").applyInArrow(_tallied(routes), _TALLY))
+    return coded.where("code is not null").select("uid", "docs", "held", "code").join(answers, "uid").groupBy("uid")
+
+
+@dataclass
+class Model:
+    """Stored tables. words: wpart, word, n, id; grams: part, level (order), contexts (word, word before, alpha, n-grams) and grams (last word, count, P), packed; follows: v, share, data (last word, count, P), the bigrams of hot words; hot: v, alpha of hot words; pairs: u, v, times, c, kept, seen of hot pairs; facts: width, texts, cap, order."""
+
+    words: DataFrame
+    grams: DataFrame
+    follows: DataFrame
+    hot: DataFrame
+    pairs: DataFrame
+    facts: DataFrame
+
+    def save(self, path: str) -> None:
+        for name in self.__dataclass_fields__:
+            getattr(self, name).write.option("compression", "zstd").parquet(f"{path}/{name}")
+
+    @cached_property
+    def _known(self):
+        """What every task needs: one entry a count that occurs, a hot word and a hot pair."""
+        width, texts, cap, order = self.facts.first()
+        unigrams = Unigrams(dict(self.words.groupBy("n").agg(F.count("*")).collect()))
+        pairs = self.pairs.collect()
+        routes = Routes(unigrams, texts, [tuple(r)[:3] for r in pairs], cap, order)
+        return width, unigrams, routes, {(r.u << 32) + r.v: (r.c, r.kept, r.seen) for r in pairs}, dict(map(tuple, self.hot.collect()))
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_tokens, n_known, train_tokens, base_score, score of other texts: nothing is counted anew."""
+        width = self._known[0]
+        coded = _tokenised(docs, F.lit(True), width)
+        return self._scores(_ready(coded, self.words, width)).drop("held_out")
+
+    def _scores(self, ready) -> DataFrame:
+        width, unigrams, routes, pairs, worth = self._known
+        base = float(unigrams.total + unigrams.distinct + 1)  # one more a word, and for the unknown one
+        sent = ready.applyInArrow(_sent(routes, unigrams, True, base), _SENT).groupBy("part")
+        look = _looked_up(routes, unigrams, pairs)
+        summed = sent.cogroup(self.grams.groupBy("part")).applyInArrow(lambda t, m: look(t, m), _SUMS)
+        if routes.end > routes.cold:
+            summed = written(summed)
+            follow = _followed(unigrams, worth)
+            onward = summed.where("v is not null").groupBy("v", "share").cogroup(self.follows.groupBy("v", "share"))
+            summed = summed.where("v is null").unionByName(onward.applyInArrow(lambda t, m: follow(t, m), _SUMS))
+        out = summed.drop("v", "share").groupBy("uid").applyInArrow(_gathered, _DOCS)
+        total = F.lit(unigrams.total).cast("long").alias("train_tokens")
+        return out.select("doc_id", "held_out", "n_tokens", "n_known", total, "base_score", "score")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    return Model(*(spark.read.parquet(f"{path}/{name}") for name in Model.__dataclass_fields__))
+
+
+def _trained(coded: DataFrame, width: int, order: int, cap: int):
+    """The model of the batches' training texts, and the batches with the numbers of its words."""
+    spark = coded.sparkSession
+    words = written(numbered(written(_by_part(coded).applyInArrow(_counted, "wpart int, word binary, n long"))))
+    unigrams = Unigrams(dict(words.groupBy("n").agg(F.count("*")).collect()))  # a row a count
+    n_texts = coded.where("code is not null").agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
+    hot_pairs = _hot_pairs(coded, words, cap)
+    routes = Routes(unigrams, n_texts, hot_pairs, cap, order)
+    ready = _ready(coded, words, width)
+    counted = ready.applyInArrow(_sent(routes, unigrams, False, 1.0), _SENT).groupBy("part").applyInArrow(_tallied(routes), _TALLY)
+    tally = bucketed(counted, "part", width)
     few = {k: Counter() for k in (2, 3)}
     for k, r, times in tally.where("level > 0").groupBy("level", "r").agg(F.sum("times")).collect():
         few[k][r] += times
-    shared, pairs, worth = None, {}, {}
-    if routes.end > routes.cold:
-        shares = tally.where("level = 0").groupBy("v", "share")
+    shares = tally.where("level = 0").groupBy("v", "share")
+    has_hot = routes.end > routes.cold
+    summed = []
+    if has_hot:
         # some rows a hot word
         summed = (
             written(shares.applyInArrow(_share_sums(unigrams), _SHARES))
@@ -729,35 +906,45 @@ def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> Data
         for _, r, times, *_ in (x for x in summed if x[1] is not None):
             few[2][r] += times
     d = [np.zeros(1), np.zeros(1), discounts(few[2]), discounts(few[3])]
-    if routes.end > routes.cold:
-        less = Counter()
-        for v, r, times, *_ in (x for x in summed if x[1] is not None and x[1] <= GOOD_TURING):
-            less[v] += times * r * float(d[2][r])
-        for v, _, _, c, large, seen in (x for x in summed if x[1] is None):
-            unit, alpha = weights(np.array([c]), np.array([less[v] + large]), np.array([seen]))
-            worth[v] = float(unit[0]), float(alpha[0])
+    less, worth, pairs = Counter(), {}, {}
+    for v, r, times, *_ in (x for x in summed if x[1] is not None and x[1] <= GOOD_TURING):
+        less[v] += times * r * float(d[2][r])
+    for v, _, _, c, large, seen in (x for x in summed if x[1] is None):
+        unit, alpha = weights(np.array([c]), np.array([less[v] + large]), np.array([seen]))
+        worth[v] = float(unit[0]), float(alpha[0])
+    answers = spark.createDataFrame([], _ANSWERS)
+    if has_hot:
         answers = written(shares.applyInArrow(_share_answers(unigrams, worth, d), _ANSWERS))
-        shared = answers.select("part", "data")
         sums = answers.where("u is not null").groupBy("u", "v").agg(F.sum("c"), F.sum("kept"), F.sum("seen"))  # a row a hot pair
         pairs = {(u << 32) + v: (c, kept, seen) for u, v, c, kept, seen in sums.collect()}
-        pairs = {int(k): pairs.get(int(k), (0, 0.0, 0.0)) for k in routes.pairs}
-    sending = ready.applyInArrow(_sent(routes, unigrams, True, base), sent).groupBy("part")
-    work = _scored(routes, unigrams, d, pairs)
-    if shared is None:
-        summed = sending.applyInArrow(lambda t: work(t), _SUMS)
-    else:
-        summed = sending.cogroup(shared.groupBy("part")).applyInArrow(lambda t, s: work(t, s), _SUMS)
-    out = (
-        summed.groupBy("uid")
-        .applyInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    )
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
+    pairs = {int(k): pairs.get(int(k), (0, 0.0, 0.0)) for k in routes.pairs}
+    build = _built(routes, unigrams, d, pairs)
+    kept = tally.where(f"level = {KEPT}").select("part", "data")
+    grams = kept.where(F.col("part") < routes.cold).groupBy("part").applyInArrow(lambda t: build(t), _MODEL)
+    if has_hot:
+        asked = answers.where("part is not null").select("part", "data").groupBy("part")
+        hot = kept.where(F.col("part") >= routes.cold).groupBy("part").cogroup(asked)
+        grams = grams.unionByName(hot.applyInArrow(lambda t, s: build(t, s), _MODEL))
+    rows = [(u, v, times, *pairs[(u << 32) + v]) for u, v, times in hot_pairs if (u << 32) + v in pairs]
+    model = Model(
+        words,
+        bucketed(grams, "part", width),
+        answers.where("part is null").select("v", "share", "data"),
+        spark.createDataFrame([(v, alpha) for v, (_, alpha) in worth.items()], "v long, alpha double"),
+        spark.createDataFrame(rows, "u long, v long, times long, c long, kept double, seen double"),
+        spark.createDataFrame([(width, n_texts, cap, order)], "width long, texts long, cap long, `order` long"),
     )
+    return model, ready
+
 
+def train(docs: DataFrame, order: int = ORDER, cap: int = CAP) -> Model:
+    """The model of all texts; ``order`` 2 or 3, ``cap`` about the tokens of a part. Its tables last as long as the application, or from ``save`` on."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _trained(_tokenised(docs, F.lit(False), width), width, order, cap)[0]
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER, cap: int = CAP) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, by the model of the rows where ``held_out``, a boolean column, is not true."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model, ready = _trained(_tokenised(docs, held_out, width), width, order, cap)
+    return model._scores(ready)

@@ -629,6 +629,48 @@ def test_katz_backs_off_to_discounted_unigrams(spark, order, cap):
         assert abs(sum(brute.p((*context, *w)) for w in words) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("order,cap", [(2, 20), (3, 1 << 20), (3, 12)])
+def test_katz_model_is_stored_and_scores_other_texts(spark, tmp_path, order, cap):
+    """Saved by one call and read by another; texts with unknown words, copies beyond what a batch sends with places, odd rows."""
+    rng = np.random.default_rng(6)
+    train = [" ".join(f"w{x}" for x in rng.zipf(1.6, 12) if x < 40) for _ in range(20)] + [None, "w1 w1 w2 " * 6]
+    copied = "w1 w2 w1 w1 w3 w2 unheard w1 w30"
+    other = [copied] * 40 + ["", None, "W1 w2", "nothing known here", "w2 w1 " * 30]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    katz.train(frame(train), order=order, cap=cap).save(str(tmp_path / "model"))
+    model = katz.load(spark, str(tmp_path / "model"))
+    got = {r.doc_id: r for r in model.score(frame(other).coalesce(1)).collect()}
+    brute = BruteKatz(train, order)
+    counts = collections.Counter(w for t in train for w in katz.tokens(t))
+    assert len(got) == len(other)
+    for i, text in enumerate(other):
+        words = katz.tokens(text)
+        assert abs(got[i].score - sum(np.log10(brute.p(g)) for g in brute.grams(text, order))) < 1e-8, i
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(w in counts for w in words), counts.total())
+    stored = {r.word: r.n for r in model.words.collect()}
+    assert stored == dict(counts)
+    kept = sum(katz.unpack(r.grams)[1].sum() for r in model.grams.where(f"level = {order}").collect())
+    assert order == 2 or kept == counts.total()  # every training trigram's count is in the tables
+    empty = model.score(frame(other).limit(0))
+    assert empty.count() == 0 and "held_out" not in empty.columns
+
+
+def test_katz_copies_cost_one_row_a_gram():
+    """What a batch sends does not grow with the copies of a text, in counting and in scoring."""
+    unigrams = katz.Unigrams({5: 3, 2: 4})
+    routes = katz.Routes(unigrams, 100, [], 1 << 20, 3)
+    sizes = []
+    for copies in (10, 8000):
+        code = np.tile(np.arange(7), copies)
+        row = {"ids": [{"wpart": 0, "ids": katz.pack(np.arange(2, 9))}], "code": katz.pack(code, np.full(copies, 7)), "held": [False] * copies}
+        sent = [x for x in katz._batch_grams(row, routes, unigrams, True, 1.0) if x[0] is not None]
+        assert all(not len(katz.unpack(data)[4]) for _, data in sent)
+        sizes.append([len(katz.unpack(data)[0]) for _, data in sent])
+        counted = [katz.unpack(data)[3] for _, data in katz._batch_grams(row, routes, unigrams, False, 1.0)]
+        assert sum(n.sum() for n in counted) == 7 * copies and sum(map(len, counted)) == 7
+    assert sizes[0] == sizes[1]
+
+
 def test_a_file_of_many_notices_loses_no_label(spark):
     every = [(i, f"{text} . of file {i}") for i, (_, text, _) in enumerate(licenses.TEMPLATES * 3)]
     docs = every + [(1000, "\n\n".join(text for _, text, _ in licenses.TEMPLATES)), (1001, None)]
