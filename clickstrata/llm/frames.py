@@ -79,6 +79,18 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return found
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes an intermediate table that nothing reads any more: what was made of it is written itself."""
+    files = df.inputFiles()
+    if not files:
+        return
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+    if folder.getName().startswith("stage-"):
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sliced(texts: Iterable[str | None], limit: int = 1 << 18) -> Iterator[list[str]]:
     """Consecutive runs of texts (null: empty) of about ``limit`` characters; one longer text is a run of its own."""
     run: list[str] = []

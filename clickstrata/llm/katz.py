@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import bucketed, tidy, written
+from .frames import bucketed, forget, tidy, written
 from .hashing import mix
 
 END = b""  # no word is empty
@@ -85,21 +85,30 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers or doubles, by byte planes, compressed."""
-    out = [bytes([len(arrays)])]
+    """Arrays of integers or doubles, by byte planes, compressed; doubles that repeat as places among the different ones."""
+    out = []
     for a in arrays:
-        if a.dtype.kind != "f":
-            top = int(a.max()) if len(a) else 0
-            a = a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
-        raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b""
-        packed = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
-        out += [a.dtype.str.encode(), len(a).to_bytes(4, "little"), len(packed).to_bytes(4, "little"), packed]
-    return b"".join(out)
+        values, at = np.unique(a, return_inverse=True) if a.dtype.kind == "f" else (a, a)
+        out += [a] if a.dtype.kind != "f" or len(values) * 2 >= len(a) else [None, values, at]
+    return bytes([len(out)]) + b"".join(b"\0" if a is None else _packed(a) for a in out)
+
+
+def _packed(a: np.ndarray) -> bytes:
+    if a.dtype.kind != "f":
+        top = int(a.max()) if len(a) else 0
+        a = a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+    raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b""
+    packed = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    return a.dtype.str.encode() + len(a).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 1
+    found, at = [], 1
     for _ in range(data[0]):
+        if not data[at]:
+            found.append(None)
+            at += 1
+            continue
         kind = np.dtype(data[at : at + 3].decode())
         n, size = int.from_bytes(data[at + 3 : at + 7], "little"), int.from_bytes(data[at + 7 : at + 11], "little")
         at += 11
@@ -108,8 +117,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
             a = np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind)[:, 0]
         else:
             a = np.zeros(0, kind)
-        out.append(a if kind.kind == "f" else a.astype(np.int64))
+        found.append(a if kind.kind == "f" else a.astype(np.int64))
         at += size
+    out, rest = [], iter(found)
+    for a in rest:
+        out.append(a if a is not None else next(rest)[next(rest)])
     return out
 
 
@@ -881,7 +893,9 @@ def load(spark: SparkSession, path: str) -> Model:
 def _trained(coded: DataFrame, width: int, order: int, cap: int):
     """The model of the batches' training texts, and the batches with the numbers of its words."""
     spark = coded.sparkSession
-    words = written(numbered(written(_by_part(coded).applyInArrow(_counted, "wpart int, word binary, n long"))))
+    counts = written(_by_part(coded).applyInArrow(_counted, "wpart int, word binary, n long"))
+    words = written(numbered(counts))
+    forget(counts)
     unigrams = Unigrams(dict(words.groupBy("n").agg(F.count("*")).collect()))  # a row a count
     n_texts = coded.where("code is not null").agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
     hot_pairs = _hot_pairs(coded, words, cap)
@@ -926,9 +940,11 @@ def _trained(coded: DataFrame, width: int, order: int, cap: int):
         hot = kept.where(F.col("part") >= routes.cold).groupBy("part").cogroup(asked)
         grams = grams.unionByName(hot.applyInArrow(lambda t, s: build(t, s), _MODEL))
     rows = [(u, v, times, *pairs[(u << 32) + v]) for u, v, times in hot_pairs if (u << 32) + v in pairs]
+    stored = bucketed(grams, "part", width)
+    forget(tally)  # the model has all of it
     model = Model(
         words,
-        bucketed(grams, "part", width),
+        stored,
         answers.where("part is null").select("v", "share", "data"),
         spark.createDataFrame([(v, alpha) for v, (_, alpha) in worth.items()], "v long, alpha double"),
         spark.createDataFrame(rows, "u long, v long, times long, c long, kept double, seen double"),
