@@ -787,7 +787,7 @@ def _gathered(table: pa.Table) -> pa.Table:
 
 
 def numbered(words: DataFrame) -> DataFrame:
-    """wpart, word, n, id: numbers from FIRST by falling count, then word."""
+    """wpart, word, n, id, as a stored table: numbers from FIRST by falling count, then word."""
     keys = [F.desc("n"), F.col("word")]
     sorted_ = written(
         words.where("n > 0").repartitionByRange(*keys).sortWithinPartitions(*keys).select(
@@ -803,11 +803,13 @@ def numbered(words: DataFrame) -> DataFrame:
         offsets.append((p, before))
         before += n
     offset = sorted_.sparkSession.createDataFrame(offsets, "p long, before long")
-    return (
+    found = written(
         sorted_.withColumn("p", part)
         .join(F.broadcast(offset), "p")
         .select("wpart", "word", "n", (F.col("before") + F.col("at") - F.shiftleft("p", 33)).alias("id"))
     )
+    forget(sorted_)
+    return found
 
 
 def _hot_pairs(coded: DataFrame, ids: DataFrame, cap: int) -> list[tuple[int, int, int]]:
@@ -894,7 +896,7 @@ def _trained(coded: DataFrame, width: int, order: int, cap: int):
     """The model of the batches' training texts, and the batches with the numbers of its words."""
     spark = coded.sparkSession
     counts = written(_by_part(coded).applyInArrow(_counted, "wpart int, word binary, n long"))
-    words = written(numbered(counts))
+    words = numbered(counts)
     forget(counts)
     unigrams = Unigrams(dict(words.groupBy("n").agg(F.count("*")).collect()))  # a row a count
     n_texts = coded.where("code is not null").agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
