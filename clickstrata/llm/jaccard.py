@@ -17,6 +17,9 @@
    never all pairs. A pair meets once.
 5. Components of these forests are the result.
 
+Two layers of texts (documents as they are, and as they were) go through the same steps at once. A class knows the
+layers it is in; shingles are shared, and pairs made, within a layer only, and so are links, forests and components.
+
 Null and empty texts, and texts without words, have the empty set and link with nothing. Rows with equal
 texts link. Repeated ids are rows of their own; null ids join their class but name no component unless alone.
 An empty table gives an empty result; very long texts are whole sets, and a block holds at least one set; columns
@@ -27,6 +30,7 @@ of a class's first hash only add candidates.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -83,8 +87,8 @@ def set_key(found: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def profiles(docs: DataFrame, size: int, percent: int, extra: float, every: bool = False) -> DataFrame:
-    """doc_id, n, key, second (the class's hashes), prefix (little-endian 64-bit shingles in hash order) and parity bitmap (both null where the batch has the class already, but for ``every``)."""
+def profiles(docs: DataFrame, size: int, percent: int, extra: float) -> DataFrame:
+    """doc_id, n, key, second (the class's hashes), prefix (little-endian 64-bit shingles in hash order) and parity bitmap (both null where the batch has the class already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +99,7 @@ def profiles(docs: DataFrame, size: int, percent: int, extra: float, every: bool
                     keys.append(key)
                     seconds.append(second)
                     counts.append(n)
-                    if n and (every or (key, second) not in seen):
+                    if n and (key, second) not in seen:
                         seen.add((key, second))
                         prefixes.append(found[: min(n, n - need(n, percent) + 1 + int(extra * n))].astype("<u8").tobytes())
                         parities.append(parity(found).tobytes())
@@ -122,7 +126,7 @@ def profiles(docs: DataFrame, size: int, percent: int, extra: float, every: bool
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The incidence matrix's entries (shingle, key, n) from prefixes."""
+    """The incidence matrix's entries (shingle, key, n, layers) from prefixes."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
@@ -130,43 +134,49 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = [len(x) for x in arrays]
             if not arrays:
                 continue
-            keys = np.repeat(part.column("key").to_numpy(), lengths)
-            counts = np.repeat(part.column("n").to_numpy(), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays)), pa.array(keys), pa.array(counts)], ["shingle", "key", "n"])
+            of = [pa.array(np.repeat(part.column(c).to_numpy(), lengths)) for c in ("key", "n", "layers")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays)), *of], _ENTRY)
+
+
+_ENTRY = ["shingle", "key", "n", "layers"]
+_ENTRIES = "shingle long, key long, n long, layers int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by shingle and key: those whose shingle two classes hold, each class once. Streams; holds one batch."""
-    last = None  # the entry before this batch, and whether it has been put out
+    """From entries sorted by shingle and key: those whose shingle two classes of a layer hold, each class once. Streams; holds one batch."""
+    before, last = None, [None, None]  # the entry before this batch; of each layer its last entry, and whether that has been put out
     for batch in batches:
-        s, k, n = (batch.column(c).to_numpy() for c in ("shingle", "key", "n"))
+        entry = [batch.column(c).to_numpy() for c in _ENTRY]
+        s, k = entry[:2]
         if not len(s):
             continue
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-        if last and last[0] == s[0] and last[1] == k[0]:
+        if before == (s[0], k[0]):
             keep[0] = False
-        s, k, n = s[keep], k[keep], n[keep]
-        if not len(s):
-            continue
-        same = s[1:] == s[:-1]
-        out = np.zeros(len(s), bool)
-        out[1:] |= same
-        out[:-1] |= same
-        first = []
-        if last and last[0] == s[0]:
-            out[0] = True
-            first = [] if last[3] else [last[:3]]
-        done = bool(out[-1])
-        last = (s[-1], k[-1], n[-1], done)
-        s, k, n = s[out], k[out], n[out]
-        if first:
-            s, k, n = (np.concatenate([[x], y]) for x, y in zip(first[0], (s, k, n)))
-        if len(s):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())],
-                ["shingle", "key", "n"],
-            )
+        before = (s[-1], k[-1])
+        entry = [x[keep] for x in entry]
+        s, layers = entry[0], entry[3]
+        out, first = np.zeros(len(s), bool), {}
+        at = [np.flatnonzero(layers >> i & 1) for i in range(2)]
+        for mine, held in zip(at, last):
+            if not len(mine):
+                continue
+            same = s[mine[1:]] == s[mine[:-1]]
+            out[mine[1:]] |= same
+            out[mine[:-1]] |= same
+            if held and held[0] == s[mine[0]]:
+                out[mine[0]] = True
+                if not held[4]:
+                    first[held[:2]] = held[:4]
+        for i, (mine, held) in enumerate(zip(at, last)):
+            if len(mine):
+                last[i] = (*(x[mine[-1]] for x in entry), bool(out[mine[-1]]))
+            elif held and held[:2] in first:
+                last[i] = (*held[:4], True)
+        columns = [np.concatenate([np.array(list(x), y.dtype), y[out]]) for x, y in zip(zip(*first.values()) if first else [()] * 4, entry)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _ENTRY)
     tidy()
 
 
@@ -230,7 +240,7 @@ def _candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     sides = _sides(rows)
     if not sides:
         return _edges([])
-    keys, n, floor = ([s[c].to_numpy() for s in sides] for c in ("key", "n", "floor"))
+    keys, n, floor, layers = ([s[c].to_numpy() for s in sides] for c in ("key", "n", "floor", "layers"))
     sets = [[np.asarray(x) for x in s.shingles] for s in sides]
     maps = [np.frombuffer(x, "<u8") for x in sides[0].parity]
     widths = np.array([len(x) for x in sides[-1].parity]) // 8
@@ -244,7 +254,7 @@ def _candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     for i, overlap in overlaps(sets[0], sets[1] if len(sides) == 2 else None):
         m, other = n[0][i], n[-1]
         mine = (m < other) | ((m == other) & (keys[0][i] < keys[-1]))  # whose bound holds: the smaller class's
-        fits = (overlap > 0) & (overlap >= np.where(mine, floor[0][i], floor[-1])) & (
+        fits = (overlap > 0) & ((layers[0][i] & layers[-1]) > 0) & (overlap >= np.where(mine, floor[0][i], floor[-1])) & (
             np.minimum(m, other) * 100 >= np.maximum(m, other) * percent
         )
         left = np.flatnonzero(fits)
@@ -257,23 +267,30 @@ def _candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _linked(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Spanning edges (a, b, 0) of the links of one block pair, and link counts (a, null, links)."""
+    """Spanning edges (a, b, 0) of the links of one block pair, and link counts (a, null, links), by layer.
+
+    ``copies`` has a class's documents in each layer; a node is key * layers + layer.
+    """
     sides = _sides(rows)
     if not sides:
         return _edges([])
-    keys, copies = ([s[c].to_numpy() for s in sides] for c in ("key", "copies"))
+    copies = [np.stack(s.copies.to_list()) for s in sides]
+    layers = copies[0].shape[1]
+    nodes = [s.key.to_numpy()[:, None] * layers + np.arange(layers) for s in sides]
     sets = [[np.frombuffer(x, "<u8") for x in s.shingles] for s in sides]
     sizes = np.array([len(x) for x in sets[-1]])
-    base = 0 if len(sides) == 1 else len(keys[0])
-    forest, edges = Forest(base + len(keys[-1])), []
-    links = [np.zeros(len(k), np.int64) for k in keys]
+    base = 0 if len(sides) == 1 else len(nodes[0])
+    forests, edges = [Forest(base + len(nodes[-1])) for _ in range(layers)], []
+    links = [np.zeros(n.shape, np.int64) for n in nodes]
     for i, overlap in overlaps(sets[0], sets[1] if len(sides) == 2 else None):
         partners = np.flatnonzero((overlap > 0) & (overlap * 100 >= (len(sets[0][i]) + sizes - overlap) * percent))
-        links[0][i] += copies[-1][partners].sum()
-        links[-1][partners] += copies[0][i]
-        edges += [(keys[0][i], keys[-1][j]) for j in partners.tolist() if forest.join(i, base + j)]
+        for layer in np.flatnonzero(copies[0][i]).tolist():
+            found = partners[copies[-1][partners, layer] > 0]
+            links[0][i, layer] += copies[-1][found, layer].sum()
+            links[-1][found, layer] += copies[0][i, layer]
+            edges += [(nodes[0][i, layer], nodes[-1][j, layer]) for j in found.tolist() if forests[layer].join(i, base + j)]
     tidy()
-    return _edges(edges, [(k, n) for ks, ns in zip(keys, links) for k, n in zip(ks, ns) if n])
+    return _edges(edges, [(k, n) for ks, ns in zip(nodes, links) for k, n in zip(ks.ravel(), ns.ravel()) if n])
 
 
 def grouped_pairs(rows: DataFrame, group: str, key: str, held, block: int, run, schema: str) -> DataFrame:
@@ -353,21 +370,30 @@ def _to_roots(step: DataFrame) -> DataFrame:
             return step
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, also: DataFrame | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row a document (n_links: other documents linked with it).
 
-    With ``only``, a table of doc_id, as if the other documents were not there.
+    With ``also``, a table of other texts (doc_id, text), those of ids in ``docs`` are joined with one another too: the
+    result has a row for each, and a column ``layer``, 0 for ``docs`` and 1 for them.
     """
-    profile = profiles(small_batches(docs), size, percent, extra, only is not None)
-    if only is not None:
-        ids = only.select(F.col("doc_id").cast("long").alias("only")).distinct()
-        profile = profile.join(ids, F.col("doc_id").eqNullSafe(F.col("only")), "left_semi")
-    profile = written(profile)
-    classes = profile.groupBy("key", "second", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    entries = profile.where("prefix is not null").select("key", "n", "prefix").mapInArrow(_entries, "shingle long, key long, n long")
-    shared = written(
-        entries.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared, "shingle long, key long, n long")
-    )
+    sketches, texts = written(profiles(small_batches(docs), size, percent, extra)), [docs]
+    rows = ["doc_id", "n", "key", "second"]
+    profile = sketches.select(*rows, F.lit(0).alias("layer"))
+    if also is not None:
+        more, texts = written(profiles(small_batches(also), size, percent, extra)), [docs, also]
+        ids = sketches.select(F.col("doc_id").alias("kept")).distinct()
+        here = written(more.select(*rows).join(ids, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi"))
+        profile, sketches = profile.unionByName(here.withColumn("layer", F.lit(1))), sketches.unionByName(more)
+    one = ["key", "second", "layer"]
+    members = profile.where("n > 0").groupBy(*one).agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    held_in = F.array(*[F.count_if(F.col("layer") == i) for i in range(len(texts))])
+    classes = profile.where("n > 0").groupBy("key", "second", "n").agg(held_in.alias("copies"))
+    prefixed = sketches.where("prefix is not null").select("key", "second", "n", "prefix", F.lit(1).alias("layers"))
+    if also is not None:  # a class of both layers brings its prefix once
+        within = profile.where("n > 0").groupBy("key", "second").agg(F.bit_or(F.col("layer") + 1).alias("layers"))
+        prefixed = prefixed.drop("layers").dropDuplicates(["key", "second"]).join(within, ["key", "second"])
+    entries = prefixed.select("key", "n", "layers", "prefix").mapInArrow(_entries, _ENTRIES)
+    shared = written(entries.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared, _ENTRIES))
     n = F.col("n")
     lesser = lambda m: 1 + F.floor(m * F.lit(extra)).cast("long")
     strong = (
@@ -382,10 +408,10 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
         .where("classes > 1")
         .select("shingle", F.col("hub.key").alias("hub"))
     )
-    grouped = written(rows.join(hub, "shingle").groupBy("hub", "key", "n").agg(F.collect_list("shingle").alias("shingles")))
+    grouped = written(rows.join(hub, "shingle").groupBy("hub", "key", "n", "layers").agg(F.collect_list("shingle").alias("shingles")))
     held = grouped.groupBy("key").agg(F.sum(F.size("shingles")).alias("held"))
     held = (
-        profile.where("parity is not null")
+        sketches.where("parity is not null")
         .select("key", "parity")
         .join(held, "key")
         .groupBy("key")
@@ -401,59 +427,63 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     edges = "a long, b long, links long"
     candidates = grouped_pairs(written(prefixes), "hub", "key", weight.cast("long"), block, lambda g: _candidates(g, percent), edges)
     clusters = components(candidates)
-    clustered = clusters.withColumnRenamed("node", "key").join(classes.where("n > 0").select("key", "second", "n", "copies"), "key")
+    clustered = clusters.withColumnRenamed("node", "key").join(classes, "key")
     keys = written(clustered.withColumn("id", F.monotonically_increasing_id()))  # classes that share a first hash part here
     # the sets of these classes only, from the texts
     few = keys.count() <= SHIP_ROWS
     small = F.broadcast if few else (lambda x: x)
-    sample = profile.where("prefix is not null").groupBy("key", "second").agg(F.min("doc_id").alias("doc_id"))
-    wanted = written(sample.join(small(keys.select("key", "second")), ["key", "second"]))
+    place = F.struct("layer", F.col("doc_id").isNull().alias("none"), "doc_id")
+    sample = profile.where("n > 0").groupBy("key", "second").agg(F.min(place).alias("at"))
+    wanted = written(sample.join(small(keys.select("key", "second")), ["key", "second"]).select("key", "second", "at.layer", "at.doc_id"))
     sets = written(
-        keys.join(_sets(docs, wanted, size, few), ["key", "second"]).select("label", F.col("id").alias("key"), "n", "copies", "shingles")
+        keys.join(_sets(texts, wanted, size, few), ["key", "second"]).select("label", F.col("id").alias("key"), "n", "copies", "shingles")
     )
     out = written(grouped_pairs(sets, "label", "key", n, block, lambda g: _linked(g, percent), edges))
     label = components(out.where("b is not null"))
-    links = out.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    links = out.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    nodes = keys.select("key", "second", "id", F.explode(F.sequence(F.lit(0), F.lit(len(texts) - 1))).alias("layer"))
     linked = (
-        keys.select("key", "second", "id")
-        .join(label.select(F.col("node").alias("id"), F.col("label").alias("component")), "id")
-        .join(links, "id")
-        .drop("id")
+        nodes.select(*one, (F.col("id") * len(texts) + F.col("layer")).alias("node"))
+        .join(label.select("node", F.col("label").alias("component")), "node")
+        .join(links, "node")
+        .drop("node")
     )
-    named = classes.where("n > 0").join(linked, ["key", "second"], "left")
+    named = members.join(linked, one, "left")
     smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
     final = (
         named.join(smallest, "component", "left")
         .select(
-            "key",
-            "second",
+            *one,
             F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("lowest"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
         )
     )
     full = (
         profile.where("n > 0")
-        .select("doc_id", "n", "key", "second")
-        .join(final, ["key", "second"])
+        .select("doc_id", "n", *one)
+        .join(final, one)
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.coalesce("lowest", "doc_id").alias("component_id"),
             F.col("links").alias("n_links"),
+            "layer",
         )
     )
-    return full.unionByName(
+    full = full.unionByName(
         profile.where("n = 0").select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.col("doc_id").alias("component_id"),
             F.lit(0).cast("long").alias("n_links"),
+            "layer",
         )
     )
+    return full if also is not None else full.drop("layer")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, few: bool) -> DataFrame:
-    """key, second, shingles (sorted little-endian 64-bit) of the wanted classes."""
+def _sets(layers: list[DataFrame], wanted: DataFrame, size: int, few: bool) -> DataFrame:
+    """key, second, shingles (sorted little-endian 64-bit) of the wanted classes, from the texts of their layer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -469,10 +499,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, few: bool) -> DataFrame
                     ["key", "second", "shingles"],
                 )
 
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = texts.join(F.broadcast(ids) if few else ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-    got = chosen.mapInArrow(run, "key long, second long, shingles binary")
+    def chosen(layer: int) -> DataFrame:
+        ids = wanted.where(F.col("layer") == layer).select(F.col("doc_id").alias("wanted")).distinct()
+        texts = layers[layer].select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+
+    got = reduce(DataFrame.union, [chosen(i) for i in range(len(layers))]).mapInArrow(run, "key long, second long, shingles binary")
     only = wanted.select("key", "second").distinct()
     return got.join(F.broadcast(only) if few else only, ["key", "second"], "left_semi").dropDuplicates(["key", "second"])
 
@@ -484,13 +516,8 @@ def clean(docs: DataFrame, also: DataFrame | None = None, **params) -> DataFrame
     documents here put it into a component with a lesser doc_id. Rows that repeat an id stand or fall together.
     """
     (own,) = fresh(docs, "__own")
-    least = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-    def judge(texts: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        joined = join(texts, only=only, **params).groupBy("doc_id").agg(least.alias("stays"))
-        return joined.where("not stays").select(F.col("doc_id").alias(own))
-
-    gone = judge(docs)
-    if also is not None:
-        gone = gone.union(judge(also, docs.select("doc_id"))).distinct()
+    joined = join(docs, also=also, **params)
+    by = [c for c in ("doc_id", "layer") if c in joined.columns]
+    judged = joined.groupBy(*by).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = judged.where("not stays").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
