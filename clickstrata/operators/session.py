@@ -259,10 +259,13 @@ def salted_category_count(actions: DataFrame, salts: int = 10) -> DataFrame:
 
 
 def skew_join(facts: DataFrame, side: DataFrame, key: str, row_id: str, salts: int = 10) -> DataFrame:
-    """An inner join with each fact in one of ``salts`` parts and each side row in all of them once."""
+    """An inner join with each fact in one of ``salts`` parts and each side row in all of them once.
+
+    Spark sizes the copied side as if it were not copied; merged, it is sorted in parts that spill, and never broadcast.
+    """
     left = facts.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)))
     right = side.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def split_skew_join(facts: DataFrame, side: DataFrame, key: str, row_id: str, hot: int = 1, salts: int = 10) -> DataFrame:
