@@ -73,7 +73,8 @@ def running_totals(log: DataFrame, ttl_ms: int = 2 * DAY_MS) -> DataFrame:
 class Listing(StatefulProcessor):
     """A user's clicks by day and ad; the first batch in which one of them reaches the threshold lists the user.
 
-    The state of a listed user is the one flag. Days that the watermark has passed go by a timer each.
+    The state of a listed user is the one flag. Days that the watermark has passed go by a user's one timer, that of the
+    first day held. Calls to the state cost the most: counts of a user that a batch lists are not stored at all.
     """
 
     def __init__(self, threshold: int, keep_ms: int):
@@ -81,35 +82,53 @@ class Listing(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.listed = handle.getValueState("listed", "yes boolean")
+        self.user = handle.getValueState("user", "listed boolean, timer long")  # none: nothing is held of the user
         self.counts = handle.getMapState("counts", "day long, ad_id long", "n long")
 
+    def _end(self, day: int) -> int:
+        return (day + 1) * DAY_MS + self.keep_ms
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.listed.exists():
+        user = self.user.get()
+        if user and user[0]:
             return
         more: dict[tuple[int, int], int] = {}
         for r in rows:
             more[(r.day, r.ad_id)] = more.get((r.day, r.ad_id), 0) + r.n
-        reached = []
-        for (day, ad_id), n in sorted(more.items()):
-            if self.counts.containsKey((day, ad_id)):
-                n += self.counts.getValue((day, ad_id))[0]
-            self.counts.updateValue((day, ad_id), (n,))
-            self.handle.registerTimer((day + 1) * DAY_MS + self.keep_ms)
-            if n >= self.threshold:
-                reached.append((day, ad_id, n))
+        if user:
+            for (day, ad_id), (n,) in self.counts.iterator():
+                if (day, ad_id) in more:
+                    more[(day, ad_id)] += n
+        reached = min(((*k, n) for k, n in more.items() if n >= self.threshold), default=None)
         if reached:
-            self.listed.update((True,))
-            self.counts.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            day, ad_id, n = reached[0]
+            if user:
+                self.counts.clear()
+                self.handle.deleteTimer(user[1])
+            self.user.update((True, None))
+            day, ad_id, n = reached
             yield Row(user_id=key[0], day=day, ad_id=ad_id, click_count=n)
+            return
+        for k, n in more.items():
+            self.counts.updateValue(k, (n,))
+        first = self._end(min(day for day, _ in more))
+        if not user or first < user[1]:
+            if user:
+                self.handle.deleteTimer(user[1])
+            self.handle.registerTimer(first)
+            self.user.update((False, first))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = (expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms) // DAY_MS - 1
-        for day, ad_id in [k for k in self.counts.keys() if k[0] <= passed]:
-            self.counts.removeKey((day, ad_id))
+        now, days = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), set()
+        for day, ad_id in list(self.counts.keys()):
+            if self._end(day) <= now:
+                self.counts.removeKey((day, ad_id))
+            else:
+                days.add(day)
+        if days:
+            self.handle.registerTimer(self._end(min(days)))
+            self.user.update((False, self._end(min(days))))
+        else:
+            self.user.clear()
         yield from ()
 
     def close(self) -> None:
