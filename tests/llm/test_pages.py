@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from clickstrata.llm import pages
@@ -94,3 +95,27 @@ def test_hosts_in_parts_give_the_same_texts(spark, part):
 
 def test_an_empty_table(spark):
     assert pages.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_the_method_judges_articles_and_the_check_corrects_it():
+    page = pages.Page("<body><div>menu of the site</div><article><p>cited words</p><p>own words</p></article><div class=notice>only here</div>")
+    assert [t for t in page.tokens if t[0] != "<"] == "menu of the site cited words own words only here".split()
+    covered = np.array([t in ("menu", "of", "the", "site", "cited", "words") and i < 11 for i, t in enumerate(page.tokens)])
+    assert page.unique(covered) == [False, False, True, True]
+    assert page.text(covered) == "cited words own words"
+
+
+def test_articles_are_no_evidence_of_repeats():
+    copies = [pages.Page(f"<article>{' '.join('abcdefghij')}</article>") for _ in range(2)] + [pages.Page(f"<div>{' '.join('abcdefghij')}</div>")]
+    inside = [np.array(p.inside, bool) for p in copies]
+    assert not any(c.any() for c in pages.repeated([p.tokens for p in copies], [0, 1, 2], inside=inside))
+    twice = copies + copies[2:]
+    found = pages.repeated([p.tokens for p in twice], [0, 1, 2, 3], inside=inside + inside[2:])
+    assert [[p.unique(c)[0] for p, c in zip(twice, found)], twice[0].text(found[0]), twice[2].text(found[2])] == [[False] * 4, " ".join("abcdefghij"), ""]
+
+
+@pytest.mark.parametrize("part", [1 << 23, 900, 1])
+def test_repeats_of_a_host_with_articles_only_are_found_in_all_its_parts(spark, part):
+    rows = [(f"<body>{NOTICE}<article>story {i}</article>", i, "http://one.example", None, None) for i in range(12)]
+    got = pages.extract(spark.createDataFrame(rows, SCHEMA), part=part).select("text", "n_outside", "n_repeated").collect()
+    assert sorted(got) == sorted((f"story {i}", 17, 17) for i in range(12))
