@@ -8,7 +8,7 @@ document and every word; nothing that grows with the vocabulary is shipped or co
 2. Words are counted, sorted by count and numbered. A number thus tells the word's count: the driver and the
    workers hold one entry for each count that occurs (at most sqrt(2 * tokens) of them), not one a word. Batches
    get the numbers of their words back. What only held-out texts have is the one unknown word.
-3. Each batch's distinct training n-grams go, packed, to the part of their middle word, so a part can count and
+3. Each batch's distinct training n-grams go, sorted and packed, to the part of their middle word, so a part can count and
    normalise both bigrams and trigrams of its words alone. A word with more tokens than ``cap`` has parts of its own,
    dealt by the word before it, and a pair with more than ``cap`` has parts dealt by the word after it. The few sums
    that such parts share are joined by key. Counts of counts give the discounts.
@@ -125,6 +125,19 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_sorted(v: np.ndarray, u: np.ndarray, *more: np.ndarray) -> bytes:
+    """As ``pack``, of rows sorted by ``v``, then ``u``: of both only the steps from row to row."""
+    before = np.append(0, v)[:-1]
+    return pack(v - before, np.where(v == before, u - np.append(0, u)[:-1], u), *more)
+
+
+def unpack_sorted(data: bytes) -> list[np.ndarray]:
+    dv, du, *more = unpack(data)
+    u = np.cumsum(du)
+    heads = np.flatnonzero(np.append(True, dv[1:] > 0)) if len(dv) else np.zeros(0, np.int64)
+    return [np.cumsum(dv), u - np.repeat((u - du)[heads], np.diff(np.append(heads, len(dv)))), *more]
+
+
 # --- discounts and back-off weights ------------------------------------------------------------------
 
 
@@ -389,7 +402,8 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
     numbers = np.append(ids, BEGIN)
     u, v, w = numbers[head % size], numbers[head // size], numbers[last]
     part = routes.part(u, v, w)
-    at = np.argsort(part, kind="stable")
+    at = np.argsort((v << 32) + u)
+    at = at[np.argsort(part[at], kind="stable")]
     part, u, v, w, occurs, cuts = part[at], u[at], v[at], w[at], occurs[at], cuts[at]
     home = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(cuts):
@@ -405,9 +419,9 @@ def _batch_grams(row: dict, routes: Routes, unigrams: Unigrams, places: bool, ba
         for a, b in zip(edges, edges[1:]):
             if places:
                 answers = np.arange(replies[a], replies[b])
-                data = pack(v[a:b], u[a:b], w[a:b], occurs[a:b], marks[ends[a] : ends[b]], answers)
+                data = pack_sorted(v[a:b], u[a:b], w[a:b], occurs[a:b], marks[ends[a] : ends[b]], answers)
             else:
-                data = pack(v[a:b], u[a:b], w[a:b], occurs[a:b])
+                data = pack_sorted(v[a:b], u[a:b], w[a:b], occurs[a:b])
             yield int(part[a]), data
     if places:
         yield None, pack(*own_sums, *home)
@@ -503,7 +517,7 @@ def _tallied(routes: Routes):
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        v, u, w, n = (np.concatenate(x) for x in zip(*(unpack(d) for d in table.column("data").to_pylist())))
+        v, u, w, n = (np.concatenate(x) for x in zip(*(unpack_sorted(d) for d in table.column("data").to_pylist())))
         if not len(v):
             return _rows_of(_TALLY, {"level": []})
         found = _Grams(v, u, w, n)
@@ -511,7 +525,7 @@ def _tallied(routes: Routes):
         if part < routes.cold:
             few += [(2, *x) for x in _few(found.pair_n)]
         out = [_rows_of(_TALLY, {"level": [x[0] for x in few], "r": [x[1] for x in few], "times": [x[2] for x in few]})]
-        counted = pack(found.v_of[found.v_at], found.u, found.w, found.n)
+        counted = pack_sorted(found.v_of[found.v_at], found.u, found.w, found.n)
         out.append(_rows_of(_TALLY, {"level": [KEPT], "part": [part], "data": [counted]}))
         if part >= routes.cold:  # one middle word; one word before it, if it is a pair
             word = int(found.v_of[0])
@@ -623,7 +637,7 @@ def _built(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict[
         if not table.num_rows:
             return _rows_of(_MODEL, {"part": []})
         part = table.column("part")[0].as_py()
-        found = _Grams(*unpack(table.column("data")[0].as_py()))
+        found = _Grams(*unpack_sorted(table.column("data")[0].as_py()))
         rows = []
         if part < routes.cold:
             p1, less = unigrams.chance(found.pair_w), reduced(found.pair_n, d[2])
@@ -631,7 +645,7 @@ def _built(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict[
             unit, alpha = weights(*sums)
             p2 = less * unit[at]
             sizes = np.bincount(at)
-            rows.append((2, pack(found.v_of, np.zeros(len(sizes), np.int64), alpha, sizes), pack(found.pair_w, found.pair_n, p2)))
+            rows.append((2, pack_sorted(found.v_of, np.zeros(len(sizes), np.int64), alpha, sizes), pack(found.pair_w, found.pair_n, p2)))
         else:
             words, chance = (np.concatenate(x) for x in zip(*(unpack(y) for y in shared.column("data").to_pylist())))
             by = np.argsort(words)
@@ -643,7 +657,7 @@ def _built(routes: Routes, unigrams: Unigrams, d: list[np.ndarray], pairs: dict[
                 sums = tuple(np.array([x]) for x in pairs[routes.pair(part)])
             unit, alpha = weights(*sums)
             first = _starts(found.context)
-            contexts = pack(found.v_of[found.v_at[first]], found.u[first], alpha, np.diff(np.append(first, len(at))))
+            contexts = pack_sorted(found.v_of[found.v_at[first]], found.u[first], alpha, np.diff(np.append(first, len(at))))
             rows.append((3, contexts, pack(found.w, found.n, less * unit[at])))
         tidy()
         return _rows_of(_MODEL, {"part": [part] * len(rows), "level": [r[0] for r in rows], "contexts": [r[1] for r in rows], "grams": [r[2] for r in rows]})
@@ -664,7 +678,7 @@ class _Level:
 
     def __init__(self, contexts: bytes | None, grams: bytes | None):
         none = np.zeros(0, np.int64)
-        v, u, self.alpha, sizes = unpack(contexts) if contexts else (none, none, none, none)
+        v, u, self.alpha, sizes = unpack_sorted(contexts) if contexts else (none, none, none, none)
         w, _, self.p = unpack(grams) if grams else (none, none, none)
         self.v_of, at = np.unique(v, return_inverse=True)
         self.top_u, self.top_w = int(u.max(initial=0)) + 1, int(w.max(initial=0)) + 1
@@ -721,7 +735,7 @@ def _looked_up(routes: Routes, unigrams: Unigrams, pairs: dict[int, tuple]):
             if part >= routes.pair_from:
                 whole = float(weights(*(np.array([x]) for x in pairs[routes.pair(part)]))[1][0])
             for uid, data in zip(table.column("uid").to_pylist(), table.column("data").to_pylist()):
-                v, u, w, occurs, marks, answers = unpack(data)
+                v, u, w, occurs, marks, answers = unpack_sorted(data)
                 p, open_ = np.ones(len(v)), np.ones(len(v), bool)
                 if routes.order == 3:
                     chance, hit, alpha = three.find(v, u, w)
