@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fresh, sliced, small_batches, tidy, written
+from .frames import forget, fresh, sliced, small_batches, tidy, written
 from .hashing import mix, shingle_sets
 
 SIZE = 5
@@ -377,11 +377,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     result has a row for each, and a column ``layer``, 0 for ``docs`` and 1 for them.
     """
     sketches, texts = written(profiles(small_batches(docs), size, percent, extra)), [docs]
-    rows = ["doc_id", "n", "key", "second"]
-    profile = sketches.select(*rows, F.lit(0).alias("layer"))
+    rows, wide = ["doc_id", "n", "key", "second"], [sketches]
+    profile = written(sketches.select(*rows)).withColumn("layer", F.lit(0))  # stays when prefixes and bitmaps go
     if also is not None:
         more, texts = written(profiles(small_batches(also), size, percent, extra)), [docs, also]
-        ids = sketches.select(F.col("doc_id").alias("kept")).distinct()
+        wide.append(more)
+        ids = profile.select(F.col("doc_id").alias("kept")).distinct()
         here = written(more.select(*rows).join(ids, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi"))
         profile, sketches = profile.unionByName(here.withColumn("layer", F.lit(1))), sketches.unionByName(more)
     one = ["key", "second", "layer"]
@@ -425,8 +426,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
     )
     weight = F.size("shingles") + F.octet_length("parity") / 8
     edges = "a long, b long, links long"
-    candidates = grouped_pairs(written(prefixes), "hub", "key", weight.cast("long"), block, lambda g: _candidates(g, percent), edges)
+    prefixes = written(prefixes)
+    for gone in (*wide, shared, grouped):
+        forget(gone)
+    candidates = grouped_pairs(prefixes, "hub", "key", weight.cast("long"), block, lambda g: _candidates(g, percent), edges)
     clusters = components(candidates)
+    forget(prefixes)
     clustered = clusters.withColumnRenamed("node", "key").join(classes, "key")
     keys = written(clustered.withColumn("id", F.monotonically_increasing_id()))  # classes that share a first hash part here
     # the sets of these classes only, from the texts
@@ -439,6 +444,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, extra: float
         keys.join(_sets(texts, wanted, size, few), ["key", "second"]).select("label", F.col("id").alias("key"), "n", "copies", "shingles")
     )
     out = written(grouped_pairs(sets, "label", "key", n, block, lambda g: _linked(g, percent), edges))
+    forget(sets)
     label = components(out.where("b is not null"))
     links = out.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     nodes = keys.select("key", "second", "id", F.explode(F.sequence(F.lit(0), F.lit(len(texts) - 1))).alias("layer"))

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fresh, written
+from .frames import forget, fresh, written
 
 EDITS = 1
 FUZZY_CHARS = 32
@@ -236,7 +236,10 @@ def decisions(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHAR
         F.col("line").alias(other),
         F.col("first").alias(f"f{mine}"),
     )
-    both = written(pairs.distinct()).join(side("a", "one"), "a").join(side("b", "two"), "b")
+    pairs = written(pairs.distinct())
+    forget(keyed)
+    forget(needed)
+    both = pairs.join(side("a", "one"), "a").join(side("b", "two"), "b")
     close = both.where(within("one", "two", edits))
     line = lambda x: F.struct(F.col(x).alias("h"), F.col(f"g{x}").alias("g"))
     later = (
