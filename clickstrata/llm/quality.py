@@ -77,13 +77,15 @@ def measure(texts: list[str]) -> pd.DataFrame:
 
 
 def metrics_udf():
+    """A Pandas UDF of a text. Called nondeterministic, or Spark runs it once more in each filter on its result, in a Python worker of its own."""
+
     @F.pandas_udf(METRICS)
     def run(texts: pd.Series) -> pd.DataFrame:
         out = pd.concat([measure(part) for part in sliced(texts)] or [measure([])], ignore_index=True)
         tidy()
         return out
 
-    return run
+    return run.asNondeterministic()
 
 
 def ratios(m: str) -> dict[str, Column]:
