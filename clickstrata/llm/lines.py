@@ -135,7 +135,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def _cut_further(hot: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates (a, b) of large groups (h, m, more, low, high): lines that agree but for ``low`` to ``high``."""
-    found = []
+    found, held = [], []
     while True:
         cut = (
             hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.least(F.lit(CUTS), F.col("high") - F.col("low")).cast("int") - 1)))
@@ -148,6 +148,7 @@ def _cut_further(hot: DataFrame, texts: DataFrame) -> DataFrame:
                 cut.join(texts.select("h", "line"), "h").withColumn("k", F.expr(around("line", "m", "more", "low", "high"))).drop("line")
             )
         )
+        held.append(keyed)
         found.append(_pairs(keyed.where(F.col("size") <= GROUP)))
         hot = keyed.where(F.col("size") > GROUP)
         ends = hot.where("high - low <= 1").join(texts.select("h", "line", "first"), "h")
@@ -162,11 +163,14 @@ def _cut_further(hot: DataFrame, texts: DataFrame) -> DataFrame:
         found.append(_pairs(last.where("more = 1").unionByName(last.where("more = 0").dropDuplicates(["k"]))))
         hot = hot.where("high - low > 1").select("h", "m", "more", "low", "high")
         if hot.isEmpty():
-            return written(reduce(DataFrame.unionByName, found).distinct())
+            out = written(reduce(DataFrame.unionByName, found).distinct())
+            for table in held:
+                forget(table)
+            return out
 
 
 def decisions(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
-    """doc_id, hash (of the text), gone: positions of the lines to drop, for documents that lose any."""
+    """doc_id, hash (of the text), gone: positions of the lines to drop, for documents that lose any. A written table, the only one that stays."""
     rows = docs.select("doc_id", "text").where("text is not null")
     second = lambda line: F.xxhash64(F.lit(1), line)
     cut = (
@@ -220,16 +224,17 @@ def decisions(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHAR
     texts = written(texts.join(firsts.select("h", "g", "first"), ["h", "g"]))
     if edits == 1:
         small, large = keyed.where(F.col("size") <= GROUP), keyed.where(F.col("size") > GROUP)
-        pairs = _pairs(small)
+        pairs, further = _pairs(small), None
         if not large.isEmpty():
             m, part = F.expr("of div 16 - more"), F.expr(f"of % 16 % {CUTS}")
             hot = (
                 large.select("h", m.alias("m"), "more", part.alias("part"))
                 .select("h", "m", "more", F.expr(f"part * m div {CUTS}").alias("low"), F.expr(f"(part + 1) * m div {CUTS}").alias("high"))
             )
-            pairs = pairs.unionByName(_cut_further(hot, texts))
+            further = _cut_further(hot, texts)
+            pairs = pairs.unionByName(further)
     else:
-        pairs = _pairs(keyed)
+        pairs, further = _pairs(keyed), None
     side = lambda mine, other: texts.select(
         F.col("h").alias(mine),
         F.col("g").alias(f"g{mine}"),
@@ -237,8 +242,9 @@ def decisions(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHAR
         F.col("first").alias(f"f{mine}"),
     )
     pairs = written(pairs.distinct())
-    forget(keyed)
-    forget(needed)
+    for table in (keyed, needed, further):
+        if table is not None:
+            forget(table)
     both = pairs.join(side("a", "one"), "a").join(side("b", "two"), "b")
     close = both.where(within("one", "two", edits))
     line = lambda x: F.struct(F.col(x).alias("h"), F.col(f"g{x}").alias("g"))
@@ -260,7 +266,10 @@ def decisions(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHAR
     places = lines.select("doc_id", "hash", "pos", "h", "g")
     found = places.join(common, ["h", "g"]).unionByName(places.join(F.broadcast(often), ["h", "g"], "left_anti").join(judged, ["h", "g"]))
     gone = found.where(F.col("near") | ~own_place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    out = written(gone.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("gone")))
+    for table in (lines, firsts, texts, pairs):
+        forget(table)
+    return out
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS, counts: tuple[str, str] | None = None) -> DataFrame:

@@ -20,3 +20,13 @@ def test_prefixes_sets_and_keys_of_lines_are_not_kept(spark):
     assert not left & {"prefix", "parity", "shingle", "shingles"}
     rows, left = columns_left(spark, lambda: lines.decisions(docs).select("doc_id", "gone"))
     assert not left & {"k", "of"}
+
+
+def test_line_dedup_leaves_its_decisions_only(spark, monkeypatch):
+    monkeypatch.setattr(lines, "GROUP", 2)
+    line = "a line that is long enough to be compared with others of its kind"
+    rows = [(i, f"{line[:i]}{'xyz'[i % 3]}{line[i + 1 :]}\nown words of number {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame([*rows, (20, line), (21, line), (22, None)], "doc_id long, text string")
+    for edits in (1, 2):
+        found, left = columns_left(spark, lambda: lines.decisions(docs, edits).select("doc_id", "gone"))
+        assert {r.doc_id for r in found} >= {20, 21} and left == {"doc_id", "hash", "gone"}
